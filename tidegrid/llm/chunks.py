@@ -1,52 +1,168 @@
-"""Cached encoding of texts by self-contained chunks.
+"""Cached encoding of whole texts by self-contained chunks.
 
 Byte-level and word-level BPE vocabularies split a text before merging, and no
-pre-token runs from a non-space character into the white space after it. A text
-cut before each run of white space therefore encodes to the concatenation of
-its chunks' encodings. Natural text repeats its chunks, so each is encoded once
-per cache fill and looked up afterwards.
+pre-token runs from a non-space character into the white space after it, nor
+from a letter or digit into sentence punctuation. A text cut at such places
+encodes to the concatenation of its pieces' encodings. Natural text repeats its
+pieces, so each is encoded once per cache fill and looked up afterwards; the
+encodings equal those of the whole text.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 #: A run of white space and the run of other characters after it, or the white
 #: space at the end. Python counts a superset of Unicode's White_Space as \s;
 #: a cut left out costs time, never correctness.
 CHUNK = re.compile(r"\s*\S+|\s+")
+#: Punctuation that starts no contraction, so that a cut before it is safe.
+TAIL = ".,;:!?*%$#&|"
 
 
 class ChunkCache:
-    """Chunk -> encoded value, two generations, bounded by ``entries`` each.
+    """Chunk -> encoded value, in two generations, bounded by ``entries`` each.
 
-    Chunks longer than ``longest`` characters are encoded but not kept, so the
-    cache's memory is bounded whatever the texts hold.
+    ``encode`` takes a list of pieces and returns their values, which add up by
+    ``+``. Chunks longer than ``longest`` are encoded but not kept, so memory
+    is bounded whatever the texts hold.
     """
 
-    def __init__(self, encode: Callable[[list], Iterable], entries: int = 200_000, longest: int = 48) -> None:
+    def __init__(self, encode: Callable[[list], Iterable], entries: int = 250_000, longest: int = 48) -> None:
         self.encode, self.entries, self.longest = encode, entries, longest
         self.young: dict = {}
         self.old: dict = {}
 
+    def _fresh(self, pieces: set) -> dict:
+        """Values of pieces, from either generation or newly encoded."""
+        young, old = self.young, self.old
+        out = {p: young[p] if p in young else old[p] for p in pieces if p in young or p in old}
+        listed = [p for p in pieces if p not in out]
+        out.update(zip(listed, self.encode(listed), strict=True))
+        return out
+
     def table(self, chunks: Iterable) -> dict:
         """A dict that holds at least all of ``chunks``."""
         need = set(chunks)
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = need.difference(young)
-        if old:
-            found = [c for c in missing if c in old]
-            for c in found:
-                young[c] = old[c]
-            missing.difference_update(found)
+        missing = need.difference(self.young)
         if not missing:
-            return young
-        fresh = dict(zip(listed := list(missing), self.encode(listed), strict=True))
-        if any(len(c) > self.longest for c in listed):
-            young.update((c, v) for c, v in fresh.items() if len(c) <= self.longest)
-            return {**young, **fresh}
-        young.update(fresh)
-        return young
+            return self.young
+        parts = {}
+        for c in missing:
+            core = c.rstrip(TAIL)
+            parts[c] = (core, c[len(core) :]) if core and core[-1].isalnum() and len(core) < len(c) else (c, "")
+        values = self._fresh({core for core, _ in parts.values()} | {tail for _, tail in parts.values() if tail})
+        for c, (core, tail) in parts.items():
+            values[c] = values[core] + values[tail] if tail else values[core]
+        if all(len(c) <= self.longest for c in values):
+            self.young.update(values)
+            return self.young
+        self.young.update((c, v) for c, v in values.items() if len(c) <= self.longest)
+        return {**self.young, **values}
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> the printable letter that stands for it in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class JsonBpe:
+    """A ``tokenizers`` file, encoding whole texts through the chunk cache.
+
+    Pieces of letters alone (after one space at most) are one pre-token, so
+    they go straight to the vocabulary's merges; all others pass the whole
+    tokenizer. ``drops_space``: the vocabulary lower-cases and drops white
+    space, and chunks are the words between ASCII white space.
+    """
+
+    def __init__(self, path: str, drops_space: bool = False, entries: int = 250_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.drops_space = drops_space
+        self.letters = byte_letters()
+        self.cache = ChunkCache(self._encode, entries)
+
+    def _alone(self, piece: str) -> str | None:
+        """The piece as the merges take it, if it is one pre-token for sure."""
+        word = piece[1:] if not self.drops_space and piece[0] == " " else piece
+        if not word.isalpha():
+            return None
+        if self.drops_space:
+            low = word.lower()
+            if len(low) != len(word) or "Σ" in word or not (low.isascii() or unicodedata.is_normalized("NFC", word)):
+                return None
+            piece = low
+        return piece.encode().decode("latin-1").translate(self.letters)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        rest = []
+        merge = self.tokenizer.model.tokenize
+        for i, p in enumerate(pieces):
+            if (alone := self._alone(p)) is not None:
+                out[i] = np.array([t.id for t in merge(alone)], self.dtype).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.dtype).tobytes()
+        return out
+
+    def split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not self.drops_space:
+            return CHUNK.findall(text)
+        if text.isascii() and not _CONTROL.search(text):
+            return text.lower().split()
+        return ASCII_WORD.findall(text)
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text as little-endian bytes; of null, none."""
+        split = [self.split(t) for t in texts]
+        table = self.cache.table({w for ws in split for w in ws})
+        return [b"".join([table[w] for w in ws]) for ws in split]
+
+    def token_bytes(self) -> np.ndarray:
+        """How many bytes of text each id stands for (byte-level vocabularies)."""
+        vocab = self.tokenizer.get_vocab()
+        size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for piece, i in vocab.items():
+            size[i] = len(piece)
+        return size
+
+
+ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Characters that str.split() takes for white space and ASCII white space isn't.
+_CONTROL = re.compile(r"[\x1c-\x1f]")
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Piece -> rank of a tiktoken file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def batches_of(items: list, sizes: list[int], most: int = 4_000_000):
+    """Slices of ``items`` whose ``sizes`` sum to about ``most`` at the most."""
+    start = total = 0
+    for i, s in enumerate(sizes):
+        if total and total + s > most:
+            yield start, i
+            start, total = i, 0
+        total += s
+    if start < len(items):
+        yield start, len(items)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import quality_ledger
+from tidegrid.llm import quality_ledger, token_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids in the record files, read back from them."""
+    docs = _table(spark, sf_dir, "documents")
+    return token_records.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy v1 for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +31,7 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_records": op3_token_records,
     "op8_quality_ledger": op8_quality_ledger,
 }
 
