@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm import quality_ledger, token_records
+from tidegrid.llm import packing_kk, quality_ledger, spbpe, token_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the packed sequences."""
+    docs = _table(spark, sf_dir, "documents")
+    return packing_kk.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy v1 for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,9 +37,23 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = spbpe.decode(spbpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_token_records": op3_token_records,
+    "op4_packing_kk": op4_packing_kk,
     "op8_quality_ledger": op8_quality_ledger,
+    "op10_sentencepiece_bpe": op10_sentencepiece_bpe,
 }
 
 ORACLES = {
