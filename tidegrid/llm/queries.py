@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import packing_kk, quality_ledger, spbpe, token_records
+from tidegrid.llm import packing_kk, quality_ledger, spbpe, token_records, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the dictionary-compressed archives."""
+    return warc_zstd.write_and_read(_table(spark, sf_dir, "pages")).drop("content")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and ids in the record files, read back from them."""
     docs = _table(spark, sf_dir, "documents")
@@ -50,6 +55,7 @@ def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_zstd": op2_warc_zstd,
     "op3_token_records": op3_token_records,
     "op4_packing_kk": op4_packing_kk,
     "op8_quality_ledger": op8_quality_ledger,
@@ -57,6 +63,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc_zstd": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex),
+b AS (SELECT p.*, first, list_transform(range(8), lambda i: ('0x' || substr(p.hex, (5 * i + 1)::INT, 5))::BIGINT) AS v
+      FROM p JOIN f ON f.hex = p.hex)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([32768, 1024, 32, 1],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x // s) % 32 + 1)::INT, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM b
+""",
     "op8_quality_ledger": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,

@@ -57,7 +57,7 @@ class AtomicFile:
         self.fs.create_dir(inner, recursive=True)
         self.path = f"{inner}/{name}"
         self.partial = f"{inner}/.{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.partial)
+        self.out = self.fs.open_output_stream(self.partial, compression=None)
 
     def __enter__(self):
         return self.out
