@@ -11,6 +11,7 @@ encodings equal those of the whole text.
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import re
 import unicodedata
@@ -150,6 +151,12 @@ ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
 
+@functools.lru_cache(maxsize=4)
+def json_bpe(path: str, drops_space: bool = False) -> JsonBpe:
+    """The process's encoder of a file: reused Python workers keep it, and its cache, between tasks."""
+    return JsonBpe(path, drops_space)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Piece -> rank of a tiktoken file."""
     with open(path, "rb") as f:

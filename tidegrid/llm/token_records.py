@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.chunks import JsonBpe, batches_of
+from tidegrid.llm.chunks import batches_of, json_bpe
 from tidegrid.llm.crc32c import crc32c, masked
 from tidegrid.llm.shared import AtomicFile, open_filesystem, shared_dir, written
 
@@ -95,7 +95,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        name, bpe = f"part-{shard:06d}", JsonBpe(vocabulary, drops_space=True)
+        name, bpe = f"part-{shard:06d}", json_bpe(vocabulary, drops_space=True)
         width, end = bpe.dtype.itemsize, np.array([end_id], bpe.dtype).tobytes()
         n_docs = n_tokens = at = 0
         first = next((b for b in batches if b.num_rows), None)
