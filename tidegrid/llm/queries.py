@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import packing_kk, quality_ledger, spbpe, token_records, warc_zstd
+from tidegrid.llm import packing_kk, quality_ledger, spbpe, token_records, topk_pivot, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for every vector whose id is divisible by 50."""
+    return topk_pivot.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the dictionary-compressed archives."""
     return warc_zstd.write_and_read(_table(spark, sf_dir, "pages")).drop("content")
@@ -55,6 +60,7 @@ def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_pivot": op1_topk_pivot,
     "op2_warc_zstd": op2_warc_zstd,
     "op3_token_records": op3_token_records,
     "op4_packing_kk": op4_packing_kk,
@@ -63,6 +69,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_topk_pivot": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+""",
     "op2_warc_zstd": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex),
