@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.chunks import JsonBpe, batches_of
+from tidegrid.llm.chunks import batches_of, json_bpe
 from tidegrid.llm.shared import written
 
 PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -92,7 +92,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: st
     """Encode every whole text and cut it: one row per piece, numbered."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, piece = JsonBpe(vocabulary), TaskContext.get().partitionId() << 33
+        bpe, piece = json_bpe(vocabulary), TaskContext.get().partitionId() << 33
         end = np.array([end_id], bpe.dtype)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
