@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import packing_kk, quality_ledger, spbpe, token_records, topk_pivot, warc_zstd
+from tidegrid.llm import langid, packing_kk, quality_ledger, spbpe, token_records, token_spans, topk_pivot, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,18 @@ def op4_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_kk.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the labelled ones outside the fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(docs.filter("NOT held_out").select(F.col("doc_id").alias("key"), "text", "lang"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op7_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of each document."""
+    return token_spans.by_lines(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy v1 for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +76,8 @@ QUERIES = {
     "op2_warc_zstd": op2_warc_zstd,
     "op3_token_records": op3_token_records,
     "op4_packing_kk": op4_packing_kk,
+    "op6_langid": op6_langid,
+    "op7_token_spans": op7_token_spans,
     "op8_quality_ledger": op8_quality_ledger,
     "op10_sentencepiece_bpe": op10_sentencepiece_bpe,
 }
