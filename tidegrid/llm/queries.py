@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import langid, packing_kk, quality_ledger, spbpe, token_records, token_spans, topk_pivot, warc_zstd
+from tidegrid.llm import langid, packing_kk, quality_ledger, simhash_anchor, spbpe, token_records, token_spans, topk_pivot, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op4_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_kk.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op5_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document reachable by near-duplicate links."""
+    rows = simhash_anchor.near_duplicates(_table(spark, sf_dir, "documents"), threshold=2)
+    return rows.select("doc_id", simhash_anchor.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the labelled ones outside the fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
@@ -76,6 +82,7 @@ QUERIES = {
     "op2_warc_zstd": op2_warc_zstd,
     "op3_token_records": op3_token_records,
     "op4_packing_kk": op4_packing_kk,
+    "op5_simhash_anchor": op5_simhash_anchor,
     "op6_langid": op6_langid,
     "op7_token_spans": op7_token_spans,
     "op8_quality_ledger": op8_quality_ledger,
