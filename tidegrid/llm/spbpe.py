@@ -14,11 +14,13 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +107,17 @@ class RankBpe:
         return b"".join([pieces[i] for i in ids])
 
 
+@functools.lru_cache(maxsize=2)
+def rank_bpe(path: str, pattern: str) -> RankBpe:
+    """The process's codec of a file: reused Python workers keep it, and its cache, between tasks."""
+    return RankBpe(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = RankBpe(path, pattern)
+        bpe = rank_bpe(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in batches_of(texts, [len(t or "") for t in texts]):
@@ -126,10 +134,13 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded binary): the bytes the ids stand for."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = RankBpe(path, pattern)
+        bpe = rank_bpe(path, pattern)
         for batch in batches:
             ids = batch.column(1)
-            raw = [bpe.bytes_of(x or []) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
+            for lo, hi in batches_of(range(len(ids)), pc.list_value_length(ids).to_pylist(), 1_000_000):
+                part = ids.slice(lo, hi - lo)
+                edges, values = part.offsets.to_numpy(), part.values
+                raw = [bpe.bytes_of(values[a:b].to_numpy().tolist()) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), part, pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, ids array<int>, decoded binary")
