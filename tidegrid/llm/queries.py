@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import langid, packing_kk, quality_ledger, simhash_anchor, spbpe, token_records, token_spans, topk_pivot, warc_zstd
+from tidegrid.llm import hpylm, langid, packing_kk, quality_ledger, simhash_anchor, spbpe, token_records, token_spans, topk_pivot, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the model and under add-one word counts."""
+    docs = _table(spark, sf_dir, "documents")
+    return hpylm.train_and_score(docs.select("doc_id", "text", langid.held_out("doc_id", 7, 2).alias("held_out")))
+
+
 def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -86,6 +92,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_token_spans": op7_token_spans,
     "op8_quality_ledger": op8_quality_ledger,
+    "op9_hpylm": op9_hpylm,
     "op10_sentencepiece_bpe": op10_sentencepiece_bpe,
 }
 
