@@ -15,6 +15,7 @@ import functools
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -43,8 +44,9 @@ class ChunkCache:
     def _fresh(self, pieces: set) -> dict:
         """Values of pieces, from either generation or newly encoded."""
         young, old = self.young, self.old
-        out = {p: young[p] if p in young else old[p] for p in pieces if p in young or p in old}
-        listed = [p for p in pieces if p not in out]
+        out = {p: young[p] for p in young.keys() & pieces}
+        out.update([(p, old[p]) for p in old.keys() & pieces])
+        listed = list(pieces.difference(out))
         out.update(zip(listed, self.encode(listed), strict=True))
         return out
 
@@ -56,17 +58,17 @@ class ChunkCache:
         missing = need.difference(self.young)
         if not missing:
             return self.young
-        parts = {}
-        for c in missing:
-            core = c.rstrip(TAIL)
-            parts[c] = (core, c[len(core) :]) if core and core[-1].isalnum() and len(core) < len(c) else (c, "")
-        values = self._fresh({core for core, _ in parts.values()} | {tail for _, tail in parts.values() if tail})
-        for c, (core, tail) in parts.items():
-            values[c] = values[core] + values[tail] if tail else values[core]
-        if all(len(c) <= self.longest for c in values):
+        listed = list(missing)
+        cores = [c.rstrip(TAIL) for c in listed]
+        cut = [i for i, (c, core) in enumerate(zip(listed, cores, strict=True)) if len(core) < len(c) and core[-1:].isalnum()]
+        tails = [listed[i][len(cores[i]) :] for i in cut]
+        whole = missing.difference([listed[i] for i in cut])
+        values = self._fresh(whole.union([cores[i] for i in cut], tails))
+        values.update([(listed[i], values[cores[i]] + values[tail]) for i, tail in zip(cut, tails, strict=True)])
+        if max(map(len, values)) <= self.longest:
             self.young.update(values)
             return self.young
-        self.young.update((c, v) for c, v in values.items() if len(c) <= self.longest)
+        self.young.update([(c, v) for c, v in values.items() if len(c) <= self.longest])
         return {**self.young, **values}
 
 
@@ -103,19 +105,20 @@ class JsonBpe:
         if not word.isalpha():
             return None
         if self.drops_space:
-            low = word.lower()
-            if len(low) != len(word) or "Σ" in word or not (low.isascii() or unicodedata.is_normalized("NFC", word)):
+            piece = word.lower()
+            if word.isascii():
+                return piece
+            if len(piece) != len(word) or "Σ" in word or not unicodedata.is_normalized("NFC", word):
                 return None
-            piece = low
         return piece.encode().decode("latin-1").translate(self.letters)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         out: list = [None] * len(pieces)
         rest = []
-        merge = self.tokenizer.model.tokenize
+        merge, code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         for i, p in enumerate(pieces):
             if (alone := self._alone(p)) is not None:
-                out[i] = np.array([t.id for t in merge(alone)], self.dtype).tobytes()
+                out[i] = array(code, [t.id for t in merge(alone)]).tobytes()
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
@@ -134,8 +137,8 @@ class JsonBpe:
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian bytes; of null, none."""
         split = [self.split(t) for t in texts]
-        table = self.cache.table({w for ws in split for w in ws})
-        return [b"".join([table[w] for w in ws]) for ws in split]
+        value = self.cache.table(set().union(*split)).__getitem__
+        return [b"".join(map(value, ws)) for ws in split]
 
     def token_bytes(self) -> np.ndarray:
         """How many bytes of text each id stands for (byte-level vocabularies)."""

@@ -99,8 +99,8 @@ class RankBpe:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         split = [CHUNK.findall(t) if t else [] for t in texts]
-        table = self.cache.table({c for cs in split for c in cs})
-        return [b"".join([table[c] for c in cs]) for cs in split]
+        value = self.cache.table(set().union(*split)).__getitem__
+        return [b"".join(map(value, cs)) for cs in split]
 
     def bytes_of(self, ids: list[int]) -> bytes:
         pieces = self.pieces
