@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.llm.chunks import batches_of
 
@@ -171,11 +172,11 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected. Other columns pass through unchanged."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with the columns ``names``, which replace any of these names; others pass unchanged."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)  # buckets x languages floats, both bounded
-    names = ["lang_pred", "score", "rejected"]
+    docs = docs.drop(*names)
     place = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +194,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], [*batch.schema.names, *names])
 
-    schema = docs.drop(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.mapInArrow(rows, schema)
+    kinds = zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in kinds)]))
 
 
 def held_out(id_col: str, folds: int = 5, fold: int = 0):

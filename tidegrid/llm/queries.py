@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,7 @@ QUERIES = {
     "op8_quality_ledger": op8_quality_ledger,
     "op9_hpylm": op9_hpylm,
     "op10_sentencepiece_bpe": op10_sentencepiece_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
