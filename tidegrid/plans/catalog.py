@@ -1,6 +1,8 @@
-"""Registered queries and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidegrid.plans import bars, returns, sessions  # noqa: F401  (they register on import)
+from tidegrid.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
