@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.plans import bars, returns, sessions  # noqa: F401  (they register on import)
+from tidegrid.plans import bars, quotes, returns, sessions, spine  # noqa: F401  (they register on import)
 from tidegrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
