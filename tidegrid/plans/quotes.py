@@ -46,9 +46,9 @@ def plain_book(v):
     return q.quote_states(v.quotes).withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid")})
 
 
-def seconds(rows, *columns):
-    """Nanosecond quantiles as seconds, to the digits that interpolation settles."""
-    return rows.withColumns({c: F.round(F.col(c) / 1e9, 7) for c in columns})
+def millis(rows, *columns):
+    """Interpolated nanosecond quantiles as whole milliseconds, which both engines agree on."""
+    return rows.withColumns({c: F.floor(F.col(c) / 1e6) for c in columns})
 
 
 def signed(v):
@@ -119,10 +119,10 @@ def _(v):
 , g AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS gap FROM quotes),
 a AS (SELECT ticker, et_date, count(*) AS n_quotes, quantile_cont(gap::DOUBLE, 0.5) AS gap_p50, quantile_cont(gap::DOUBLE, 0.95) AS gap_p95 FROM g GROUP BY 1, 2),
 b AS (SELECT ticker, et_date, count(*) AS n_trades FROM trades GROUP BY 1, 2)
-SELECT ticker, et_date, n_quotes, n_trades, round(gap_p50 / 1e9, 7) AS gap_p50, round(gap_p95 / 1e9, 7) AS gap_p95, n_quotes / n_trades AS quotes_per_trade FROM a LEFT JOIN b USING (ticker, et_date)
+SELECT ticker, et_date, n_quotes, n_trades, floor(gap_p50 / 1e6)::BIGINT AS gap_p50, floor(gap_p95 / 1e6)::BIGINT AS gap_p95, n_quotes / n_trades AS quotes_per_trade FROM a LEFT JOIN b USING (ticker, et_date)
 """)
 def _(v):
-    return seconds(q.quote_to_trade(v.quotes, v.trades, DAY), "gap_p50", "gap_p95")
+    return millis(q.quote_to_trade(v.quotes, v.trades, DAY), "gap_p50", "gap_p95")
 
 
 @query("f9_quoted_spread", QM + """
@@ -146,9 +146,9 @@ TM = SIGNED + """
 """
 
 
-@query("f11_trade_minute_metrics", TM + "SELECT * REPLACE (round(age_p50 / 1e9, 7) AS age_p50, round(age_p95 / 1e9, 7) AS age_p95) FROM tm")
+@query("f11_trade_minute_metrics", TM + "SELECT * REPLACE (floor(age_p50 / 1e6)::BIGINT AS age_p50, floor(age_p95 / 1e6)::BIGINT AS age_p95) FROM tm")
 def _(v):
-    return seconds(q.trade_minute_metrics(signed(v), DAY), "age_p50", "age_p95")
+    return millis(q.trade_minute_metrics(signed(v), DAY), "age_p50", "age_p95")
 
 
 @query("f12_quote_trade_cache", QM + TM.replace(", qb AS", ", qb AS", 1) + """
