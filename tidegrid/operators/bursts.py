@@ -125,7 +125,8 @@ def two_state_bursts(ticks: DataFrame, keys: list[str], s: float, gamma: float,
     """
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
     whole = Window.partitionBy(*keys)
-    rows = ticks.withColumn("gap", F.greatest((F.col("ts_ns") - F.lag("ts_ns").over(w)) / NS, F.lit(floor_s))).filter("gap IS NOT NULL")
+    gap = (F.col("ts_ns") - F.lag("ts_ns").over(w)) / NS
+    rows = ticks.withColumn("gap", gap).filter("gap IS NOT NULL").withColumn("gap", F.greatest("gap", F.lit(floor_s)))
     rows = rows.withColumns({"n": F.count(F.lit(1)).over(whole) + 1, "span": F.sum("gap").over(whole)})
     chosen = rows.select(*keys, "gap", "n", "span", "ts_ns", "seq").repartition(*keys).sortWithinPartitions(*keys, "ts_ns", "seq")
     schema = T.StructType([*chosen.schema.fields, T.StructField("d", T.DoubleType())])

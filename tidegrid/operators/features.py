@@ -65,7 +65,8 @@ def hawkes_intensity(ticks: DataFrame, keys: list[str], alpha: float, beta: floa
     blocks back contribute e^-20, three less than a double resolves.
     """
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
-    gap = F.greatest((F.col("ts_ns") - F.lag("ts_ns").over(w)) / 1e9, F.lit(1e-9))
+    before = F.lag("ts_ns").over(w)
+    gap = F.when(before.isNotNull(), F.greatest((F.col("ts_ns") - before) / 1e9, F.lit(1e-9)))
     rows = ticks.withColumn("gap_s", gap).withColumns({"active": F.col("gap_s") <= freeze_s, "n": F.row_number().over(w)})
     rows = rows.withColumn("tau", F.sum(F.when(F.col("active"), F.col("gap_s")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     size = 20.0 / beta

@@ -12,7 +12,7 @@ DAY = ["ticker", "et_date"]
 #: The fixture's prints are minutes to hours apart, so rates and gaps are on that scale.
 ALPHA, BETA, FREEZE = 0.5, 0.001, 7200.0
 HAWKES = """
-, hg AS (SELECT *, row_number() OVER w AS n, greatest((ts_ns - lag(ts_ns) OVER w) / 1e9, 1e-9) AS gap FROM trades WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
+, hg AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(ts_ns) OVER w IS NOT NULL THEN greatest((ts_ns - lag(ts_ns) OVER w) / 1e9, 1e-9) END AS gap FROM trades WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
 ht AS (SELECT *, sum(CASE WHEN gap <= 7200 THEN gap ELSE 0 END) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS tau FROM hg),
 hm AS (SELECT ticker, et_date, (count(*) FILTER (WHERE gap <= 7200) + 1) / greatest(coalesce(sum(gap) FILTER (WHERE gap <= 7200), 1e-6), 1e-6) AS mu FROM hg GROUP BY 1, 2),
 hs AS (SELECT a.ticker, a.et_date, a.seq, sum(exp(-0.001 * (a.tau - b.tau))) AS s FROM ht a JOIN ht b ON a.ticker = b.ticker AND a.et_date = b.et_date AND b.n > 1 AND b.n <= a.n GROUP BY 1, 2, 3),
