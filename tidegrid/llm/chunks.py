@@ -28,6 +28,11 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 TAIL = ".,;:!?*%$#&|"
 
 
+def closes(last: str) -> bool:
+    """A letter or digit that stays one under normalisation and lower-casing, so punctuation after it starts anew."""
+    return last.isalnum() and (last.isascii() or len(unicodedata.normalize("NFC", last).lower()) == 1)
+
+
 class ChunkCache:
     """Chunk -> encoded value, in two generations, bounded by ``entries`` each.
 
@@ -60,7 +65,7 @@ class ChunkCache:
             return self.young
         listed = list(missing)
         cores = [c.rstrip(TAIL) for c in listed]
-        cut = [i for i, (c, core) in enumerate(zip(listed, cores, strict=True)) if len(core) < len(c) and core[-1:].isalnum()]
+        cut = [i for i, (c, core) in enumerate(zip(listed, cores, strict=True)) if len(core) < len(c) and closes(core[-1:])]
         tails = [listed[i][len(cores[i]) :] for i in cut]
         whole = missing.difference([listed[i] for i in cut])
         values = self._fresh(whole.union([cores[i] for i in cut], tails))

@@ -6,6 +6,7 @@ is unset (tests, local sessions) a temporary folder takes its place.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@functools.lru_cache(maxsize=1)
+def _fallback() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidegrid-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder path (not yet made) under the shared folder, as a URI or path."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+    root = spark.conf.get(CHECKPOINT_DIR, None) or _fallback()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
