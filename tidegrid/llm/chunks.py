@@ -90,7 +90,7 @@ class JsonBpe:
     Pieces of letters alone (after one space at most) are one pre-token, so
     they go straight to the vocabulary's merges; all others pass the whole
     tokenizer. ``drops_space``: the vocabulary lower-cases and drops white
-    space, and chunks are the words between ASCII white space.
+    space; chunks are words, and the punctuation that ends them is split off.
     """
 
     def __init__(self, path: str, drops_space: bool = False, entries: int = 250_000) -> None:
@@ -135,9 +135,11 @@ class JsonBpe:
             return []
         if not self.drops_space:
             return CHUNK.findall(text)
-        if text.isascii() and not _CONTROL.search(text):
-            return text.lower().split()
-        return ASCII_WORD.findall(text)
+        if text.isascii():
+            text = PUNCTUATION.sub(r" \1", text.lower())
+        elif "İ" not in text and unicodedata.is_normalized("NFC", text):
+            text = PUNCTUATION.sub(r" \1", text)
+        return ASCII_WORD.findall(text) if _CONTROL.search(text) else text.split()
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian bytes; of null, none."""
@@ -154,6 +156,8 @@ class JsonBpe:
         return size
 
 
+#: Punctuation that ends a word, after a letter or digit.
+PUNCTUATION = re.compile(rf"(?<=[^\W_])([{re.escape(TAIL)}]+)(?!\S)")
 ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Characters that str.split() takes for white space and ASCII white space isn't.
 _CONTROL = re.compile(r"[\x1c-\x1f]")

@@ -1,9 +1,9 @@
 """CRC-32C (Castagnoli) of many byte strings at once, in numpy.
 
-A CRC is linear over GF(2). Every 16-bit word's contribution comes from one
-table; neighbours are then folded pairwise, shifting the left one past the
-right one by table, so a block of 256 bytes takes seven vector steps whatever
-the number of blocks.
+A CRC is linear over GF(2). The contribution of a 16-bit word to the register at
+the end of its run of sixteen words comes from one table per place; runs are then
+folded pairwise, shifting the left one past the right one by table, and blocks of
+a message one after another. Every step works on all messages at once.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 POLYNOMIAL = 0x82F63B78  # reflected
-LEVELS = 7
-BLOCK = 2 << LEVELS  # bytes
+RUN, LEVELS = 16, 3
+BLOCK = 2 * RUN << LEVELS  # bytes
 
 
 def _tables():
@@ -26,18 +26,23 @@ def _tables():
     def step(c):  # one zero byte
         return (c >> 8) ^ byte[c & 255]
 
-    low, high = step(step(word)), step(step(word << 16))
-    shifts = [(low, high)]
+    places = [word_crc]  # of the last word of a run, the one before it, ...
+    for _ in range(RUN - 1):
+        places.append(step(step(places[-1])))
+    low, high = word, word << 16
+    for _ in range(2 * RUN):
+        low, high = step(low), step(high)
+    shifts = [(low, high)]  # past one run, two, four, ...
     for _ in range(LEVELS):
         shifts.append(tuple(_shift(t, shifts[-1]) for t in shifts[-1]))
-    return word_crc, shifts
+    return places[::-1], shifts
 
 
 def _shift(state: np.ndarray, table) -> np.ndarray:
     return table[0][state & 0xFFFF] ^ table[1][state >> 16]
 
 
-_WORD, _SHIFTS = _tables()
+_PLACES, _SHIFTS = _tables()
 
 
 def crc32c(messages: list[bytes]) -> np.ndarray:
@@ -52,7 +57,11 @@ def crc32c(messages: list[bytes]) -> np.ndarray:
     parts = []
     for m, pad in zip(messages, pads.tolist(), strict=True):  # zeros in front leave a zero register as it is
         parts += (bytes(pad), (int.from_bytes(m[:4], "little") ^ 0xFFFFFFFF).to_bytes(4, "little"), m[4:])
-    state = _WORD[np.frombuffer(b"".join(parts), "<u2").reshape(-1, BLOCK // 2)]
+    words = np.frombuffer(b"".join(parts), "<u2").reshape(-1, RUN)
+    state = _PLACES[0][words[:, 0]]
+    for k in range(1, RUN):
+        state ^= _PLACES[k][words[:, k]]
+    state = state.reshape(-1, BLOCK // (2 * RUN))
     for level in range(LEVELS):
         state = _shift(state[:, 0::2], _SHIFTS[level]) ^ state[:, 1::2]
     state = state[:, 0]
