@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,7 +25,9 @@ def duck():
 def cell(x):
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
-    if isinstance(x, float):
+    if isinstance(x, (bool, np.bool_)):
+        return bool(x)
+    if isinstance(x, (int, float, np.number)):  # nullable integers come back as floats from either side
         return float(f"{x:.9g}") + 0.0
     return str(pd.Timestamp(x)) if hasattr(x, "year") else x
 
