@@ -78,7 +78,7 @@ class RankBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.letters = byte_letters()
         self.pattern = regex.compile(pattern)
-        self.cache = ChunkCache(self._chunks)
+        self.cache = ChunkCache(self._chunks, entries=120_000)
         back = {c: b for b, c in self.letters.items()}
         self.pieces = {self.by_id[i - 1]: bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(1, len(self.by_id) + 1)}
 
