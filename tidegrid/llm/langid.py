@@ -157,9 +157,15 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
 
 
 def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The bounded training sample of (key, text, lang): lowest hashes of each language."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    return labelled.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_lang).drop("n")
+    """The bounded training sample of (key, text, lang): lowest hashes of each language.
+
+    Hashes alone are ranked, each partition's lowest first, and the chosen ones,
+    at most ``per_lang`` times the languages, are broadcast to fetch their rows.
+    """
+    rows = labelled.withColumn("h", F.xxhash64("key", "text"))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_lang)
+    return rows.join(F.broadcast(chosen.select("lang", "h").distinct()), ["lang", "h"]).distinct()
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
@@ -168,7 +174,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     langs = [r.lang for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
     if not langs:
         return None
-    rows = sample(chosen.filter(F.col("lang").isin(langs)), per_lang).orderBy("key", "text").collect()
+    rows = sorted(sample(chosen.filter(F.col("lang").isin(langs)), per_lang).collect(), key=lambda r: (r.h, r.text, r.lang))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
