@@ -4,8 +4,9 @@ A text's letters, lower-cased and with everything else as a word boundary, give
 character n-grams that are hashed into buckets. The mean of the buckets'
 embeddings goes through a linear softmax. Embeddings and weights are trained by
 stochastic gradient descent in numpy, on whole texts and on stretches drawn from
-them. Part of the labelled sample is set aside to fit a temperature, so that
-scores are probabilities, and a rejection threshold.
+them. Part of the labelled sample is set aside, whole and in stretches, to fit a
+temperature of at least one, so that scores are probabilities, and a rejection
+threshold.
 
 Training sees a bounded sample of labelled rows (``PER_LANG`` for each language,
 lowest hash first). Every row's whole text is predicted. For prediction the
@@ -147,8 +148,9 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
             e[at] -= (x * len(at) ** 0.5)[:, None] * back
     model = Model(langs, (e @ w).astype(np.float32), b, 1.0, 0.0)
     if aside:
-        z, y = model.logits([t for t, _ in aside]), np.array([code[y] for _, y in aside])
-        losses = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(0.25, 8, 41)}
+        held = [(s, code[y]) for t, y in aside for s in _stretches(t, rng) if has_letters(s)]
+        z, y = model.logits([s for s, _ in held]), np.array([y for _, y in held])
+        losses = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(1, 8, 41)}
         model.temperature = float(min(losses, key=losses.get))
         p = softmax(z / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y]
