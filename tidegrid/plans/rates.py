@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import bursts, rates
+from tidegrid.operators import bursts, rates, voids
 from tidegrid.plans.registry import query
 
 LADDER = [2.0**k * 900 for k in range(10)]
@@ -52,3 +52,13 @@ def _(v):
 @query("h19_rescaled_gaps")
 def _(v):
     return rates.rescaled_gaps(v.trades, bounds(v), ["ticker"], 21_600, 7200, 86_400, 1e-6)
+
+
+@query("h11_log_interval_bursts")
+def _(v):
+    return voids.log_interval_bursts(v.trades, ["ticker"], 0.2, 3, width=0.1, prominence=0.02, distance=1, cutoff=0.05)
+
+
+@query("h11_thresholds")
+def _(v):
+    return voids.thresholds(voids.centred_log_gaps(v.trades, ["ticker"], 0.2), ["ticker"], width=0.1, prominence=0.02, distance=1, cutoff=0.05)
