@@ -48,11 +48,19 @@ def test_asof_keeps_every_left_row(spark, strict):
 def test_rank_buckets_equal_quantile_cuts(spark, n):
     import pandas as pd
 
-    got = [r.b for r in spark.range(n).select("id", frames.rank_buckets(["id"], 5).alias("b")).orderBy("id").collect()]
+    got = [r.bucket for r in frames.rank_buckets(spark.range(n), ["id"], 5).orderBy("id").collect()]
     want = [1] if n == 1 else [int(x) + 1 for x in pd.qcut(pd.Series(range(1, n + 1)), 5, labels=False)]
     assert got == want
 
 
+def test_global_rank_of_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate([5.0] * 200 + [None, None] + [float(x % 17) for x in range(300)])], "v double, i int")
+    got = frames.global_rank(rows, ["v", "i"], 8).collect()
+    want = {i: n + 1 for n, (_, i) in enumerate(sorted(((r.v is not None, r.v or 0.0), r.i) for r in got))}
+    assert {r.i: r.rank for r in got} == want and {r.total for r in got} == {502}
+    assert frames.global_rank(rows.limit(0), ["v", "i"]).collect() == []
+
+
 def test_spine_ends_at_the_calendar(spark):
     days = spark.createDataFrame([(D(2024, 1, d), 570, 780 if d == 4 else 960, d == 4) for d in (2, 3, 4)], "session_date date, open_min int, close_min int, is_early_close boolean")
     events = spark.createDataFrame([("x", D(2024, 1, 2)), ("y", D(2024, 1, 4)), ("z", D(2024, 1, 6))], "ticker string, event_date date")

@@ -54,8 +54,29 @@ def hash_draw(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)).cast("binary"))
 
 
-def rank_buckets(order: list, n: int, by: list[str] | None = None) -> Column:
-    """Balanced rank buckets 1..n of rows in order; a single row is bucket 1."""
-    w = Window.partitionBy(*(by or []))
-    r, m = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    return F.when(m == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.lit(n) * (r - 1) / (m - 1)).cast("int")))
+def global_rank(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+    """Rows with ``rank`` (from 1, by ``order``) and ``total``, without one window over all rows.
+
+    The first order column (a number) is cut at its approximate quantiles; rows
+    are ranked within a cut and moved up by the rows of the cuts before, of which
+    there are ``parts`` at most. Nulls rank first.
+    """
+    first = F.col(order[0])
+    found = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()
+    edges = sorted(set(found.q or [])) if found else []
+    above = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < first)) if edges else F.lit(0)
+    cut = rows.withColumn("_cut", F.when(first.isNull(), -1).otherwise(above))
+    counts = cut.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_cut")  # a row a cut
+    ahead = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    offsets = F.broadcast(counts.select("_cut", ahead.alias("_ahead"), whole.alias("total")))
+    place = F.row_number().over(Window.partitionBy("_cut").orderBy(*order))
+    return cut.join(offsets, "_cut").withColumn("rank", F.col("_ahead") + place).drop("_cut", "_ahead")
+
+
+def rank_buckets(rows: DataFrame, order: list[str], n: int, name: str = "bucket") -> DataFrame:
+    """Rows with balanced rank buckets 1..n; a single row is bucket 1."""
+    r, m = F.col("rank"), F.col("total")
+    bucket = F.when(m == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.lit(n) * (r - 1) / F.nullif(m - 1, F.lit(0))).cast("int")))
+    return global_rank(rows, order).withColumn(name, bucket).drop("rank", "total")

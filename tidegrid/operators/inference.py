@@ -10,7 +10,7 @@ from tidegrid.functions.frames import hash_draw, rank_buckets
 
 def decile_sample(rows: DataFrame, value: str, keys: list[str], groups: int, per: int, seed: int) -> DataFrame:
     """A fixed-seed draw of ``per`` rows from each balanced quantile group of a value."""
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("group", rank_buckets([value, *keys], groups))
+    ranked = rank_buckets(rows.filter(F.col(value).isNotNull()), [value, *keys], groups, "group")
     w = Window.partitionBy("group").orderBy(hash_draw(seed, *keys), *keys)
     return ranked.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per).drop("n")
 

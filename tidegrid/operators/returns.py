@@ -150,7 +150,7 @@ def participation(bars: DataFrame, anchors: DataFrame, keys: list[str], prior: t
 def buckets(rows: DataFrame, value: str, n: int, ties: list[str]) -> DataFrame:
     """Balanced rank buckets 1..n, ties broken by further columns; null values have none."""
     ranked = rows.filter(F.col(value).isNotNull())
-    return ranked.withColumn("bucket", rank_buckets([value, *ties], n))
+    return rank_buckets(ranked, [value, *ties], n)
 
 
 def cross_session_extreme(closes: DataFrame, keys: list[str], pairs: list[tuple[str, str]], magnitude: float, k_max: int, tolerance: float) -> DataFrame:
