@@ -78,7 +78,7 @@ class RankBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.letters = byte_letters()
         self.pattern = regex.compile(pattern)
-        self.cache = ChunkCache(self._chunks, entries=120_000)
+        self.cache = ChunkCache(self._chunks)
         back = {c: b for b, c in self.letters.items()}
         self.pieces = {self.by_id[i - 1]: bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(1, len(self.by_id) + 1)}
 
@@ -120,7 +120,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = rank_bpe(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, [len(t or "") for t in texts]):
+            for lo, hi in batches_of(texts, [len(t or "") for t in texts], 2_000_000):
                 ids = bpe.texts(texts[lo:hi])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -137,7 +137,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = rank_bpe(path, pattern)
         for batch in batches:
             ids = batch.column(1)
-            for lo, hi in batches_of(range(len(ids)), pc.list_value_length(ids).to_pylist(), 1_000_000):
+            for lo, hi in batches_of(range(len(ids)), pc.list_value_length(ids).to_pylist(), 400_000):
                 part = ids.slice(lo, hi - lo)
                 edges, values = part.offsets.to_numpy(), part.values
                 raw = [bpe.bytes_of(values[a:b].to_numpy().tolist()) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
