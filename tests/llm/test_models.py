@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegrid.llm import hpylm, langid, quality_ledger, queries, simhash_anchor, topk_pivot, warc_zstd
+from tidegrid.llm import hpylm, langid, near_jaccard, quality_ledger, queries, simhash_anchor, topk_pivot, warc_zstd
 
 from .conftest import LONG, frame
 
@@ -357,6 +357,42 @@ def test_repeated_ids_leave_one(spark, checkpoint):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "None"]
 
 
+def jaccard_5(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split() for x in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("crowded", [64, 2])
+def test_edited_copies_are_removed(spark, checkpoint, monkeypatch, crowded):
+    monkeypatch.setattr(near_jaccard, "CROWDED", crowded)
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 2, 3, 3, 4, 6, 12):  # similarities on both sides of 0.8, and chains
+            other = list(words)
+            for at in rng.choice(120, edits, replace=False):
+                other[at] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(other))
+    near = np.array([[jaccard_5(a, b) >= 0.8 for b in texts] for a in texts])
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(texts))]
+    prints = [fingerprint(t) for t in texts]
+    assert any(near[i, j] and (prints[i] ^ prints[j]).bit_count() > 2 for i in range(len(texts)) for j in range(i))
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, [(i, t, "en") for i, t in enumerate(texts)]), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+    assert len(kept) < len(texts)
+
+
+def test_no_text_vanishes_where_ids_repeat(spark, checkpoint):
+    a, b = "one two three four five six seven eight nine ten", "ten nine eight seven six five four three two one"
+    rows = frame(spark, [(5, a, "en"), (5, b, "en"), (9, b, "en"), (None, a, "en"), (None, a, "en"), (None, b, "en")])
+    kept = corpus_pipeline.near_duplicates(spark, rows, "").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, a), (5, b), (None, a), (None, b)])
+
+
 def test_pipeline_of_nothing(spark, empty):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
