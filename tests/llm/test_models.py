@@ -222,6 +222,12 @@ def test_language_edges(docs, texts):
     assert all(r.lang_pred == "und" for r in none)
 
 
+def test_every_language_is_learnt(spark, checkpoint, monkeypatch):
+    monkeypatch.setattr(langid, "train", lambda texts, langs: Counter(langs))
+    rows = [(i, f"text number {i}", f"l{i % 260}") for i in range(520)]
+    assert langid.fit(spark.createDataFrame(rows, "key long, text string, lang string"), 1) == Counter({f"l{k}": 1 for k in range(260)})
+
+
 def test_language_of_nothing(empty):
     assert langid.predict(empty, None).collect() == []
 

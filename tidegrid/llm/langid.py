@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from tidegrid.llm.chunks import batches_of
 
-#: Bounds of the labelled sample: rows a language, and languages (the commonest).
-PER_LANG, LANGS = 400, 256
+#: Bound of the labelled sample: rows a language; every language is learnt.
+PER_LANG = 400
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, RATE, STRETCHES = 4, 0.5, 4
 #: Share of the sample set aside, and of its right predictions that may be rejected.
@@ -173,17 +173,16 @@ def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Train on a bounded sample of (key, text, lang), all not null."""
     chosen = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    langs = [r.lang for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
-    if not langs:
+    rows = sorted(sample(chosen, per_lang).collect(), key=lambda r: (r.h, r.text, r.lang))
+    if not rows:
         return None
-    rows = sorted(sample(chosen.filter(F.col("lang").isin(langs)), per_lang).collect(), key=lambda r: (r.h, r.text, r.lang))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """``docs`` with the columns ``names``, which replace any of these names; others pass unchanged."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(model)  # buckets x languages floats, both bounded
+    shipped = spark.sparkContext.broadcast(model)  # buckets x languages floats
     docs = docs.drop(*names)
     place = docs.columns.index(text_col)
 
