@@ -193,6 +193,15 @@ def test_components_of_a_long_chain(spark, checkpoint):
     assert simhash_anchor.components(edges.limit(0)).collect() == []
 
 
+def test_one_id_does_not_join_unrelated_texts(spark, checkpoint):
+    a, b = " ".join(f"w{i}" for i in range(200)), "red green blue black white grey"
+    near = next(t for t in (f"{a} x{k}" for k in range(500)) if 1 <= (fingerprint(t) ^ fingerprint(a)).bit_count() <= 2)
+    rows = frame(spark, [(5, a, "en"), (5, b, "en"), (9, b, "en"), (3, near, "en")])
+    got = Counter((r.doc_id, r.fp, r.component_id) for r in simhash_anchor.near_duplicates(rows).collect())
+    fp = {t: fingerprint(t) - (fingerprint(t) >> 63 << 64) for t in (a, b, near)}
+    assert got == Counter([(5, fp[a], 3), (5, fp[b], 5), (9, fp[b], 5), (3, fp[near], 3)])
+
+
 def test_near_duplicates_of_nothing(empty):
     assert simhash_anchor.near_duplicates(empty).collect() == []
 

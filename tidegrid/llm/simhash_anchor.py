@@ -290,10 +290,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = written(nodes, "nodes")
-    found = components(links(nodes, threshold))
-    labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = written(nodes.withColumn("node", F.col("fp")), "nodes")
+    found = written(components(links(nodes, threshold)), "components")
+    known = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = known.join(smallest, "component").select("fp", "component_id")
     joined = prints.join(labelled, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
