@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
+import itertools
 import os
 import re
 import unicodedata
@@ -19,11 +21,19 @@ from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A run of white space and the run of other characters after it, or the white
 #: space at the end. Python counts a superset of Unicode's White_Space as \s;
 #: a cut left out costs time, never correctness.
 CHUNK = re.compile(r"\s*\S+|\s+")
+#: A character that marks cuts. A text is cut at each space and line end, unless
+#: white space runs on in it (three in a row, or two at the end): a pre-token may
+#: then hold several white spaces, and it is cut by CHUNK.
+MARK = "\x1f"
+SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RUNS = rf"{SPACE}{{2}}(?:{SPACE}|\z)"
 #: Punctuation that starts no contraction, so that a cut before it is safe.
 TAIL = ".,;:!?*%$#&|"
 
@@ -46,35 +56,34 @@ class ChunkCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def _fresh(self, pieces: set) -> dict:
-        """Values of pieces, from either generation or newly encoded."""
-        young, old = self.young, self.old
-        out = {p: young[p] for p in young.keys() & pieces}
-        out.update([(p, old[p]) for p in old.keys() & pieces])
-        listed = list(pieces.difference(out))
-        out.update(zip(listed, self.encode(listed), strict=True))
-        return out
-
     def table(self, chunks: Iterable) -> dict:
         """A dict that holds at least all of ``chunks``."""
-        need = set(chunks)
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
-        missing = need.difference(self.young)
-        if not missing:
-            return self.young
-        listed = list(missing)
-        cores = [c.rstrip(TAIL) for c in listed]
-        cut = [i for i, (c, core) in enumerate(zip(listed, cores, strict=True)) if len(core) < len(c) and closes(core[-1:])]
-        tails = [listed[i][len(cores[i]) :] for i in cut]
-        whole = missing.difference([listed[i] for i in cut])
-        values = self._fresh(whole.union([cores[i] for i in cut], tails))
-        values.update([(listed[i], values[cores[i]] + values[tail]) for i, tail in zip(cut, tails, strict=True)])
-        if max(map(len, values)) <= self.longest:
-            self.young.update(values)
-            return self.young
-        self.young.update([(c, v) for c, v in values.items() if len(c) <= self.longest])
-        return {**self.young, **values}
+        young, old, longest = self.young, self.old.get, self.longest
+        pieces, cut, cores, tails, lasting = [], [], [], [], True
+        for c in chunks:
+            if c in young:
+                continue
+            if (value := old(c)) is not None:
+                young[c] = value
+                continue
+            lasting &= len(c) <= longest
+            core = c.rstrip(TAIL)
+            if core == c or not closes(core[-1:]):
+                pieces.append(c)
+            else:
+                cut.append(c)
+                cores.append(core)
+                tails.append(c[len(core) :])
+        fresh = young if lasting else dict(young)  # long chunks live as long as their batch
+        more = [p for p in {*cores, *tails}.difference(pieces) if p not in young]
+        pieces = [*dict.fromkeys(pieces), *more]
+        fresh.update(zip(pieces, self.encode(pieces), strict=True))
+        fresh.update([(c, fresh[core] + fresh[tail]) for c, core, tail in zip(cut, cores, tails, strict=True)])
+        if not lasting:
+            young.update([(c, fresh[c]) for c in itertools.chain(pieces, cut) if len(c) <= longest])
+        return fresh
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,16 +93,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Chunks a generation of a JsonBpe's cache, and characters of text to encode at a time.
+ENTRIES, SLICE = 400_000, 8_000_000
+
+
 class JsonBpe:
     """A ``tokenizers`` file, encoding whole texts through the chunk cache.
 
     Pieces of letters alone (after one space at most) are one pre-token, so
     they go straight to the vocabulary's merges; all others pass the whole
     tokenizer. ``drops_space``: the vocabulary lower-cases and drops white
-    space; chunks are words, and the punctuation that ends them is split off.
+    space; chunks are words.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, entries: int = 250_000) -> None:
+    def __init__(self, path: str, drops_space: bool = False, entries: int = ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -106,7 +119,7 @@ class JsonBpe:
 
     def _alone(self, piece: str) -> str | None:
         """The piece as the merges take it, if it is one pre-token for sure."""
-        word = piece[1:] if not self.drops_space and piece[0] == " " else piece
+        word = piece[1:] if not self.drops_space and piece[:1] == " " else piece
         if not word.isalpha():
             return None
         if self.drops_space:
@@ -130,22 +143,56 @@ class JsonBpe:
             out[i] = np.array(e.ids, self.dtype).tobytes()
         return out
 
-    def split(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if not self.drops_space:
-            return CHUNK.findall(text)
-        if text.isascii():
-            text = PUNCTUATION.sub(r" \1", text.lower())
-        elif "İ" not in text and unicodedata.is_normalized("NFC", text):
-            text = PUNCTUATION.sub(r" \1", text)
-        return ASCII_WORD.findall(text) if _CONTROL.search(text) else text.split()
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of each text, whose encodings add up to the text's own."""
+        if self.drops_space:
+            return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        if pc.any(pc.match_substring(texts, MARK)).as_py():
+            return pa.array([CHUNK.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        runs = pc.match_substring_regex(texts, RUNS)
+        marked = texts
+        for space in " \n":
+            marked = pc.replace_substring(marked, space, MARK + space)
+        if pc.any(runs).as_py():
+            own = iter([MARK.join(CHUNK.findall(t)) for t in texts.filter(runs).to_pylist()])
+            marked = pc.replace_with_mask(marked, runs, pa.array(own, pa.string()))
+        return pc.split_pattern(marked, MARK)
+
+    def flat(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all whole texts, each closed by ``end_id`` if given; where each text starts, and the end).
+
+        Chunks are split and numbered by Arrow; Python sees distinct ones only.
+        """
+        gc.disable()  # many strings, no cycles
+        try:
+            return self._flat(pc.fill_null(pa.array(texts, pa.string()), ""), end_id)
+        finally:
+            gc.enable()
+
+    def _flat(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.chunks(column)
+        numbered = lists.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        table = self.cache.table(distinct)
+        values = [table[c] for c in distinct]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(values), self.dtype)
+        code = np.asarray(numbered.indices)
+        n = size[code]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[code] - ends + n, n)
+        at += np.arange(len(at))
+        ids = pool[at]
+        edges = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        if end_id is not None:
+            ids = np.insert(ids, edges[1:], end_id)
+            edges = edges + np.arange(len(edges))
+        return ids, edges
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian bytes; of null, none."""
-        split = [self.split(t) for t in texts]
-        value = self.cache.table(set().union(*split)).__getitem__
-        return [b"".join(map(value, ws)) for ws in split]
+        ids, edges = self.flat(texts)
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise(edges.tolist())]
 
     def token_bytes(self) -> np.ndarray:
         """How many bytes of text each id stands for (byte-level vocabularies)."""
@@ -156,13 +203,6 @@ class JsonBpe:
         return size
 
 
-#: Punctuation that ends a word, after a letter or digit.
-PUNCTUATION = re.compile(rf"(?<=[^\W_])([{re.escape(TAIL)}]+)(?!\S)")
-ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Characters that str.split() takes for white space and ASCII white space isn't.
-_CONTROL = re.compile(r"[\x1c-\x1f]")
-
-
 @functools.lru_cache(maxsize=4)
 def json_bpe(path: str, drops_space: bool = False) -> JsonBpe:
     """The process's encoder of a file: reused Python workers keep it, and its cache, between tasks."""

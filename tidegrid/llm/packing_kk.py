@@ -17,6 +17,7 @@ Texts of any length are encoded whole; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.chunks import batches_of, json_bpe
+from tidegrid.llm.chunks import SLICE, batches_of, json_bpe
 from tidegrid.llm.shared import written
 
 PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -93,15 +94,15 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: st
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, piece = json_bpe(vocabulary), TaskContext.get().partitionId() << 33
-        end = np.array([end_id], bpe.dtype)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, [len(t or "") for t in texts]):
+            for lo, hi in batches_of(texts, [len(t or "") for t in texts], SLICE):
                 rows = []
-                for doc_id, raw in zip(ids[lo:hi], bpe.texts(texts[lo:hi]), strict=True):
-                    tokens = np.append(np.frombuffer(raw, bpe.dtype), end).astype("<u4")
-                    for at, to in spans(len(tokens), capacity):
-                        rows.append((piece, doc_id, at, to - at, zlib.crc32(tokens[at:to].tobytes()), len(tokens)))
+                tokens, edges = bpe.flat(texts[lo:hi], end_id)
+                raw = memoryview(tokens.astype("<u4").view(np.uint8))
+                for doc_id, (a, b) in zip(ids[lo:hi], itertools.pairwise(edges.tolist()), strict=True):
+                    for at, to in spans(b - a, capacity):
+                        rows.append((piece, doc_id, at, to - at, zlib.crc32(raw[4 * (a + at) : 4 * (a + to)]), b - a))
                         piece += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -11,12 +11,14 @@ Shards hold ascending ranges of doc_id. Each task writes its shard under an
 attempt's name and renames it, so retries and lost executors leave whole files.
 
 Defined results: a null text is empty (its record holds the end id alone);
-null ids sort first; rows with equal ids are ordered by text and each kept; an
+null ids sort first; rows with equal ids are each kept, ordered by the first BEGIN
+characters of their texts and within a shard by whole texts; an
 empty table gives no shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.chunks import batches_of, json_bpe
+from tidegrid.llm.chunks import SLICE, batches_of, json_bpe
 from tidegrid.llm.crc32c import crc32c, masked
 from tidegrid.llm.shared import AtomicFile, open_filesystem, shared_dir, written
 
 HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
 FRAME = 8 + 4 + 4
+BEGIN = 32
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -46,7 +49,7 @@ def frame(payloads: list[bytes]) -> list[bytes]:
 
 
 def payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
-    return struct.pack(HEAD, doc_id or 0, (doc_id is None) | width << 8, len(ids) // width) + ids
+    return b"".join((struct.pack(HEAD, doc_id or 0, (doc_id is None) | width << 8, len(ids) // width), ids))
 
 
 def parse(body: bytes) -> tuple[int | None, np.ndarray]:
@@ -96,7 +99,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         name, bpe = f"part-{shard:06d}", json_bpe(vocabulary, drops_space=True)
-        width, end = bpe.dtype.itemsize, np.array([end_id], bpe.dtype).tobytes()
+        width = bpe.dtype.itemsize
         n_docs = n_tokens = at = 0
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -104,8 +107,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
         with AtomicFile(folder, f"{name}.rec") as out, AtomicFile(folder, f"{name}.idx") as index:
             for batch in (b for bs in ([first], batches) for b in bs):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for lo, hi in batches_of(texts, [len(t or "") for t in texts]):
-                    bodies = [payload(i, e + end, width) for i, e in zip(ids[lo:hi], bpe.texts(texts[lo:hi]), strict=True)]
+                for lo, hi in batches_of(texts, [len(t or "") for t in texts], SLICE):
+                    tokens, edges = bpe.flat(texts[lo:hi], end_id)
+                    raw = memoryview(tokens.view(np.uint8))
+                    bodies = [payload(i, raw[width * a : width * b], width) for i, (a, b) in zip(ids[lo:hi], itertools.pairwise(edges.tolist()), strict=True)]
                     entries = []
                     for b in bodies:
                         n = (len(b) - HEAD_SIZE) // width
@@ -119,7 +124,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
         )
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # many rows of one id, or without ids, are cut by how their texts begin, and equal ones by number
+    ordered = ordered.withColumn("begin", F.substring("text", 1, BEGIN)).withColumn("number", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange("doc_id", "begin", "number").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(shards, MANIFEST), "token-manifest")
 
 
