@@ -1,7 +1,9 @@
 """Search, archives, near-duplicates, models and rules against brute force (1, 2, 5, 6, 8, 9), and the pipeline."""
 
 import base64
+import functools
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -299,40 +301,77 @@ def test_base_scores_and_perplexity(spark, checkpoint, sf):
     assert by[True].perplexity < by[True].base_perplexity
 
 
-def test_probabilities_add_up():
-    rng = np.random.default_rng(4)
-    counts = rng.poisson(0.7, (400, hpylm.CLASSES + 1))
-    counts[0] = 5000
-    kept = counts[counts.sum(axis=1) > 0]
-    totals = hpylm.Totals(kept.sum(0).astype(float), (kept > 0).sum(0).astype(float), float(len(kept)), len(kept), 0.6)
-    for seed in range(4):
-        _, tables, parent = hpylm.seat(kept, totals, seed)
-        totals = hpylm.Totals(totals.customers, tables, parent, len(kept), 0.6)
-    p, _, _ = hpylm.seat(kept, totals, 9)
-    whole = p.sum(axis=0) + totals.backs() * totals.unknown()
-    assert np.abs(whole - 1).max() < 0.02
-
-
-def test_seating_stays_consistent():
-    rng = np.random.default_rng(5)
-    level = hpylm.Level(0.5, np.full(50, 3.0), rng)
-    level.p = np.full(50, 0.1)
-    customers = rng.integers(0, 200, 50)
-    level.open(customers)
-    for _ in range(30):
-        level.move()
-        sizes = [level.sizes[o : o + c] for o, c in zip(level.off, level.cap, strict=True)]
-        assert [int(s.sum()) for s in sizes] == customers.tolist() == level.c.tolist()
-        assert [int((s > 0).sum()) for s in sizes] == level.t.tolist()
-    customers = np.maximum(0, customers + rng.integers(-20, 20, 50))
-    level.resize(customers)
-    assert level.c.tolist() == customers.tolist()
-
-
-def test_joined_and_broadcast_words_score_alike(docs):
+@functools.lru_cache(maxsize=None)
+def expected_tables(c, new, d):
+    """Mean tables of c customers, from all seatings: a new table weighs ``new``, a table of n n - d."""
+    weights = np.array([1.0])  # by tables
+    for n in range(c):
+        t = np.arange(len(weights))
+        weights = np.append(weights * (n - d * t) * (t > 0), 0) + np.append(0, weights * new)
+        weights /= weights.max()
+    return float((np.arange(len(weights)) * weights).sum() / weights.sum())
+
+
+@pytest.mark.parametrize("new, d", [(0.05, 0.8), (0.7, 0.5), (6.0, 0.2), (300.0, 0.6)])
+def test_gibbs_tables_have_their_conditional(new, d):
+    for c in (1, 2, 3, 7, 40, 128, 129, 700, 3000):
+        t, _ = hpylm.sampled(np.full(4000, c), np.full(4000, new * 10), np.full(4000, 0.1), d, 3)
+        assert t.mean() == pytest.approx(expected_tables(c, new, d), rel=0.02 if c <= 128 else 0.06 if new < 10 else 0.15)
+    many, _ = hpylm.sampled(np.array([0, 10**9]), np.full(2, new * 10), np.full(2, 0.1), d, 3)
+    assert many[0] == 0 and 1 <= many[1] <= 2 + 4 * new / d
+
+
+def test_scores_against_plain_sums(spark, docs, texts, monkeypatch):
+    """Every document's score from plain counts and exact mean tables under the learnt totals."""
+    kept = []
+    learnt = hpylm.learnt
+    monkeypatch.setattr(hpylm, "learnt", lambda *a: kept.append(learnt(*a)) or kept[-1])
+    rows = docs.select("doc_id", "text", langid.held_out("doc_id", 7, 2).alias("held_out"))
+    got = defaultdict(list)
+    for r in hpylm.train_and_score(rows, most=40).collect():
+        got[r.doc_id, r.n_tokens].append(r.score)
+    model = kept[0][0]
+    v, d, e = model.vocabulary, model.contexts.discount, model.rare.discount
+    words = lambda t: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    hashed = lambda w: xxhash.xxh64_intdigest(w.encode())
+    place = {int(h): i for i, h in enumerate(v.words)}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    pairs_of = lambda t: itertools.pairwise([v.end, *(place.get(hashed(w), v.rare) for w in words(t)), v.end])
+    pair = Counter(p for i, t, _ in texts if not held(i) for p in pairs_of(t))
+    rare = Counter(w for i, t, _ in texts if not held(i) for w in words(t) if hashed(w) not in place)
+    assert 0 < len(place) <= 40 and rare
+    pull, back = model.contexts.pull(), model.contexts.back()
+    want = defaultdict(list)
+    for i, t, _ in texts:
+        total = 0.0
+        for u, w in pairs_of(t):
+            c = pair[u, w]
+            own = c - d * expected_tables(c, pull[u] * model.p[w], d) if c else 0
+            total += math.log10(own / (model.contexts.strength + model.contexts.customers[u]) + back[u] * model.p[w])
+        for w in words(t):
+            if hashed(w) not in place:
+                c = rare[w]
+                own = c - e * expected_tables(c, model.rare.pull()[0] / (v.rare_words + 1), e) if c else 0
+                total += math.log10(own / (model.rare.strength + model.rare.customers[0]) + model.rare.back()[0] / (v.rare_words + 1))
+        want[i, len(words(t)) + 1].append(total)
+    assert got.keys() == want.keys()
+    for key, scores in want.items():
+        assert sorted(got[key]) == pytest.approx(sorted(scores), rel=0.03)
+    # the parent's probabilities and each context's predictive ones sum to one
+    assert model.p.sum() == pytest.approx(1)
+    for u in {u for u, _ in pair}:
+        listed = [w for x, w in pair if x == u]
+        own = sum(pair[u, w] - d * expected_tables(pair[u, w], pull[u] * model.p[w], d) for w in listed)
+        assert own / (model.contexts.strength + model.contexts.customers[u]) + back[u] == pytest.approx(1, abs=0.12)
+
+
+def test_hot_pairs_and_head_words_change_no_count(docs, monkeypatch):
     rows = docs.select("doc_id", "text", langid.held_out("doc_id", 7, 2).alias("held_out"))
-    score = lambda most: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in hpylm.train_and_score(rows, most=most).collect())
-    assert score(0) == score(1000)
+    score = lambda most: sorted(((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)), r.score) for r in hpylm.train_and_score(rows, most=most).collect())
+    few, many = score(5), score(1000)
+    assert [a for a, _ in few] == [a for a, _ in many]
+    monkeypatch.setattr(hpylm, "HOT_SHARE", 2.0)
+    assert [s for _, s in score(1000)] == pytest.approx([s for _, s in many], rel=0.05)
 
 
 def test_language_model_of_nothing(empty):
