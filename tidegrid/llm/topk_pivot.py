@@ -8,21 +8,25 @@ bound of x. A task orders a block's candidates by that bound and computes exact
 scores in this order, until the next bound says that no candidate left can reach
 the k-th best score (ties included).
 
-Plan: candidates form blocks of bounded size, queries too. Every candidate block
-meets every query block by an equi-join on the query block's number: the stated
-query set against all rows, in blocks. Each pair of blocks yields at most k rows
-a query; a rank-limited window merges them, pruned before its shuffle. Pivots
-are drawn from a bounded sample by hash; M is an aggregate over all rows.
+Plan: candidates form blocks of bounded size that stay in a task; each block
+computes its table of distances to all pivots once, and the queries - the stated
+query set against all rows - stream past it. A query's bound takes its nearest
+pivots, whose bounds are the highest; its k-th best score among the pivots, which
+are candidates themselves, is where stopping starts. Each block yields at most k
+rows a query; a rank-limited window merges them, pruned before its shuffle.
+Pivots are drawn from a bounded sample by hash; M is an aggregate over all rows.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 and rows without an id take no part; vectors meet those of their own length
-only; of rows with equal ids, queries with equal vectors count once, and rows
-with a query's own id are never its candidates; repeated candidates fill one
-rank each; an empty table gives no rows; other columns are ignored.
+only; of rows with equal ids, queries with equal vectors count once, those with
+different ones are ranked each on its own, and rows with a query's own id are
+never its candidates; repeated candidates fill one rank each; scores beyond a
+long are held at its ends; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +36,16 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.shared import written
 
-PIVOTS = 24
-#: Vectors in a block of candidates and of queries.
-CANDIDATES, QUERIES = 4096, 2048
+PIVOTS, NEAREST = 1024, 32
+#: Candidates in a block.
+CANDIDATES = 16_384
 #: Candidates scored at a time in the order of their bounds.
-STEP = 256
-#: Above this, float64 products of components would not be exact.
-EXACT = 1 << 20
-FOUND = "query_id long, vec_id long, score long"
+STEP = 512
+#: Below this, float64 sums of products of components are exact.
+EXACT = 1 << 53
+FOUND = "query_id long, query_key long, vec_id long, score long"
+#: Kinds of rows that meet at a block, in this order.
+PIVOT, CANDIDATE, QUERY = 0, 1, 2
 
 
 def integers(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -53,35 +59,49 @@ def integers(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 class PivotTable:
     """Distances of a block's vectors to the pivots in the augmented space."""
 
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, most: float) -> None:
-        self.most, self.vectors = most, vectors
-        self.x = vectors.astype(np.float64)
-        self.pivots = pivots.astype(np.float64)
+    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, most: float, pivot_ids: np.ndarray | None = None) -> None:
+        self.most, self.vectors, self.pivot_ids = most, vectors, pivot_ids
+        self.x, self.pivots = vectors.astype(np.float64), pivots.astype(np.float64)
         self.pivot_extra = np.sqrt(np.maximum(0, most - (self.pivots**2).sum(1)))
-        self.exact = np.abs(vectors).max(initial=0) < EXACT
+        self.top = float(np.abs(vectors).max(initial=0)) if len(vectors) else 0.0
         norms = (self.x**2).sum(1)
-        self.distances = self._to_pivots(self.x, norms, np.sqrt(np.maximum(0, most - norms)))
+        self.distances = np.ascontiguousarray(self._to_pivots(self.x, norms, np.sqrt(np.maximum(0, most - norms))).T.astype(np.float32))
+        self.slack = 1e-5 * float(np.sqrt(max(0.0, 4 * most)) + 1)  # rounding to single precision and more
+        self.evaluated = 0
 
     def _to_pivots(self, x: np.ndarray, norms: np.ndarray, extra: np.ndarray) -> np.ndarray:
         squared = (norms + extra**2)[:, None] + self.most - 2 * (x @ self.pivots.T + extra[:, None] * self.pivot_extra)
         return np.sqrt(np.maximum(0, squared))
 
     def _scores(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.exact and np.abs(query).max(initial=0) < EXACT:
+        self.evaluated += len(places)
+        if self.top * float(np.abs(query).max(initial=0)) * len(query) < EXACT:
             return (self.x[places] @ query.astype(np.float64)).astype(np.int64)
-        return self.vectors[places] @ query
-
-    def search(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best candidates where ``own`` is False, ties to smaller places."""
+        whole = self.vectors[places].astype(object) @ query.astype(object)
+        return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in whole], np.int64)
+
+    def seed(self, query: np.ndarray, query_id: int, k: int) -> float:
+        """The k-th best score among the pivots, if so many are candidates of the query."""
+        if self.pivot_ids is None or self.top * float(np.abs(query).max(initial=0)) * len(query) >= EXACT:
+            return -np.inf
+        scores = (self.pivots @ query.astype(np.float64))[self.pivot_ids != query_id]
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
+
+    def search(self, query: np.ndarray, own: np.ndarray, k: int, kth: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best candidates of at least ``kth`` where ``own`` is False, ties to smaller places."""
         q = query.astype(np.float64)
         norm = float(q @ q)
         to_pivots = self._to_pivots(q[None], np.array([norm]), np.zeros(1))[0]
-        bound = np.abs(self.distances - to_pivots).max(axis=1)
+        near = np.argpartition(to_pivots, NEAREST)[:NEAREST] if len(to_pivots) > NEAREST else np.arange(len(to_pivots))
+        bound = np.zeros(len(self.x), np.float32)
+        for p in near:
+            np.maximum(bound, np.abs(self.distances[p] - np.float32(to_pivots[p])), out=bound)
+        bound = np.maximum(bound.astype(np.float64) - self.slack, 0)
         # the highest score that a distance of at least the bound allows, with slack for rounding
         limit = (norm + self.most - bound**2) / 2 + 1e-9 * (norm + self.most) + 1
-        left = np.flatnonzero(~own)
+        left = np.flatnonzero(~own & (limit >= kth))
         order = left[np.argsort(-limit[left], kind="stable")]
-        places, scores, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
+        places, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(order), STEP):
             if limit[order[at]] < kth:
                 break
@@ -91,30 +111,47 @@ class PivotTable:
             best = np.lexsort((places, -scores))[:k]
             places, scores = places[best], scores[best]
             if len(places) == k:
-                kth = scores[-1]
+                kth = max(kth, float(scores[-1]))
         return places, scores
 
 
-def _rows(column) -> np.ndarray:
-    """The matrix of one list<list<long>> value, whose lists have equal lengths."""
+def _matrix(column) -> np.ndarray:
+    """The matrix of a column of lists of equal lengths."""
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def meet(pairs: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of each pair of blocks, a row (query_id, vec_id, score) each."""
-    for batch in pairs:
-        for i in range(batch.num_rows):
-            ids, vs, query_ids, queries, pivots, most = (batch.column(n)[i] for n in ("ids", "vs", "query_ids", "queries", "pivots", "most"))
-            ids, vs = np.asarray(ids.values), _rows(vs.values)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            table = PivotTable(vs[order], _rows(pivots.values), most.as_py())
+def meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each block for each query, a row each. Rows are sorted by (dim, block, kind, id)."""
+    now, held, table, ids = None, {}, None, np.zeros(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        dim, block, kind = (np.asarray(batch.column(c)).astype(np.int64) for c in ("dim", "block", "kind"))
+        change = np.flatnonzero((dim[1:] != dim[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for lo, hi in itertools.pairwise([0, *change.tolist(), batch.num_rows]):
+            part = batch.slice(lo, hi - lo)
+            if (dim[lo], block[lo]) != now:
+                now, held, table = (dim[lo], block[lo]), {}, None
+            own_ids, vectors = np.asarray(part.column("id")), _matrix(part.column("v"))
+            if kind[lo] != QUERY:
+                held.setdefault(int(kind[lo]), []).append((own_ids, vectors))
+                if kind[lo] == PIVOT:
+                    held["most"] = part.column("most")[0].as_py()
+                continue
+            if CANDIDATE not in held:
+                continue
+            if table is None:
+                ids, vs = (np.concatenate(c) for c in zip(*held[CANDIDATE], strict=True))
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                pivot_ids, pivots = (np.concatenate(c) for c in zip(*held[PIVOT], strict=True))
+                table = PivotTable(vs[order], pivots, held["most"], pivot_ids)
             out: list[tuple] = []
-            for query_id, query in zip(np.asarray(query_ids.values).tolist(), _rows(queries.values), strict=True):
-                places, scores = table.search(query, ids == query_id, k)
-                out += zip([query_id] * len(places), ids[places].tolist(), scores.tolist(), strict=True)
+            for query_id, key, query in zip(own_ids.tolist(), part.column("key").to_pylist(), vectors, strict=True):
+                places, scores = table.search(query, ids == query_id, k, table.seed(query, query_id, k))
+                out += zip([query_id] * len(places), [key] * len(places), ids[places].tolist(), scores.tolist(), strict=True)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
@@ -123,24 +160,21 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, pivots: int = PIVO
     Both tables have (id, dim, v). ``candidates`` is read more than once: have it written.
     """
     n_blocks = max(1, -(-candidates.count() // CANDIDATES))
-    n_query_blocks = max(1, -(-queries.count() // QUERIES))
     squared = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
     place = Window.partitionBy("dim").orderBy(F.xxhash64("v"), "id")
-    sample = candidates.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= pivots)
-    sample = sample.groupBy("dim").agg(F.collect_list("v").alias("pivots"))
     largest = candidates.groupBy("dim").agg(F.max(squared).alias("most"))
-
-    dealt = candidates.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
-    packed = dealt.groupBy("dim", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    packed = packed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    asked = queries.distinct().withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int"))
-    asked = asked.groupBy("dim", "query_block").agg(F.collect_list("id").alias("query_ids"), F.collect_list("v").alias("queries"))
-    asked = asked.join(sample, "dim").join(largest, "dim")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = packed.join(asked, ["dim", "block", "query_block"])
-
-    found = pairs.mapInArrow(lambda batches: meet(batches, k), FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    sample = candidates.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= pivots).join(largest, "dim")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, kind, block, most, key: df.select("dim", block, F.lit(kind).alias("kind"), "id", "v", most.alias("most"), key.alias("key"))
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int").alias("block")
+    met = (
+        row(sample, PIVOT, everywhere, F.col("most"), none("long"))
+        .unionByName(row(candidates, CANDIDATE, block, none("double"), none("long")))
+        .unionByName(row(queries.distinct(), QUERY, everywhere, none("double"), F.xxhash64("v")))
+    )
+    found = met.repartition("dim", "block").sortWithinPartitions("dim", "block", "kind", "id").mapInArrow(lambda batches: meet(batches, k), FOUND)
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
