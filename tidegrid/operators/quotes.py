@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,12 @@ STATES = ("is_crossed", "is_locked", "is_nonpositive", "is_zero_size")
 
 
 def state_census(quotes: DataFrame, by: list[str]) -> DataFrame:
-    """share of rows and of time in each state, and the overlap of two states."""
+    """share of rows and of time in each state, and the time in each two states at once."""
     time = F.sum("duration_ns")
     of = lambda c: F.coalesce(F.sum(F.when(c, F.col("duration_ns"))), F.lit(0))
     shares = [x for s in STATES for x in ((F.count(F.when(F.col(s), 1)) / F.count(F.lit(1))).alias(f"{s}_rows"), ratio(of(F.col(s)), time).alias(f"{s}_time"))]
-    return quotes.groupBy(*by).agg(*shares, ratio(of(F.col("is_locked") & F.col("is_zero_size")), time).alias("locked_and_zero_time"))
+    pairs = [ratio(of(F.col(s) & F.col(t)), time).alias(f"{s[3:]}_and_{t[3:]}_time") for s, t in itertools.combinations(STATES, 2)]
+    return quotes.groupBy(*by).agg(*shares, *pairs)
 
 
 def state_runs(quotes: DataFrame, keys: list[str], state: str) -> DataFrame:
@@ -111,27 +114,34 @@ def quoted_spread(quotes: DataFrame, by: list[str], event: list[str]) -> DataFra
 
 
 def with_quote(trades: DataFrame, quotes: DataFrame, by: list[str]) -> DataFrame:
-    """Each trade with the last quote at or before it (q_ columns)."""
-    keep = [c for c in quotes.columns if c in {*by, "ts_ns", "seq", "bid", "ask", "mid", "is_hard"}]
-    return asof_join(trades, quotes.select(*keep).withColumnRenamed("ts_ns", "quote_ns"), by, "ts_ns", "quote_ns", "seq", prefix="q_")
+    """Each trade with the last usable quote at or before it (q_ columns), and when the book last changed by then."""
+    w = Window.partitionBy(*by).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    keep = [c for c in quotes.columns if c in {*by, "seq", "bid", "ask", "mid"}]
+    usable = quotes.filter(~F.col("is_hard"))
+    usable = usable.select(*keep, F.col("ts_ns").alias("quote_ns"), F.max(F.when(F.col("is_change"), F.col("ts_ns"))).over(w).alias("change_ns"))
+    return asof_join(trades, usable, by, "ts_ns", "quote_ns", "seq", prefix="q_")
 
 
 def sign_trades(trades: DataFrame, quotes: DataFrame, by: list[str]) -> DataFrame:
-    """+1 / -1 by the usable midpoint, at it by the previous trade's price, else null."""
+    """+1 / -1 by the midpoint of the last usable quote, at it by the previous trade's price, else null.
+
+    ``by`` holds ticker, day and segment: neither quotes nor prices are carried over.
+    """
     rows = with_quote(trades, quotes, by)
-    mid = F.when(~F.col("q_is_hard"), F.col("q_mid"))
     before = F.lag("price").over(Window.partitionBy(*by).orderBy("ts_ns", "seq"))
     sign = lambda d: F.when(d > 0, 1).when(d < 0, -1)
-    return rows.withColumn("sign", F.coalesce(sign(F.col("price") - mid), sign(F.col("price") - before)))
+    return rows.withColumn("sign", F.coalesce(sign(F.col("price") - F.col("q_mid")), sign(F.col("price") - before)))
 
 
 def trade_minute_metrics(signed: DataFrame, by: list[str]) -> DataFrame:
-    """volumes, distance to the midpoint, classified and signed volume, ages of the quote."""
-    rows = signed.withColumn("age", F.col("ts_ns") - F.col("q_quote_ns"))
+    """volumes, distance to the midpoint, classified and signed volume, ages of the book at the trades."""
+    rows = signed.withColumn("age", F.col("ts_ns") - F.col("q_change_ns"))
+    over = lambda ns: F.avg(F.when(F.col("age") > ns, 1.0).otherwise(0.0))
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("volume"), F.sum(F.abs(F.col("price") - F.col("q_mid")) * F.col("size")).alias("abs_distance_size"),
         F.sum(F.when(F.col("sign").isNotNull(), F.col("size"))).alias("classified"), F.sum(F.col("sign") * F.col("size")).alias("signed_volume"),
-        F.count(F.when(F.col("sign").isNull(), 1)).alias("n_unclassified"), F.count(F.when(F.col("q_quote_ns").isNull(), 1)).alias("n_no_quote"), *quantiles("age", (0.5, 0.95), ("age_p50", "age_p95")),
+        F.count(F.when(F.col("sign").isNull(), 1)).alias("n_unclassified"), F.count(F.when(F.col("q_mid").isNull(), 1)).alias("n_no_quote"), *quantiles("age", (0.5, 0.95), ("age_p50", "age_p95")),
+        over(1_000_000_000).alias("share_over_1s"), over(60_000_000_000).alias("share_over_60s"),
     )
 
 
@@ -153,34 +163,88 @@ def alignment_sweep(trades: DataFrame, quotes: DataFrame, by: list[str], offsets
     return rows.groupBy("offset_ns", label.alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def effective_spread(trades: DataFrame, quotes: DataFrame, by: list[str], event: list[str]) -> DataFrame:
-    """twice the size-weighted distance to the usable midpoint, in currency and basis points."""
-    rows = with_quote(trades, quotes, by).filter(~F.col("q_is_hard") & (F.col("q_mid") > 0))
+def effective_spread(signed: DataFrame, event: list[str]) -> DataFrame:
+    """F14, plain form: per event the median over trades of twice the distance to the usable midpoint, in currency and basis points."""
     off = 2 * F.abs(F.col("price") - F.col("q_mid"))
-    return rows.groupBy(*event).agg(F.count(F.lit(1)).alias("n"), (F.sum(off * F.col("size")) / F.sum("size")).alias("spread"), (F.sum(off / F.col("q_mid") * 10_000 * F.col("size")) / F.sum("size")).alias("spread_bp"))
+    rows = signed.filter(F.col("q_mid") > 0).withColumns({"off": off, "off_bp": off / F.col("q_mid") * 10_000})
+    med = lambda c: F.percentile(c, F.lit(0.5))
+    return rows.groupBy(*event).agg(F.count(F.lit(1)).alias("n"), med("off").alias("spread"), med("off_bp").alias("spread_bp"))
+
+
+def with_effective(cache: DataFrame) -> DataFrame:
+    """Minutes with trades, with the size-weighted effective spread: in currency and as a fraction of the midpoint."""
+    rows = cache.filter((F.col("n_trades") > 0) & (F.col("volume") > 0)).withColumn("effective", 2 * ratio(F.col("abs_distance_size"), F.col("volume")))
+    return rows.withColumn("effective_share", ratio(F.col("effective"), F.col("tw_mid")))
+
 
+def effective_at(detections: DataFrame, cache: DataFrame, keys: list[str], latencies: list[int]) -> DataFrame:
+    """the effective spread in the last traded minute at or before detection plus each latency, by event.
 
-def cost_vs_capture(entries: DataFrame, quotes: DataFrame, by: list[str], multiples: list[float]) -> DataFrame:
-    """half spreads at entry and exit against the realised log return, at cost multiples.
+    ``detections`` has detection_minute and detection_price.
+    """
+    each = detections.filter("detection_minute IS NOT NULL").withColumn("latency", F.explode(F.array(*map(F.lit, latencies)))).withColumn("target", F.col("detection_minute") + F.col("latency"))
+    met = asof_join(each, with_effective(cache).select(*keys, "minute_index", "effective", "effective_share"), keys, "target", "minute_index", prefix="")
+    return met.select(*keys, "latency", F.col("effective").alias("spread"), (100 * F.col("effective")).alias("cents"), (10_000 * F.col("effective_share")).alias("bp"), ratio(F.col("effective"), F.when(F.col("detection_price") > 0, F.col("detection_price"))).alias("of_price"))
+
+
+def effective_cells(rows: DataFrame, by: list[str]) -> DataFrame:
+    """quantiles of the effective spreads that are defined, by cell."""
+    return rows.filter("bp IS NOT NULL").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quantiles("bp", (0.25, 0.5, 0.75, 0.95), ("bp_p25", "bp_p50", "bp_p75", "bp_p95")), *quantiles("cents", names=("cents_p25", "cents_p50", "cents_p75")), F.percentile("of_price", F.lit(0.5)).alias("of_price_p50"))
 
-    ``entries`` has in_ns, out_ns and realized; undefined costs are flagged, not filled.
+
+def cost_vs_capture(legs: DataFrame, cache: DataFrame, highs: DataFrame, keys: list[str], multiples: list[float]) -> DataFrame:
+    """half the effective spread at entry plus half at exit, against the realised and the best possible log return.
+
+    ``legs`` has entry_minute, exit_minute, entry_price and markout; ``highs`` the
+    day_high. A row a leg and multiple: cost over return, null unless both are
+    defined and the return is positive.
     """
-    book = quotes.select(*by, "ts_ns", "seq", "mid", "spread", "is_hard")
-    one = asof_join(entries, book.withColumnRenamed("ts_ns", "q_ns"), by, "in_ns", "q_ns", "seq", prefix="i_")
-    two = asof_join(one, book.withColumnRenamed("ts_ns", "q_ns"), by, "out_ns", "q_ns", "seq", prefix="o_")
-    half = lambda p: F.when(~F.col(f"{p}_is_hard"), ratio(F.col(f"{p}_spread"), 2 * F.col(f"{p}_mid")))
-    cost = two.withColumn("cost", half("i") + half("o")).withColumn("multiple", F.explode(F.array(*(F.lit(float(m)) for m in multiples))))
-    net = cost.withColumn("net", F.col("realized") - F.col("multiple") * F.col("cost"))
-    return net.groupBy("multiple").agg(F.count(F.lit(1)).alias("n"), F.count("net").alias("n_defined"), F.percentile("net", F.lit(0.5)).alias("median_net"), F.avg((F.col("net") > 0).cast("double")).alias("positive_share"))
+    book = with_effective(cache).select(*keys, "minute_index", F.col("effective_share").alias("share"), F.col("effective").alias("spread"))
+    one = asof_join(legs, book, keys, "entry_minute", "minute_index", prefix="i_")
+    two = asof_join(one, book, keys, "exit_minute", "minute_index", prefix="o_").join(highs.select(*keys, "day_high"), keys, "left")
+    cost = (F.col("i_share") + F.col("o_share")) / 2
+    rows = two.withColumns({"cost": cost, "cost_currency": (F.col("i_spread") + F.col("o_spread")) / 2, "best": F.when((F.col("entry_price") > 0) & (F.col("day_high") > 0), F.log(F.col("day_high") / F.col("entry_price")))})
+    rows = rows.withColumn("is_valid", F.col("markout").isNotNull() & F.col("cost").isNotNull())
+    over = lambda c: F.when(F.col("is_valid") & (F.col(c) > 0), F.col("multiple") * F.col("cost") / F.col(c))
+    each = rows.withColumn("multiple", F.explode(F.array(*(F.lit(float(m)) for m in multiples))))
+    return each.withColumns({
+        "of_realized": over("markout"), "of_best": over("best"), "is_nonpositive": F.col("is_valid") & (F.col("markout") <= 0),
+        "exceeds": F.when(F.col("is_valid") & (F.col("markout") > 0), F.col("cost") > F.col("markout")),
+    })
+
+
+def cost_verdict(rows: DataFrame, by: list[str], thin: int = 100, kill: float = 0.5) -> DataFrame:
+    """per cell and multiple the medians and shares, and a verdict by fixed rules, the first that holds."""
+    made = rows.groupBy(*by, "multiple").agg(
+        F.count(F.lit(1)).alias("n"), F.count("of_realized").alias("n_defined"), *quantiles("of_realized", (0.25, 0.5), ("p25", "median")), F.percentile("of_best", F.lit(0.5)).alias("median_of_best"),
+        F.avg(F.col("exceeds").cast("double")).alias("exceeds_share"), F.avg(F.col("is_nonpositive").cast("double")).alias("nonpositive_share"),
+        (10_000 * F.percentile("cost", F.lit(0.5))).alias("median_cost_bp"), (100 * F.percentile("cost_currency", F.lit(0.5))).alias("median_cost_cents"),
+    )
+    verdict = (
+        F.when(F.col("n_defined") < thin, "too_thin").when(F.col("nonpositive_share") > 0.5, "mostly_nonpositive").when(F.col("median") >= 1, "cost_exceeds")
+        .when(F.col("p25") >= kill, "lower_quartile_high").otherwise("lower_quartile_low")
+    )
+    return made.withColumn("verdict", verdict)
 
 
 def impact(cache: DataFrame, keys: list[str], w: int, minute: str = "minute_index") -> DataFrame:
-    """F16: midpoint change over the next ``w`` cached minutes per signed volume in them."""
+    """F16: relative midpoint change over the next ``w`` traded minutes per signed volume in them.
+
+    Only minutes with trades, size and a midpoint take part.
+    """
     order = Window.partitionBy(*keys).orderBy(minute)
-    rows = cache.withColumns({"move": F.lead("tw_mid", w).over(order) - F.col("tw_mid"), "flow": F.sum("signed_volume").over(order.rowsBetween(0, w - 1))})
+    kept = cache.filter((F.col("n_trades") > 0) & (F.col("volume") > 0) & (F.col("tw_mid") > 0))
+    rows = kept.withColumns({"move": ratio(F.lead("tw_mid", w).over(order) - F.col("tw_mid"), F.col("tw_mid")), "flow": F.sum("signed_volume").over(order.rowsBetween(0, w - 1))})
     return rows.withColumn("impact", ratio(F.col("move"), F.col("flow")))
 
 
+def venue_frequency(quotes: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """rows of each venue on each side and their share of the side."""
+    each = quotes.select(F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(c).alias("venue")) for n, c in sides.items()))).alias("x")).select("x.*")
+    made = each.groupBy("side", "venue").agg(F.count(F.lit(1)).alias("n"))
+    return made.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("side")))
+
+
 def exchange_identity(quotes: DataFrame, by: list[str], bid_venue: str, ask_venue: str) -> DataFrame:
     """venues on each side and the share of two-sided quotes."""
     return quotes.groupBy(*by).agg(F.countDistinct(bid_venue).alias("bid_venues"), F.countDistinct(ask_venue).alias("ask_venues"), F.avg((F.col("bid").isNotNull() & F.col("ask").isNotNull()).cast("double")).alias("two_sided_share"))
@@ -194,6 +258,18 @@ def timestamp_quality(ticks: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("gap").alias("gap_min"), F.percentile("gap", F.lit(0.5)).alias("gap_median"), F.max("gap").alias("gap_max"), F.count(F.when(F.col("gap") == 0, 1)).alias("n_ties"), F.count(F.when(F.col("gap") < 0, 1)).alias("n_inversions"))
 
 
+def session_mismatch(ticks: DataFrame, keys: list[str], day: str, local_day: str) -> DataFrame:
+    """ticks whose own local date is not that of the session they are filed under."""
+    other = F.count(F.when(~F.col(day).eqNullSafe(F.col(local_day)), 1))
+    return ticks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), other.alias("n_mismatch"), (other / F.count(F.lit(1))).alias("mismatch_share"))
+
+
+def clock_latency(ticks: DataFrame, by: list[str], one: str, two: str) -> DataFrame:
+    """time from clock ``one`` to clock ``two``: quantiles, and how often it is negative; null clocks are counted apart."""
+    rows = ticks.withColumn("latency", F.col(two) - F.col(one))
+    return rows.groupBy(*by).agg(F.count("latency").alias("n"), F.count(F.when(F.col("latency").isNull(), 1)).alias("n_missing"), *quantiles("latency", (0.5, 0.95), ("p50", "p95")), F.count(F.when(F.col("latency") < 0, 1)).alias("n_negative"))
+
+
 def storage_order_census(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     """share of neighbours, by an explicit position column, where time or sequence falls."""
     w = Window.partitionBy(*keys).orderBy(position)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tidegrid.functions import clock
 from tidegrid.operators import calendar
 from tidegrid.operators import quotes as q
+from tidegrid.operators import returns
+from tidegrid.plans.fixtures import KEYS
 from tidegrid.plans.registry import query
+from tidegrid.plans.returns import DET, detections
 
 DAY = ["ticker", "et_date"]
 SEG = ["ticker", "et_date", "segment"]
@@ -22,17 +27,37 @@ qd AS (SELECT *, greatest(0, least(coalesce(lead(ts_ns) OVER w, segment_end_ns),
   coalesce(bid > ask OR bid IS NULL OR ask IS NULL OR bid <= 0 OR ask <= 0, false) AS is_hard
   FROM qe WINDOW w AS (PARTITION BY ticker, et_date, segment ORDER BY ts_ns, seq))
 """
-QM = LABEL + """
-, qm AS (SELECT ticker, et_date, segment, count(*) AS n_quotes, sum(duration_ns)::BIGINT AS duration_ns, count(*) FILTER (WHERE is_change) AS n_changes,
+def metrics_sql(name, grain):
+    """Quote metrics at a grain of qd's columns."""
+    return f"""
+, {name} AS (SELECT {grain}, count(*) AS n_quotes, sum(duration_ns)::BIGINT AS duration_ns, count(*) FILTER (WHERE is_change) AS n_changes,
   sum(duration_ns) FILTER (WHERE is_hard) / nullif(sum(duration_ns), 0) AS unusable_share, sum(duration_ns) FILTER (WHERE is_locked) / nullif(sum(duration_ns), 0) AS locked_share,
   sum(spread * duration_ns) FILTER (WHERE NOT is_hard) / nullif(sum(duration_ns) FILTER (WHERE NOT is_hard), 0) AS tw_spread,
   sum(spread / nullif(mid, 0) * 10000 * duration_ns) FILTER (WHERE NOT is_hard) / nullif(sum(duration_ns) FILTER (WHERE NOT is_hard), 0) AS tw_spread_bp,
   sum(mid * duration_ns) FILTER (WHERE NOT is_hard) / nullif(sum(duration_ns) FILTER (WHERE NOT is_hard), 0) AS tw_mid FROM qd GROUP BY ALL)
 """
-SIGNED = """
-, qb AS (SELECT *, (bid + ask) / 2 AS mid, coalesce(bid > ask OR bid <= 0 OR ask <= 0, false) AS is_hard FROM quotes),
-tq AS (SELECT t.*, b.ts_ns AS q_ns, b.seq AS q_seq, b.bid AS q_bid, b.ask AS q_ask, b.mid AS q_mid, b.is_hard AS q_hard FROM trades t ASOF LEFT JOIN qb b ON t.ticker = b.ticker AND t.ts_ns >= b.ts_ns),
-sg AS (SELECT *, coalesce(nullif(sign(price - CASE WHEN NOT q_hard THEN q_mid END), 0), nullif(sign(price - lag(price) OVER (PARTITION BY ticker ORDER BY ts_ns, seq)), 0))::INTEGER AS sign FROM tq)
+
+
+QM = LABEL + metrics_sql("qm", "ticker, et_date, segment")
+MINUTE = [*SEG, "minute_index"]
+QMM = metrics_sql("qmm", "ticker, et_date, segment, (et_min - 240)::BIGINT AS minute_index")
+#: Trades in session segments, signed against the last usable quote of their segment.
+SIGNED = LABEL + """
+, tl AS (SELECT t.*, CASE WHEN et_min < open_min THEN 'premarket' WHEN et_min < close_min THEN 'rth' ELSE 'post' END AS segment, (et_min - 240)::BIGINT AS minute_index
+  FROM trades t JOIN calendar ON session_date = et_date WHERE et_min >= 240 AND et_min < CASE WHEN is_early_close THEN close_min + 240 ELSE 1200 END),
+qg AS (SELECT *, max(CASE WHEN is_change THEN ts_ns END) OVER (PARTITION BY ticker, et_date, segment ORDER BY ts_ns, seq) AS change_ns FROM qd WHERE NOT is_hard),
+tq AS (SELECT t.*, b.ts_ns AS q_ns, b.seq AS q_seq, b.mid AS q_mid, b.change_ns FROM tl t ASOF LEFT JOIN qg b ON t.ticker = b.ticker AND t.et_date = b.et_date AND t.segment = b.segment AND t.ts_ns >= b.ts_ns),
+sg AS (SELECT *, coalesce(nullif(sign(price - q_mid), 0), nullif(sign(price - lag(price) OVER (PARTITION BY ticker, et_date, segment ORDER BY ts_ns, seq)), 0))::INTEGER AS sign FROM tq)
+"""
+TM = SIGNED + """
+, tm AS (SELECT ticker, et_date, segment, minute_index, count(*) AS n_trades, sum(size)::BIGINT AS volume, sum(abs(price - q_mid) * size) AS abs_distance_size, (sum(size) FILTER (WHERE sign IS NOT NULL))::BIGINT AS classified,
+  sum(sign * size)::BIGINT AS signed_volume, count(*) FILTER (WHERE sign IS NULL) AS n_unclassified, count(*) FILTER (WHERE q_mid IS NULL) AS n_no_quote,
+  floor(quantile_cont((ts_ns - change_ns)::DOUBLE, 0.5) / 1e6)::BIGINT AS age_p50, floor(quantile_cont((ts_ns - change_ns)::DOUBLE, 0.95) / 1e6)::BIGINT AS age_p95,
+  avg(CASE WHEN ts_ns - change_ns > 1000000000 THEN 1.0::DOUBLE ELSE 0 END) AS share_over_1s, avg(CASE WHEN ts_ns - change_ns > 60000000000 THEN 1.0::DOUBLE ELSE 0 END) AS share_over_60s FROM sg GROUP BY 1, 2, 3, 4)
+"""
+CACHE = TM + QMM + """
+, cache AS (SELECT * FROM qmm FULL JOIN tm USING (ticker, et_date, segment, minute_index)),
+eff AS (SELECT ticker, et_date, minute_index, 2 * abs_distance_size / volume AS spread, 2 * abs_distance_size / volume / nullif(tw_mid, 0) AS share FROM cache WHERE n_trades > 0 AND volume > 0)
 """
 
 
@@ -46,13 +71,23 @@ def plain_book(v):
     return q.quote_states(v.quotes).withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid")})
 
 
+def minutes(rows):
+    return rows.withColumn("minute_index", F.col("et_min").cast("long") - 240)
+
+
 def millis(rows, *columns):
     """Interpolated nanosecond quantiles as whole milliseconds, which both engines agree on."""
     return rows.withColumns({c: F.floor(F.col(c) / 1e6) for c in columns})
 
 
 def signed(v):
-    return q.sign_trades(v.trades, plain_book(v), ["ticker"])
+    trades = calendar.label_segments(v.trades, v.calendar).filter(F.col("segment").isin("premarket", "rth", "post"))
+    return q.sign_trades(minutes(trades.select(*SEG, "et_min", "ts_ns", "seq", "price", "size")), book(v), SEG)
+
+
+def cache(v):
+    trade_side = millis(q.trade_minute_metrics(signed(v), MINUTE), "age_p50", "age_p95")
+    return q.quote_trade_cache(q.quote_minute_metrics(minutes(book(v)), MINUTE), trade_side, MINUTE)
 
 
 @query("f1_quote_states", """
@@ -77,12 +112,12 @@ def _(v):
     return q.session_ns_prefilter(v.trades, bounds).select("seq")
 
 
-@query("f4_quote_minute_metrics", QM + "SELECT * FROM qm")
+@query("f4_quote_minute_metrics", LABEL + QMM + "SELECT * FROM qmm")
 def _(v):
-    return q.quote_minute_metrics(book(v), SEG)
+    return q.quote_minute_metrics(minutes(book(v)), MINUTE)
 
 
-@query("f5_state_census", LABEL + "SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE {s}) / count(*) AS {s}_rows, coalesce(sum(duration_ns) FILTER (WHERE {s}), 0) / nullif(sum(duration_ns), 0) AS {s}_time" for s in q.STATES) + ", coalesce(sum(duration_ns) FILTER (WHERE is_locked AND is_zero_size), 0) / nullif(sum(duration_ns), 0) AS locked_and_zero_time FROM qd GROUP BY 1")
+@query("f5_state_census", LABEL + "SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE {s}) / count(*) AS {s}_rows, coalesce(sum(duration_ns) FILTER (WHERE {s}), 0) / nullif(sum(duration_ns), 0) AS {s}_time" for s in q.STATES) + "".join(f", coalesce(sum(duration_ns) FILTER (WHERE {s} AND {t}), 0) / nullif(sum(duration_ns), 0) AS {s[3:]}_and_{t[3:]}_time" for s, t in itertools.combinations(q.STATES, 2)) + " FROM qd GROUP BY 1")
 def _(v):
     return q.state_census(book(v), ["ticker"])
 
@@ -139,25 +174,14 @@ def _(v):
     return signed(v).select("seq", "q_seq", "sign")
 
 
-TM = SIGNED + """
-, tm AS (SELECT ticker, et_date, count(*) AS n_trades, sum(size)::BIGINT AS volume, sum(abs(price - q_mid) * size) AS abs_distance_size, (sum(size) FILTER (WHERE sign IS NOT NULL))::BIGINT AS classified,
-  sum(sign * size)::BIGINT AS signed_volume, count(*) FILTER (WHERE sign IS NULL) AS n_unclassified, count(*) FILTER (WHERE q_ns IS NULL) AS n_no_quote,
-  quantile_cont((ts_ns - q_ns)::DOUBLE, 0.5) AS age_p50, quantile_cont((ts_ns - q_ns)::DOUBLE, 0.95) AS age_p95 FROM sg GROUP BY 1, 2)
-"""
-
-
-@query("f11_trade_minute_metrics", TM + "SELECT * REPLACE (floor(age_p50 / 1e6)::BIGINT AS age_p50, floor(age_p95 / 1e6)::BIGINT AS age_p95) FROM tm")
+@query("f11_trade_minute_metrics", TM + "SELECT * FROM tm")
 def _(v):
-    return millis(q.trade_minute_metrics(signed(v), DAY), "age_p50", "age_p95")
+    return millis(q.trade_minute_metrics(signed(v), MINUTE), "age_p50", "age_p95")
 
 
-@query("f12_quote_trade_cache", QM + TM.replace(", qb AS", ", qb AS", 1) + """
-, qday AS (SELECT ticker, et_date, sum(n_quotes)::BIGINT AS n_quotes FROM qm GROUP BY 1, 2)
-SELECT ticker, et_date, n_quotes, n_trades, signed_volume FROM qday FULL JOIN tm USING (ticker, et_date)
-""")
+@query("f12_quote_trade_cache", CACHE + "SELECT * FROM cache")
 def _(v):
-    quote_side = q.quote_minute_metrics(book(v), SEG).groupBy(*DAY).agg(F.sum("n_quotes").alias("n_quotes"))
-    return q.quote_trade_cache(quote_side, q.trade_minute_metrics(signed(v), DAY).select(*DAY, "n_trades", "signed_volume"), DAY)
+    return cache(v)
 
 
 @query("f13_alignment_sweep", """
@@ -172,37 +196,87 @@ def _(v):
 
 
 @query("f14_effective_spread", SIGNED + """
-SELECT ticker, et_date, count(*) AS n, sum(2 * abs(price - q_mid) * size) / sum(size) AS spread, sum(2 * abs(price - q_mid) / q_mid * 10000 * size) / sum(size) AS spread_bp
-FROM sg WHERE NOT q_hard AND q_mid > 0 GROUP BY 1, 2
+SELECT ticker, et_date, count(*) AS n, quantile_cont(2 * abs(price - q_mid), 0.5) AS spread, quantile_cont(2 * abs(price - q_mid) / q_mid * 10000, 0.5) AS spread_bp FROM sg WHERE q_mid > 0 GROUP BY 1, 2
 """)
 def _(v):
-    return q.effective_spread(v.trades, plain_book(v), ["ticker"], DAY)
+    return q.effective_spread(signed(v), DAY)
+
 
+#: Detections of the bars' day with their price, and the legs of the latency and hold grid.
+FOUND = DET + """
+, found AS (SELECT d.ticker, d.event_date AS et_date, detection_minute, b.last_price AS detection_price FROM det d JOIN day_bars b ON b.ticker = d.ticker AND b.event_date = d.event_date AND b.minute_index = detection_minute)
+"""
+LEGS = """
+, z AS (SELECT ticker, event_date, max(minute_index) AS last_minute, max(high) AS day_high FROM day_bars GROUP BY 1, 2),
+x AS (SELECT d.ticker, d.event_date, last_minute, day_high, latency, hold, detection_minute + latency AS entry_minute, detection_minute + latency + hold AS exit_minute FROM det d JOIN z ON z.ticker = d.ticker AND z.event_date = d.event_date
+  CROSS JOIN (SELECT unnest([0, 5]) AS latency) CROSS JOIN (SELECT unnest([10, 60]) AS hold) WHERE detection_minute IS NOT NULL),
+i AS (SELECT x.*, CASE WHEN entry_minute <= last_minute THEN b.last_price END AS pi FROM x ASOF LEFT JOIN day_bars b ON x.ticker = b.ticker AND x.event_date = b.event_date AND x.entry_minute >= b.minute_index),
+legs AS (SELECT i.ticker, i.event_date AS et_date, latency, hold, entry_minute, exit_minute, pi, day_high, ln(CASE WHEN exit_minute <= last_minute THEN b.last_price END / pi) AS markout
+  FROM i ASOF LEFT JOIN day_bars b ON i.ticker = b.ticker AND i.event_date = b.event_date AND i.exit_minute >= b.minute_index)
+"""
 
-@query("f15_cost_vs_capture", """
-, qb AS (SELECT *, (bid + ask) / 2 AS mid, ask - bid AS spread, coalesce(bid > ask OR bid <= 0 OR ask <= 0, false) AS hard FROM quotes),
-n AS (SELECT ticker, seq, ts_ns AS in_ns, ts_ns + 3600000000000 AS out_ns, ln(lead(price) OVER (PARTITION BY ticker ORDER BY ts_ns, seq) / price) AS realized FROM trades),
-i AS (SELECT n.*, CASE WHEN NOT hard THEN spread / nullif(2 * mid, 0) END AS ci FROM n ASOF LEFT JOIN qb ON n.ticker = qb.ticker AND n.in_ns >= qb.ts_ns),
-o AS (SELECT i.*, CASE WHEN NOT hard THEN spread / nullif(2 * mid, 0) END AS co FROM i ASOF LEFT JOIN qb ON i.ticker = qb.ticker AND i.out_ns >= qb.ts_ns),
-m AS (SELECT multiple, realized - multiple * (ci + co) AS net FROM o CROSS JOIN (SELECT unnest([0.5, 1, 2]::DOUBLE[]) AS multiple))
-SELECT multiple, count(*) AS n, count(net) AS n_defined, quantile_cont(net, 0.5) AS median_net, avg((net > 0)::INT) AS positive_share FROM m GROUP BY 1
+
+def found(v):
+    price = v.day_bars.select(*KEYS, F.col("minute_index").alias("detection_minute"), F.col("last_price").alias("detection_price"))
+    return detections(v).select(*KEYS, "detection_minute").join(price, [*KEYS, "detection_minute"]).withColumnRenamed("event_date", "et_date")
+
+
+@query("f14_effective_at_detection", CACHE + FOUND + """
+, t AS (SELECT *, detection_minute + latency AS target FROM found CROSS JOIN (SELECT unnest([0, 5, 30]) AS latency)),
+m AS (SELECT latency, 10000 * share AS bp, 100 * spread AS cents, spread / detection_price AS of_price FROM t ASOF LEFT JOIN eff e ON t.ticker = e.ticker AND t.et_date = e.et_date AND t.target >= e.minute_index)
+SELECT latency, count(*) AS n, quantile_cont(bp, 0.25) AS bp_p25, quantile_cont(bp, 0.5) AS bp_p50, quantile_cont(bp, 0.75) AS bp_p75, quantile_cont(bp, 0.95) AS bp_p95,
+  quantile_cont(cents, 0.25) AS cents_p25, quantile_cont(cents, 0.5) AS cents_p50, quantile_cont(cents, 0.75) AS cents_p75, quantile_cont(of_price, 0.5) AS of_price_p50 FROM m WHERE bp IS NOT NULL GROUP BY 1
 """)
 def _(v):
-    from pyspark.sql import Window
+    return q.effective_cells(q.effective_at(found(v), cache(v), DAY, [0, 5, 30]), ["latency"])
 
-    nxt = F.lead("price").over(Window.partitionBy("ticker").orderBy("ts_ns", "seq"))
-    entries = v.trades.select("ticker", "seq", F.col("ts_ns").alias("in_ns"), (F.col("ts_ns") + 3_600_000_000_000).alias("out_ns"), F.log(nxt / F.col("price")).alias("realized"))
-    return q.cost_vs_capture(entries, plain_book(v), ["ticker"], [0.5, 1, 2])
+
+@query("f15_cost_vs_capture", CACHE + DET + LEGS + """
+, a AS (SELECT l.*, e.share AS si, e.spread AS di FROM legs l ASOF LEFT JOIN eff e ON l.ticker = e.ticker AND l.et_date = e.et_date AND l.entry_minute >= e.minute_index),
+c AS (SELECT a.*, (si + e.share) / 2 AS cost, (di + e.spread) / 2 AS cost_currency, ln(day_high / pi) AS best FROM a ASOF LEFT JOIN eff e ON a.ticker = e.ticker AND a.et_date = e.et_date AND a.exit_minute >= e.minute_index),
+k AS (SELECT *, CASE WHEN markout > 0 THEN multiple * cost / markout END AS of_realized, CASE WHEN markout IS NOT NULL AND best > 0 THEN multiple * cost / best END AS of_best,
+  CASE WHEN cost IS NOT NULL AND markout > 0 THEN cost > markout END AS exceeds, coalesce(cost IS NOT NULL AND markout <= 0, false) AS nonpositive FROM c CROSS JOIN (SELECT unnest([1, 1.5, 2]::DOUBLE[]) AS multiple)),
+g AS (SELECT latency, hold, multiple, count(*) AS n, count(of_realized) AS n_defined, quantile_cont(of_realized, 0.25) AS p25, quantile_cont(of_realized, 0.5) AS median, quantile_cont(of_best, 0.5) AS median_of_best,
+  avg(exceeds::INT) AS exceeds_share, avg(nonpositive::INT) AS nonpositive_share, 10000 * quantile_cont(cost, 0.5) AS median_cost_bp, 100 * quantile_cont(cost_currency, 0.5) AS median_cost_cents FROM k GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN n_defined < 5 THEN 'too_thin' WHEN nonpositive_share > 0.5 THEN 'mostly_nonpositive' WHEN median >= 1 THEN 'cost_exceeds' WHEN p25 >= 0.5 THEN 'lower_quartile_high' ELSE 'lower_quartile_low' END AS verdict FROM g
+""")
+def _(v):
+    legs = returns.axis_rows(detections(v), v.day_bars, KEYS, [0, 5], [10, 60]).filter("grid = 'fixed_horizon'").withColumnRenamed("event_date", "et_date")
+    highs = v.day_bars.groupBy("ticker", F.col("event_date").alias("et_date")).agg(F.max("high").alias("day_high"))
+    rows = q.cost_vs_capture(legs, cache(v), highs, DAY, [1, 1.5, 2])
+    return q.cost_verdict(rows, ["latency", "hold"], thin=5)
+
+
+@query("f16_impact", CACHE + """
+, k AS (SELECT * FROM cache WHERE n_trades > 0 AND volume > 0 AND tw_mid > 0)
+SELECT ticker, et_date, segment, minute_index, (lead(tw_mid, 2) OVER w - tw_mid) / tw_mid / nullif(sum(signed_volume) OVER (PARTITION BY ticker, et_date, segment ORDER BY minute_index ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 0) AS impact
+FROM k WINDOW w AS (PARTITION BY ticker, et_date, segment ORDER BY minute_index)
+""")
+def _(v):
+    return q.impact(cache(v), SEG, 2).select(*MINUTE, "impact")
+
+
+@query("f17_venue_frequency", """
+, s AS (SELECT 'bid' AS side, bid_size AS venue FROM quotes UNION ALL SELECT 'ask', ask_size FROM quotes), n AS (SELECT side, venue, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT *, n / sum(n) OVER (PARTITION BY side) AS share FROM n
+""")
+def _(v):
+    return q.venue_frequency(v.quotes, {"bid": "bid_size", "ask": "ask_size"})
+
+
+@query("f18_session_mismatch", "SELECT ticker, count(*) AS n, count(*) FILTER (WHERE day <> et_date) AS n_mismatch, count(*) FILTER (WHERE day <> et_date) / count(*) AS mismatch_share FROM trades GROUP BY 1")
+def _(v):
+    return q.session_mismatch(v.trades, ["ticker"], "day", "et_date")
 
 
-@query("f16_impact", QM + TM + """
-, d AS (SELECT ticker, et_date, avg(tw_mid) AS tw_mid FROM qm GROUP BY 1, 2), j AS (SELECT ticker, et_date, tw_mid, signed_volume FROM d JOIN tm USING (ticker, et_date))
-SELECT ticker, et_date, (lead(tw_mid, 2) OVER w - tw_mid) / nullif(sum(signed_volume) OVER (PARTITION BY ticker ORDER BY et_date ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 0) AS impact FROM j WINDOW w AS (PARTITION BY ticker ORDER BY et_date)
+@query("f18_clock_latency", LABEL + """
+, c AS (SELECT segment, CASE WHEN seq % 50 > 0 THEN (seq % 97 - 3) * 1000000 END AS latency FROM qe)
+SELECT segment, count(latency) AS n, count(*) - count(latency) AS n_missing, quantile_cont(latency::DOUBLE, 0.5) AS p50, quantile_cont(latency::DOUBLE, 0.95) AS p95, count(*) FILTER (WHERE latency < 0) AS n_negative FROM c GROUP BY 1
 """)
 def _(v):
-    mids = q.quote_minute_metrics(book(v), SEG).groupBy(*DAY).agg(F.avg("tw_mid").alias("tw_mid"))
-    cache = mids.join(q.trade_minute_metrics(signed(v), DAY).select(*DAY, "signed_volume"), DAY)
-    return q.impact(cache, ["ticker"], 2, "et_date").select(*DAY, "impact")
+    rows = book(v)
+    other = F.when(F.col("seq") % 50 > 0, F.col("ts_ns") - (F.col("seq") % 97 - 3) * 1_000_000)
+    return q.clock_latency(rows.withColumn("venue_ns", other), ["segment"], "venue_ns", "ts_ns")
 
 
 @query("f17_exchange_identity", "SELECT ticker, count(DISTINCT bid_size) AS bid_venues, count(DISTINCT ask_size) AS ask_venues, avg((bid IS NOT NULL AND ask IS NOT NULL)::INT) AS two_sided_share FROM quotes GROUP BY 1")
