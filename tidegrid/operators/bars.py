@@ -66,7 +66,7 @@ def row_cap_scan(counts: DataFrame, n: str = "n", least: int = 3, step: int = 50
 def dense_grid(bars: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     """Every minute start..stop-1 of each event; volume 0 and prices null where no bar is."""
     grid = bounds.select(*keys, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("minute_index"))
-    return grid.join(bars.select(*keys, "minute_index", "volume", "last_price"), [*keys, "minute_index"], "left").withColumn("volume", F.coalesce("volume", F.lit(0)))
+    return grid.join(bars.select(*keys, "minute_index", "volume", "first_price", "last_price"), [*keys, "minute_index"], "left").withColumn("volume", F.coalesce("volume", F.lit(0)))
 
 
 def forward_fill(grid: DataFrame, keys: list[str], value: str = "last_price", order: str = "minute_index") -> DataFrame:
@@ -78,11 +78,12 @@ def forward_fill(grid: DataFrame, keys: list[str], value: str = "last_price", or
 def concentration_curve(grid: DataFrame, keys: list[str]) -> DataFrame:
     """Cumulative shares of volume and of absolute log path against the share of minutes.
 
-    Returns across empty minutes count 0: only a minute with a print moves.
+    Returns across empty minutes count 0: only a minute with a print right after
+    one with a print moves.
     """
     w = Window.partitionBy(*keys)
     run = w.orderBy("minute_index").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.last("last_price", ignorenulls=True).over(w.orderBy("minute_index").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.lag("last_price").over(w.orderBy("minute_index"))
     step = F.coalesce(F.abs(F.log(F.col("last_price") / before)), F.lit(0.0))
     rows = grid.withColumn("step", step)
     share = lambda c: ratio(F.sum(c).over(run), F.sum(c).over(w))
@@ -106,18 +107,20 @@ def min_window_minutes(grid: DataFrame, keys: list[str], fraction: float) -> Dat
     return met.groupBy(*keys).agg(F.min(F.col("end") - F.col("start") + 1).alias("minutes"))
 
 
-def opportunity_decay(grid: DataFrame, keys: list[str], anchor: str | None = None, absolute: bool = False) -> DataFrame:
-    """Fraction of the way from the anchor (default: first price) to the last price, by minute.
+def opportunity_decay(grid: DataFrame, keys: list[str], anchor: str | None = None, least_minute: int | None = None) -> DataFrame:
+    """Absolute log move since the start over that to the last price, by minute.
 
-    A zero denominator is flagged and its fractions are null.
+    The start is the first row's first price (if it has none, the first price known) or ``anchor``; before any print the
+    move is 0. A zero denominator is flagged and its fractions are null. ``least_minute`` leaves out earlier minutes.
     """
     w = Window.partitionBy(*keys).orderBy("minute_index")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = F.last("last_price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.first("last_price", ignorenulls=True).over(whole) if anchor is None else F.col(anchor)
-    rows = grid.withColumns({"now": filled, "start": start, "stop": F.last("last_price", ignorenulls=True).over(whole)})
-    move = lambda to: F.abs(F.log(to / F.col("start"))) if absolute else F.log(to / F.col("start"))
-    return rows.select(*keys, "minute_index", (ratio(move(F.col("now")), move(F.col("stop"))) + F.lit(0.0)).alias("realized"), (F.coalesce(F.col("stop") == F.col("start"), F.lit(True))).alias("is_undefined"))
+    start = F.coalesce(F.first("first_price").over(whole), F.first("last_price", ignorenulls=True).over(whole)) if anchor is None else F.col(anchor)
+    kept = grid if least_minute is None else grid.filter(F.col("minute_index") >= least_minute)
+    rows = kept.withColumns({"now": filled, "start": start, "stop": F.last("last_price", ignorenulls=True).over(whole)})
+    move = lambda to: F.abs(F.log(to / F.col("start")))
+    return rows.select(*keys, "minute_index", ratio(F.coalesce(move(F.col("now")), F.lit(0.0)), move(F.col("stop"))).alias("realized"), (F.coalesce(F.col("stop") == F.col("start"), F.lit(True))).alias("is_undefined"))
 
 
 def half_life(decay: DataFrame, keys: list[str], level: float = 0.5) -> DataFrame:
@@ -130,6 +133,11 @@ def pooled_minute_quantiles(rows: DataFrame, value: str, by: list[str] | None =
     return rows.groupBy(*(by or []), "minute_index").agg(F.count(value).alias("n"), *quantiles(value))
 
 
+def pooled_crossing(pooled: DataFrame, level: float = 0.5) -> DataFrame:
+    """The first minute at which the pooled median reaches a level, null if never."""
+    return pooled.agg(first_when(F.col("median") >= level, F.col("minute_index")).alias("minute_at_level"))
+
+
 def segment_shares(bars: DataFrame, keys: list[str]) -> DataFrame:
     """Each segment's share of the volume; 0 where it has none."""
     of = lambda s: F.coalesce(F.sum(F.when(F.col("segment") == s, F.col("volume"))), F.lit(0)) / F.sum("volume")

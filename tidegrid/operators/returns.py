@@ -38,6 +38,17 @@ def horizon_prices(anchors: DataFrame, bars: DataFrame, keys: list[str], horizon
     return known.select(*keys, "anchor", "minute", "horizon", F.col("last_price").alias("price"), F.col("last_price").isNull().alias("is_undefined"))
 
 
+def close_horizons(anchors: DataFrame, closes: DataFrame, keys: list[str]) -> DataFrame:
+    """E5: the price at the close of each session of ``closes`` (keys, session_offset, close, last_minute), for each anchor.
+
+    In the anchor's own session the close is undefined where it comes before the anchor.
+    """
+    rows = anchors.join(closes, keys)
+    early = (F.col("session_offset") == 0) & (F.col("last_minute") < F.col("minute"))
+    price = F.when(F.col("minute").isNotNull() & ~early, F.col("close"))
+    return rows.select(*keys, "anchor", "minute", "session_offset", price.alias("price"), price.isNull().alias("is_undefined"))
+
+
 def time_bin(minute: Column) -> Column:
     """A named interval of the local day."""
     return (
@@ -52,10 +63,12 @@ def clock_text(minute: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), m % 60)
 
 
-def detect_crossing(bars: DataFrame, anchor: DataFrame, keys: list[str], multiple: float) -> DataFrame:
-    """The first minute whose high reaches a multiple of the anchor, and whether none does."""
-    rows = bars.join(anchor, keys, "left")
-    made = rows.groupBy(*keys).agg(F.first("anchor_price").alias("anchor_price"), first_when(F.col("high") >= F.lit(multiple) * F.col("anchor_price"), F.col("minute_index")).alias("detection_minute"))
+def detect_crossing(bars: DataFrame, anchor: DataFrame, keys: list[str], multiple: float, pre_min: int = 240) -> DataFrame:
+    """The first minute whose high reaches a multiple of the anchor, its segment and bin of the day, and whether none does."""
+    rows = (bars if "segment" in bars.columns else bars.withColumn("segment", F.lit(None).cast("string"))).join(anchor, keys, "left")
+    made = rows.groupBy(*keys).agg(F.first("anchor_price").alias("anchor_price"), F.min(F.when(F.col("high") >= F.lit(multiple) * F.col("anchor_price"), F.struct("minute_index", "segment"))).alias("hit"))
+    made = made.select(*keys, "anchor_price", F.col("hit.minute_index").alias("detection_minute"), F.col("hit.segment").alias("segment"), time_bin(F.col("hit.minute_index") + pre_min).alias("bin"))
+    made = made.withColumn("bin", F.when(F.col("detection_minute").isNotNull(), F.col("bin")))
     return made.withColumns({"is_undefined": F.col("anchor_price").isNull(), "never_reaches": F.col("anchor_price").isNotNull() & F.col("detection_minute").isNull()})
 
 
@@ -80,9 +93,14 @@ def runway(detections: DataFrame, highs: DataFrame, keys: list[str]) -> DataFram
     return rows.withColumns({"runway_minutes": F.col("high_minute") - F.col("detection_minute"), "runway_log": markout(F.col("detection_price"), F.col("day_high"))})
 
 
+def session_ends(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """The last price of each session, its minute and the session's bars; a row a session."""
+    return bars.groupBy(*keys, "session_offset").agg(F.max_by("last_price", "minute_index").alias("close"), F.max("minute_index").alias("last_minute"), F.count(F.lit(1)).alias("bars"))
+
+
 def session_closes(bars: DataFrame, keys: list[str], offsets: list[int]) -> DataFrame:
     """The last price of each session, wide by offset, with its bars counted."""
-    long = bars.groupBy(*keys, "session_offset").agg(F.max_by("last_price", "minute_index").alias("close"), F.count(F.lit(1)).alias("bars"))
+    long = session_ends(bars, keys)
     name = lambda o: f"m{-o}" if o < 0 else f"p{o}"
     wide = long.groupBy(*keys).pivot("session_offset", offsets).agg(F.first("close").alias("close"), F.first("bars").alias("bars"))
     return wide.select(*keys, *(F.col(f"{o}_{c}").alias(f"{c}_{name(o)}") for o in offsets for c in ("close", "bars")))
@@ -112,39 +130,82 @@ def markout_grid(rows: DataFrame, axes: list[str], value: str, thin: int = 100)
     return grid.join(cells, axes, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "is_thin": F.coalesce("is_thin", F.lit(True))})
 
 
-def axis_grid(detections: DataFrame, bars: DataFrame, keys: list[str], latencies: list[int], holds: list[int]) -> DataFrame:
-    """Log return of entering after each latency and leaving after each hold; null legs attrited."""
-    pairs = [F.struct(F.lit(a).alias("latency"), F.lit(h).alias("hold")) for a in latencies for h in holds]
-    each = detections.filter("detection_minute IS NOT NULL").select(*keys, "detection_minute", F.explode(F.array(*pairs)).alias("x")).select(*keys, "detection_minute", "x.*")
+def excluded_populations(rows: DataFrame, reasons: dict[str, Column], value: str) -> DataFrame:
+    """Rows left out by the first of the reasons that holds, and their values apart from the grid's."""
+    which = F.coalesce(*(F.when(c, F.lit(n)) for n, c in reasons.items()), F.lit("included"))
+    return rows.groupBy(which.alias("population")).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("n_defined"), F.percentile(value, F.lit(0.5)).alias("median"))
+
+
+def axis_rows(detections: DataFrame, bars: DataFrame, keys: list[str], latencies: list[int], holds: list[int]) -> DataFrame:
+    """Every detection entered after each latency and left after each hold, or at the last price (fixed_exit).
+
+    A leg past the session's last print is undefined. Entries and exits are one
+    stacked as-of; an entry meets its exits in a window over the same keys.
+    """
     price = bars.select(*keys, "minute_index", "last_price")
-    entered = asof_join(each.withColumn("t_in", F.col("detection_minute") + F.col("latency")), price, keys, "t_in", "minute_index", prefix="in_")
-    left = asof_join(entered.withColumn("t_out", F.col("t_in") + F.col("hold")), price, keys, "t_out", "minute_index", prefix="out_")
-    return left.withColumn("markout", markout(F.col("in_last_price"), F.col("out_last_price"))).groupBy("latency", "hold").agg(F.count(F.lit(1)).alias("n"), F.count("markout").alias("n_defined"), *quantiles("markout"))
+    last = bars.groupBy(*keys).agg(F.max("minute_index").alias("last_minute"), F.max_by("last_price", "minute_index").alias("close"))
+    legs = [F.struct(F.lit(a).alias("latency"), F.lit(h).alias("hold")) for a in latencies for h in (0, *holds)]
+    each = detections.filter("detection_minute IS NOT NULL").select(*keys, "detection_minute", F.explode(F.array(*legs)).alias("x")).select(*keys, "x.*", (F.col("detection_minute") + F.col("x.latency")).alias("entry_minute"), (F.col("detection_minute") + F.col("x.latency") + F.col("x.hold")).alias("target"))
+    met = asof_join(each, price, keys, "target", "minute_index", prefix="").join(last, keys)
+    rows = met.withColumn("price", F.when(F.col("target") <= F.col("last_minute"), F.col("last_price")))
+    fixed = F.col("hold") == 0
+    rows = rows.withColumn("entry_price", F.max(F.when(fixed, F.col("price"))).over(Window.partitionBy(*keys, "latency")))
+    out = F.when(fixed, F.col("close")).otherwise(F.col("price"))
+    return rows.select(
+        *keys, F.when(fixed, "fixed_exit").otherwise("fixed_horizon").alias("grid"), "latency", F.when(~fixed, F.col("hold")).alias("hold"), "entry_minute",
+        F.when(fixed, F.col("last_minute")).otherwise(F.col("target")).alias("exit_minute"), "entry_price", out.alias("exit_price"), markout(F.col("entry_price"), out).alias("markout"),
+    )
+
+
+def axis_grid(detections: DataFrame, bars: DataFrame, keys: list[str], latencies: list[int], holds: list[int]) -> DataFrame:
+    """Statistics of the log returns of each latency and hold, and of each latency up to the last price."""
+    rows = axis_rows(detections, bars, keys, latencies, holds)
+    return rows.groupBy("grid", "latency", "hold").agg(F.count(F.lit(1)).alias("n"), F.count("markout").alias("n_defined"), *quantiles("markout"))
+
 
+def log_decomposition(bars: DataFrame, keys: list[str], open_minute: int = 330) -> DataFrame:
+    """Prior regular close to the open as log parts - prior post, overnight, pre-market - that add up, and their shares.
 
-def log_decomposition(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Prior regular close to open as log parts: prior post, overnight, pre-market; they add up."""
+    The open is the last price at or before ``open_minute``. All are null unless
+    all four prices are positive; shares also where the sum is not positive.
+    """
     at = lambda cond, c, f: f(F.when(cond, F.col(c)), F.when(cond, F.col("minute_index")))
     before, now = F.col("session_offset") == -1, F.col("session_offset") == 0
-    seg = lambda s: F.col("segment") == s
     made = bars.filter("session_offset IN (-1, 0)").groupBy(*keys).agg(
-        at(before & seg("rth"), "last_price", F.max_by).alias("close"), at(before, "last_price", F.max_by).alias("post"),
-        at(now & seg("premarket"), "first_price", F.min_by).alias("pre"), at(now & seg("rth"), "first_price", F.min_by).alias("open"),
-    )
-    first = F.coalesce("pre", "open")
-    return made.select(
-        *keys, markout(F.col("close"), F.col("post")).alias("prior_post"), markout(F.col("post"), first).alias("overnight"), markout(first, F.col("open")).alias("premarket"),
-        markout(F.col("close"), F.col("open")).alias("total"), (F.col("close").isNull() | F.col("open").isNull()).alias("is_undefined"),
+        at(before & (F.col("segment") == "rth"), "last_price", F.max_by).alias("close"), at(before, "last_price", F.max_by).alias("post"),
+        at(now, "first_price", F.min_by).alias("first"), at(now & (F.col("minute_index") <= open_minute), "last_price", F.max_by).alias("open"),
+        *(F.max(c).alias(n) for n, c in {"has_close": before & (F.col("segment") == "rth"), "has_post": before, "has_first": now, "has_open": now & (F.col("minute_index") <= open_minute)}.items()),
     )
+    fine = F.lit(True)
+    for c in ("close", "post", "first", "open"):
+        fine = fine & F.coalesce(F.col(f"has_{c}") & (F.col(c) > 0), F.lit(False))
+    part = lambda a, b: F.when(fine, F.log(F.col(b) / F.col(a)))
+    rows = made.withColumns({"prior_post": part("close", "post"), "overnight": part("post", "first"), "premarket": part("first", "open"), "is_undefined": ~fine})
+    total = F.col("prior_post") + F.col("overnight") + F.col("premarket")
+    share = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total")).alias(f"share_{c}")
+    rows = rows.withColumn("total", total)
+    return rows.select(*keys, "prior_post", "overnight", "premarket", "total", *map(share, ("prior_post", "overnight", "premarket")), "is_undefined", F.coalesce(F.col("total") <= 0, F.lit(False)).alias("share_undefined"))
 
 
 def participation(bars: DataFrame, anchors: DataFrame, keys: list[str], prior: tuple[int, ...] = (-3, -2, -1)) -> DataFrame:
-    """Volume up to the anchor against the median of prior sessions up to the same minute, +1 log ratio."""
-    rows = bars.join(anchors.select(*keys, "minute"), keys).filter(F.col("minute_index") <= F.col("minute"))
-    by = rows.groupBy(*keys, "session_offset").agg(F.sum("volume").alias("volume"))
-    each = anchors.select(*keys, F.explode(F.array(*map(F.lit, [*prior, 0]))).alias("session_offset")).join(by, [*keys, "session_offset"], "left").withColumn("volume", F.coalesce("volume", F.lit(0)))
-    made = each.groupBy(*keys).agg(F.max(F.when(F.col("session_offset") == 0, F.col("volume"))).alias("volume"), F.percentile(F.when(F.col("session_offset") < 0, F.col("volume")), F.lit(0.5)).alias("baseline"))
-    return made.withColumn("participation", F.log((F.col("volume") + 1) / (F.col("baseline") + 1)))
+    """Volume up to the anchor's minute, and medians over prior sessions: up to it (clock) and whole (session).
+
+    A prior session without bars is left out; one with bars but none so far counts 0.
+    """
+    rows = bars.filter(F.col("session_offset").isin(*prior, 0)).join(anchors.select(*keys, "minute"), keys)
+    by = rows.groupBy(*keys, "session_offset").agg(F.coalesce(F.sum(F.when(F.col("minute_index") <= F.col("minute"), F.col("volume"))), F.lit(0)).alias("volume"), F.sum("volume").alias("whole"))
+    old = lambda c: F.percentile(F.when(F.col("session_offset") < 0, F.col(c)), F.lit(0.5))
+    made = by.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("session_offset") == 0, F.col("volume"))), F.lit(0)).alias("volume"), old("volume").alias("clock_baseline"), old("whole").alias("session_baseline"), F.count(F.when(F.col("session_offset") < 0, 1)).alias("n_sessions"))
+    out = anchors.select(*keys).join(made, keys, "left")
+    return out.withColumns({"volume": F.coalesce("volume", F.lit(0)), "n_sessions": F.coalesce("n_sessions", F.lit(0))})
+
+
+def participation_form(rows: DataFrame, most_undefined: float = 0.2) -> DataFrame:
+    """+1 log ratio of the volume to the clock baseline, or to the session's where the clock's is null or 0 too often."""
+    rate = rows.agg(F.avg((F.coalesce("clock_baseline", F.lit(0.0)) == 0).cast("double")).alias("rate"))
+    form = F.when(F.col("rate") > most_undefined, "session").otherwise("clock")
+    base = F.when(F.col("form") == "session", F.col("session_baseline")).otherwise(F.col("clock_baseline"))
+    return rows.join(F.broadcast(rate)).withColumn("form", form).withColumn("participation", F.log((F.col("volume") + 1) / (base + 1))).drop("rate")
 
 
 def buckets(rows: DataFrame, value: str, n: int, ties: list[str]) -> DataFrame:
@@ -171,12 +232,29 @@ def band_null(flagged: DataFrame, k_max: int, tolerance: float) -> DataFrame:
     return made.withColumn("background", F.col("beside") / 2)
 
 
-def retracement(rows: DataFrame, keys: list[str], entry: str, high: str, closes: dict[str, str], contaminated: str | None = None) -> DataFrame:
-    """Per horizon the share of the excursion given back, and the close against entry."""
-    each = rows.select(*keys, entry, high, (F.col(contaminated) if contaminated else F.lit(False)).alias("is_contaminated"), F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(c).alias("close")) for h, c in closes.items()))).alias("x"))
-    each = each.select(*keys, entry, high, "is_contaminated", "x.*")
-    up, back = markout(F.col(entry), F.col(high)), markout(F.col("close"), F.col(high))
-    return each.select(*keys, "horizon", ratio(back, up).alias("given_back"), markout(F.col(entry), F.col("close")).alias("kept"), (F.col("close") < F.col(entry)).alias("below_entry"), (up.isNull() | back.isNull() | (up == 0)).alias("is_undefined"), "is_contaminated")
+def band_coverage(flagged: DataFrame, least: float, k_max: int, tolerance: float) -> DataFrame:
+    """The share of the flagged range of absolute log ratios, ``least`` to the largest, that the bands cover by chance."""
+    half = math.log((1 + tolerance) / (1 - tolerance)) / 2
+    top = flagged.agg(F.max(F.abs("log_ratio")).alias("top"))
+    band = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(math.log(k) + half), F.col("top")) - F.greatest(F.lit(math.log(k) - half), F.lit(least)))
+    covered = F.lit(0.0)
+    for k in range(2, k_max + 1):
+        covered = covered + band(k)
+    return top.select(F.when(F.col("top") > least, covered / (F.col("top") - least)).alias("chance_coverage"))
+
+
+def retracement(rows: DataFrame, keys: list[str], anchor: str, detected: str, high: str, closes: dict[str, str], contaminated: str | None = None) -> DataFrame:
+    """Per horizon what the close gave back of the way from the anchor, and from detection, to the high.
+
+    (high - close) / (high - start); null unless the close and the way are positive.
+    """
+    each = rows.select(*keys, F.col(anchor).alias("a"), F.col(detected).alias("p"), F.col(high).alias("h"), (F.col(contaminated) if contaminated else F.lit(False)).alias("is_contaminated"), F.explode(F.array(*(F.struct(F.lit(n).alias("horizon"), F.col(c).alias("close")) for n, c in closes.items()))).alias("x"))
+    c, h = F.col("x.close"), F.col("h")
+    back = lambda start: F.when((c > 0) & (h > start), (h - c) / (h - start))
+    under = lambda start: F.when(c > 0, c < start)
+    a, p = F.col("a"), F.col("p")
+    wide = lambda start: F.coalesce(h > start, F.lit(False))
+    return each.select(*keys, "x.horizon", back(a).alias("of_excursion"), back(p).alias("of_detection"), under(a).alias("below_anchor"), under(p).alias("below_detection"), (~wide(a)).alias("excursion_undefined"), (~wide(p)).alias("detection_undefined"), (~F.coalesce(c > 0, F.lit(False))).alias("horizon_undefined"), "is_contaminated")
 
 
 def sensitivity_variants(rows: DataFrame, value: str, flag: str, by: list[str], trim: float) -> DataFrame:
@@ -204,6 +282,13 @@ def runway_split(rows: DataFrame, value: str, marks: list[float], width: float)
     return summary, bins
 
 
+def volume_at(bars: DataFrame, detections: DataFrame, keys: list[str]) -> DataFrame:
+    """Cumulative volume up to and with the detection's minute, and its share of the day's."""
+    rows = bars.join(detections.filter("detection_minute IS NOT NULL").select(*keys, "detection_minute"), keys)
+    so_far = F.sum(F.when(F.col("minute_index") <= F.col("detection_minute"), F.col("volume")))
+    return rows.groupBy(*keys).agg(so_far.alias("volume_at_detection"), ratio(so_far, F.sum("volume")).alias("volume_share"))
+
+
 def kde_trough(values: DataFrame, value: str, bandwidth: float = 0.15, points: int = 1000, bin_width: float = 0.01) -> DataFrame:
     """Gaussian density of log10 values on a grid; the two highest modes and the trough between.
 

@@ -12,16 +12,16 @@ STRICT = ["ticker", "day", "size", "et_min"]
 #: Regular hours as a dense grid, minutes 330 to 719 from the pre-market's start.
 GRID = """
 , grid AS (
-  SELECT e.ticker, e.event_date, m.minute_index, coalesce(volume, 0)::BIGINT AS volume, last_price
+  SELECT e.ticker, e.event_date, m.minute_index, coalesce(volume, 0)::BIGINT AS volume, first_price, last_price
   FROM event_list e CROSS JOIN (SELECT unnest(range(330, 720)) AS minute_index) m
   LEFT JOIN day_bars b ON b.ticker = e.ticker AND b.event_date = e.event_date AND b.minute_index = m.minute_index),
 filled AS (
   SELECT *, last_value(last_price IGNORE NULLS) OVER (PARTITION BY ticker, event_date ORDER BY minute_index) AS filled FROM grid)
 """
 DECAY = GRID + """
-, ends AS (SELECT *, first_value(last_price IGNORE NULLS) OVER w AS start, last_value(last_price IGNORE NULLS) OVER w AS stop FROM filled
+, ends AS (SELECT *, coalesce(first_value(first_price) OVER w, first_value(last_price IGNORE NULLS) OVER w) AS start, last_value(last_price IGNORE NULLS) OVER w AS stop FROM filled
   WINDOW w AS (PARTITION BY ticker, event_date ORDER BY minute_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-decay AS (SELECT ticker, event_date, minute_index, ln(filled / start) / nullif(ln(stop / start), 0) + 0.0::DOUBLE AS realized, coalesce(stop = start, true) AS is_undefined FROM ends)
+decay AS (SELECT ticker, event_date, minute_index, coalesce(abs(ln(filled / start)), 0) / nullif(abs(ln(stop / start)), 0) AS realized, coalesce(stop = start, true) AS is_undefined FROM ends)
 """
 
 
@@ -83,7 +83,7 @@ def _(v):
 
 
 @query("d9_concentration_curve", GRID + """
-, s AS (SELECT *, coalesce(abs(ln(last_price / lag(filled) OVER (PARTITION BY ticker, event_date ORDER BY minute_index))), 0) AS step FROM filled)
+, s AS (SELECT *, coalesce(abs(ln(last_price / lag(last_price) OVER (PARTITION BY ticker, event_date ORDER BY minute_index))), 0) AS step FROM filled)
 SELECT ticker, event_date, minute_index, row_number() OVER r / count(*) OVER w AS time_share,
   sum(volume) OVER r / nullif(sum(volume) OVER w, 0) AS volume_share, sum(step) OVER r / nullif(sum(step) OVER w, 0) AS path_share
 FROM s WINDOW w AS (PARTITION BY ticker, event_date), r AS (PARTITION BY ticker, event_date ORDER BY minute_index ROWS UNBOUNDED PRECEDING)
@@ -109,6 +109,21 @@ def _(v):
     return d.half_life(d.opportunity_decay(grid(v), KEYS), KEYS)
 
 
+@query("d11_decay_after_cutoff", DECAY.replace("OVER (PARTITION BY ticker, event_date ORDER BY minute_index) AS filled FROM grid", "OVER (PARTITION BY ticker, event_date ORDER BY minute_index) AS filled FROM grid WHERE minute_index >= 345") + """
+SELECT ticker, event_date, min(minute_index) FILTER (WHERE realized >= 0.5) AS minute_at_level, max(is_undefined) AS is_undefined FROM decay GROUP BY 1, 2
+""")
+def _(v):
+    return d.half_life(d.opportunity_decay(grid(v), KEYS, least_minute=345), KEYS)
+
+
+POOLED = DECAY + ", pooled AS (SELECT minute_index, quantile_cont(realized, 0.5) AS median FROM decay GROUP BY 1)\n"
+
+
+@query("d12_pooled_crossing", POOLED + "SELECT min(minute_index) FILTER (WHERE median >= 0.5) AS minute_at_level FROM pooled")
+def _(v):
+    return d.pooled_crossing(d.pooled_minute_quantiles(d.opportunity_decay(grid(v), KEYS), "realized"))
+
+
 @query("d12_pooled_minute_quantiles", DECAY + """
 SELECT minute_index, count(realized) AS n, quantile_cont(realized, 0.25) AS q25, quantile_cont(realized, 0.5) AS median, quantile_cont(realized, 0.75) AS q75 FROM decay GROUP BY 1
 """)
@@ -157,6 +172,15 @@ def _(v):
     return rows.select(*KEYS, "minute_index", "volume", "last_price")
 
 
+@query("d17_decay_on_open_clock", DECAY.replace("(330, 720)) AS minute_index", "(0, 390)) AS minute_index").replace("b.minute_index = m.minute_index", "b.minute_index - 330 = m.minute_index AND b.segment = 'rth'") + """
+SELECT ticker, event_date, min(minute_index) FILTER (WHERE realized >= 0.5) AS minute_at_level, max(is_undefined) AS is_undefined FROM decay GROUP BY 1, 2
+""")
+def _(v):
+    rows = d.reindex_clock(v.day_bars, v.spine.filter("session_offset = 0"), KEYS)
+    bounds = v.event_list.select(*KEYS, F.lit(0).cast("long").alias("start"), F.lit(390).cast("long").alias("stop"))
+    return d.half_life(d.opportunity_decay(d.dense_grid(rows, bounds, KEYS), KEYS), KEYS)
+
+
 @query("d18_tie_audit", """
 , m AS (SELECT l_partkey AS ticker, epoch_us(l_shipdate) AS ts_ns, l_extendedprice AS price FROM lineitem),
 x AS (SELECT *, min(ts_ns) OVER (PARTITION BY ticker) AS a, max(ts_ns) OVER (PARTITION BY ticker) AS z FROM m)

@@ -12,9 +12,11 @@ from tidegrid.plans.registry import query
 
 DET = """
 , anchor AS (SELECT ticker, event_date, arg_min(first_price, minute_index) AS anchor_price FROM day_bars GROUP BY 1, 2),
-det AS (SELECT ticker, event_date, any_value(anchor_price) AS anchor_price, min(minute_index) FILTER (WHERE high >= 1.1 * anchor_price) AS detection_minute
+det AS (SELECT ticker, event_date, any_value(anchor_price) AS anchor_price, min(minute_index) FILTER (WHERE high >= 1.1 * anchor_price) AS detection_minute, arg_min(segment, minute_index) FILTER (WHERE high >= 1.1 * anchor_price) AS segment
         FROM day_bars JOIN anchor USING (ticker, event_date) GROUP BY 1, 2)
 """
+BIN = """CASE WHEN {m} < 240 THEN 'overnight' WHEN {m} < 570 THEN 'premarket' WHEN {m} < 600 THEN 'open_30' WHEN {m} < 720 THEN 'morning'
+  WHEN {m} < 840 THEN 'midday' WHEN {m} < 930 THEN 'afternoon' WHEN {m} < 960 THEN 'close_30' WHEN {m} < 1200 THEN 'post' ELSE 'late' END"""
 ANCHORS = """
 , span AS (SELECT ticker, event_date, min(minute_index) AS a, max(minute_index) AS z FROM day_bars GROUP BY 1, 2),
 anc AS (SELECT ticker, event_date, n AS anchor, CASE WHEN m >= a THEN m END AS minute, m < a AS is_undefined
@@ -96,6 +98,15 @@ def _(v):
     return e.horizon_prices(anchors(v), v.day_bars, KEYS, [30, 60])
 
 
+@query("e5_close_horizons", ANCHORS + """
+, s AS (SELECT ticker, event_date, session_offset, arg_max(last_price, minute_index) AS close, max(minute_index) AS last_minute FROM bars WHERE session_offset IN (0, 1, 2) GROUP BY 1, 2, 3),
+p AS (SELECT anc.ticker, anc.event_date, anchor, minute, session_offset, CASE WHEN minute IS NOT NULL AND NOT (session_offset = 0 AND last_minute < minute) THEN close END AS price FROM anc JOIN s ON s.ticker = anc.ticker AND s.event_date = anc.event_date)
+SELECT *, price IS NULL AS is_undefined FROM p
+""")
+def _(v):
+    return e.close_horizons(anchors(v), e.session_ends(v.bars.filter("session_offset IN (0, 1, 2)"), KEYS), KEYS)
+
+
 @query("e6_time_bin", """
 SELECT CASE WHEN et_min < 240 THEN 'overnight' WHEN et_min < 570 THEN 'premarket' WHEN et_min < 600 THEN 'open_30' WHEN et_min < 720 THEN 'morning'
   WHEN et_min < 840 THEN 'midday' WHEN et_min < 930 THEN 'afternoon' WHEN et_min < 960 THEN 'close_30' WHEN et_min < 1200 THEN 'post' ELSE 'late' END AS bin,
@@ -105,7 +116,7 @@ def _(v):
     return v.trades.groupBy(e.time_bin(F.col("et_min")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(e.clock_text(F.col("et_min"))).alias("first_clock"))
 
 
-@query("e7_detect_crossing", DET + "SELECT *, anchor_price IS NULL AS is_undefined, anchor_price IS NOT NULL AND detection_minute IS NULL AS never_reaches FROM det")
+@query("e7_detect_crossing", DET + "SELECT *, CASE WHEN detection_minute IS NOT NULL THEN " + BIN.format(m="detection_minute + 240") + " END AS bin, anchor_price IS NULL AS is_undefined, anchor_price IS NOT NULL AND detection_minute IS NULL AS never_reaches FROM det")
 def _(v):
     return detections(v)
 
@@ -153,6 +164,11 @@ def _(v):
     return closes(v)
 
 
+@query("e11_session_ends", "SELECT ticker, event_date, session_offset, arg_max(last_price, minute_index) AS close, max(minute_index) AS last_minute, count(*) AS bars FROM bars GROUP BY 1, 2, 3")
+def _(v):
+    return e.session_ends(v.bars, KEYS)
+
+
 @query("e12_markout", """
 , x AS (SELECT ticker, event_date, arg_min(first_price, minute_index) FILTER (WHERE segment = 'rth') AS o, arg_max(last_price, minute_index) AS c FROM day_bars GROUP BY 1, 2)
 SELECT ticker, count(ln(c / o)) AS n, quantile_cont(ln(c / o), 0.5) AS median_markout FROM x GROUP BY 1
@@ -173,11 +189,22 @@ def _(v):
     return e.markout_grid(marks(v), ["ticker", "era", "flag"], "markout", thin=5)
 
 
+@query("e13_excluded_populations", MARKS + """
+, p AS (SELECT *, CASE WHEN markout IS NULL THEN 'no_price' WHEN abs(markout) > 1.0 THEN 'extreme' ELSE 'included' END AS population FROM marks)
+SELECT population, count(*) AS n, count(markout) AS n_defined, quantile_cont(markout, 0.5) AS median FROM p GROUP BY 1
+""")
+def _(v):
+    return e.excluded_populations(marks(v), {"no_price": F.col("markout").isNull(), "extreme": F.abs("markout") > 1.0}, "markout")
+
+
 @query("e14_axis_grid", DET + """
-, x AS (SELECT *, detection_minute + latency AS t_in, detection_minute + latency + hold AS t_out FROM det CROSS JOIN (SELECT unnest([0, 5]) AS latency) CROSS JOIN (SELECT unnest([10, 60]) AS hold) WHERE detection_minute IS NOT NULL),
-i AS (SELECT x.*, b.last_price AS pi FROM x ASOF LEFT JOIN day_bars b ON x.ticker = b.ticker AND x.event_date = b.event_date AND x.t_in >= b.minute_index),
-o AS (SELECT i.latency, i.hold, ln(b.last_price / pi) AS m FROM i ASOF LEFT JOIN day_bars b ON i.ticker = b.ticker AND i.event_date = b.event_date AND i.t_out >= b.minute_index)
-SELECT latency, hold, count(*) AS n, count(m) AS n_defined, quantile_cont(m, 0.25) AS q25, quantile_cont(m, 0.5) AS median, quantile_cont(m, 0.75) AS q75 FROM o GROUP BY 1, 2
+, z AS (SELECT ticker, event_date, max(minute_index) AS last_minute, arg_max(last_price, minute_index) AS close FROM day_bars GROUP BY 1, 2),
+x AS (SELECT d.*, last_minute, close, latency, hold, detection_minute + latency AS t_in, detection_minute + latency + hold AS t_out FROM det d JOIN z ON z.ticker = d.ticker AND z.event_date = d.event_date
+  CROSS JOIN (SELECT unnest([0, 5]) AS latency) CROSS JOIN (SELECT unnest([0, 10, 60]) AS hold) WHERE detection_minute IS NOT NULL),
+i AS (SELECT x.*, CASE WHEN t_in <= last_minute THEN b.last_price END AS pi FROM x ASOF LEFT JOIN day_bars b ON x.ticker = b.ticker AND x.event_date = b.event_date AND x.t_in >= b.minute_index),
+o AS (SELECT i.latency, CASE WHEN hold > 0 THEN hold END AS hold, CASE WHEN hold = 0 THEN 'fixed_exit' ELSE 'fixed_horizon' END AS grid, ln(CASE WHEN hold = 0 THEN close WHEN t_out <= last_minute THEN b.last_price END / pi) AS m
+  FROM i ASOF LEFT JOIN day_bars b ON i.ticker = b.ticker AND i.event_date = b.event_date AND i.t_out >= b.minute_index)
+SELECT grid, latency, hold, count(*) AS n, count(m) AS n_defined, quantile_cont(m, 0.25) AS q25, quantile_cont(m, 0.5) AS median, quantile_cont(m, 0.75) AS q75 FROM o GROUP BY 1, 2, 3
 """)
 def _(v):
     return e.axis_grid(detections(v), v.day_bars, KEYS, [0, 5], [10, 60])
@@ -185,9 +212,12 @@ def _(v):
 
 @query("e15_log_decomposition", """
 , x AS (SELECT ticker, event_date, arg_max(last_price, minute_index) FILTER (WHERE session_offset = -1 AND segment = 'rth') AS c, arg_max(last_price, minute_index) FILTER (WHERE session_offset = -1) AS p,
-  arg_min(first_price, minute_index) FILTER (WHERE session_offset = 0 AND segment = 'premarket') AS pre, arg_min(first_price, minute_index) FILTER (WHERE session_offset = 0 AND segment = 'rth') AS o
-  FROM bars WHERE session_offset IN (-1, 0) GROUP BY 1, 2)
-SELECT ticker, event_date, ln(p / c) AS prior_post, ln(coalesce(pre, o) / p) AS overnight, ln(o / coalesce(pre, o)) AS premarket, ln(o / c) AS total, c IS NULL OR o IS NULL AS is_undefined FROM x
+  arg_min(first_price, minute_index) FILTER (WHERE session_offset = 0) AS f, arg_max(last_price, minute_index) FILTER (WHERE session_offset = 0 AND minute_index <= 330) AS o
+  FROM bars WHERE session_offset IN (-1, 0) GROUP BY 1, 2),
+y AS (SELECT *, coalesce(c > 0 AND p > 0 AND f > 0 AND o > 0, false) AS fine FROM x),
+l AS (SELECT ticker, event_date, CASE WHEN fine THEN ln(p / c) END AS prior_post, CASE WHEN fine THEN ln(f / p) END AS overnight, CASE WHEN fine THEN ln(o / f) END AS premarket, NOT fine AS is_undefined FROM y),
+t AS (SELECT *, prior_post + overnight + premarket AS total FROM l)
+SELECT *, CASE WHEN total > 0 THEN prior_post / total END AS share_prior_post, CASE WHEN total > 0 THEN overnight / total END AS share_overnight, CASE WHEN total > 0 THEN premarket / total END AS share_premarket, coalesce(total <= 0, false) AS share_undefined FROM t
 """)
 def _(v):
     return e.log_decomposition(v.bars, KEYS)
@@ -195,13 +225,15 @@ def _(v):
 
 @query("e16_participation", ANCHORS + """
 , n AS (SELECT * FROM anc WHERE anchor = 'noon'),
-g AS (SELECT n.ticker, n.event_date, o, coalesce(sum(volume) FILTER (WHERE minute_index <= minute), 0) AS volume FROM n CROSS JOIN (SELECT unnest([-3, -2, -1, 0]) AS o)
-  LEFT JOIN bars b ON b.ticker = n.ticker AND b.event_date = n.event_date AND session_offset = o GROUP BY 1, 2, 3)
-SELECT ticker, event_date, max(volume) FILTER (WHERE o = 0)::BIGINT AS volume, quantile_cont(volume, 0.5) FILTER (WHERE o < 0) AS baseline,
-  ln((max(volume) FILTER (WHERE o = 0) + 1) / (quantile_cont(volume, 0.5) FILTER (WHERE o < 0) + 1)) AS participation FROM g GROUP BY 1, 2
+g AS (SELECT n.ticker, n.event_date, session_offset AS o, coalesce(sum(volume) FILTER (WHERE minute_index <= minute), 0) AS volume, sum(volume) AS whole FROM n
+  JOIN bars b ON b.ticker = n.ticker AND b.event_date = n.event_date AND session_offset IN (-3, -2, -1, 0) GROUP BY 1, 2, 3),
+p AS (SELECT n.ticker, n.event_date, coalesce(max(volume) FILTER (WHERE o = 0), 0)::BIGINT AS volume, quantile_cont(volume::DOUBLE, 0.5) FILTER (WHERE o < 0) AS clock_baseline,
+  quantile_cont(whole::DOUBLE, 0.5) FILTER (WHERE o < 0) AS session_baseline, count(o) FILTER (WHERE o < 0) AS n_sessions FROM n LEFT JOIN g ON g.ticker = n.ticker AND g.event_date = n.event_date GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN avg((coalesce(clock_baseline, 0) = 0)::INT) OVER () > 0.2 THEN 'session' ELSE 'clock' END AS form FROM p)
+SELECT *, ln((volume + 1) / (CASE WHEN form = 'session' THEN session_baseline ELSE clock_baseline END + 1)) AS participation FROM f
 """)
 def _(v):
-    return e.participation(v.bars, anchors(v).filter("anchor = 'noon'"), KEYS)
+    return e.participation_form(e.participation(v.bars, anchors(v).filter("anchor = 'noon'"), KEYS))
 
 
 @query("e17_rank_buckets", MARKS + """
@@ -234,14 +266,28 @@ def _(v):
     return e.band_null(extremes(v), 20, 0.05)
 
 
-@query("e20_retracement", MARK + """
-, x AS (SELECT w.*, entry, high FROM wide w JOIN (SELECT ticker, event_date, arg_min(first_price, minute_index) AS entry, max(high) AS high FROM day_bars GROUP BY 1, 2) USING (ticker, event_date)),
-u AS (SELECT ticker, event_date, entry, high, 'p0' AS horizon, p0 AS c FROM x UNION ALL SELECT ticker, event_date, entry, high, 'p1', p1 FROM x)
-SELECT ticker, event_date, horizon, ln(high / c) / nullif(ln(high / entry), 0) AS given_back, ln(c / entry) AS kept, c < entry AS below_entry, c IS NULL OR high = entry AS is_undefined, false AS is_contaminated FROM u
+@query("e19_band_coverage", EXTREME + """
+, t AS (SELECT max(abs(log_ratio)) AS top FROM k WHERE abs(log_ratio) >= 0.69), w AS (SELECT ln(1.05 / 0.95) / 2 AS half)
+SELECT CASE WHEN top > 0.69 THEN (SELECT sum(greatest(0, least(ln(k) + half, top) - greatest(ln(k) - half, 0.69))) FROM (SELECT unnest(range(2, 21)) AS k) CROSS JOIN w) / (top - 0.69) END AS chance_coverage FROM t
+""")
+def _(v):
+    return e.band_coverage(extremes(v).filter("is_large"), 0.69, 20, 0.05)
+
+
+@query("e20_retracement", MARK + DET + """
+, x AS (SELECT w.*, anchor_price AS a, m.high AS h, b.last_price AS p FROM wide w JOIN det d ON d.ticker = w.ticker AND d.event_date = w.event_date
+  JOIN (SELECT ticker, event_date, max(high) AS high FROM day_bars GROUP BY 1, 2) m ON m.ticker = w.ticker AND m.event_date = w.event_date
+  LEFT JOIN day_bars b ON b.ticker = w.ticker AND b.event_date = w.event_date AND b.minute_index = detection_minute),
+u AS (SELECT ticker, event_date, a, h, p, 'p0' AS horizon, p0 AS c FROM x UNION ALL SELECT ticker, event_date, a, h, p, 'p1', p1 FROM x)
+SELECT ticker, event_date, horizon, CASE WHEN c > 0 AND h > a THEN (h - c) / (h - a) END AS of_excursion, CASE WHEN c > 0 AND h > p THEN (h - c) / (h - p) END AS of_detection,
+  CASE WHEN c > 0 THEN c < a END AS below_anchor, CASE WHEN c > 0 THEN c < p END AS below_detection, NOT coalesce(h > a, false) AS excursion_undefined, NOT coalesce(h > p, false) AS detection_undefined,
+  NOT coalesce(c > 0, false) AS horizon_undefined, false AS is_contaminated FROM u
 """)
 def _(v):
-    first = v.day_bars.groupBy(*KEYS).agg(F.min_by("first_price", "minute_index").alias("entry"), F.max("high").alias("high"))
-    return e.retracement(closes(v).join(first, KEYS), KEYS, "entry", "high", {"p0": "close_p0", "p1": "close_p1"})
+    price = v.day_bars.select(*KEYS, F.col("minute_index").alias("detection_minute"), F.col("last_price").alias("detection_price"))
+    high = v.day_bars.groupBy(*KEYS).agg(F.max("high").alias("high"))
+    rows = closes(v).join(detections(v), KEYS).join(price, [*KEYS, "detection_minute"], "left").join(high, KEYS)
+    return e.retracement(rows, KEYS, "anchor_price", "detection_price", "high", {"p0": "close_p0", "p1": "close_p1"})
 
 
 @query("e21_sensitivity_variants", MARKS + """
@@ -278,6 +324,14 @@ def _(v):
     return e.runway_split(rows, "x", [0, 5, 60], 0.25)[1]
 
 
+@query("e23_volume_at_detection", DET + """
+SELECT d.ticker, d.event_date, (sum(volume) FILTER (WHERE minute_index <= detection_minute))::BIGINT AS volume_at_detection, sum(volume) FILTER (WHERE minute_index <= detection_minute) / sum(volume) AS volume_share
+FROM det d JOIN day_bars b ON b.ticker = d.ticker AND b.event_date = d.event_date WHERE detection_minute IS NOT NULL GROUP BY 1, 2
+""")
+def _(v):
+    return e.volume_at(v.day_bars, detections(v), KEYS)
+
+
 @query("e24_kde_trough", """
 , b AS (SELECT round(log10(volume) / 0.01) * 0.01 AS x, count(*) AS n FROM day_bars GROUP BY 1), s AS (SELECT min(x) AS lo, max(x) AS hi FROM b),
 g AS (SELECT i, lo + (hi - lo) * i / 999 AS g FROM s CROSS JOIN (SELECT unnest(range(1000)) AS i)),
