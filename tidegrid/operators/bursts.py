@@ -56,20 +56,73 @@ def peak_profile(series: DataFrame, keys: list[str], order: str, value: str, off
     return met.select(*keys, "peak_at", "top", "offset", ratio(F.col("known"), F.col("top")).alias("share_of_peak"))
 
 
-def scalar_baseline(bars: DataFrame, spine: DataFrame, keys: list[str]) -> DataFrame:
-    """H6: prints and volume a minute over the flanking sessions of each event."""
-    span = spine.filter("session_offset <> 0").groupBy(*keys).agg(F.sum(F.col("post_min") - F.col("pre_min")).alias("minutes"))
-    total = bars.filter("session_offset <> 0").groupBy(*keys).agg(F.sum("n_trades").alias("n"), F.sum("volume").alias("v"))
-    return span.join(total, keys, "left").select(*keys, "minutes", (F.coalesce("n", F.lit(0)) / F.col("minutes")).alias("print_rate"), (F.coalesce("v", F.lit(0)) / F.col("minutes")).alias("volume_rate"))
+def decay_times(series: DataFrame, keys: list[str], order: str, value: str, fractions: list[float]) -> DataFrame:
+    """H5: time from the peak (the first largest value) until the value stays below each fraction of it; null where it never does.
 
+    The time is that of the first row after the last one at or above the level.
+    """
+    peak = series.groupBy(*keys).agg(F.max_by(F.struct(F.col(order).alias("peak_at"), F.col(value).alias("top")), F.struct(F.col(value), -F.col(order))).alias("p")).select(*keys, "p.*")
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = series.withColumn("next", F.lead(order).over(w)).join(peak, keys).filter(F.col(order) >= F.col("peak_at"))
+    last = lambda f: F.max(F.when(F.col(value) >= F.lit(float(f)) * F.col("top"), F.struct(order, "next")))["next"]
+    return rows.groupBy(*keys).agg(F.first("peak_at").alias("peak_at"), F.first("top").alias("top"), *((last(f) - F.first("peak_at")).alias(f"decay_{i}") for i, f in enumerate(fractions)))
+
+
+def log_grid(least: float, most: float, points: int) -> list[float]:
+    """H5: offsets on a symmetric log scale around 0, ``points`` on either side."""
+    side = [least * (most / least) ** (i / (points - 1)) for i in range(points)]
+    return [*(-x for x in reversed(side)), 0.0, *side]
+
+
+def profile_around(series: DataFrame, origins: DataFrame, keys: list[str], order: str, value: str, offsets: list[float]) -> DataFrame:
+    """H5: the value at offsets around an origin (``at``: a peak or a detection), interpolated between rows, relative to the largest.
+
+    Null outside the series. Rows before and after each point come from two as-of joins, forward and backward.
+    """
+    top = series.groupBy(*keys).agg(F.max(value).alias("top"))
+    each = origins.select(*keys, "at").withColumn("offset", F.explode(F.array(*(F.lit(float(x)) for x in offsets)))).withColumn("target", F.col("at") + F.col("offset"))
+    known = series.select(*keys, F.col(order).cast("double").alias("x"), F.col(value).cast("double").alias("y"))
+    below = asof_join(each, known, keys, "target", "x", prefix="a_").withColumn("negative", -F.col("target"))
+    both = asof_join(below, known.withColumn("negative_x", -F.col("x")), keys, "negative", "negative_x", prefix="b_").join(top, keys)
+    line = F.when(F.col("a_x") == F.col("b_x"), F.col("a_y")).otherwise(F.col("a_y") + (F.col("b_y") - F.col("a_y")) * ratio(F.col("target") - F.col("a_x"), F.col("b_x") - F.col("a_x")))
+    return both.select(*keys, "at", "offset", ratio(line, F.col("top")).alias("share_of_top"))
 
-def tod_baseline(bars: DataFrame, keys: list[str], half: int) -> DataFrame:
-    """H7: prints around each minute of the event's day over its flanking sessions, +-half minutes."""
-    fine = bars.filter("session_offset <> 0").groupBy(*keys, "minute_index").agg(F.sum("n_trades").alias("n"))
-    want = bars.filter("session_offset = 0").select(*keys, "minute_index").withColumn("n", F.lit(0).cast("long")).withColumn("own", F.lit(True))
-    rows = fine.withColumn("own", F.lit(False)).unionByName(want)
-    w = Window.partitionBy(*keys).orderBy("minute_index").rangeBetween(-half, half)
-    return rows.withColumn("prints", F.sum("n").over(w)).filter("own").select(*keys, "minute_index", "prints", (F.col("prints") > 0).alias("is_defined"))
+
+def collected_sessions(spine: DataFrame, ticks: DataFrame, keys: list[str], flank: tuple[int, ...] = (-3, -2, -1), ticker: str = "ticker", date: str = "et_date") -> DataFrame:
+    """H6, H7: (keys, session_offset, minutes): flanking sessions for which any tick was collected."""
+    days = ticks.select(ticker, F.col(date).alias("session_date")).distinct()
+    return spine.filter(F.col("session_offset").isin(*flank)).join(days, [ticker, "session_date"], "left_semi").select(*keys, "session_offset", (F.col("post_min") - F.col("pre_min")).alias("minutes"))
+
+
+def scalar_baseline(bars: DataFrame, collected: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """H6: prints and volume a second over the collected flanking sessions; undefined without any, or without prints."""
+    span = collected.groupBy(*keys).agg(F.sum("minutes").alias("minutes"), F.count(F.lit(1)).alias("n_sessions"))
+    total = bars.join(collected.select(*keys, "session_offset"), [*keys, "session_offset"], "left_semi").groupBy(*keys).agg(F.sum("n_trades").alias("n_prints"), F.sum("volume").alias("volume"))
+    rows = events.select(*keys).join(span, keys, "left").join(total, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_sessions", "n_prints")})
+    rate = lambda c: F.when(F.col("n_prints") > 0, F.col(c) / (F.col("minutes") * 60.0))
+    return rows.select(*keys, "n_sessions", "n_prints", rate("n_prints").alias("prints_per_s"), rate("volume").alias("volume_per_s"), (F.col("n_prints") == 0).alias("is_undefined"))
+
+
+def tod_baseline(bars: DataFrame, collected: DataFrame, spine: DataFrame, keys: list[str], half: int, floor: float) -> DataFrame:
+    """H7: for every minute of the event's session the prints a minute within +-half minutes of it in the collected flanking sessions.
+
+    Counts over slots (the minutes that these sessions have there), floored; the
+    event's label: baseline_undefined without slots, defined where every minute
+    has prints, else baseline_partial.
+    """
+    own = spine.filter("session_offset = 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), (F.col("post_min") - F.col("pre_min") - 1).cast("long"))).alias("minute_index"))
+    fine = bars.join(collected.select(*keys, "session_offset"), [*keys, "session_offset"], "left_semi").groupBy(*keys, "minute_index").agg(F.sum("n_trades").alias("n"))
+    rows = fine.withColumn("own", F.lit(False)).unionByName(own.withColumns({"n": F.lit(0).cast("long"), "own": F.lit(True)}))
+    near = Window.partitionBy(*keys).orderBy("minute_index").rangeBetween(-half, half)
+    counted = rows.withColumn("prints", F.sum("n").over(near)).filter("own").drop("n", "own")
+    spans = collected.groupBy(*keys).agg(F.collect_list("minutes").alias("spans"))  # as many as there are flanking offsets
+    m = F.col("minute_index")
+    slot = lambda s: F.greatest(F.lit(0), F.least(s - 1, m + half) - F.greatest(F.lit(0), m - half) + 1)
+    made = counted.join(spans, keys, "left").withColumn("slots", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + slot(s)), F.lit(0)))
+    w = Window.partitionBy(*keys)
+    label = F.when(F.max("slots").over(w) == 0, "baseline_undefined").when(F.min("prints").over(w) > 0, "defined").otherwise("baseline_partial")
+    rate = F.when(F.col("slots") > 0, F.col("prints") / F.col("slots"))
+    return made.select(*keys, "minute_index", "prints", "slots", rate.alias("rate"), F.greatest(F.coalesce(rate, F.lit(floor)), F.lit(floor)).alias("rate_floored"), label.alias("label"))
 
 
 def hysteresis_bursts(series: DataFrame, keys: list[str], order: list[str], z: Column, on: float, off: float) -> DataFrame:
@@ -136,6 +189,11 @@ def two_state_bursts(ticks: DataFrame, keys: list[str], s: float, gamma: float,
     return folded.withColumn("state", F.coalesce(F.first(fixed, ignorenulls=True).over(ahead), F.lit(0))).select(*keys, "ts_ns", "seq", "d", "state")
 
 
+def burst_runs(path: DataFrame, keys: list[str]) -> DataFrame:
+    """The runs of gaps in the upper state: first and last gap's end and their number."""
+    return runs_of(path.withColumn("is_burst", F.col("state") == 1), keys, "is_burst")
+
+
 def sweep_runs(ticks: DataFrame, keys: list[str], gap_ns: int) -> DataFrame:
     """Runs of prints closer than a gap: count, mean, size-biased mean, largest."""
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
@@ -144,21 +202,48 @@ def sweep_runs(ticks: DataFrame, keys: list[str], gap_ns: int) -> DataFrame:
     return sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_runs"), F.avg("n").alias("mean"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("size_biased"), F.max("n").alias("largest"))
 
 
+def session_ends(ticks: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each session's prints: number, volume, span, and the move from the first price to the last."""
+    order = F.struct("ts_ns", "seq")
+    return ticks.groupBy(*keys).agg(F.count(F.lit(1)).alias("session_prints"), F.sum("size").alias("session_volume"), (F.max("ts_ns") - F.min("ts_ns")).alias("session_ns"), (F.max_by("price", order) - F.min_by("price", order)).alias("session_move"))
+
+
 def burst_measures(ticks: DataFrame, keys: list[str], burst: str = "run") -> DataFrame:
-    """Duration, prints, volume, log move, high and share of the session's absolute move, of numbered bursts."""
+    """Duration, prints, volume, move, high, share of the session's move (null if that is 0) and time since the last burst's end.
+
+    Ticks whose burst is null belong to the session alone.
+    """
     order = F.struct("ts_ns", "seq")
-    made = ticks.groupBy(*keys, burst).agg(F.min("ts_ns").alias("start_ns"), (F.max("ts_ns") - F.min("ts_ns")).alias("duration_ns"), F.count(F.lit(1)).alias("n_prints"), F.sum("size").alias("volume"), F.log(F.max_by("price", order) / F.min_by("price", order)).alias("move"), F.max("price").alias("high"))
-    w = Window.partitionBy(*keys)
-    spacing = F.col("start_ns") - F.lag("start_ns").over(w.orderBy("start_ns"))
-    return made.withColumns({"move_share": ratio(F.abs("move"), F.sum(F.abs("move")).over(w)), "spacing_ns": spacing})
+    made = ticks.filter(F.col(burst).isNotNull()).groupBy(*keys, burst).agg(F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"), F.count(F.lit(1)).alias("n_prints"), F.sum("size").alias("volume"), (F.max_by("price", order) - F.min_by("price", order)).alias("move"), F.max("price").alias("high"))
+    joined = made.join(session_ends(ticks, keys).select(*keys, "session_move"), keys)
+    spacing = F.col("start_ns") - F.lag("end_ns").over(Window.partitionBy(*keys).orderBy("start_ns"))
+    return joined.select(*keys, burst, "start_ns", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), "n_prints", "volume", "move", "high", ratio(F.col("move"), F.col("session_move")).alias("move_share"), spacing.alias("spacing_ns"))
+
+
+def burst_coverage(ticks: DataFrame, measures: DataFrame, keys: list[str]) -> DataFrame:
+    """Per event the bursts and the shares of time, prints and volume inside them; absolute moves added up."""
+    inside = measures.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bursts"), F.sum("duration_ns").alias("covered_ns"), F.sum("n_prints").alias("prints"), F.sum("volume").alias("volume"), F.sum(F.abs("move")).alias("abs_move"))
+    rows = session_ends(ticks, keys).join(inside, keys, "left")
+    share = lambda a, b: F.coalesce(ratio(F.col(a), F.col(b)), F.lit(0.0))
+    return rows.select(*keys, F.coalesce("n_bursts", F.lit(0)).alias("n_bursts"), share("covered_ns", "session_ns").alias("time_share"), share("prints", "session_prints").alias("print_share"), share("volume", "session_volume").alias("volume_share"), F.coalesce("abs_move", F.lit(0.0)).alias("abs_move_in_bursts"), "session_move")
 
 
 def burst_concentration(ticks: DataFrame, keys: list[str], burst: str, marks_s: list[int]) -> DataFrame:
-    """Share of a burst's volume printed by each mark of seconds from its start."""
-    rows = ticks.withColumn("age", (F.col("ts_ns") - F.min("ts_ns").over(Window.partitionBy(*keys, burst))) / NS)
-    total = F.sum("size")
-    made = rows.groupBy(*keys, burst).agg(*(ratio(F.coalesce(F.sum(F.when(F.col("age") <= m, F.col("size"))), F.lit(0)), total).alias(f"share_{m}s") for m in marks_s))
-    return made
+    """Shares of a burst's volume and of its move reached by each mark of seconds from its start, and whether it is still open.
+
+    Bursts without duration or volume have no marks; the move's share is null where the burst does not move.
+    """
+    w = Window.partitionBy(*keys, burst)
+    order = F.struct("ts_ns", "seq")
+    rows = ticks.filter(F.col(burst).isNotNull()).withColumn("age", (F.col("ts_ns") - F.min("ts_ns").over(w)) / NS)
+    by = lambda m: F.col("age") <= m
+    first, last = F.min_by("price", order), F.max_by("price", order)
+    marks = [
+        F.struct(F.lit(m).alias("seconds"), ratio(F.coalesce(F.sum(F.when(by(m), F.col("size"))), F.lit(0)), F.sum("size")).alias("volume_share"), ratio(F.max_by("price", F.when(by(m), order)) - first, last - first).alias("move_share"), (F.max("age") >= m).alias("is_open"))
+        for m in marks_s
+    ]
+    made = rows.groupBy(*keys, burst).agg(F.array(*marks).alias("marks"), F.max("age").alias("duration"), F.sum("size").alias("volume"))
+    return made.filter("duration > 0 AND volume > 0").select(*keys, burst, F.inline("marks"))
 
 
 def interval_jaccard(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,6 +300,20 @@ def variant_stability(rows: DataFrame, keys: list[str], variant: str, value: str
     return made.withColumn("is_stable", F.coalesce(F.col("log_ratio") <= tolerance, F.lit(False)))
 
 
+def moved_share(rows: DataFrame, by: list[str], variant: str, at: str, decay: str, a: str, b: str, event: list[str]) -> DataFrame:
+    """Of events with both variants, the share whose peak lies further apart than variant ``a``'s decay."""
+    of = lambda v, c: F.max(F.when(F.col(variant) == v, F.col(c)))
+    each = rows.groupBy(*by, *event).agg(F.abs(of(a, at) - of(b, at)).alias("moved"), of(a, decay).alias("decay"))
+    kept = each.filter("moved IS NOT NULL AND decay IS NOT NULL")
+    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("moved") > F.col("decay")).cast("double")).alias("moved_share"))
+
+
+def near_cutoff(rows: DataFrame, by: list[str], status: str, reason: str, value: str, cutoff: float, band: float) -> DataFrame:
+    """Events by status and reason, and how many of them have a value within ``band`` of the cutoff."""
+    near = F.abs(F.col(value) - cutoff) <= band
+    return rows.groupBy(*by, status, reason).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(near, 1)).alias("n_near"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("near_share"))
+
+
 def status_shares(rows: DataFrame, status: str, by: list[str]) -> DataFrame:
     """Share of events in each status of a group."""
     n = rows.groupBy(*by, status).agg(F.count(F.lit(1)).alias("n"))

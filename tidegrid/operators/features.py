@@ -31,9 +31,16 @@ def relative_volume(daily: DataFrame, back: int = 30, least: int = 10) -> DataFr
     return daily.withColumn("rvol", F.when(F.count("volume").over(w) >= least, ratio(F.col("volume"), F.avg("volume").over(w))))
 
 
-def top_magnitude(events: DataFrame, n: int, least: float) -> DataFrame:
-    """The n largest magnitudes at or above a threshold, ties by key."""
-    return events.filter(F.col("magnitude") >= least).orderBy(F.desc("magnitude"), "ticker", "event_date").limit(n)
+def top_magnitude(events: DataFrame, n: int, least: float, min_rows: int | None = None, rows: str = "n_rows") -> DataFrame:
+    """The n largest magnitudes at or above a threshold, ties by key; ``min_rows``: of events with so many ticks at least."""
+    kept = events.filter(F.col("magnitude") >= least)
+    kept = kept if min_rows is None else kept.filter(F.col(rows) >= min_rows)
+    return kept.orderBy(F.desc("magnitude"), "ticker", "event_date").limit(n)
+
+
+def magnitude_of_name(name: Column) -> Column:
+    """The number at the end of a folder name such as ``TICKER_2024-01-05_87.5``, null where there is none."""
+    return F.nullif(F.regexp_extract(name, r"_(-?\d+(?:\.\d+)?)$", 1), F.lit("")).cast("double")
 
 
 def price_normalise(events: DataFrame, trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,6 +63,23 @@ def halts(ticks: DataFrame, keys: list[str], least_ns: int, open_min: int = 570,
     return gaps.groupBy(*keys).agg(F.count(F.when(hit, 1)).alias("n_halts"), F.coalesce(F.max(F.when(hit, F.col("gap_ns"))), F.lit(0)).alias("longest_ns"), F.coalesce(F.sum(F.when(hit, F.col("gap_ns"))), F.lit(0)).alias("total_ns"), F.max(F.when(hit, F.col("ts_ns") + F.col("gap_ns"))).alias("last_resume_ns"))
 
 
+def halt_ends(ticks: DataFrame, keys: list[str], least_ns: int, open_min: int = 570, close_min: int = 960) -> DataFrame:
+    """Ticks with ``resume_ns``: their own time where they end a halt (see ``halts``)."""
+    w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
+    old = F.lag("et_min").over(w)
+    halted = (F.col("ts_ns") - F.lag("ts_ns").over(w) > least_ns) & (old >= open_min) & (old < close_min)
+    return ticks.withColumn("resume_ns", F.when(halted, F.col("ts_ns")))
+
+
+def since_halt(ticks: DataFrame, keys: list[str], least_ns: int, first_min: int, end_min: int) -> DataFrame:
+    """Seconds from the end of the last halt before a window to the window's first tick; null without either."""
+    rows = halt_ends(ticks, keys, least_ns)
+    start = F.min(F.when(F.col("et_min").between(first_min, end_min - 1), F.col("ts_ns"))).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("start_ns", start)
+    last = F.max(F.when(F.col("resume_ns") < F.col("start_ns"), F.col("resume_ns")))
+    return rows.groupBy(*keys).agg(((F.max("start_ns") - last) / 1e9).alias("seconds_since_halt"))
+
+
 def hawkes_intensity(ticks: DataFrame, keys: list[str], alpha: float, beta: float, freeze_s: float) -> DataFrame:
     """Self-exciting intensity with decay frozen across gaps over ``freeze_s``, and its step.
 
@@ -84,10 +108,20 @@ def hawkes_intensity(ticks: DataFrame, keys: list[str], alpha: float, beta: floa
     return lam.withColumn("step", F.coalesce(F.col("intensity") - F.lag("intensity").over(w), F.lit(0.0))).select(*keys, "seq", "ts_ns", "tau", "intensity", "step")
 
 
-def intensity_stats(rows: DataFrame, keys: list[str], by: str, least: int = 10) -> DataFrame:
-    """Mean and largest intensity of each regime, null with fewer ticks than ``least``."""
+def intensity_stats(rows: DataFrame, keys: list[str], windows: dict[str, Column], least: int = 10) -> DataFrame:
+    """Mean and largest intensity and step in each named window, null with fewer ticks than ``least``. Windows may overlap."""
+    inside = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in windows.items())))
+    each = rows.select(*keys, "intensity", "step", F.explode(inside).alias("window"))
     enough = F.count(F.lit(1)) >= least
-    return rows.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.avg("intensity")).alias("mean_intensity"), F.when(enough, F.max("intensity")).alias("max_intensity"))
+    stats = {"mean_intensity": F.avg("intensity"), "max_intensity": F.max("intensity"), "mean_step": F.avg("step"), "max_step": F.max("step")}
+    return each.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"), *(F.when(enough, x).alias(n) for n, x in stats.items()))
+
+
+def post_halt_surge(rows: DataFrame, keys: list[str], seconds: int = 60) -> DataFrame:
+    """The largest intensity within some seconds after a halt's end; null without halts. ``rows`` has resume_ns."""
+    run = Window.partitionBy(*keys).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    made = rows.withColumn("last_ns", F.last("resume_ns", ignorenulls=True).over(run))
+    return made.groupBy(*keys).agg(F.max(F.when(F.col("ts_ns") < F.col("last_ns") + seconds * 1_000_000_000, F.col("intensity"))).alias("post_halt_surge"))
 
 
 def cvd(ticks: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,12 +163,24 @@ def cvd_convexity(points: DataFrame, keys: list[str], step_s: int, half: int = 1
     return got.select(*keys, "cell", "y", filled.alias("convexity"))
 
 
-def premarket_context(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Pre-market high against the open, prints, and its volume a minute against regular hours'."""
-    pre, rth = F.col("segment") == "premarket", F.col("segment") == "rth"
-    a_minute = lambda s: ratio(F.sum(F.when(s, F.col("volume"))), F.count(F.when(s, 1)))
-    made = bars.groupBy(*keys).agg(F.max(F.when(pre, F.col("high"))).alias("pre_high"), F.min_by(F.when(rth, F.col("first_price")), F.when(rth, F.col("minute_index"))).alias("open"), F.coalesce(F.sum(F.when(pre, F.col("n_trades"))), F.lit(0)).alias("pre_trades"), ratio(a_minute(pre), a_minute(rth)).alias("volume_ratio"))
-    return made.withColumn("pre_high_distance", ratio(F.col("pre_high"), F.col("open")) - 1)
+def premarket_context(bars: DataFrame, keys: list[str], first: int = 330, minutes: int = 15) -> DataFrame:
+    """The open against the pre-market high, and the opening minutes' volume rate against the pre-market's.
+
+    The pre-market's rate is over the minutes from its first to its last print,
+    one at least, and counts as one at least; null without bars on either side.
+    """
+    pre = F.col("segment") == "premarket"
+    rth = F.col("segment") == "rth"
+    opening = rth & (F.col("minute_index") >= first) & (F.col("minute_index") < first + minutes)
+    span = (F.max(F.when(pre, F.col("last_ts"))) - F.min(F.when(pre, F.col("first_ts")))) / 6e10
+    made = bars.groupBy(*keys).agg(
+        F.max(F.when(pre, F.col("high"))).alias("pre_high"), F.min_by(F.when(rth, F.col("first_price")), F.when(rth, F.col("minute_index"))).alias("open"),
+        F.count(F.when(rth, 1)).alias("n_rth"), F.coalesce(F.sum(F.when(pre, F.col("n_trades"))), F.lit(0)).alias("pre_trades"),
+        (F.sum(F.when(opening, F.col("volume"))) / minutes / F.greatest(F.sum(F.when(pre, F.col("volume"))) / F.greatest(span, F.lit(1.0)), F.lit(1.0))).alias("ratio"),
+        (F.count(F.when(pre, 1)) > 0).alias("has_pre"),
+    )
+    open_ = F.when(F.col("n_rth") > 0, F.col("open"))
+    return made.select(*keys, "pre_high", open_.alias("open"), "pre_trades", F.when(F.col("has_pre"), F.col("ratio")).alias("volume_ratio"), F.when(F.col("pre_high") > 0, (open_ - F.col("pre_high")) / F.col("pre_high")).alias("pre_high_distance"))
 
 
 def feature_row(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -198,13 +244,22 @@ def entry_signal(ticks: DataFrame, keys: list[str], first_min: int, last_min: in
 
 
 def barrier_exit(ticks: DataFrame, entries: DataFrame, keys: list[str], stop: float, hold_ns: int) -> DataFrame:
-    """First stop hit or time exit after entry, best and worst excursion up to it."""
-    rows = ticks.join(entries.filter("entry_ns IS NOT NULL"), keys).filter((F.col("ts_ns") > F.col("entry_ns")) & (F.col("ts_ns") <= F.col("entry_ns") + hold_ns))
-    r = F.col("price") / F.col("entry_price") - 1
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumn("r", r).withColumn("stop_ns", F.min(F.when(F.col("r") <= -stop, F.col("ts_ns"))).over(w))
-    kept = rows.filter(F.col("stop_ns").isNull() | (F.col("ts_ns") <= F.col("stop_ns")))
-    return kept.groupBy(*keys).agg(F.when(F.max("stop_ns").isNotNull(), "stop").otherwise("time").alias("reason"), F.max("ts_ns").alias("exit_ns"), F.max_by("r", F.struct("ts_ns", "seq")).alias("ret"), F.max("r").alias("best"), F.min("r").alias("worst"))
+    """First stop hit or time exit after entry; excursions from entry up to it.
+
+    A stop fills at the stop price; a time exit at the last tick held; an entry
+    without later ticks leaves at its own price (``no_ticks``).
+    """
+    taken = entries.filter("entry_ns IS NOT NULL")
+    rows = taken.join(ticks.select(*keys, "ts_ns", "seq", "price"), keys).filter((F.col("ts_ns") > F.col("entry_ns")) & (F.col("ts_ns") <= F.col("entry_ns") + hold_ns))
+    rows = rows.withColumn("r", F.col("price") / F.col("entry_price") - 1)
+    hit = F.min(F.when(F.col("price") <= F.col("entry_price") * (1 - stop), F.struct("ts_ns", "seq"))).over(Window.partitionBy(*keys))
+    kept = rows.withColumn("hit", hit).filter(F.col("hit").isNull() | (F.struct("ts_ns", "seq") <= F.col("hit")))
+    out = kept.groupBy(*keys).agg(F.max("hit").isNotNull().alias("stopped"), F.max("ts_ns").alias("exit_ns"), F.max_by("r", F.struct("ts_ns", "seq")).alias("last"), F.max("r").alias("up"), F.min("r").alias("down"))
+    zero = F.lit(0.0)
+    return taken.join(out, keys, "left").select(
+        *keys, F.when(F.col("exit_ns").isNull(), "no_ticks").when(F.col("stopped"), "stop").otherwise("time").alias("reason"), F.coalesce("exit_ns", "entry_ns").alias("exit_ns"),
+        F.when(F.col("stopped"), F.lit(-stop)).otherwise(F.coalesce("last", zero)).alias("ret"), F.greatest(F.coalesce("up", zero), zero).alias("best"), F.least(F.coalesce("down", zero), zero).alias("worst"),
+    )
 
 
 def pnl_metrics(trades: DataFrame, by: list[str], pnl: str, ret: str, order: list[str]) -> DataFrame:

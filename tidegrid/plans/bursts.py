@@ -94,21 +94,57 @@ def _(v):
     return h.peak_profile(v.day_bars, KEYS, "minute_index", "volume", [-30, 0, 30, 120])
 
 
-@query("h6_scalar_baseline", """
-, s AS (SELECT ticker, event_date, sum(post_min - pre_min)::BIGINT AS minutes FROM spine WHERE session_offset <> 0 GROUP BY 1, 2), t AS (SELECT ticker, event_date, sum(n_trades) AS n, sum(volume) AS v FROM bars WHERE session_offset <> 0 GROUP BY 1, 2)
-SELECT ticker, event_date, minutes, coalesce(n, 0) / minutes AS print_rate, coalesce(v, 0) / minutes AS volume_rate FROM s LEFT JOIN t USING (ticker, event_date)
+@query("h5_decay_times", """
+, p AS (SELECT ticker, event_date, arg_max(minute_index, (volume, -minute_index)) AS peak_at, max(volume) AS top FROM day_bars GROUP BY 1, 2),
+r AS (SELECT b.ticker, b.event_date, minute_index, volume, peak_at, top, lead(minute_index) OVER (PARTITION BY b.ticker, b.event_date ORDER BY minute_index) AS nxt FROM day_bars b JOIN p ON p.ticker = b.ticker AND p.event_date = b.event_date)
+SELECT ticker, event_date, any_value(peak_at) AS peak_at, any_value(top) AS top, arg_max(coalesce(nxt, -1), minute_index) FILTER (WHERE volume >= 0.5 * top) AS a, arg_max(coalesce(nxt, -1), minute_index) FILTER (WHERE volume >= 0.1 * top) AS b FROM r WHERE minute_index >= peak_at GROUP BY 1, 2
+""")
+def _(v):
+    rows = h.decay_times(v.day_bars, KEYS, "minute_index", "volume", [0.5, 0.1])
+    back = lambda c: F.coalesce(F.col(c) + F.col("peak_at"), F.lit(-1)).cast("long")
+    return rows.select(*KEYS, "peak_at", "top", back("decay_0").alias("a"), back("decay_1").alias("b"))
+
+
+@query("h5_profile_around", """
+, o AS (SELECT ticker, event_date, arg_max(minute_index, (volume, -minute_index)) AS o_at, max(volume) AS top FROM day_bars GROUP BY 1, 2), t AS (SELECT *, o_at + x AS target FROM o CROSS JOIN (SELECT unnest([-100, -10, -1, 0, 1, 10, 100]::DOUBLE[]) AS x)),
+a AS (SELECT t.*, b.minute_index AS x0, b.volume AS y0 FROM t ASOF LEFT JOIN day_bars b ON b.ticker = t.ticker AND b.event_date = t.event_date AND t.target >= b.minute_index),
+c AS (SELECT a.*, b.minute_index AS x1, b.volume AS y1 FROM a ASOF LEFT JOIN day_bars b ON b.ticker = a.ticker AND b.event_date = a.event_date AND a.target <= b.minute_index)
+SELECT ticker, event_date, o_at AS "at", x AS "offset", CASE WHEN x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (target - x0) / (x1 - x0) END / top AS share_of_top FROM c
+""")
+def _(v):
+    origin = v.day_bars.groupBy(*KEYS).agg(F.max_by("minute_index", F.struct(F.col("volume"), -F.col("minute_index"))).alias("at"))
+    return h.profile_around(v.day_bars, origin, KEYS, "minute_index", "volume", [round(x, 9) for x in h.log_grid(1, 100, 3)])
+
+
+COLLECTED = """
+, got AS (SELECT ticker, event_date, session_offset, (post_min - pre_min)::BIGINT AS minutes FROM spine s WHERE session_offset IN (-3, -2, -1) AND EXISTS (SELECT 1 FROM trades t WHERE t.ticker = s.ticker AND t.et_date = s.session_date)),
+flank AS (SELECT b.* FROM bars b JOIN got USING (ticker, event_date, session_offset))
+"""
+
+
+def collected(v):
+    return h.collected_sessions(v.spine, v.trades, KEYS)
+
+
+@query("h6_scalar_baseline", COLLECTED + """
+, s AS (SELECT ticker, event_date, sum(minutes) AS minutes, count(*) AS n_sessions FROM got GROUP BY 1, 2), t AS (SELECT ticker, event_date, sum(n_trades)::BIGINT AS n, sum(volume) AS v FROM flank GROUP BY 1, 2)
+SELECT ticker, event_date, coalesce(n_sessions, 0) AS n_sessions, coalesce(n, 0)::BIGINT AS n_prints, CASE WHEN n > 0 THEN n / (minutes * 60) END AS prints_per_s, CASE WHEN n > 0 THEN v / (minutes * 60) END AS volume_per_s, coalesce(n, 0) = 0 AS is_undefined
+FROM event_list LEFT JOIN s USING (ticker, event_date) LEFT JOIN t USING (ticker, event_date)
 """)
 def _(v):
-    return h.scalar_baseline(v.bars, v.spine, KEYS)
+    return h.scalar_baseline(v.bars, collected(v), v.event_list, KEYS)
 
 
-@query("h7_tod_baseline", """
-, f AS (SELECT ticker, event_date, minute_index, sum(n_trades) AS n FROM bars WHERE session_offset <> 0 GROUP BY 1, 2, 3)
-SELECT d.ticker, d.event_date, d.minute_index, coalesce(sum(n), 0)::BIGINT AS prints, coalesce(sum(n), 0) > 0 AS is_defined
-FROM day_bars d LEFT JOIN f ON f.ticker = d.ticker AND f.event_date = d.event_date AND f.minute_index BETWEEN d.minute_index - 15 AND d.minute_index + 15 GROUP BY 1, 2, 3
+@query("h7_tod_baseline", COLLECTED + """
+, f AS (SELECT ticker, event_date, minute_index, sum(n_trades) AS n FROM flank GROUP BY 1, 2, 3),
+o AS (SELECT ticker, event_date, unnest(range(0, post_min - pre_min)) AS minute_index FROM spine WHERE session_offset = 0),
+p AS (SELECT o.ticker, o.event_date, o.minute_index, coalesce(sum(n), 0)::BIGINT AS prints FROM o LEFT JOIN f ON f.ticker = o.ticker AND f.event_date = o.event_date AND f.minute_index BETWEEN o.minute_index - 15 AND o.minute_index + 15 GROUP BY 1, 2, 3),
+t AS (SELECT o.ticker, o.event_date, o.minute_index, coalesce(sum(greatest(0, least(minutes - 1, o.minute_index + 15) - greatest(0, o.minute_index - 15) + 1)) FILTER (WHERE minutes IS NOT NULL), 0)::BIGINT AS slots FROM o LEFT JOIN got ON got.ticker = o.ticker AND got.event_date = o.event_date GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN slots > 0 THEN prints / slots END AS rate, greatest(coalesce(CASE WHEN slots > 0 THEN prints / slots END, 0.01), 0.01) AS rate_floored,
+  CASE WHEN max(slots) OVER w = 0 THEN 'baseline_undefined' WHEN min(prints) OVER w > 0 THEN 'defined' ELSE 'baseline_partial' END AS label FROM p JOIN t USING (ticker, event_date, minute_index) WINDOW w AS (PARTITION BY ticker, event_date)
 """)
 def _(v):
-    return h.tod_baseline(v.bars, KEYS, 15)
+    return h.tod_baseline(v.bars, collected(v), v.spine, KEYS, 15, 0.01)
 
 
 @query("h8_hysteresis_bursts", HYST + "SELECT * FROM iv")
@@ -121,7 +157,7 @@ def _(v):
     return h.merge_drop(hysteresis(v), ["ticker"], 120 * MIN, 60 * MIN)
 
 
-@query("h10_two_state_bursts", """
+KLEINBERG = """
 , g0 AS (SELECT ticker, et_date, ts_ns, seq, greatest((ts_ns - lag(ts_ns) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)) / 1e9, 1e-9) AS gap, row_number() OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) - 1 AS i FROM trades),
 g AS (SELECT *, count(*) OVER w + 1 AS n, sum(gap) OVER w AS span FROM g0 WHERE i > 0 WINDOW w AS (PARTITION BY ticker, et_date)),
 c AS (SELECT *, ln(n) AS tau, (3 - 1) * n / span * gap - ln(3) AS dc FROM g),
@@ -130,12 +166,25 @@ path AS (
     SELECT ticker, et_date, i, ts_ns, seq, tau, tau + dc AS d FROM c WHERE i = 1
     UNION ALL SELECT c.ticker, c.et_date, c.i, c.ts_ns, c.seq, c.tau, least(greatest(r.d, 0), c.tau) + c.dc FROM r JOIN c ON c.ticker = r.ticker AND c.et_date = r.et_date AND c.i = r.i + 1)
   SELECT * FROM r)
+"""
+
+
+@query("h10_two_state_bursts", KLEINBERG + """
 SELECT ticker, et_date, ts_ns, seq, d, coalesce(first_value(CASE WHEN d >= tau THEN 0 WHEN d < 0 THEN 1 END IGNORE NULLS) OVER (PARTITION BY ticker, et_date ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS state FROM path
 """)
 def _(v):
     return h.two_state_bursts(v.trades, DAY, 3.0, 1.0)
 
 
+@query("h10_burst_runs", KLEINBERG + """
+, st AS (SELECT *, coalesce(first_value(CASE WHEN d >= tau THEN 0 WHEN d < 0 THEN 1 END IGNORE NULLS) OVER (PARTITION BY ticker, et_date ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS state FROM path),
+sc AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY ticker, et_date ORDER BY i) THEN 1 ELSE 0 END AS ch FROM st), sr AS (SELECT *, sum(ch) OVER (PARTITION BY ticker, et_date ORDER BY i) AS run FROM sc)
+SELECT ticker, et_date, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n FROM sr WHERE state = 1 GROUP BY ticker, et_date, run
+""")
+def _(v):
+    return h.burst_runs(h.two_state_bursts(v.trades, DAY, 3.0, 1.0), DAY)
+
+
 @query("h12_sweep_runs", RUNS + """
 , s AS (SELECT ticker, et_date, count(*) AS n FROM runs GROUP BY ticker, et_date, run)
 SELECT ticker, et_date, count(*) AS n_runs, avg(n) AS mean, sum(n * n) / sum(n) AS size_biased, max(n) AS largest FROM s GROUP BY 1, 2
@@ -144,20 +193,45 @@ def _(v):
     return h.sweep_runs(v.trades, DAY, 30 * MIN)
 
 
-@query("h13_burst_measures", RUNS + """
-, b AS (SELECT ticker, et_date, run, min(ts_ns) AS start_ns, max(ts_ns) - min(ts_ns) AS duration_ns, count(*) AS n_prints, sum(size)::BIGINT AS volume, ln(arg_max(price, (ts_ns, seq)) / arg_min(price, (ts_ns, seq))) + 0.0::DOUBLE AS move, max(price) AS high FROM runs GROUP BY 1, 2, 3)
-SELECT *, abs(move) / nullif(sum(abs(move)) OVER (PARTITION BY ticker, et_date), 0) AS move_share, start_ns - lag(start_ns) OVER (PARTITION BY ticker, et_date ORDER BY start_ns) AS spacing_ns FROM b
+MEASURES = RUNS + """
+, kept AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY ticker, et_date, run) >= 2 THEN run END AS burst FROM runs),
+se AS (SELECT ticker, et_date, count(*) AS session_prints, sum(size) AS session_volume, max(ts_ns) - min(ts_ns) AS session_ns, arg_max(price, (ts_ns, seq)) - arg_min(price, (ts_ns, seq)) AS session_move FROM kept GROUP BY 1, 2),
+bm AS (SELECT ticker, et_date, burst, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n_prints, sum(size)::BIGINT AS volume, arg_max(price, (ts_ns, seq)) - arg_min(price, (ts_ns, seq)) AS move, max(price) AS high FROM kept WHERE burst IS NOT NULL GROUP BY 1, 2, 3),
+measures AS (SELECT bm.ticker, bm.et_date, burst, start_ns, end_ns - start_ns AS duration_ns, n_prints, volume, move, high, move / nullif(session_move, 0) AS move_share, start_ns - lag(end_ns) OVER (PARTITION BY bm.ticker, bm.et_date ORDER BY start_ns) AS spacing_ns FROM bm JOIN se USING (ticker, et_date))
+"""
+
+
+def bursts_of(v):
+    """Runs of two prints at least are bursts; other prints belong to the session alone."""
+    from pyspark.sql import Window
+
+    n = F.count(F.lit(1)).over(Window.partitionBy(*DAY, "run"))
+    return runs(v).withColumn("burst", F.when(n >= 2, F.col("run")))
+
+
+@query("h13_burst_measures", MEASURES + "SELECT * FROM measures")
+def _(v):
+    return h.burst_measures(bursts_of(v), DAY, "burst")
+
+
+@query("h13_burst_coverage", MEASURES + """
+, c AS (SELECT ticker, et_date, count(*) AS n_bursts, sum(duration_ns) AS ns, sum(n_prints) AS prints, sum(volume) AS volume, sum(abs(move)) AS abs_move FROM measures GROUP BY 1, 2)
+SELECT se.ticker, se.et_date, coalesce(n_bursts, 0) AS n_bursts, coalesce(ns / nullif(session_ns, 0), 0) AS time_share, coalesce(prints / session_prints, 0) AS print_share, coalesce(volume / session_volume, 0) AS volume_share, coalesce(abs_move, 0) AS abs_move_in_bursts, session_move
+FROM se LEFT JOIN c USING (ticker, et_date)
 """)
 def _(v):
-    return h.burst_measures(runs(v), DAY)
+    ticks = bursts_of(v)
+    return h.burst_coverage(ticks, h.burst_measures(ticks, DAY, "burst"), DAY)
 
 
-@query("h14_burst_concentration", RUNS + """
-, a AS (SELECT *, (ts_ns - min(ts_ns) OVER (PARTITION BY ticker, et_date, run)) / 1e9 AS age FROM runs)
-SELECT ticker, et_date, run, coalesce(sum(size) FILTER (WHERE age <= 0), 0) / sum(size) AS share_0s, coalesce(sum(size) FILTER (WHERE age <= 600), 0) / sum(size) AS share_600s FROM a GROUP BY 1, 2, 3
+@query("h14_burst_concentration", MEASURES + """
+, a AS (SELECT *, (ts_ns - min(ts_ns) OVER (PARTITION BY ticker, et_date, burst)) / 1e9 AS age FROM kept WHERE burst IS NOT NULL),
+g AS (SELECT ticker, et_date, burst, seconds, sum(size) FILTER (WHERE age <= seconds) / sum(size) AS volume_share, (arg_max(price, (ts_ns, seq)) FILTER (WHERE age <= seconds) - arg_min(price, (ts_ns, seq))) / nullif(arg_max(price, (ts_ns, seq)) - arg_min(price, (ts_ns, seq)), 0) AS move_share,
+  max(age) >= seconds AS is_open, max(age) AS duration FROM a CROSS JOIN (SELECT unnest([0, 600]) AS seconds) GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (duration) FROM g WHERE duration > 0
 """)
 def _(v):
-    return h.burst_concentration(runs(v), DAY, "run", [0, 600])
+    return h.burst_concentration(bursts_of(v), DAY, "burst", [0, 600])
 
 
 @query("h15_interval_jaccard", MERGE + """
@@ -212,6 +286,27 @@ def _(v):
     return h.status_shares(v.trades.groupBy(*DAY).agg(status.alias("status")), "status", ["ticker"])
 
 
+@query("h21_moved_share", """
+, u AS (SELECT ticker, et_date, 'all' AS v, arg_max(ts_ns, (price, -ts_ns)) AS p_at, 3600000000000 * (1 + count(*) % 3) AS decay FROM trades GROUP BY 1, 2 UNION ALL SELECT ticker, et_date, 'large', arg_max(ts_ns, (price, -ts_ns)), 0 FROM trades WHERE size > 50 GROUP BY 1, 2),
+e AS (SELECT ticker, et_date, abs(max(p_at) FILTER (WHERE v = 'all') - max(p_at) FILTER (WHERE v = 'large')) AS moved, max(decay) FILTER (WHERE v = 'all') AS decay FROM u GROUP BY 1, 2)
+SELECT ticker, count(*) AS n, avg((moved > decay)::INT) AS moved_share FROM e WHERE moved IS NOT NULL GROUP BY 1
+""")
+def _(v):
+    one = lambda rows, name, decay: rows.groupBy(*DAY).agg(F.max_by("ts_ns", F.struct(F.col("price"), -F.col("ts_ns"))).alias("at"), decay.alias("decay")).withColumn("v", F.lit(name))
+    rows = one(v.trades, "all", 3_600_000_000_000 * (1 + F.count(F.lit(1)) % 3)).unionByName(one(v.trades.filter("size > 50"), "large", F.lit(0).cast("long")))
+    return h.moved_share(rows, ["ticker"], "v", "at", "decay", "all", "large", ["et_date"])
+
+
+@query("h22_near_cutoff", """
+, s AS (SELECT ticker, count(*) AS k, CASE WHEN count(*) < 15 THEN 'too_few' ELSE 'ok' END AS status, CASE WHEN count(*) < 15 THEN 'prints' WHEN max(price) < 50 THEN 'price' ELSE 'none' END AS reason FROM trades GROUP BY ticker, et_date)
+SELECT ticker, status, reason, count(*) AS n, count(*) FILTER (WHERE abs(k - 15) <= 3) AS n_near, avg((abs(k - 15) <= 3)::INT) AS near_share FROM s GROUP BY 1, 2, 3
+""")
+def _(v):
+    few = F.count(F.lit(1)) < 15
+    rows = v.trades.groupBy(*DAY).agg(F.count(F.lit(1)).alias("k"), F.when(few, "too_few").otherwise("ok").alias("status"), F.when(few, "prints").when(F.max("price") < 50, "price").otherwise("none").alias("reason"))
+    return h.near_cutoff(rows, ["ticker"], "status", "reason", "k", 15, 3)
+
+
 SAMPLE = MARKS + """
 , q AS (SELECT *, row_number() OVER (ORDER BY markout, ticker, event_date) AS r, count(*) OVER () AS n FROM marks WHERE markout IS NOT NULL),
 g AS (SELECT *, CASE WHEN n = 1 THEN 1 ELSE greatest(1, ceil(10 * (r - 1) / (n - 1)))::INTEGER END AS grp, md5('7|' || ticker || '|' || event_date) AS h FROM q),
@@ -228,6 +323,31 @@ def _(v):
     return deciles(v).select(*KEYS, "group")
 
 
+@query("i1_edge_sample", MARKS + """
+, g AS (SELECT *, CASE WHEN markout <= -1 THEN 1 WHEN markout <= 0 THEN 2 WHEN markout <= 1 THEN 3 ELSE 4 END AS grp FROM marks WHERE markout IS NOT NULL)
+SELECT ticker, event_date, grp AS "group" FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('7|' || ticker || '|' || event_date), ticker, event_date) <= 5
+""")
+def _(v):
+    return i.edge_sample(marks(v), "markout", KEYS, [-1, 0, 1], 5, 7).select(*KEYS, "group")
+
+
+@query("i2_topped_up_draw", MARKS + """
+, f AS (SELECT ticker, event_date, era, md5('8|' || ticker || '|' || event_date) AS h FROM marks), r AS (SELECT *, row_number() OVER (PARTITION BY era, ticker ORDER BY h, event_date) = 1 AS first FROM f)
+SELECT ticker, event_date, era FROM r ORDER BY first DESC, h, ticker, event_date LIMIT 40
+""")
+def _(v):
+    return i.topped_up_draw(marks(v), ["era", "ticker"], KEYS, 40, 8).select(*KEYS, "era")
+
+
+@query("i2_frequent_pattern_draw", MARKS + """
+, f AS (SELECT ticker, event_date, era || '-' || flag AS pattern, md5('8|' || ticker || '|' || event_date) AS h FROM marks), c AS (SELECT pattern, count(*) AS frequency FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)
+SELECT ticker, event_date, pattern, frequency FROM f JOIN c USING (pattern) QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY h, ticker, event_date) = 1
+""")
+def _(v):
+    rows = marks(v).withColumn("pattern", F.concat_ws("-", "era", F.col("flag").cast("string")))
+    return i.frequent_pattern_draw(rows, "pattern", KEYS, 3, 8).select(*KEYS, "pattern", "frequency")
+
+
 @query("i2_complement_draw", SAMPLE + """
 SELECT ticker, event_date, era FROM marks m WHERE NOT EXISTS (SELECT 1 FROM deciles d WHERE d.ticker = m.ticker AND d.event_date = m.event_date)
 QUALIFY row_number() OVER (PARTITION BY era ORDER BY md5('8|' || ticker || '|' || event_date), ticker, event_date) <= 12
@@ -256,23 +376,35 @@ def _(v):
     return i.above_line(rows, "l_quantity", "l_extendedprice", i.quantile_line(rows, "l_quantity", "l_extendedprice", 0.9))
 
 
-BOOT = MARKS + """
-, m AS (SELECT * FROM marks WHERE markout IS NOT NULL), u AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ticker FROM m)),
-d AS (SELECT rep, ('0x' || substr(md5('11|' || rep || ',' || i), 1, 12))::BIGINT % n AS i FROM u CROSS JOIN (SELECT unnest(range(50)) AS rep)),
-x AS (SELECT rep, markout FROM d JOIN u USING (i) JOIN m USING (ticker)), p AS (SELECT rep, quantile_cont(markout, 0.5) AS m FROM x GROUP BY 1)
+def boot(name, unit, seed):
+    """Bounds under Poisson numbers of draws by unit."""
+    times = " + ".join(f"(u > {p!r})::INT" for p in i.POISSON)
+    return f"""
+, {name}u AS (SELECT markout, {unit} AS unit, rep, ('0x' || substr(md5('{seed}|' || rep || ',' || {unit}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM marks CROSS JOIN (SELECT unnest(range(50)) AS rep) WHERE markout IS NOT NULL),
+{name}x AS (SELECT rep, markout, unnest(range({times})) FROM {name}u), {name}p AS (SELECT rep, quantile_cont(markout, 0.5) AS m FROM {name}x GROUP BY 1),
+{name} AS (SELECT (SELECT quantile_cont(markout, 0.5) FROM marks) AS point, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM {name}p)
 """
 
 
-@query("i6_block_bootstrap_median", BOOT + "SELECT (SELECT quantile_cont(markout, 0.5) FROM m) AS point, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM p")
+ROW = "ticker || '|' || event_date"
+
+
+@query("i6_block_bootstrap_median", MARKS + boot("block", "ticker", 11) + "SELECT * FROM block")
 def _(v):
     return i.block_bootstrap_median(marks(v), "markout", "ticker", 50, 11)
 
 
-@query("i7_naive_bootstrap_median", BOOT.replace("SELECT * FROM marks WHERE", "SELECT *, ticker || '|' || event_date AS unit FROM marks WHERE").replace("(SELECT ticker, row", "(SELECT unit, row").replace("ORDER BY ticker)", "ORDER BY unit)").replace("DISTINCT ticker", "DISTINCT unit").replace("m USING (ticker)", "m USING (unit)") + "SELECT (SELECT quantile_cont(markout, 0.5) FROM m) AS point, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM p")
+@query("i7_naive_bootstrap_median", MARKS + boot("naive", ROW, 11) + "SELECT * FROM naive")
 def _(v):
     return i.naive_bootstrap_median(marks(v), "markout", KEYS, 50, 11)
 
 
+@query("i7_width_ratio", MARKS + boot("block", "ticker", 11) + boot("naive", ROW, 11) + "SELECT b.high - b.low AS block_width, n.high - n.low AS naive_width, (b.high - b.low) / nullif(n.high - n.low, 0) AS width_ratio FROM block b CROSS JOIN naive n")
+def _(v):
+    rows = marks(v)
+    return i.width_ratio(i.block_bootstrap_median(rows, "markout", "ticker", 50, 11), i.naive_bootstrap_median(rows, "markout", KEYS, 50, 11))
+
+
 @query("i8_cluster_medians", MARKS + """
 , e AS (SELECT ticker, quantile_cont(markout, 0.5) AS m, count(markout) AS n FROM marks GROUP BY 1 HAVING count(markout) > 0)
 SELECT count(*) AS n_units, quantile_cont(m, 0.5) AS median_of_medians, avg((m < 0)::INT) AS negative_share, quantile_cont(n::DOUBLE, 0.5) AS rows_a_unit, max(n) AS most_rows FROM e

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators import features as g
+from tidegrid.operators import quotes as q
 from tidegrid.plans.fixtures import KEYS
 from tidegrid.plans.registry import query
 
@@ -67,6 +68,17 @@ def _(v):
     return g.top_magnitude(v.event_list, 25, 50)
 
 
+@query("g4_top_magnitude_of_names", """
+, n AS (SELECT e.*, 'T' || e.ticker || '_' || e.event_date || '_' || printf('%.2f', magnitude) AS folder, c.n_rows FROM event_list e JOIN (SELECT ticker, et_date, count(*) AS n_rows FROM trades GROUP BY 1, 2) c ON c.ticker = e.ticker AND c.et_date = e.event_date)
+SELECT ticker, event_date, n_rows, regexp_extract(folder, '_(-?[0-9]+(?:[.][0-9]+)?)$', 1)::DOUBLE AS magnitude FROM n WHERE n_rows >= 10 AND magnitude >= 50 ORDER BY magnitude DESC, ticker, event_date LIMIT 25
+""")
+def _(v):
+    counts = v.trades.groupBy("ticker", F.col("et_date").alias("event_date")).agg(F.count(F.lit(1)).alias("n_rows"))
+    folder = F.concat(F.lit("T"), F.col("ticker").cast("string"), F.lit("_"), F.col("event_date").cast("string"), F.lit("_"), F.format_string("%.2f", "magnitude"))
+    rows = v.event_list.join(counts, KEYS).withColumn("magnitude", g.magnitude_of_name(folder))
+    return g.top_magnitude(rows, 25, 50, min_rows=10)
+
+
 @query("g5_price_normalise", """
 , f AS (SELECT ticker, et_date AS event_date, arg_min(price, (ts_ns, seq)) AS first_price FROM trades WHERE et_min BETWEEN 570 AND 959 GROUP BY 1, 2)
 SELECT e.*, e.magnitude AS open, first_price, magnitude / nullif(first_price, 0) AS phi, coalesce(abs(log10(nullif(magnitude, 0) / first_price)) > 3, true) AS is_outlier FROM event_list e LEFT JOIN f USING (ticker, event_date)
@@ -89,17 +101,51 @@ def _(v):
     return g.halts(v.trades, DAY, 1_800_000_000_000)
 
 
+HALT = """
+, hx AS (SELECT *, ts_ns - lag(ts_ns) OVER w > 1800000000000 AND lag(et_min) OVER w >= 570 AND lag(et_min) OVER w < 960 AS resumes FROM trades WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
+hw AS (SELECT *, min(CASE WHEN et_min BETWEEN 840 AND 899 THEN ts_ns END) OVER (PARTITION BY ticker, et_date) AS start_ns FROM hx),
+since AS (SELECT ticker, et_date, (max(start_ns) - max(ts_ns) FILTER (WHERE resumes AND ts_ns < start_ns)) / 1e9 AS seconds_since_halt FROM hw GROUP BY 1, 2)
+"""
+
+
+@query("g7_since_halt", HALT + "SELECT * FROM since")
+def _(v):
+    return g.since_halt(v.trades, DAY, 1_800_000_000_000, 840, 900)
+
+
 @query("g8_hawkes_intensity", HAWKES + "SELECT seq, intensity, step FROM hawkes")
 def _(v):
     return hawkes(v).select("seq", "intensity", "step")
 
 
-@query("g9_intensity_stats", HAWKES + """
-SELECT ticker, et_date, CASE WHEN et_min < 570 THEN 'PRE' WHEN et_min < 585 THEN 'FLIP' ELSE 'STD' END AS regime, count(*) AS n, CASE WHEN count(*) >= 10 THEN avg(intensity) END AS mean_intensity, CASE WHEN count(*) >= 10 THEN max(intensity) END AS max_intensity FROM hawkes GROUP BY 1, 2, 3
-""")
+WINDOWS = {"pre": "et_min < 570", "flip": "et_min >= 570 AND et_min < 585", "std": "et_min >= 585", "rth": "et_min >= 570 AND et_min < 960", "day": "true"}
+STATS = HAWKES + ", stats AS (" + " UNION ALL ".join(f"""
+SELECT ticker, et_date, '{n}' AS "window", count(*) AS n, CASE WHEN count(*) >= 10 THEN avg(intensity) END AS mean_intensity, CASE WHEN count(*) >= 10 THEN max(intensity) END AS max_intensity,
+  CASE WHEN count(*) >= 10 THEN avg(step) END AS mean_step, CASE WHEN count(*) >= 10 THEN max(step) END AS max_step FROM hawkes WHERE {c} GROUP BY 1, 2""" for n, c in WINDOWS.items()) + ")\n"
+SURGE = HALT + """
+, sr AS (SELECT h.*, last_value(CASE WHEN resumes THEN h.ts_ns END IGNORE NULLS) OVER (PARTITION BY h.ticker, h.et_date ORDER BY h.ts_ns, h.seq) AS last_ns FROM hawkes h JOIN hx USING (ticker, et_date, seq)),
+surge AS (SELECT ticker, et_date, max(intensity) FILTER (WHERE ts_ns < last_ns + 60000000000) AS post_halt_surge FROM sr GROUP BY 1, 2)
+"""
+
+
+def stats(v):
+    rows = hawkes(v).join(v.trades.select(*DAY, "seq", "et_min"), [*DAY, "seq"])
+    return g.intensity_stats(rows, DAY, {n: F.expr(c) for n, c in WINDOWS.items()})
+
+
+def surge(v):
+    ends = g.halt_ends(v.trades, DAY, 1_800_000_000_000).select(*DAY, "seq", "resume_ns")
+    return g.post_halt_surge(hawkes(v).join(ends, [*DAY, "seq"]), DAY)
+
+
+@query("g9_intensity_stats", STATS + "SELECT * FROM stats")
+def _(v):
+    return stats(v)
+
+
+@query("g9_post_halt_surge", HAWKES + SURGE + "SELECT * FROM surge")
 def _(v):
-    rows = hawkes(v).join(v.trades.select(*DAY, "seq", g.regime(F.col("et_min")).alias("regime")), [*DAY, "seq"])
-    return g.intensity_stats(rows, DAY, "regime")
+    return surge(v)
 
 
 @query("g10_cvd", CVD + "SELECT seq, sg::INTEGER AS sign, cvd::BIGINT AS cvd FROM cvd")
@@ -107,7 +153,7 @@ def _(v):
     return g.cvd(v.trades, DAY).select("seq", "sign", "cvd")
 
 
-@query("g11_cvd_convexity", CVD + """
+CONVEXITY = CVD + """
 , c AS (SELECT ticker, et_date, ts_ns // 600000000000 AS cell, arg_max(cvd, (ts_ns, seq)) AS y FROM cvd GROUP BY 1, 2, 3),
 s AS (SELECT ticker, et_date, min(cell) AS a, max(cell) AS z FROM c GROUP BY 1, 2), gr AS (SELECT ticker, et_date, unnest(generate_series(a, z)) AS cell FROM s),
 j AS (SELECT gr.*, y, CASE WHEN y IS NOT NULL THEN cell END AS k FROM gr LEFT JOIN c USING (ticker, et_date, cell)),
@@ -115,31 +161,59 @@ e AS (SELECT *, last_value(k IGNORE NULLS) OVER p AS x0, last_value(y IGNORE NUL
   WINDOW p AS (PARTITION BY ticker, et_date ORDER BY cell ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ticker, et_date ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 l AS (SELECT ticker, et_date, cell, CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (cell - x0) / (x1 - x0) END AS y FROM e),
 b AS (SELECT ticker, et_date, min(cell) AS a, max(cell) AS z FROM l GROUP BY 1, 2),
-m AS (SELECT l.*, least(greatest(cell, a + 15), z - 15) AS mid, z - a >= 30 AS ok FROM l JOIN b USING (ticker, et_date))
-SELECT m.ticker, m.et_date, m.cell, m.y, CASE WHEN ok THEN round(sum(2 * ((n.cell - m.mid) ** 2 - 80.0) * n.y) / 158224, 6) + 0.0::DOUBLE END AS convexity
-FROM m JOIN l n ON n.ticker = m.ticker AND n.et_date = m.et_date AND (n.cell BETWEEN m.mid - 15 AND m.mid + 15) GROUP BY m.ticker, m.et_date, m.cell, m.y, ok
-""")
-def _(v):
+mm AS (SELECT l.*, least(greatest(cell, a + 15), z - 15) AS mid, z - a >= 30 AS ok FROM l JOIN b USING (ticker, et_date)),
+convexity AS (SELECT m.ticker, m.et_date, m.cell, m.y, CASE WHEN ok THEN round(sum(2 * ((n.cell - m.mid) ** 2 - 80.0) * n.y) / 158224, 6) + 0.0::DOUBLE END AS convexity
+FROM mm m JOIN l n ON n.ticker = m.ticker AND n.et_date = m.et_date AND (n.cell BETWEEN m.mid - 15 AND m.mid + 15) GROUP BY m.ticker, m.et_date, m.cell, m.y, ok)
+"""
+
+
+def convexity(v):
     return g.cvd_convexity(g.cvd(v.trades, DAY), DAY, 600).withColumn("convexity", F.round("convexity", 6) + F.lit(0.0))
 
 
-@query("g12_premarket_context", """
-, x AS (SELECT ticker, event_date, max(high) FILTER (WHERE segment = 'premarket') AS pre_high, arg_min(first_price, minute_index) FILTER (WHERE segment = 'rth') AS open, coalesce(sum(n_trades) FILTER (WHERE segment = 'premarket'), 0)::BIGINT AS pre_trades,
-  (sum(volume) FILTER (WHERE segment = 'premarket') / nullif(count(*) FILTER (WHERE segment = 'premarket'), 0)) / (sum(volume) FILTER (WHERE segment = 'rth') / nullif(count(*) FILTER (WHERE segment = 'rth'), 0)) AS volume_ratio FROM day_bars GROUP BY 1, 2)
-SELECT *, pre_high / open - 1 AS pre_high_distance FROM x
-""")
+@query("g11_cvd_convexity", CONVEXITY + "SELECT * FROM convexity")
+def _(v):
+    return convexity(v)
+
+
+PREMARKET = """
+, px AS (SELECT ticker, event_date, max(high) FILTER (WHERE segment = 'premarket') AS pre_high, arg_min(first_price, minute_index) FILTER (WHERE segment = 'rth') AS open, coalesce(sum(n_trades) FILTER (WHERE segment = 'premarket'), 0)::BIGINT AS pre_trades,
+  sum(volume) FILTER (WHERE segment = 'rth' AND minute_index BETWEEN 330 AND 344) / 15 AS a, sum(volume) FILTER (WHERE segment = 'premarket') AS b,
+  (max(last_ts) FILTER (WHERE segment = 'premarket') - min(first_ts) FILTER (WHERE segment = 'premarket')) / 6e10 AS span FROM day_bars GROUP BY 1, 2),
+premarket AS (SELECT ticker, event_date, pre_high, open, pre_trades, CASE WHEN b IS NOT NULL THEN a / greatest(b / greatest(span, 1), 1) END AS volume_ratio, CASE WHEN pre_high > 0 THEN (open - pre_high) / pre_high END AS pre_high_distance FROM px)
+"""
+
+
+@query("g12_premarket_context", PREMARKET + "SELECT * FROM premarket")
 def _(v):
     return g.premarket_context(v.day_bars, KEYS)
 
 
-@query("g13_feature_row", CVD + """
-, h AS (SELECT ticker, et_date, count(*) AS n_prints, max(price) AS high FROM trades GROUP BY 1, 2), c AS (SELECT ticker, et_date, max(cvd)::BIGINT AS max_cvd FROM cvd GROUP BY 1, 2), q AS (SELECT ticker, et_date, count(*) AS n_quotes FROM quotes GROUP BY 1, 2)
-SELECT h.*, max_cvd, n_quotes FROM h LEFT JOIN c USING (ticker, et_date) LEFT JOIN q USING (ticker, et_date)
+@query("g13_feature_row", STATS + SURGE + CONVEXITY + PREMARKET + """
+, w AS (SELECT ticker, et_date, """ + ", ".join(f"max({c}) FILTER (WHERE \"window\" = '{n}') AS {n}_{c}" for n in ("flip", "rth", "day") for c in ("mean_intensity", "max_intensity", "mean_step", "max_step")) + """ FROM stats GROUP BY 1, 2),
+h AS (SELECT ticker, et_date, count(*) FILTER (WHERE resumes) AS n_halts FROM hx GROUP BY 1, 2),
+f AS (SELECT ticker, et_date, arg_max(cvd, (ts_ns, seq))::BIGINT AS cvd_final, arg_max(cvd, (ts_ns, seq)) FILTER (WHERE et_min BETWEEN 570 AND 584)::BIGINT AS cvd_flip_final FROM cvd GROUP BY 1, 2),
+cx AS (SELECT ticker, et_date, avg(convexity) AS convexity_mean, max(convexity) AS convexity_max, avg((convexity > 0)::INT) AS convexity_positive_share FROM convexity GROUP BY 1, 2),
+oi AS (SELECT *, CASE WHEN lag(ts_ns) OVER w IS NOT NULL THEN
+  CASE WHEN bid > lag(bid) OVER w THEN bid_size WHEN bid = lag(bid) OVER w THEN bid_size - lag(bid_size) OVER w ELSE -lag(bid_size) OVER w END
+  - CASE WHEN ask < lag(ask) OVER w THEN ask_size WHEN ask = lag(ask) OVER w THEN ask_size - lag(ask_size) OVER w ELSE -lag(ask_size) OVER w END END AS ofi
+  FROM quotes WHERE bid > 0 AND ask > bid WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
+og AS (SELECT ticker, et_date, avg(ofi) AS ofi_mean, sum(ofi)::BIGINT AS ofi_total, max(ofi) AS ofi_max FROM oi GROUP BY 1, 2)
+SELECT e.ticker, e.event_date, e.magnitude, w.* EXCLUDE (ticker, et_date), n_halts, seconds_since_halt, post_halt_surge, cvd_final, cvd_flip_final, cx.* EXCLUDE (ticker, et_date), p.* EXCLUDE (ticker, event_date), og.* EXCLUDE (ticker, et_date)
+FROM event_list e LEFT JOIN w ON w.ticker = e.ticker AND w.et_date = e.event_date LEFT JOIN h ON h.ticker = e.ticker AND h.et_date = e.event_date LEFT JOIN since ON since.ticker = e.ticker AND since.et_date = e.event_date
+  LEFT JOIN surge ON surge.ticker = e.ticker AND surge.et_date = e.event_date LEFT JOIN f ON f.ticker = e.ticker AND f.et_date = e.event_date LEFT JOIN cx ON cx.ticker = e.ticker AND cx.et_date = e.event_date
+  LEFT JOIN premarket p ON p.ticker = e.ticker AND p.event_date = e.event_date LEFT JOIN og ON og.ticker = e.ticker AND og.et_date = e.event_date
 """)
 def _(v):
-    one = v.trades.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n_prints"), F.max("price").alias("high"))
-    two = g.cvd(v.trades, DAY).groupBy(*DAY).agg(F.max("cvd").alias("max_cvd"))
-    return g.feature_row([one, two, v.quotes.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n_quotes"))], DAY)
+    last = lambda c: F.max_by("cvd", F.when(c, F.struct("ts_ns", "seq")))
+    flip = F.col("et_min").between(570, 584)
+    wide = stats(v).filter(F.col("window").isin("flip", "rth", "day")).groupBy(*DAY).pivot("window", ["flip", "rth", "day"]).agg(*(F.max(c).alias(c) for c in ("mean_intensity", "max_intensity", "mean_step", "max_step")))
+    halted = g.halt_ends(v.trades, DAY, 1_800_000_000_000).groupBy(*DAY).agg(F.count("resume_ns").alias("n_halts"))
+    moved = g.cvd(v.trades, DAY).groupBy(*DAY).agg(last(F.lit(True)).alias("cvd_final"), F.when(F.count(F.when(flip, 1)) > 0, last(flip)).alias("cvd_flip_final"))
+    bent = convexity(v).groupBy(*DAY).agg(F.avg("convexity").alias("convexity_mean"), F.max("convexity").alias("convexity_max"), F.avg((F.col("convexity") > 0).cast("double")).alias("convexity_positive_share"))
+    book = q.ofi(v.quotes.filter((F.col("bid") > 0) & (F.col("ask") > F.col("bid"))), DAY).select(*DAY, F.col("mean").alias("ofi_mean"), F.col("total").alias("ofi_total"), F.col("max").alias("ofi_max"))
+    dated = [p.withColumnRenamed("et_date", "event_date") for p in (wide, halted, g.since_halt(v.trades, DAY, 1_800_000_000_000, 840, 900), surge(v), moved, bent, book)]
+    return g.feature_row([v.event_list, *dated, g.premarket_context(v.day_bars, KEYS)], KEYS)
 
 
 @query("g14_forward_targets", HAWKES + """
@@ -183,9 +257,12 @@ def _(v):
 
 
 BARRIER = ENTRY + """
-, bx AS (SELECT t.*, entry_ns, price / entry_price - 1 AS r FROM trades t JOIN entry USING (ticker, et_date) WHERE ts_ns > entry_ns AND ts_ns <= entry_ns + 7200000000000),
-bs AS (SELECT *, min(ts_ns) FILTER (WHERE r <= -0.2) OVER (PARTITION BY ticker, et_date) AS stop_ns FROM bx),
-exits AS (SELECT ticker, et_date, CASE WHEN max(stop_ns) IS NOT NULL THEN 'stop' ELSE 'time' END AS reason, max(ts_ns) AS exit_ns, arg_max(r, (ts_ns, seq)) AS ret, max(r) AS best, min(r) AS worst FROM bs WHERE stop_ns IS NULL OR ts_ns <= stop_ns GROUP BY 1, 2)
+, taken AS (SELECT * FROM entry WHERE entry_ns IS NOT NULL),
+bx AS (SELECT t.*, entry_ns, entry_price, price / entry_price - 1 AS r FROM trades t JOIN taken USING (ticker, et_date) WHERE ts_ns > entry_ns AND ts_ns <= entry_ns + 7200000000000),
+bs AS (SELECT *, min(ts_ns) FILTER (WHERE price <= entry_price * (1 - 0.2::DOUBLE)) OVER (PARTITION BY ticker, et_date) AS stop_ns FROM bx),
+bo AS (SELECT ticker, et_date, max(stop_ns) IS NOT NULL AS stopped, max(ts_ns) AS exit_ns, arg_max(r, (ts_ns, seq)) AS last, max(r) AS up, min(r) AS down FROM bs WHERE stop_ns IS NULL OR ts_ns <= stop_ns GROUP BY 1, 2),
+exits AS (SELECT ticker, et_date, CASE WHEN exit_ns IS NULL THEN 'no_ticks' WHEN stopped THEN 'stop' ELSE 'time' END AS reason, coalesce(exit_ns, entry_ns) AS exit_ns,
+  CASE WHEN stopped THEN -0.2::DOUBLE ELSE coalesce(last, 0) END AS ret, greatest(coalesce(up, 0), 0) AS best, least(coalesce(down, 0), 0) AS worst FROM taken LEFT JOIN bo USING (ticker, et_date))
 """
 
 
