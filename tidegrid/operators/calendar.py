@@ -98,12 +98,19 @@ def seen_signature(ticks: DataFrame, events: DataFrame, ticker: str = "ticker",
     return joined.withColumn("signature", label)
 
 
-def merge_sides(trades: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides' bitmaps of each event: which side knows it, and whether both are full."""
+def merge_sides(trades: DataFrame, quotes: DataFrame, keys: list[str], labels: DataFrame | None = None, defaults: dict[str, str] | None = None) -> DataFrame:
+    """Both sides' bitmaps of each event: which side knows it, and whether both are full.
+
+    ``labels``: further columns of the events; one that is missing takes its default.
+    """
     side = lambda df, p: df.select(*keys, F.col("bitmap").alias(f"{p}_bitmap"), F.col("is_full").alias(f"{p}_full"))
     both = side(trades, "trade").join(side(quotes, "quote"), keys, "full")
     known = F.when(F.col("trade_full").isNull(), "quotes_only").when(F.col("quote_full").isNull(), "trades_only").otherwise("both")
-    return both.withColumns({"sides": known, "is_clean": F.coalesce(F.col("trade_full") & F.col("quote_full"), F.lit(False))})
+    made = both.withColumns({"sides": known, "is_clean": F.coalesce(F.col("trade_full") & F.col("quote_full"), F.lit(False))})
+    if labels is None:
+        return made
+    joined = made.join(labels, keys, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in (defaults or {}).items()})
 
 
 def survivorship(events: DataFrame, ticks: DataFrame, calendar: DataFrame, ticker: str = "ticker", date: str = "et_date") -> DataFrame:
@@ -116,6 +123,18 @@ def survivorship(events: DataFrame, ticks: DataFrame, calendar: DataFrame, ticke
     return joined.withColumns({"sessions_after": F.col("last_n") - F.col("own_n"), "survives": F.coalesce(F.col("last_n") > F.col("own_n"), F.lit(False))}).drop("own_n", "last_n")
 
 
+def later_sessions(events: DataFrame, bars: DataFrame, keys: list[str], offsets: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Whether each later session of an event has any bar."""
+    seen = bars.filter(F.col("session_offset").isin(*offsets)).groupBy(*keys).agg(*(F.max(F.col("session_offset") == o).alias(f"has_{o}") for o in offsets))
+    return events.join(seen, keys, "left").fillna(False, [f"has_{o}" for o in offsets])
+
+
+def missing_rates(rows: DataFrame, by: list[str], offsets: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """How many events miss each later session, and their rate, by era or another label."""
+    gone = [x for o in offsets for x in (F.count(F.when(~F.col(f"has_{o}"), 1)).alias(f"missing_{o}"), F.avg((~F.col(f"has_{o}")).cast("double")).alias(f"missing_{o}_rate"))]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *gone)
+
+
 def coverage_stats(bars: DataFrame, keys: list[str]) -> DataFrame:
     """Regular bars, longest run of missing minutes between bars, outside share, first and last minute."""
     w = Window.partitionBy(*keys).orderBy("minute_index")

@@ -185,12 +185,12 @@ def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).withColumn("agrees", F.col(a) == F.col(b))
 
 
-def basis_check(rows: DataFrame, ticker: str, a: str, b: str, band: float = 0.02) -> DataFrame:
-    """Ratio of two prices by ticker: agreement share, max/min stability, nearness to 1/k."""
+def basis_check(rows: DataFrame, ticker: str, a: str, b: str, band: float = 0.02, cohort: str | None = None) -> DataFrame:
+    """Ratio of two prices by ticker, and by cohort if named: agreement share, max/min stability, nearness to 1/k."""
     r = rows.withColumn("r", ratio(F.col(a), F.col(b)))
     k = F.round(1 / F.col("r"))
     near = (F.col("r") < 0.75) & (F.abs(F.col("r") * k - 1) <= band)
-    return r.groupBy(ticker).agg(F.count("r").alias("n"), F.avg((F.abs(F.col("r") - 1) <= band).cast("double")).alias("agreement"), ratio(F.max("r"), F.min("r")).alias("stability"), F.avg(near.cast("double")).alias("near_inverse"))
+    return r.groupBy(ticker, *([cohort] if cohort else [])).agg(F.count("r").alias("n"), F.avg((F.abs(F.col("r") - 1) <= band).cast("double")).alias("agreement"), ratio(F.max("r"), F.min("r")).alias("stability"), F.avg(near.cast("double")).alias("near_inverse"))
 
 
 def gap_cause(rows: DataFrame, medians: DataFrame, by: list[str], low: float, high: float) -> DataFrame:

@@ -82,6 +82,38 @@ def _(v):
     return c.merge_sides(*sides, KEYS)
 
 
+@query("c8_merge_sides_labels", BITMAP.format(date="day", ticks="trades") + BITMAP.format(date="day", ticks="quotes").replace("seen", "seen2").replace("b AS", "b2 AS").replace("FROM b ", "FROM b2 ").replace("bitmap AS (SELECT", "bitmap2 AS (SELECT") + """
+, lab AS (SELECT ticker, event_date, 'runner' AS label FROM event_list WHERE magnitude > 100)
+SELECT ticker, event_date, coalesce(len(t.missing) = 0 AND len(q.missing) = 0, false) AS is_clean, coalesce(label, 'plain') AS label FROM bitmap t FULL JOIN bitmap2 q USING (ticker, event_date) LEFT JOIN lab USING (ticker, event_date)
+""")
+def _(v):
+    sides = (c.session_bitmap(ticks, v.spine, KEYS) for ticks in (v.trades, v.quotes))
+    labels = v.event_list.filter("magnitude > 100").select(*KEYS, F.lit("runner").alias("label"))
+    return c.merge_sides(*sides, KEYS, labels, {"label": "plain"}).select(*KEYS, "is_clean", "label")
+
+
+HAS = """
+, has AS (SELECT e.ticker, e.event_date, CASE WHEN e.event_date < DATE '2024-01-16' THEN 'early' ELSE 'late' END AS era, coalesce(bool_or(session_offset = 1), false) AS has_1, coalesce(bool_or(session_offset = 2), false) AS has_2, coalesce(bool_or(session_offset = 3), false) AS has_3
+  FROM event_list e LEFT JOIN bars b ON b.ticker = e.ticker AND b.event_date = e.event_date GROUP BY 1, 2)
+"""
+
+
+def later(v):
+    from tidegrid.operators.returns import era
+
+    return c.later_sessions(v.event_list.select(*KEYS, era(F.col("event_date"), "2024-01-16").alias("era")), v.bars, KEYS)
+
+
+@query("c9_later_sessions", HAS + "SELECT * FROM has")
+def _(v):
+    return later(v)
+
+
+@query("c9_missing_rates", HAS + "SELECT era, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE NOT has_{o}) AS missing_{o}, avg((NOT has_{o})::INT) AS missing_{o}_rate" for o in (1, 2, 3)) + " FROM has GROUP BY 1")
+def _(v):
+    return c.missing_rates(later(v), ["era"])
+
+
 @query("c9_survivorship", """
 , l AS (SELECT ticker, max(n) AS last_n FROM trades JOIN numbered ON session_date = et_date GROUP BY 1)
 SELECT ticker, event_date, (last_n - n)::INTEGER AS sessions_after, last_n > n AS survives

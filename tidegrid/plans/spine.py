@@ -207,6 +207,14 @@ def _(v):
     return b.basis_check(v.daily, "ticker", "close", "open")
 
 
+@query("b21_basis_by_cohort", """
+, r AS (SELECT ticker, year(day) AS cohort, close / nullif(open, 0) AS r FROM daily)
+SELECT ticker, cohort, count(r) AS n, avg((abs(r - 1) <= 0.02)::INT) AS agreement, max(r) / nullif(min(r), 0) AS stability, avg((r < 0.75 AND abs(r * round(1 / r) - 1) <= 0.02)::INT) AS near_inverse FROM r GROUP BY 1, 2
+""")
+def _(v):
+    return b.basis_check(v.daily.withColumn("cohort", F.year("day").cast("long")), "ticker", "close", "open", cohort="cohort")
+
+
 @query("b22_gap_cause", """
 , c AS (SELECT ticker, event_date, count(*)::DOUBLE AS coverage, sum(volume) / 1000 AS ratio FROM day_bars GROUP BY 1, 2), m AS (SELECT ticker, quantile_cont(coverage, 0.5) AS median_coverage FROM c GROUP BY 1)
 SELECT c.*, median_coverage, CASE WHEN coverage < median_coverage / 2 THEN 'coverage_gap' WHEN ratio BETWEEN 0.5 AND 1 THEN 'band_margin' ELSE 'unexplained' END AS cause FROM c JOIN m USING (ticker)

@@ -140,6 +140,14 @@ def append_with_guard(table: DataFrame, repair: DataFrame, keys: list[str]) -> t
     return table.unionByName(new), outcome.select(*keys, "n_rows", F.when(F.col("had"), "collision_skipped").otherwise("inserted").alias("outcome"))
 
 
+def guard_counts(before: DataFrame, after: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each key before and after the insert, and whether they are what the ledger says."""
+    n = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    inserted = ledger.select(*keys, F.when(F.col("outcome") == "inserted", F.col("n_rows")).alias("n_inserted"))
+    rows = n(after, "n_after").join(n(before, "n_before"), keys, "full").join(inserted, keys, "full").fillna(0, ["n_after", "n_before", "n_inserted"])
+    return rows.withColumn("is_right", F.col("n_before") + F.col("n_inserted") == F.col("n_after"))
+
+
 def write_table(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """A Parquet sink, partitioned by columns if given."""
     writer = rows.write.mode("overwrite")
@@ -153,6 +161,14 @@ def column_presence(rows: DataFrame, rare: float = 0.05) -> DataFrame:
     return rates.select(F.inline(each)).withColumn("is_rare", F.col("rate") < rare)
 
 
+def optional_columns(rows: DataFrame, file: str, columns: list[str], rare: float = 0.05) -> DataFrame:
+    """Of each column the non-null rate, the files without any value of it, and whether it is optional: rare and sometimes absent."""
+    each = rows.groupBy(file).agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in columns))
+    long = each.select("n", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("k")) for c in columns))))
+    made = long.groupBy("column").agg((F.sum("k") / F.sum("n")).alias("rate"), F.count(F.when(F.col("k") == 0, 1)).alias("n_absent"), F.count(F.lit(1)).alias("n_files"))
+    return made.withColumn("is_optional", (F.col("rate") < rare) & (F.col("n_absent") > 0))
+
+
 def timestamp_granularity(rows: DataFrame, ts: str) -> DataFrame:
     """The epoch unit by magnitude, share of whole seconds, and distinct stamps."""
     per = F.when(F.col("top") >= 10**17, 10**9).when(F.col("top") >= 10**14, 10**6).when(F.col("top") >= 10**11, 10**3).otherwise(1)
@@ -163,12 +179,17 @@ def timestamp_granularity(rows: DataFrame, ts: str) -> DataFrame:
     return made.select(unit.alias("unit"), whole.alias("whole_second_share"), "n_distinct")
 
 
-def null_signature(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Events in which none, some or all rows have exactly these columns null."""
+def null_signature_shares(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """For each event the rows that have exactly these columns null, and their share."""
     hit = F.lit(True)
     for c in columns:
         hit = hit & F.col(c).isNull()
-    each = rows.groupBy(*keys).agg(F.avg(hit.cast("double")).alias("share"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("n_hit"), F.avg(hit.cast("double")).alias("share"))
+
+
+def null_signature(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Events in which none, some or all rows have exactly these columns null."""
+    each = null_signature_shares(rows, columns, keys)
     return each.groupBy(F.when(F.col("share") == 0, "none").when(F.col("share") == 1, "all").otherwise("some").alias("events")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -181,11 +202,45 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -
     return rows.filter("kind IS NOT NULL").select(*keys, "kind", F.when(F.col("kind") == "changed", F.array_join(changed, ",")).alias("columns"))
 
 
+def diff_summary(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows of both versions and their difference, keys added, removed, changed and equal."""
+    kinds = table_diff(a, b, keys, values).agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("added", "removed", "changed")))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    met = a.select(*keys).join(b.select(*keys), keys, "left_semi").agg(F.count(F.lit(1)).alias("matched"))
+    rows = n(a, "n_before").join(F.broadcast(n(b, "n_after"))).join(F.broadcast(kinds)).join(F.broadcast(met))  # a row each
+    return rows.select("n_before", "n_after", (F.col("n_after") - F.col("n_before")).alias("delta"), "added", "removed", "changed", (F.col("matched") - F.col("changed")).alias("equal"))
+
+
+def one_sided_codes(a: DataFrame, b: DataFrame, codes: str) -> DataFrame:
+    """Codes of a list column that occur in one version only, with their rows there."""
+    each = lambda df: df.select(F.explode(F.array_distinct(codes)).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    one, two = each(a), each(b)
+    return one.join(two, "code", "left_anti").withColumn("side", F.lit("before")).unionByName(two.join(one, "code", "left_anti").withColumn("side", F.lit("after")))
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that only one of two samples holds, by side, repeats counted; no rows where the samples are the same."""
+    only = lambda x, y, side: x.select(*keys).exceptAll(y.select(*keys)).withColumn("side", F.lit(side))
+    return only(a, b, "before").unionByName(only(b, a, "after"))
+
+
 def replace_session(table_path: str, rederived: DataFrame, partition_by: list[str]) -> None:
     """Replace the partitions (event, session) that the new rows name; all others stay as they are."""
     rederived.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(table_path)
 
 
+def partition_prints(table: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Rows of each partition and an order-free fingerprint of their contents."""
+    h = F.xxhash64(*sorted(table.columns))
+    return table.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"))
+
+
+def replacement_proof(before: DataFrame, after: DataFrame, partition_by: list[str]) -> DataFrame:
+    """From the prints taken before and after, each partition's rows and whether its contents are unchanged."""
+    old, new = (df.select(*partition_by, F.struct("n", "hash_xor", "hash_sum").alias(c)) for df, c in ((before, "old"), (after, "new")))
+    return old.join(new, partition_by, "full").select(*partition_by, F.col("old.n").alias("n_before"), F.col("new.n").alias("n_after"), F.coalesce(F.col("old") == F.col("new"), F.lit(False)).alias("is_unchanged"))
+
+
 def seeded_files(files: DataFrame, n: int, seed: int, name: str = "file") -> DataFrame:
     """A seeded sample of file names."""
     return files.orderBy(hash_draw(seed, name), name).limit(n)
