@@ -77,10 +77,11 @@ def test_quote_states_of_nulls(spark):
 
 
 def test_forward_fill_and_shares(spark):
-    grid = spark.createDataFrame([("x", i, v, p) for i, (v, p) in enumerate([(0, None), (5, 10.0), (0, None), (5, 20.0)])], "k string, minute_index int, volume long, last_price double")
-    assert [r.filled for r in bars.forward_fill(grid, ["k"]).orderBy("minute_index").collect()] == [None, 10.0, 10.0, 20.0]
+    grid = spark.createDataFrame([("x", i, v, p) for i, (v, p) in enumerate([(0, None), (5, 10.0), (0, None), (5, 20.0), (10, 25.0)])], "k string, minute_index int, volume long, last_price double")
+    assert [r.filled for r in bars.forward_fill(grid, ["k"]).orderBy("minute_index").collect()] == [None, 10.0, 10.0, 20.0, 25.0]
     curve = bars.concentration_curve(grid, ["k"]).orderBy("minute_index").collect()
-    assert [r.volume_share for r in curve] == [0, 0.5, 0.5, 1] and curve[-1].path_share == 1
+    assert [r.volume_share for r in curve] == [0, 0.25, 0.25, 0.5, 1]
+    assert [r.path_share for r in curve] == [0, 0, 0, 0, 1]  # only a print right after a minute with one moves
 
 
 @pytest.mark.parametrize("volumes", [[1], [5, 0, 0, 5], [0, 3, 1, 1, 9, 1, 0, 2], [2] * 9])
@@ -100,9 +101,111 @@ def test_crossing_never(spark):
 
 
 def test_log_parts_add_up(spark):
-    rows = spark.createDataFrame([("x", -1, "rth", 700, 1.0, 2.0), ("x", -1, "post", 800, 2.0, 3.0), ("x", 0, "premarket", 10, 4.0, 4.0), ("x", 0, "rth", 330, 5.0, 6.0)], "k string, session_offset int, segment string, minute_index int, first_price double, last_price double")
-    r = returns.log_decomposition(rows, ["k"]).first()
-    assert r.prior_post + r.overnight + r.premarket == pytest.approx(r.total) == math.log(2.5)
+    bars_of = "k string, session_offset int, segment string, minute_index int, first_price double, last_price double"
+    rows = [("x", -1, "rth", 700, 1.0, 2.0), ("x", -1, "post", 800, 2.0, 3.0), ("x", 0, "premarket", 10, 4.0, 4.0), ("x", 0, "rth", 330, 5.0, 6.0), ("x", 0, "rth", 331, 6.0, 9.0)]
+    rows += [("y", -1, "rth", 700, 1.0, 8.0), ("y", 0, "rth", 331, 5.0, 6.0), ("z", -1, "rth", 700, 1.0, 8.0), ("z", 0, "premarket", 10, 4.0, 4.0)]
+    got = {r.k: r for r in returns.log_decomposition(spark.createDataFrame(rows, bars_of), ["k"]).collect()}
+    r = got["x"]  # the open is the last price at or before minute 330
+    assert (r.prior_post, r.overnight, r.premarket) == pytest.approx((math.log(3 / 2), math.log(4 / 3), math.log(6 / 4))) and r.total == pytest.approx(math.log(3))
+    assert r.share_prior_post + r.share_overnight + r.share_premarket == pytest.approx(1) and not r.share_undefined
+    assert got["y"].is_undefined and got["y"].total is None  # no price by the open
+    assert got["z"].total == pytest.approx(math.log(0.5)) and got["z"].share_undefined and got["z"].share_overnight is None
+
+
+def test_decay_is_absolute_from_the_first_price(spark):
+    grid = spark.createDataFrame([("x", 0, None, None), ("x", 1, 10.0, 12.0), ("x", 2, None, None), ("x", 3, 9.0, 8.0)], "k string, minute_index int, first_price double, last_price double")
+    got = bars.opportunity_decay(grid, ["k"]).orderBy("minute_index").collect()
+    # the first row has no print: the start is the first price known, a last price; before it the move is 0
+    assert [r.realized for r in got] == pytest.approx([0, 0, 0, 1])
+    late = bars.opportunity_decay(grid, ["k"], least_minute=1).orderBy("minute_index").collect()
+    assert [r.realized for r in late] == pytest.approx([math.log(1.2) / math.log(1.25)] * 2 + [1])
+    assert bars.half_life(bars.opportunity_decay(grid, ["k"], least_minute=1), ["k"]).first().minute_at_level == 1
+
+
+def test_grid_legs_end_with_the_last_print(spark):
+    found = spark.createDataFrame([("x", 5)], "k string, detection_minute int")
+    prices = spark.createDataFrame([("x", 5, 2.0), ("x", 7, 4.0), ("x", 9, 8.0)], "k string, minute_index int, last_price double")
+    got = {(r.grid, r.latency, r.hold): r for r in returns.axis_rows(found, prices, ["k"], [0, 3, 6], [1, 4]).collect()}
+    mark = lambda *k: got[k].markout
+    assert mark("fixed_horizon", 0, 4) == pytest.approx(math.log(8 / 2)) and mark("fixed_horizon", 0, 1) == 0
+    assert mark("fixed_horizon", 3, 1) == pytest.approx(math.log(8 / 4))
+    assert mark("fixed_horizon", 3, 4) is None  # minute 12 is past the last print
+    assert mark("fixed_exit", 3, None) == pytest.approx(math.log(8 / 4)) and mark("fixed_exit", 6, None) is None
+
+
+def test_participation_leaves_out_missing_sessions(spark):
+    rows = [("x", -3, 400, 10), ("x", -2, 200, 4), ("x", -2, 700, 6), ("x", 0, 100, 9), ("x", 0, 600, 1)]
+    minutes = spark.createDataFrame(rows, "k string, session_offset int, minute_index int, volume long")
+    made = returns.participation(minutes, spark.createDataFrame([("x", 300), ("y", 300)], "k string, minute int"), ["k"])
+    got = {r.k: r for r in returns.participation_form(made, 1.0).collect()}
+    assert (got["x"].volume, got["x"].clock_baseline, got["x"].session_baseline, got["x"].n_sessions) == (9, 2, 10, 2)  # 0 and 4; -1 has no bars
+    assert got["x"].participation == pytest.approx(math.log(10 / 3)) and got["y"].participation is None
+    assert {r.form for r in returns.participation_form(made, 0.2).collect()} == {"session"}
+
+
+def test_retracement_ratios_are_linear(spark):
+    rows = spark.createDataFrame([("x", 1.0, 2.0, 5.0, 3.0), ("y", 5.0, 5.0, 5.0, 3.0)], "k string, a double, p double, h double, c double")
+    got = {r.k: r for r in returns.retracement(rows, ["k"], "a", "p", "h", {"p0": "c"}).collect()}
+    assert (got["x"].of_excursion, got["x"].of_detection) == pytest.approx((2 / 4, 2 / 3))
+    assert got["y"].of_excursion is None and got["y"].excursion_undefined and got["y"].below_anchor
+
+
+def test_trades_are_signed_by_the_last_usable_quote(spark):
+    book = spark.createDataFrame([("a", 1, 1, 10, 1, 9.0, 11.0), ("a", 1, 1, 20, 2, 12.0, 11.0), ("a", 1, 2, 5, 3, 19.0, 21.0)], "k string, day int, segment int, ts_ns long, seq long, bid double, ask double")
+    book = quotes.quote_states(book.withColumns({"bid_size": F.lit(1), "ask_size": F.lit(1)})).withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "is_change": F.lit(True)})
+    trades = spark.createDataFrame([("a", 1, 1, 5, 1, 10.0, 1), ("a", 1, 1, 25, 2, 10.5, 2), ("a", 1, 1, 26, 3, 10.0, 3), ("a", 1, 1, 27, 4, 10.0, 5), ("a", 1, 2, 1, 5, 30.0, 7)], "k string, day int, segment int, ts_ns long, seq long, price double, size long")
+    by = ["k", "day", "segment"]
+    signed = quotes.sign_trades(trades, book, by)
+    got = {r.seq: r for r in signed.collect()}
+    assert got[1].q_mid is None and got[1].sign is None  # no quote yet, no price before
+    assert (got[2].q_mid, got[2].sign) == (10.0, 1)  # the crossed quote at 20 is passed over
+    assert (got[3].sign, got[4].sign) == (-1, None)  # at the midpoint: by the price just before, else not classified
+    assert got[5].q_mid is None and got[5].sign is None  # another segment's quotes and prices are not carried over
+    m = quotes.trade_minute_metrics(signed, by).filter("segment = 1").first()
+    assert (m.n_trades, m.volume, m.classified, m.signed_volume, m.n_unclassified, m.n_no_quote, m.abs_distance_size) == (4, 11, 5, -1, 2, 1, 1.0)
+
+
+def test_impact_is_relative(spark):
+    rows = [("a", 1, 10.0, 5, 1, 2), ("a", 2, None, 7, 1, 2), ("a", 3, 11.0, 0, 1, 2), ("a", 4, 12.0, 4, 1, 2), ("a", 5, 9.0, 1, 0, 0)]
+    cache = spark.createDataFrame(rows, "k string, minute_index int, tw_mid double, signed_volume long, n_trades int, volume long")
+    got = {r.minute_index: r.impact for r in quotes.impact(cache, ["k"], 1).collect()}
+    assert got == {1: pytest.approx(0.1 / 5), 3: None, 4: None}  # no flow; nothing after
+
+
+def test_premarket_rates_are_by_elapsed_minutes(spark):
+    minute = 60_000_000_000
+    rows = [("x", "premarket", 0, 9.0, 10.0, 30, 3, 0, minute), ("x", "premarket", 9, 9.0, 12.0, 30, 2, 9 * minute, 10 * minute), ("x", "rth", 330, 15.0, 16.0, 90, 1, 330 * minute, 331 * minute), ("x", "rth", 345, 15.0, 16.0, 999, 1, 345 * minute, 346 * minute)]
+    made = spark.createDataFrame(rows, "k string, segment string, minute_index int, first_price double, high double, volume long, n_trades int, first_ts long, last_ts long")
+    r = features.premarket_context(made, ["k"]).first()
+    assert (r.pre_high, r.open, r.pre_trades) == (12.0, 15.0, 5)
+    assert (r.pre_high_distance, r.volume_ratio) == pytest.approx((0.25, (90 / 15) / (60 / 10)))
+
+
+def test_stops_fill_at_the_stop_price(spark):
+    entries = spark.createDataFrame([("a", 10, 100.0), ("b", 10, 100.0), ("c", 10, 100.0), ("d", None, None)], "k string, entry_ns long, entry_price double")
+    ticks = spark.createDataFrame([("a", 11, 1, 110.0), ("a", 12, 2, 70.0), ("a", 13, 3, 150.0), ("b", 11, 1, 90.0), ("b", 15, 2, 95.0), ("b", 99, 3, 10.0), ("c", 5, 1, 100.0)], "k string, ts_ns long, seq long, price double")
+    got = {r.k: r for r in features.barrier_exit(ticks, entries, ["k"], 0.2, 50).collect()}
+    assert (got["a"].reason, got["a"].exit_ns, got["a"].ret) == ("stop", 12, -0.2) and (got["a"].best, got["a"].worst) == pytest.approx((0.1, -0.3))
+    assert (got["b"].reason, got["b"].exit_ns) == ("time", 15) and (got["b"].ret, got["b"].best, got["b"].worst) == pytest.approx((-0.05, 0, -0.1))
+    assert (got["c"].reason, got["c"].exit_ns, got["c"].ret) == ("no_ticks", 10, 0) and "d" not in got
+
+
+def test_baselines_count_collected_sessions_only(spark):
+    spine_ = spark.createDataFrame([("x", "e", o, f"d{o}", 240, 250) for o in (-3, -2, -1, 0)] + [("y", "e", 0, "d0", 240, 250)], "ticker string, event string, session_offset int, session_date string, pre_min int, post_min int")
+    ticks = spark.createDataFrame([("x", "d-3"), ("x", "d-2"), ("x", "d0"), ("y", "d0")], "ticker string, et_date string")
+    keys = ["ticker", "event"]
+    got = bursts.collected_sessions(spine_, ticks, keys)
+    assert sorted((r.session_offset, r.minutes) for r in got.collect()) == [(-3, 10), (-2, 10)]
+    made = spark.createDataFrame([("x", "e", -3, 0, 4, 40), ("x", "e", -2, 9, 2, 20), ("x", "e", -1, 5, 7, 70), ("x", "e", 0, 5, 9, 90)], "ticker string, event string, session_offset int, minute_index long, n_trades long, volume long")
+    events = spine_.filter("session_offset = 0").select(*keys)
+    flat = {r.ticker: r for r in bursts.scalar_baseline(made, got, events, keys).collect()}
+    assert (flat["x"].n_sessions, flat["x"].n_prints, flat["x"].prints_per_s, flat["x"].volume_per_s) == (2, 6, 6 / 1200, 60 / 1200)
+    assert flat["y"].is_undefined and flat["y"].prints_per_s is None
+    rows = {(r.ticker, r.minute_index): r for r in bursts.tod_baseline(made, got, spine_, keys, 1, 0.5).collect()}
+    assert len(rows) == 20 and {r.label for r in rows.values()} == {"baseline_partial", "baseline_undefined"}
+    assert (rows["x", 0].prints, rows["x", 0].slots, rows["x", 0].rate) == (4, 4, 1.0)  # minutes 0 and 1 of two sessions
+    assert (rows["x", 5].prints, rows["x", 5].slots, rows["x", 5].rate_floored) == (0, 6, 0.5)
+    assert rows["y", 0].rate is None and rows["y", 0].rate_floored == 0.5
 
 
 @pytest.mark.parametrize("gaps", [[10, 9, 0.2, 0.1, 8], [1, 1, 1], [0.1, 0.1, 5, 0.1, 7, 9, 0.2]])

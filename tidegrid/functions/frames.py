@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.sources.scratch import scratch
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str | None = None, seq: str | None = None, strict: bool = False, prefix: str = "r_") -> DataFrame:
     """For each left row the latest right row at or before it (before it, if ``strict``); outer.
@@ -19,6 +21,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_o
     match = F.struct(*(F.col(c).alias(c) for c in carried))
     none = right.select(match.alias("m")).schema["m"].dataType
     rows = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns), *(F.col(b).alias(f"k_{b}") for b in by), F.col(on).alias("k_t"), F.lit(0 if strict else 1).alias("k_side"), F.lit(None).cast("long").alias("k_seq"), F.lit(True).alias("k_left"), F.lit(None).cast(none).alias("k_m"))
+    right = right.dropna(subset=by)
     other = right.select(*(F.lit(None).cast(left.schema[c].dataType).alias(f"l_{c}") for c in left.columns), *(F.col(b).alias(f"k_{b}") for b in by), F.col(right_on).alias("k_t"), F.lit(1 if strict else 0).alias("k_side"), (F.col(seq) if seq else F.lit(None)).cast("long").alias("k_seq"), F.lit(False).alias("k_left"), match.alias("k_m"))
     keyed = F.lit(True)
     for b in by:
@@ -54,25 +57,24 @@ def hash_draw(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)).cast("binary"))
 
 
-def global_rank(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+def global_rank(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Rows with ``rank`` (from 1, by ``order``) and ``total``, without one window over all rows.
 
-    The first order column (a number) is cut at its approximate quantiles; rows
-    are ranked within a cut and moved up by the rows of the cuts before, of which
-    there are ``parts`` at most. Nulls rank first.
+    Rows are dealt by ranges of the whole order, so that ties in its first column
+    spread, and written to the shared folder with their place in their range;
+    ranks are places moved up by the rows of the ranges before. Nulls rank first.
     """
-    first = F.col(order[0])
-    found = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()
-    edges = sorted(set(found.q or [])) if found else []
-    above = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < first)) if edges else F.lit(0)
-    cut = rows.withColumn("_cut", F.when(first.isNull(), -1).otherwise(above))
-    counts = cut.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_cut")  # a row a cut
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    path = scratch(spark, "ranked")
+    ranged.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path).withColumns({"_range": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND((1 << 33) - 1)})
+    counts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_range")  # a row a range
     ahead = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    offsets = F.broadcast(counts.select("_cut", ahead.alias("_ahead"), whole.alias("total")))
-    place = F.row_number().over(Window.partitionBy("_cut").orderBy(*order))
-    return cut.join(offsets, "_cut").withColumn("rank", F.col("_ahead") + place).drop("_cut", "_ahead")
+    offsets = F.broadcast(counts.select("_range", ahead.alias("_ahead"), whole.alias("total")))
+    return kept.join(offsets, "_range").withColumn("rank", F.col("_ahead") + F.col("_place") + 1).drop("_range", "_place", "_ahead")
 
 
 def rank_buckets(rows: DataFrame, order: list[str], n: int, name: str = "bucket") -> DataFrame:

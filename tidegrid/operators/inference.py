@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import hash_draw, rank_buckets
+from tidegrid.functions.frames import hash_draw, rank_buckets, ratio
 
 
 def decile_sample(rows: DataFrame, value: str, keys: list[str], groups: int, per: int, seed: int) -> DataFrame:
@@ -15,6 +17,27 @@ def decile_sample(rows: DataFrame, value: str, keys: list[str], groups: int, per
     return ranked.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per).drop("n")
 
 
+def edge_sample(rows: DataFrame, value: str, keys: list[str], edges: list[float], per: int, seed: int) -> DataFrame:
+    """A fixed-seed draw of ``per`` rows from each group between ascending edges; a value on an edge belongs below it."""
+    group = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e < F.col(value))) + 1
+    w = Window.partitionBy("group").orderBy(hash_draw(seed, *keys), *keys)
+    return rows.filter(F.col(value).isNotNull()).withColumn("group", group).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per).drop("n")
+
+
+def topped_up_draw(rows: DataFrame, strata: list[str], keys: list[str], n: int, seed: int) -> DataFrame:
+    """One row a stratum, then further rows by the same draw until there are ``n``."""
+    draw = hash_draw(seed, *keys)
+    first = F.row_number().over(Window.partitionBy(*strata).orderBy(draw, *keys)) == 1
+    return rows.withColumns({"_first": first, "_draw": draw}).orderBy(F.desc("_first"), "_draw", *keys).limit(n).drop("_first", "_draw")
+
+
+def frequent_pattern_draw(rows: DataFrame, pattern: str, keys: list[str], n: int, seed: int) -> DataFrame:
+    """One row for each of the ``n`` most frequent patterns, ties by pattern."""
+    counts = rows.groupBy(pattern).agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), pattern).limit(n)
+    w = Window.partitionBy(pattern).orderBy(hash_draw(seed, *keys), *keys)
+    return rows.join(F.broadcast(counts), pattern).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
+
+
 def complement_draw(rows: DataFrame, taken: DataFrame, keys: list[str], strata: list[str], per: int, seed: int) -> DataFrame:
     """A draw of ``per`` rows a stratum from those not taken, independent of row order."""
     w = Window.partitionBy(*strata).orderBy(hash_draw(seed, *keys), *keys)
@@ -65,20 +88,28 @@ def _index(seed: int, draw: Column, n: Column) -> Column:
     return F.pmod(h, n)
 
 
+#: Cumulative probabilities of a Poisson count of mean one; a uniform draw's count is how many it exceeds.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def _times(seed: int, *names: str) -> Column:
+    """How often a unit is drawn in a replicate: a Poisson count from a hash of both, so units need no numbers."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.concat_ws(",", *(F.col(c).cast("string") for c in names))).cast("binary")), 1, 12), 16, 10).cast("long")
+    u = h / float(1 << 48)
+    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p < u))
+
+
 def block_bootstrap_median(rows: DataFrame, value: str, unit: str, reps: int, seed: int) -> DataFrame:
     """Interval of the median under resampling of whole units; one row: point, low, high.
 
-    Draws become a frequency for each (replicate, unit) and weight the quantile, so
-    rows are never copied once a draw.
+    Each unit is drawn a Poisson number of times in a replicate, by a hash of
+    both: no unit is numbered, joined or copied by draw. Equal values of a unit
+    are counted first; a replicate's rows are those of the units it draws.
     """
-    data = rows.filter(F.col(value).isNotNull())
-    units = data.select(unit).distinct()
-    placed = units.withColumn("i", F.row_number().over(Window.orderBy(unit)) - 1)  # a row a unit
-    n = F.broadcast(units.agg(F.count(F.lit(1)).alias("n_units")))
-    draws = placed.join(n).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select("rep", _index(seed, F.concat_ws(",", "rep", "i"), F.col("n_units")).alias("i"))
-    often = draws.groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times")).join(placed, "i")
-    per = data.join(often, unit).groupBy("rep").agg(F.percentile(value, F.lit(0.5), F.col("times")).alias("m"))
-    point = data.agg(F.percentile(value, F.lit(0.5)).alias("point"))
+    data = rows.filter(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count(F.lit(1)).alias("n"))
+    each = data.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("times", _times(seed, "rep", unit) * F.col("n")).filter("times > 0")
+    per = each.groupBy("rep").agg(F.percentile(value, F.lit(0.5), F.col("times")).alias("m"))
+    point = data.agg(F.percentile(value, F.lit(0.5), F.col("n")).alias("point"))
     ends = per.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return point.join(F.broadcast(ends))
 
@@ -88,6 +119,12 @@ def naive_bootstrap_median(rows: DataFrame, value: str, keys: list[str], reps: i
     return block_bootstrap_median(rows.withColumn("_unit", F.concat_ws("|", *keys)), value, "_unit", reps, seed)
 
 
+def width_ratio(block: DataFrame, naive: DataFrame) -> DataFrame:
+    """The block interval's width over the naive one's."""
+    width = lambda df, n: df.select((F.col("high") - F.col("low")).alias(n))
+    return width(block, "block_width").join(F.broadcast(width(naive, "naive_width"))).withColumn("width_ratio", ratio(F.col("block_width"), F.col("naive_width")))
+
+
 def cluster_medians(rows: DataFrame, value: str, unit: str) -> DataFrame:
     """I8: median of units' medians, share of negative units, and rows a unit."""
     each = rows.groupBy(unit).agg(F.percentile(value, F.lit(0.5)).alias("m"), F.count(value).alias("n")).filter("n > 0")
