@@ -3,7 +3,7 @@
 import hashlib
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +142,15 @@ def test_packing_covers_every_token_once(docs, texts):
         assert at <= 256
 
 
+def test_packing_pads_little(spark, checkpoint):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.geometric(1 / 200, 3000))]
+    placed = packing_kk.pack(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, 1, 512).collect()
+    tokens, sequences = sum(r.length for r in placed), len({r.sequence_id for r in placed})
+    assert tokens == sum(len(t.split()) + 1 for _, t in rows)
+    assert tokens / (512 * sequences) > 0.95
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60), st.integers(1, 12))
 def test_differencing_keeps_every_item(lengths, k):
@@ -176,6 +185,27 @@ def test_spans_of_lines(docs, texts):
     assert len(got[106]) == 2
 
 
+def test_lines_get_the_tokens_of_the_whole_encoding(docs, texts):
+    """Tokens and crossing tokens of every line from the library's own encoding, each token's bytes dealt by hand."""
+    t, got = Tokenizer.from_file(BYTE), defaultdict(list)
+    t.encode_special_tokens = True
+    for r in token_spans.by_lines(docs, BYTE).collect():
+        got[r.doc_id].append(r)
+    for i, text in {i: x for i, x, _ in texts if i not in (None, 104, 106, 108)}.items():
+        raw = (text or "").encode()
+        line_of = np.cumsum(np.frombuffer(b"\n" + raw[:-1], np.uint8) == 10) - 1 if raw else np.zeros(0, int)
+        n, crossing, at = Counter(), Counter(), 0
+        for token in t.encode(text or "", add_special_tokens=False).ids:
+            size = len(t.id_to_token(token))  # a letter a byte
+            shares = Counter(line_of[at : at + size].tolist())
+            owner = min(shares, key=lambda x: (-shares[x], x))
+            n[owner] += 1
+            crossing[owner] += len(shares) > 1
+            at += size
+        assert at == len(raw)
+        assert {(r.section, r.n_tokens, r.n_crossing) for r in got[i]} == {(r.section, n[r.section], crossing[r.section]) for r in got[i]} and sum(r.n_tokens for r in got[i]) == sum(n.values())
+
+
 def test_boundary_rule():
     n, crossing = token_spans.attribute(np.array([2, 4, 3, 2]), np.array([0, 3, 7]))
     # bytes 2-5 cross into the second section with 3 of 4 bytes; bytes 6-8 into the third with 2 of 3

@@ -1,30 +1,27 @@
-"""Places that the driver and every executor can reach, and tables written there.
-
-``spark.checkpoint.dir`` names the shared folder of the cluster. Only where it
-is unset (tests, local sessions) a temporary folder takes its place.
-"""
+"""Places that the driver and every executor can reach, and tables written there."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
+from tidegrid.sources.scratch import scratch
 
-@functools.lru_cache(maxsize=1)
-def _fallback() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tidegrid-")
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder path (not yet made) under the shared folder, as a URI or path."""
-    root = spark.conf.get(CHECKPOINT_DIR, None) or _fallback()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return scratch(spark, label)
+
+
+def light(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of a few numbers a row, broadcast in joins if it has at most ``most`` rows; it is counted, so have it written."""
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:

@@ -162,8 +162,10 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, pivots: int = PIVO
     n_blocks = max(1, -(-candidates.count() // CANDIDATES))
     squared = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
     place = Window.partitionBy("dim").orderBy(F.xxhash64("v"), "id")
-    largest = candidates.groupBy("dim").agg(F.max(squared).alias("most"))
-    sample = candidates.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= pivots).join(largest, "dim")
+    largest = candidates.groupBy("dim").agg(F.max(squared).alias("most"), F.count(F.lit(1)).alias("rows"))
+    # a few times as many rows as pivots by hash, so that ranking sees no more
+    some = candidates.join(largest, "dim").filter(F.xxhash64("v", "id") / 2.0**64 + 0.5 < F.lit(4.0 * pivots) / F.col("rows"))
+    sample = some.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= pivots)
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
     none = lambda kind: F.lit(None).cast(kind)
     row = lambda df, kind, block, most, key: df.select("dim", block, F.lit(kind).alias("kind"), "id", "v", most.alias("most"), key.alias("key"))
