@@ -52,6 +52,27 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def exact_quantile(rows: DataFrame, value: str, q: float, accuracy: int = 10_000) -> float | None:
+    """The interpolated quantile of all rows, from a band around an approximate one.
+
+    The band holds about four rows in ``accuracy`` (and ties); rows below it are
+    only counted, so that no buffer grows with the table's distinct values.
+    """
+    x = F.col(value)
+    band = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+    found = rows.agg(F.percentile_approx(x, band, accuracy).alias("band"), F.count(x).alias("n")).first()
+    if not found.n:
+        return None
+    lo, hi = found.band
+    lo, hi = (None if band[0] == 0 else lo), (None if band[1] == 1 else hi)
+    above, below = (F.lit(True) if lo is None else x >= lo), (F.lit(True) if hi is None else x <= hi)
+    ahead = 0 if lo is None else rows.filter(x < lo).count()
+    inside = rows.filter(x.isNotNull() & above & below)
+    m = inside.count()
+    place = min(max((found.n - 1) * q - ahead, 0.0), m - 1)
+    return inside.agg(F.percentile(x, F.lit(place / (m - 1) if m > 1 else 0.0)).alias("v")).first().v
+
+
 def hash_draw(seed: int, *cols: str) -> Column:
     """A repeatable draw for a key: md5 of the seed and the key's text, as hexadecimal."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols)).cast("binary"))

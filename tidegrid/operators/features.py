@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import ratio
+from tidegrid.functions.frames import exact_quantile, ratio
 
 
 def gap_scanner(daily: DataFrame, min_gap: float) -> DataFrame:
@@ -231,7 +231,8 @@ def temporal_split(rows: DataFrame, date: str, share: float = 0.8) -> DataFrame:
 
 def top_quantile(rows: DataFrame, score: str, q: float = 0.75) -> DataFrame:
     """Rows at or above a quantile of the score."""
-    return rows.join(F.broadcast(rows.agg(F.percentile(score, F.lit(q)).alias("cut")))).filter(F.col(score) >= F.col("cut")).drop("cut")
+    cut = exact_quantile(rows, score, q)
+    return rows.filter(F.lit(False) if cut is None else F.col(score) >= cut)
 
 
 def entry_signal(ticks: DataFrame, keys: list[str], first_min: int, last_min: int) -> DataFrame:

@@ -141,11 +141,11 @@ def _(v):
 
 
 @query("f7_book_age", LABEL + """
-, a AS (SELECT t.ticker, t.ts_ns - c.ts_ns AS age FROM trades t ASOF LEFT JOIN (SELECT * FROM qd WHERE is_change) c ON t.ticker = c.ticker AND t.ts_ns >= c.ts_ns)
+, a AS (SELECT t.ticker, t.ts_ns - c.ts_ns AS age FROM trades t ASOF LEFT JOIN (SELECT * FROM qd WHERE is_change) c ON t.ticker = c.ticker AND t.et_date = c.et_date AND t.ts_ns >= c.ts_ns)
 SELECT ticker, count(age) AS n, quantile_cont(age::DOUBLE, 0.5) AS age_p50, avg((age > 1000000000)::INT) AS over_1s, avg((age > 60000000000)::INT) AS over_60s FROM a GROUP BY 1
 """)
 def _(v):
-    rows = q.book_age(v.trades, book(v), ["ticker"])
+    rows = q.book_age(v.trades, book(v), DAY)
     over = lambda s: F.avg((F.col("age_ns") > s * 1_000_000_000).cast("double"))
     return rows.groupBy("ticker").agg(F.count("age_ns").alias("n"), F.percentile("age_ns", F.lit(0.5)).alias("age_p50"), over(1).alias("over_1s"), over(60).alias("over_60s"))
 
@@ -185,14 +185,14 @@ def _(v):
 
 
 @query("f13_alignment_sweep", """
-, s AS (SELECT ticker, seq, price, o AS offset_ns, ts_ns + o AS at FROM trades CROSS JOIN (SELECT unnest([-3600000000000, 0, 3600000000000]) AS o)),
-a AS (SELECT s.*, q.seq AS qs, bid, ask FROM s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.at >= q.ts_ns)
+, s AS (SELECT ticker, et_date, seq, price, o AS offset_ns, ts_ns + o AS at FROM trades CROSS JOIN (SELECT unnest([-3600000000000, 0, 3600000000000]) AS o)),
+a AS (SELECT s.*, q.seq AS qs, bid, ask FROM s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.et_date = q.et_date AND s.at >= q.ts_ns)
 SELECT offset_ns, CASE WHEN qs IS NULL THEN 'no_quote' WHEN bid > ask OR bid <= 0 OR ask <= 0 THEN 'unusable' WHEN price < bid THEN 'below' WHEN price = bid THEN 'at_bid' WHEN price < ask THEN 'inside'
   WHEN price = ask THEN 'at_ask' ELSE 'above' END AS place, count(*) AS n FROM a GROUP BY 1, 2
 """)
 def _(v):
     hour = 3_600_000_000_000
-    return q.alignment_sweep(v.trades.select("ticker", "ts_ns", "seq", "price"), plain_book(v), ["ticker"], [-hour, 0, hour])
+    return q.alignment_sweep(v.trades.select(*DAY, "ts_ns", "seq", "price"), plain_book(v), DAY, [-hour, 0, hour])
 
 
 @query("f14_effective_spread", SIGNED + """

@@ -58,19 +58,19 @@ MARKS = MARK + """
 
 
 @query("e1_asof_join", """
-SELECT t.ticker, t.ts_ns, t.seq, q.ts_ns AS quote_ts, q.seq AS quote_seq, q.bid, q.ask FROM trades t ASOF LEFT JOIN quotes q ON t.ticker = q.ticker AND t.ts_ns >= q.ts_ns
+SELECT t.ticker, t.et_date, t.ts_ns, t.seq, q.ts_ns AS quote_ts, q.seq AS quote_seq, q.bid, q.ask FROM trades t ASOF LEFT JOIN quotes q ON t.ticker = q.ticker AND t.et_date = q.et_date AND t.ts_ns >= q.ts_ns
 """)
 def _(v):
-    quotes = v.quotes.select("ticker", F.col("ts_ns").alias("quote_ts"), F.col("seq").alias("quote_seq"), "bid", "ask")
-    return asof_join(v.trades.select("ticker", "ts_ns", "seq"), quotes, ["ticker"], "ts_ns", "quote_ts", "quote_seq", prefix="")
+    quotes = v.quotes.select("ticker", "et_date", F.col("ts_ns").alias("quote_ts"), F.col("seq").alias("quote_seq"), "bid", "ask")
+    return asof_join(v.trades.select("ticker", "et_date", "ts_ns", "seq"), quotes, ["ticker", "et_date"], "ts_ns", "quote_ts", "quote_seq", prefix="")
 
 
 @query("e2_asof_shifted", """
-, s AS (SELECT ticker, seq, o AS offset_ns, ts_ns + o AS at FROM trades CROSS JOIN (SELECT unnest([-60000000000, 0, 60000000000]) AS o))
-SELECT s.ticker, s.seq, offset_ns, q.seq AS r_seq, q.bid AS r_bid FROM s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.at >= q.ts_ns
+, s AS (SELECT ticker, et_date, seq, o AS offset_ns, ts_ns + o AS at_ns FROM trades CROSS JOIN (SELECT unnest([-60000000000, 0, 60000000000]) AS o))
+SELECT s.ticker, s.seq, offset_ns, q.seq AS r_seq, q.bid AS r_bid FROM s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.et_date = q.et_date AND s.at_ns >= q.ts_ns
 """)
 def _(v):
-    made = e.asof_shifted(v.trades.select("ticker", "ts_ns", "seq"), v.quotes.select("ticker", "ts_ns", "seq", "bid"), ["ticker"], "ts_ns", [-60_000_000_000, 0, 60_000_000_000], "seq")
+    made = e.asof_shifted(v.trades.select("ticker", "et_date", "ts_ns", "seq"), v.quotes.select("ticker", "et_date", "ts_ns", "seq", "bid"), ["ticker", "et_date"], "ts_ns", [-60_000_000_000, 0, 60_000_000_000], "seq")
     return made.select("ticker", "seq", "offset_ns", "r_seq", "r_bid")
 
 
