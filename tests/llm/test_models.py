@@ -5,6 +5,7 @@ import functools
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -21,6 +22,7 @@ from tidegrid.llm import hpylm, langid, near_jaccard, quality_ledger, queries, s
 
 from .conftest import LONG, frame
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001").rstrip("/")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -239,6 +241,27 @@ def test_every_language_is_learnt(spark, checkpoint, monkeypatch):
     assert langid.fit(spark.createDataFrame(rows, "key long, text string, lang string"), 1) == Counter({f"l{k}": 1 for k in range(260)})
 
 
+def test_unlearnt_languages_are_rejected(spark, checkpoint):
+    docs = spark.read.parquet(os.path.join(os.path.dirname(SF), "sf0.01", "documents.parquet")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    model = langid.fit(docs.filter("lang <> 'fr'").select(F.col("doc_id").alias("key"), "text", "lang"))
+    got = langid.predict(docs.select("text", F.col("lang").alias("own")), model).groupBy("own").agg(F.avg(F.col("rejected").cast("double")).alias("share"), F.max("lang_pred").alias("most")).collect()
+    shares = {r.own: r.share for r in got}
+    assert shares.pop("fr") > 0.6 and max(shares.values()) < 0.02 and all(r.most in shares for r in got)
+
+
+def test_threshold_weighs_both_errors():
+    right, negative = np.linspace(0.5, 1, 1000), np.linspace(0.2, 0.9, 1000)
+    assert langid.threshold(right, negative, 0.1) == pytest.approx(0.5, abs=0.01)  # beyond it more right ones are lost than negatives gained
+    assert langid.threshold(right, negative / 2 + 0.3, 0.1) == pytest.approx(0.55 * 1000 / 1025, abs=0.01)  # a tenth of the right ones at most
+    assert langid.threshold(right, np.full(10, 0.3), 0.1) <= 0.5 and langid.threshold(np.zeros(0), negative) == 0
+
+
+def test_long_texts_give_a_bounded_stretch(spark, checkpoint):
+    rows = spark.createDataFrame([(1, "ab " * 1000, "x"), (2, "cd", "x"), (2, "cd", "x"), (3, "ef", None)], "key long, text string, lang string")
+    got = langid.sample(rows.filter("lang IS NOT NULL"), 5, 100).collect()
+    assert sorted(len(r.text) for r in got) == [2, 100] and all(r.text in "ab " * 1000 or r.text == "cd" for r in got)
+
+
 def test_language_of_nothing(empty):
     assert langid.predict(empty, None).collect() == []
 
@@ -440,6 +463,21 @@ def test_edited_copies_are_removed(spark, checkpoint, monkeypatch, crowded):
     assert len(kept) < len(texts)
 
 
+def test_sketches_lose_no_similar_pair(spark, checkpoint):
+    rng = np.random.default_rng(8)
+    sets = {}
+    for k in range(0, 60, 3):
+        base = rng.integers(-(2**62), 2**62, int(rng.integers(3, 3000)))
+        near = np.concatenate([base[len(base) // 10 :], rng.integers(-(2**62), 2**62, len(base) // 10)])
+        sets |= {k: np.unique(base), k + 1: np.unique(near), k + 2: np.unique(rng.integers(-(2**62), 2**62, len(base)))}
+    made = spark.createDataFrame([(k, len(s), near_jaccard.sketch(s).tolist()) for k, s in sets.items()], "k long, n int, bits array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    kept = {(r.a, r.b) for r in near_jaccard.plausible(spark.createDataFrame(pairs, "a long, b long"), made).collect()}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in pairs}
+    like = {(a, b) for (a, b), n in both.items() if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert like <= kept and len(like) >= 15 and len(kept - like) <= 10
+
+
 def test_no_text_vanishes_where_ids_repeat(spark, checkpoint):
     a, b = "one two three four five six seven eight nine ten", "ten nine eight seven six five four three two one"
     rows = frame(spark, [(5, a, "en"), (5, b, "en"), (9, b, "en"), (None, a, "en"), (None, a, "en"), (None, b, "en")])

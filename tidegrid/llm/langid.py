@@ -6,10 +6,15 @@ embeddings goes through a linear softmax. Embeddings and weights are trained by
 stochastic gradient descent in numpy, on whole texts and on stretches drawn from
 them. Part of the labelled sample is set aside, whole and in stretches, to fit a
 temperature of at least one, so that scores are probabilities, and a rejection
-threshold.
+threshold. The threshold parts right predictions from negatives: texts with
+shuffled letters, and texts of languages that a second model did not learn, each
+group of languages left out in turn. Of all thresholds that reject few of the
+right predictions it is the one that also rejects the most negatives; it stays
+lower where there are few predictions to judge by.
 
 Training sees a bounded sample of labelled rows (``PER_LANG`` for each language,
-lowest hash first). Every row's whole text is predicted. For prediction the
+lowest hash first; of a text over ``CHARS`` characters a stretch of so many from
+a hashed place). Every row's whole text is predicted. For prediction the
 embeddings are multiplied into the weights, leaving one row of logits a bucket.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0
@@ -31,12 +36,18 @@ from pyspark.sql import types as T
 
 from tidegrid.llm.chunks import batches_of
 
-#: Bound of the labelled sample: rows a language; every language is learnt.
-PER_LANG = 400
+#: Bounds of the labelled sample: rows a language, characters a row; every language is learnt.
+PER_LANG, CHARS = 400, 20_000
+#: Rows that the cut by hash lets through, as a multiple of those wanted.
+SPARE = 4
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, RATE, STRETCHES = 4, 0.5, 4
 #: Share of the sample set aside, and of its right predictions that may be rejected.
-ASIDE, LOST, CEILING = 0.2, 0.002, 0.5
+ASIDE, LOST = 0.2, 0.002
+#: The highest threshold, and the number of right predictions at which it is halfway there: few tell little.
+CEILING, FEW = 0.85, 25
+#: Groups of languages that are left out in turn, epochs of these models, and words of a stretch that counts for the threshold.
+LEFT_OUT, FEW_EPOCHS, WORDS = 4, 2, 8
 UNKNOWN = "und"
 
 
@@ -117,23 +128,16 @@ def _stretches(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
-    """Fit on labelled texts; None where no text has letters."""
-    rows = [(t, y) for t, y in zip(texts, labels, strict=True) if has_letters(t)]
-    if not rows:
-        return None
-    rng = np.random.default_rng(seed)
-    rows = [rows[i] for i in rng.permutation(len(rows))]
-    langs = sorted({y for _, y in rows})
+def _fit(learn: list[tuple[str, str]], rng: np.random.Generator, epochs: int) -> Model:
+    """Embeddings and weights by stochastic gradient descent on (text, language)."""
+    langs = sorted({y for _, y in learn})
     code = {y: k for k, y in enumerate(langs)}
-    aside = rows[: int(len(rows) * ASIDE)]
-    learn = [(s, code[y]) for t, y in rows[len(aside) :] for s in _stretches(t, rng) if has_letters(s)]
-    bags, ys = _bags([s for s, _ in learn]), [y for _, y in learn]
+    bags, ys = _bags([s for s, _ in learn]), [code[y] for _, y in learn]
     share = np.bincount(ys, minlength=len(langs)) / len(ys)
     weight = 1 / np.maximum(share, 1e-9) / np.count_nonzero(share)  # every language weighs the same
     e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
-    steps, step = EPOCHS * len(bags), 0
-    for _ in range(EPOCHS):
+    steps, step = epochs * len(bags), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(bags)):
             rate = RATE * (1 - step / steps)
             step += 1
@@ -146,28 +150,84 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
             w -= np.outer(h, g)
             b -= g
             e[at] -= (x * len(at) ** 0.5)[:, None] * back
-    model = Model(langs, (e @ w).astype(np.float32), b, 1.0, 0.0)
-    if aside:
-        held = [(s, code[y]) for t, y in aside for s in _stretches(t, rng) if has_letters(s)]
-        z, y = model.logits([s for s, _ in held]), np.array([y for _, y in held])
-        losses = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(1, 8, 41)}
-        model.temperature = float(min(losses, key=losses.get))
-        p = softmax(z / model.temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == y]
-        model.threshold = float(min(CEILING, np.quantile(right, LOST))) if len(right) else 0.0
+    return Model(langs, (e @ w).astype(np.float32), b, 1.0, 0.0)
+
+
+def _temper(model: Model, held: list[tuple[str, str]]) -> None:
+    """The temperature of at least one at which the held texts' languages are likeliest."""
+    code = {y: k for k, y in enumerate(model.langs)}
+    z, y = model.logits([s for s, _ in held]), np.array([code[y] for _, y in held])
+    losses = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(1, 8, 41)}
+    model.temperature = float(min(losses, key=losses.get))
+
+
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in another order."""
+    points = np.array(list(text))
+    own = np.flatnonzero([c.isalpha() for c in text])
+    points[own] = points[rng.permutation(own)]
+    return "".join(points)
+
+
+def threshold(right: np.ndarray, negative: np.ndarray, lost: float = LOST) -> float:
+    """Of the scores up to the ``lost`` quantile of right ones, that with the fewest errors of both kinds."""
+    if not len(right):
+        return 0.0
+    most = min(CEILING, float(np.quantile(right, lost))) * len(right) / (len(right) + FEW)
+    if not len(negative):
+        return most
+    places = np.unique(np.concatenate([right[right <= most], negative[negative <= most] + 1e-9, [0.0, most]]))
+    errors = [(right < t).mean() + (negative >= t).mean() for t in places]
+    return float(places[int(np.argmin(errors))])
+
+
+def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
+    """Fit on labelled texts; None where no text has letters."""
+    rows = [(t, y) for t, y in zip(texts, labels, strict=True) if has_letters(t)]
+    if not rows:
+        return None
+    rng = np.random.default_rng(seed)
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    n = int(len(rows) * ASIDE)
+    first = set({y: i for i, (_, y) in reversed(list(enumerate(rows)))}.values())  # every language is learnt
+    aside = [r for i, r in enumerate(rows[:n]) if i not in first]
+    learn = [(s, y) for i, (t, y) in enumerate(rows) if i >= n or i in first for s in _stretches(t, rng) if has_letters(s)]
+    model = _fit(learn, rng, EPOCHS)
+    if not aside:
+        return model
+    held = [(s, y) for t, y in aside for s in _stretches(t, rng) if has_letters(s)]
+    _temper(model, held)
+    enough = [(s, y) for s, y in held if len(s.split()) >= WORDS]
+    if not enough:
+        return model
+    p = model.probabilities([s for s, _ in enough])
+    right = p.max(axis=1)[np.array(model.langs)[p.argmax(axis=1)] == np.array([y for _, y in enough])]
+    negative = [model.probabilities([_shuffled(s, rng) for s, _ in enough[:: max(1, len(enough) // 500)]]).max(axis=1)]
+    groups = [set(model.langs[k::LEFT_OUT]) for k in range(min(LEFT_OUT, len(model.langs)))] if len(model.langs) > 2 else []
+    for out in groups:
+        other = _fit([(s, y) for s, y in learn if y not in out], rng, FEW_EPOCHS)
+        if strange := [s for s, y in enough if y in out]:
+            _temper(other, [(s, y) for s, y in held if y not in out] or held[:0] or [(learn[0][0], other.langs[0])])
+            negative.append(other.probabilities(strange).max(axis=1))
+    model.threshold = threshold(right, np.concatenate(negative))
     return model
 
 
-def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+def sample(labelled: DataFrame, per_lang: int = PER_LANG, chars: int = CHARS) -> DataFrame:
     """The bounded training sample of (key, text, lang): lowest hashes of each language.
 
-    Hashes alone are ranked, each partition's lowest first, and the chosen ones,
-    at most ``per_lang`` times the languages, are broadcast to fetch their rows.
+    Hashes alone are cut, at a share that its language's distinct ones give, and
+    ranked; the chosen ones, at most ``per_lang`` times the languages, are broadcast
+    to fetch their rows.
     """
     rows = labelled.withColumn("h", F.xxhash64("key", "text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("m"))
+    low = rows.select("lang", "h").join(sizes, "lang").filter(F.col("h") / 2.0**64 + 0.5 < F.lit(float(SPARE * per_lang)) / F.col("m"))
     first = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_lang)
-    return rows.join(F.broadcast(chosen.select("lang", "h").distinct()), ["lang", "h"]).distinct()
+    chosen = low.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_lang)
+    long = F.length("text") > chars
+    part = F.when(long, F.substring(F.col("text"), F.pmod("h", F.length("text") - chars).cast("int") + 1, F.lit(chars))).otherwise(F.col("text"))
+    return rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).select("key", part.alias("text"), "lang", "h").distinct()
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
