@@ -18,7 +18,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +94,7 @@ def byte_letters() -> dict[int, str]:
 
 
 #: Chunks a generation of a JsonBpe's cache, and characters of text to encode at a time.
-ENTRIES, SLICE = 400_000, 8_000_000
+ENTRIES, SLICE = 250_000, 5_000_000
 
 
 class JsonBpe:
@@ -158,16 +158,18 @@ class JsonBpe:
             marked = pc.replace_with_mask(marked, runs, pa.array(own, pa.string()))
         return pc.split_pattern(marked, MARK)
 
-    def flat(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, texts: list[str | None] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all whole texts, each closed by ``end_id`` if given; where each text starts, and the end).
 
         Chunks are split and numbered by Arrow; Python sees distinct ones only.
         """
+        column = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         gc.disable()  # many strings, no cycles
         try:
-            return self._flat(pc.fill_null(pa.array(texts, pa.string()), ""), end_id)
+            return self._flat(pc.fill_null(column, ""), end_id)
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     def _flat(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         lists = self.chunks(column)
@@ -183,6 +185,7 @@ class JsonBpe:
         at = np.repeat((np.cumsum(size) - size)[code] - ends + n, n)
         at += np.arange(len(at))
         ids = pool[at]
+        del at, values, distinct, table
         edges = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
         if end_id is not None:
             ids = np.insert(ids, edges[1:], end_id)
@@ -215,6 +218,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def column_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Slices of a column of texts whose bytes sum to about ``most`` at the most."""
+    yield from batches_of(column, pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+
+
 def batches_of(items: list, sizes: list[int], most: int = 4_000_000):
     """Slices of ``items`` whose ``sizes`` sum to about ``most`` at the most."""
     start = total = 0

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.chunks import SLICE, batches_of, json_bpe
+from tidegrid.llm.chunks import column_slices, json_bpe
 from tidegrid.llm.shared import written
 
 PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -95,10 +95,10 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: st
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, piece = json_bpe(vocabulary), TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, [len(t or "") for t in texts], SLICE):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in column_slices(texts):
                 rows = []
-                tokens, edges = bpe.flat(texts[lo:hi], end_id)
+                tokens, edges = bpe.flat(texts.slice(lo, hi - lo), end_id)
                 raw = memoryview(tokens.astype("<u4").view(np.uint8))
                 for doc_id, (a, b) in zip(ids[lo:hi], itertools.pairwise(edges.tolist()), strict=True):
                     for at, to in spans(b - a, capacity):

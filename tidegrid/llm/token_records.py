@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.chunks import SLICE, batches_of, json_bpe
+from tidegrid.llm.chunks import column_slices, json_bpe
 from tidegrid.llm.crc32c import crc32c, masked
 from tidegrid.llm.shared import AtomicFile, open_filesystem, shared_dir, written
 
@@ -106,9 +106,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
             return
         with AtomicFile(folder, f"{name}.rec") as out, AtomicFile(folder, f"{name}.idx") as index:
             for batch in (b for bs in ([first], batches) for b in bs):
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for lo, hi in batches_of(texts, [len(t or "") for t in texts], SLICE):
-                    tokens, edges = bpe.flat(texts[lo:hi], end_id)
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                for lo, hi in column_slices(texts):
+                    tokens, edges = bpe.flat(texts.slice(lo, hi - lo), end_id)
                     raw = memoryview(tokens.view(np.uint8))
                     bodies = [payload(i, raw[width * a : width * b], width) for i, (a, b) in zip(ids[lo:hi], itertools.pairwise(edges.tolist()), strict=True)]
                     entries = []
