@@ -45,7 +45,7 @@ EPOCHS, RATE, STRETCHES = 4, 0.5, 4
 #: Share of the sample set aside, and of its right predictions that may be rejected.
 ASIDE, LOST = 0.2, 0.002
 #: The highest threshold, and the number of right predictions at which it is halfway there: few tell little.
-CEILING, FEW = 0.85, 25
+CEILING, FEW = 0.7, 25
 #: Groups of languages that are left out in turn, epochs of these models, and words of a stretch that counts for the threshold.
 LEFT_OUT, FEW_EPOCHS, WORDS = 4, 2, 8
 UNKNOWN = "und"
