@@ -148,22 +148,43 @@ def merge_drop(intervals: DataFrame, keys: list[str], gap_ns: int, least_ns: int
     return made.filter(F.col("end_ns") - F.col("start_ns") >= least_ns).drop("run")
 
 
+def _clamps(add, low, high):
+    """Running compositions of steps x -> least(greatest(x + add, low), high), by doubling."""
+    import numpy as np
+
+    k = 1
+    while k < len(add):
+        clip = lambda x, k=k: np.minimum(np.maximum(x[:-k] + add[k:], low[k:]), high[k:])
+        made = add[:-k] + add[k:], clip(low), clip(high)
+        add, low, high = (np.concatenate([old[:k], new]) for old, new in zip((add, low, high), made, strict=True))
+        k *= 2
+    return add, low, high
+
+
 def _steps(batches, n_keys: int, s: float, gamma: float):
-    """The fold of every event over its sorted gaps; an event may go on in the next batch."""
+    """The fold of every event over its sorted gaps; an event may go on in the next batch.
+
+    A step clamps and adds, and such steps compose, so a batch is a scan of arrays;
+    an event's first step doesn't depend on what comes before.
+    """
     import numpy as np
     import pyarrow as pa
 
-    held, d = None, None
+    held, d = None, 0.0
     for batch in batches:
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
-        gap, n, span = (np.asarray(batch.column(n_keys + i)) for i in range(3))
-        a0, tau = n / span, gamma * np.log(n)
-        shift = (s - 1) * a0 * gap - np.log(s)
-        out = np.empty(len(keys))
-        for i, (key, c, t) in enumerate(zip(keys, shift.tolist(), tau.tolist(), strict=True)):
-            d = (t if key != held else min(max(d, 0.0), t)) + c
-            held = key
-            out[i] = d
+        if not batch.num_rows:
+            continue
+        gap, n, span = (np.asarray(batch.column(n_keys + i)).astype(float) for i in range(3))
+        first = np.zeros(batch.num_rows, bool)
+        for i in range(n_keys):
+            code = np.asarray(batch.column(i).dictionary_encode(null_encoding="encode").indices)
+            first[1:] |= code[1:] != code[:-1]
+        ends = [tuple(batch.column(i)[row].as_py() for i in range(n_keys)) for row in (0, batch.num_rows - 1)]
+        first[0] = ends[0] != held
+        tau, shift = gamma * np.log(n), (s - 1) * n / span * gap - np.log(s)
+        add, low, high = _clamps(shift, np.where(first, tau + shift, shift), tau + shift)
+        out = np.minimum(np.maximum(d + add, low), high)
+        held, d = ends[1], float(out[-1])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "d"])
 
 
@@ -172,8 +193,8 @@ def two_state_bursts(ticks: DataFrame, keys: list[str], s: float, gamma: float,
 
     The difference of both states' best costs follows ``d = least(greatest(d', 0),
     tau) + c1 - c0``, a clamp that no window function expresses without a running
-    list; it is carried over Arrow batches of rows sorted by event and time, in
-    constant memory. The path backwards is 0 where d >= tau, 1 where d < 0, else as
+    list; it is a scan of arrays, carried over Arrow batches of rows sorted by event
+    and time, in constant memory. The path backwards is 0 where d >= tau, 1 where d < 0, else as
     its successor: a window.
     """
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
