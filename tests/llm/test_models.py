@@ -494,5 +494,5 @@ def test_pipeline_of_nothing(spark, empty):
 
 def test_every_operator_has_one_query():
     names = [re.match(r"op(\d+)_", n) for n in queries.QUERIES]
-    assert sorted(int(m[1]) for m in names if m) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(int(m[1]) for m in names if m) == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert LONG

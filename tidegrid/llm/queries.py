@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import hpylm, langid, packing_kk, quality_ledger, simhash_anchor, spbpe, token_records, token_spans, topk_pivot, warc_zstd
+from tidegrid.llm import conversation_repair, filter_audit, hpylm, jaccard_join, langid, packing_kk, quality_ledger, simhash_anchor, spbpe, token_records, token_spans, topk_pivot, twins, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,23 @@ def op10_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of the repaired turns of every damaged conversation."""
+    rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    made = conversation_repair.repair(rows, dropped="dropped", lines=False)
+    return made.select(F.col("key").cast("long").alias("conv_id"), *conversation_repair.TOTALS, "audit", F.col("sha256").alias("repaired_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of all their orders, by source."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of four-word shingles and its component under Jaccard >= 0.85."""
+    return jaccard_join.components_of(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_pivot": op1_topk_pivot,
     "op2_warc_zstd": op2_warc_zstd,
@@ -95,6 +112,9 @@ QUERIES = {
     "op8_quality_ledger": op8_quality_ledger,
     "op9_hpylm": op9_hpylm,
     "op10_sentencepiece_bpe": op10_sentencepiece_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_jaccard_join": op13_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -154,4 +174,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_line
        (f0::BIGINT + 2 * f1::BIGINT + 4 * f2::BIGINT + 8 * f3::BIGINT + 16 * f4::BIGINT + 32 * f5::BIGINT)::BIGINT AS failures
 FROM f
 """,
+    "op11_conversation_repair": twins.CONVERSATION_REPAIR,
+    "op12_filter_audit": twins.FILTER_AUDIT,
+    "op13_jaccard_join": twins.JACCARD_JOIN,
 }
