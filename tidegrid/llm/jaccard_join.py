@@ -17,7 +17,8 @@ last. The choice decides the cost, never the result.
 
 Equal sets are one class from the start. Rows that meet at a sum are paired where they
 are few. A crowded sum first sends its leading rows (the four smallest sums of each set,
-which near copies share) to a few hubs; after these links, the rest of its pairs are
+which near copies share) to a few hubs, the set most of whose sums are crowded and some in
+fixed random orders; after these links, the rest of its pairs are
 those of different components, made in tiles of bounded size and ruled out by parity
 sketches there. Sums made of common tokens alone never travel to one task. All
 remaining pairs are compared by whole sets: no link is lost.
@@ -222,9 +223,9 @@ def common_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def listed(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(doc_id, key, digest, n, node, h, what, bits) of every row.
+    """(doc_id, key, digest, n, node, m, h, what, bits) of every row.
 
-    Only the first row of a set in its task is a node, with the sums of its segments and a sketch.
+    Only the first row of a set in its task is a node, with its m sums and a sketch.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, width))
 
@@ -249,21 +250,22 @@ def listed(docs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFram
                 order = np.argsort(of, kind="stable")
                 ends = np.searchsorted(of[order], np.arange(len(carriers) + 1)).tolist()
                 h, what = h[order].view(np.int64), what[order]
-                lists = [[None] * len(sets) for _ in range(3)]
+                lists, numbers = [[None] * len(sets) for _ in range(3)], [None] * len(sets)
                 for place, i in enumerate(carriers):
                     a, b = ends[place], ends[place + 1]
+                    numbers[i] = b - a
                     lists[0][i], lists[1][i], lists[2][i] = h[a:b], what[a:b], sketch(sets[i].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo), batch.column("key").slice(lo, hi - lo), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
+                        batch.column("doc_id").slice(lo, hi - lo), batch.column("key").slice(lo, hi - lo), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()),
                         pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int8())), pa.array(lists[2], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "key", "digest", "n", "node", "h", "what", "bits"],
+                    ["doc_id", "key", "digest", "n", "node", "m", "h", "what", "bits"],
                 )
 
     chosen = docs.select("doc_id", text_key().alias("key"), F.col("text").cast("string").cast("binary").alias("text"))
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return chosen.mapInArrow(rows, f"doc_id {kind}, key long, digest binary, n long, node long, h array<long>, what array<tinyint>, bits array<long>")
+    return chosen.mapInArrow(rows, f"doc_id {kind}, key long, digest binary, n long, node long, m int, h array<long>, what array<tinyint>, bits array<long>")
 
 
 ROWS = "h long, k long, n int, what tinyint"
@@ -357,12 +359,19 @@ def _turn(k: str, factor: int) -> Column:
     return F.xxhash64(F.lit(factor), k)
 
 
-def hubs_of(crowded: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of each leading row of a crowded sum and the sum's hubs."""
+def hubs_of(crowded: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of each leading row of a crowded sum and the sum's hubs.
+
+    A hub is the set with the largest share of its sums crowded - one that others are
+    edited from shares all of its sums, its copies have some of their own - or the first
+    in a fixed random order, the same at every sum.
+    """
     p, q = similarity
-    leads = crowded.filter(F.col("what").bitwiseAND(F.lit(LEADS)) > 0).select("h", "k", "n")
-    firsts = [F.min(F.struct(_turn("k", f).alias("t"), F.col("k").alias("hub"), F.col("n").alias("size"))).alias(f"x{i}") for i, f in enumerate(ORDERS[:HUBS])]
-    hubs = leads.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), *firsts).filter("rows > 1")
+    share = crowded.groupBy("k").agg(F.count(F.lit(1)).alias("own")).join(nodes.select(F.col("node").alias("k"), "m"), "k").select("k", (F.col("own") / F.col("m")).alias("share"))
+    leads = crowded.filter(F.col("what").bitwiseAND(F.lit(LEADS)) > 0).select("h", "k", "n").join(share, "k")
+    hub = [F.col("k").alias("hub"), F.col("n").alias("size")]
+    firsts = [F.max(F.struct("share", _turn("k", ORDERS[0]).alias("t"), *hub)), *(F.min(F.struct(_turn("k", f).alias("t"), *hub)) for f in ORDERS[1:HUBS])]
+    hubs = leads.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), *(x.alias(f"x{i}") for i, x in enumerate(firsts))).filter("rows > 1")
     hubs = light(written(hubs.select("h", F.array(*(F.struct(F.col(f"x{i}.hub"), F.col(f"x{i}.size")) for i in range(HUBS))).alias("hubs")), "hubs"))
     each = leads.join(hubs, "h").select("k", "n", F.explode(F.array_distinct("hubs")).alias("x")).select("k", "n", "x.hub", "x.size")
     fits = (F.col("k") != F.col("hub")) & (q * F.least("n", "size") >= p * F.greatest("n", "size"))
@@ -503,7 +512,7 @@ def join(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMI
     first = written(met(laid_out(nodes, False), similarity), "met")
     hot = written(laid_out(nodes, True), "common")
     crowded = first.filter("k IS NOT NULL").select("h", "k", "n", "what").unionByName(hot)
-    pairs = first.filter("a IS NOT NULL").select("a", "b").unionByName(hubs_of(crowded, similarity)).distinct()
+    pairs = first.filter("a IS NOT NULL").select("a", "b").unionByName(hubs_of(crowded, nodes, similarity)).distinct()
     check = lambda some: written(verified(docs, nodes, written(plausible(some, nodes, similarity), "plausible"), width, similarity), "links")
     links = check(pairs)
     more = written(crossing(crowded, components(links), nodes, similarity), "crossing")
