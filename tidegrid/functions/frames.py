@@ -8,26 +8,48 @@ from pyspark.sql import functions as F
 from tidegrid.sources.scratch import scratch
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str | None = None, seq: str | None = None, strict: bool = False, prefix: str = "r_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str | None = None, seq: str | None = None, strict: bool = False, prefix: str = "r_", span: float | None = None, tol: float | None = None) -> DataFrame:
     """For each left row the latest right row at or before it (before it, if ``strict``); outer.
 
-    One shuffle and one sort by key: both sides are stacked and the last right
-    row is carried forward. Of right rows at the same time the highest ``seq``
-    wins. The right side's columns come back with ``prefix``; all null where
-    nothing matches. Rows with null keys match nothing.
+    Both sides are stacked and the last right row is carried forward: one shuffle
+    and one sort by key. Of right rows at the same time the highest ``seq`` wins;
+    without ``seq``, one that their values' hashes choose. The right side's columns come back
+    with ``prefix``; all null where nothing matches, or nothing within ``tol`` of
+    the left row. Rows with null keys match nothing.
+
+    With ``span`` a key is cut into buckets of so much time, each a sort of its
+    own, so that a hot key is many tasks. A bucket starts with the last right row before
+    it, which comes from one row a (key, bucket), carried over empty buckets.
     """
     right_on = right_on or on
     carried = [c for c in right.columns if c not in by]
     match = F.struct(*(F.col(c).alias(c) for c in carried))
     none = right.select(match.alias("m")).schema["m"].dataType
-    rows = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns), *(F.col(b).alias(f"k_{b}") for b in by), F.col(on).alias("k_t"), F.lit(0 if strict else 1).alias("k_side"), F.lit(None).cast("long").alias("k_seq"), F.lit(True).alias("k_left"), F.lit(None).cast(none).alias("k_m"))
-    right = right.dropna(subset=by)
-    other = right.select(*(F.lit(None).cast(left.schema[c].dataType).alias(f"l_{c}") for c in left.columns), *(F.col(b).alias(f"k_{b}") for b in by), F.col(right_on).alias("k_t"), F.lit(1 if strict else 0).alias("k_side"), (F.col(seq) if seq else F.lit(None)).cast("long").alias("k_seq"), F.lit(False).alias("k_left"), match.alias("k_m"))
+    tie = F.col(seq).cast("long") if seq else F.xxhash64(*carried)
+    cut = lambda t: F.lit(0).cast("long") if span is None else F.floor(F.col(t) / span).cast("long")
+    rows = left.select(
+        *(F.col(c).alias(f"l_{c}") for c in left.columns), *(F.col(b).alias(f"k_{b}") for b in by), cut(on).alias("k_cut"), F.lit(1).alias("k_own"), F.col(on).alias("k_t"), F.lit(0 if strict else 1).alias("k_side"),
+        F.lit(None).cast("long").alias("k_seq"), F.lit(True).alias("k_left"), F.lit(None).cast(none).alias("k_m"), F.lit(None).cast(right.schema[right_on].dataType).alias("k_rt"),
+    )
+    right = right.dropna(subset=list(dict.fromkeys([*by, right_on])))
+    blank = [F.lit(None).cast(left.schema[c].dataType).alias(f"l_{c}") for c in left.columns]
+    keys = [f"k_{b}" for b in by]
+    other = right.select(*blank, *(F.col(b).alias(f"k_{b}") for b in by), cut(right_on).alias("k_cut"), F.lit(1).alias("k_own"), F.col(right_on).alias("k_t"), F.lit(1 if strict else 0).alias("k_side"), tie.alias("k_seq"), F.lit(False).alias("k_left"), match.alias("k_m"), F.col(right_on).alias("k_rt"))
+    both = rows.unionByName(other)
+    if span is not None:
+        last = F.max_by(F.struct("k_m", "k_rt"), F.when(~F.col("k_left"), F.struct("k_t", "k_seq")))
+        ends = both.filter(F.col("k_cut").isNotNull()).dropna(subset=keys).groupBy(*keys, "k_cut").agg(F.when(F.max(~F.col("k_left")), last).alias("end"), F.max("k_left").alias("asked"))
+        before = Window.partitionBy(*keys).orderBy("k_cut").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+        first = ends.withColumn("end", F.last("end", ignorenulls=True).over(before)).filter("asked AND end IS NOT NULL")
+        time = F.lit(None).cast(left.schema[on].dataType)
+        both = both.unionByName(first.select(*blank, *keys, "k_cut", F.lit(0).alias("k_own"), time.alias("k_t"), F.lit(0).alias("k_side"), F.lit(None).cast("long").alias("k_seq"), F.lit(False).alias("k_left"), F.col("end.k_m"), F.col("end.k_rt")))
     keyed = F.lit(True)
-    for b in by:
-        keyed = keyed & F.col(f"k_{b}").isNotNull()
-    w = Window.partitionBy(*(f"k_{b}" for b in by)).orderBy("k_t", "k_side", "k_seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(other).withColumn("k_m", F.when(keyed, F.last("k_m", ignorenulls=True).over(w)))
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    near = F.lit(True) if tol is None else F.coalesce(F.col("k_t") - F.col("k_last.t") <= tol, F.lit(False))
+    w = Window.partitionBy(*keys, *(["k_cut"] if span is not None else [])).orderBy("k_own", "k_t", "k_side", "k_seq").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("k_m").isNotNull(), F.struct(F.col("k_m").alias("m"), F.col("k_rt").alias("t"))), ignorenulls=True).over(w)
+    both = both.withColumn("k_last", F.when(keyed, held)).withColumn("k_m", F.when(near, F.col("k_last.m")))
     return both.filter("k_left").select(*(F.col(f"l_{c}").alias(c) for c in left.columns), *(F.col(f"k_m.{c}").alias(f"{prefix}{c}") for c in carried))
 
 
@@ -52,25 +74,84 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+#: Values of a group, or of a table, that may be sorted whole for a quantile; of more only a band around the place is.
+WHOLE = 50_000
+
+
 def exact_quantile(rows: DataFrame, value: str, q: float, accuracy: int = 10_000) -> float | None:
-    """The interpolated quantile of all rows, from a band around an approximate one.
+    """The interpolated quantile of all rows, null where there are none."""
+    found = grouped_quantiles(rows, [], {value: ((q,), ("v",))}, accuracy).first()
+    return found.v if found else None
 
-    The band holds about four rows in ``accuracy`` (and ties); rows below it are
-    only counted, so that no buffer grows with the table's distinct values.
+
+def grouped_quantiles(rows: DataFrame, by: list[str], values: dict[str, tuple[tuple[float, ...], tuple[str, ...]]], accuracy: int = 10_000, whole: int = WHOLE, counts: bool = False) -> DataFrame:
+    """Exact interpolated quantiles of values by group: ``values`` maps a column to places and names.
+
+    No buffer holds a group's values. A mergeable sketch gives each group of more than
+    ``whole`` values a band around each place, about four rows in ``accuracy`` wide;
+    rows below it are only counted, the band's are counted by value, and running
+    counts over the sorted values of the bands find the two neighbours of each
+    place. A smaller group is its own band, as is one in which the sketch's error may be under two rows. The values are written to the shared folder
+    once, so that what they are made of is not computed twice. Nulls take no part;
+    a group of nulls alone has null quantiles. ``counts`` adds n_<value>.
     """
-    x = F.col(value)
-    band = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
-    found = rows.agg(F.percentile_approx(x, band, accuracy).alias("band"), F.count(x).alias("n")).first()
-    if not found.n:
-        return None
-    lo, hi = found.band
-    lo, hi = (None if band[0] == 0 else lo), (None if band[1] == 1 else hi)
-    above, below = (F.lit(True) if lo is None else x >= lo), (F.lit(True) if hi is None else x <= hi)
-    ahead = 0 if lo is None else rows.filter(x < lo).count()
-    inside = rows.filter(x.isNotNull() & above & below)
-    m = inside.count()
-    place = min(max((found.n - 1) * q - ahead, 0.0), m - 1)
-    return inside.agg(F.percentile(x, F.lit(place / (m - 1) if m > 1 else 0.0)).alias("v")).first().v
+    spark = rows.sparkSession
+    cells_by = [*by, "_c"]
+    stacked = F.explode(F.array(*(F.struct(F.lit(i).alias("_c"), F.col(v).cast("double").alias("_x")) for i, v in enumerate(values))))
+    path = scratch(spark, "values")
+    kept = rows.select(*by, stacked.alias("_s")).select(*by, "_s._c", "_s._x")
+    kept.write.parquet(path)
+    kept = spark.read.schema(kept.schema).parquet(path)
+    slack = 2 / accuracy
+    places = sorted({q for qs, _ in values.values() for q in qs})
+    edges = [min(max(q + side * slack, 0.0), 1.0) for q in places for side in (-1, 1)]
+    cells = kept.groupBy(*cells_by).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", edges, accuracy).alias("_e"))
+    cells = cells.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(cells_by)), "_n", F.when(F.col("_n") > max(whole, 2 * accuracy), F.col("_e")).alias("_e"))
+    same = F.lit(True)
+    for i, c in enumerate(cells_by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    met = kept.join(cells, same)
+    x = F.col("_x")
+    inside = F.array(*(F.when(x <= F.get("_e", F.lit(2 * i + 1)), F.struct(F.lit(i).alias("b"), F.when(x >= F.get("_e", F.lit(2 * i)), x).alias("x"))) for i in range(len(places))))
+    bands = F.when(F.col("_e").isNull(), F.array(F.struct(F.lit(-1).alias("b"), x.alias("x")))).otherwise(F.filter(inside, lambda s: s.isNotNull()))
+    # a null x stands for all rows below a band, or for the nulls of a group that is its own band
+    each = met.withColumn("_s", F.explode_outer(bands)).select(*cells_by, "_n", F.coalesce("_s.b", F.lit(-2)).alias("_b"), F.col("_s.x").alias("_x"))
+    tally = each.groupBy(*cells_by, "_n", "_b", "_x").agg(F.count(F.lit(1)).alias("_m"))
+    tally = tally.withColumn("_m", F.when((F.col("_b") == -1) & F.col("_x").isNull(), 0).otherwise(F.col("_m")))
+    run = Window.partitionBy(*cells_by, "_b").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tally.withColumn("_to", F.sum("_m").over(run)).withColumn("_from", F.col("_to") - F.col("_m"))
+    n = F.col("_n")
+    found = []
+    for c, (v, (qs, names)) in enumerate(values.items()):
+        own = F.col("_c") == c
+        for q, name in zip(qs, names, strict=True):
+            place = (n - 1) * F.lit(q)
+            band = own & F.col("_b").isin(-1, places.index(q)) & F.col("_x").isNotNull()
+            at = lambda p, band=band: F.max(F.when(band & (F.col("_from") <= p) & (p < F.col("_to")), F.col("_x")))
+            some, share = F.max(F.when(own, n)), F.max(F.when(own, place - F.floor(place)))
+            low, high = at(F.floor(place)), at(F.ceil(place))
+            value = F.when(low.isNull() | high.isNull(), F.raise_error(F.lit(f"the band of {v} misses its place")).cast("double")).otherwise(low * (1 - share) + high * share)
+            found.append(F.when(some > 0, value).alias(name))
+        if counts:
+            found.append(F.coalesce(F.max(F.when(own, n)), F.lit(0)).alias(f"n_{v}"))
+    return ranked.groupBy(*by).agg(*found) if by else ranked.agg(*found)
+
+
+#: Places and names of quartiles.
+QUARTILES = ((0.25, 0.5, 0.75), ("q25", "median", "q75"))
+
+
+def describe(rows: DataFrame, by: list[str], values: dict[str, tuple[tuple[float, ...], tuple[str, ...]]], **aggregates: Column) -> DataFrame:
+    """Groups with plain aggregates beside ``grouped_quantiles`` of some values."""
+    plain = rows.groupBy(*by).agg(*(a.alias(n) for n, a in aggregates.items()))
+    if not by:
+        return plain.join(F.broadcast(grouped_quantiles(rows, by, values)))  # a row each
+    other = grouped_quantiles(rows, by, values)
+    other = other.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), *(n for _, names in values.values() for n in names))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return plain.join(other, same).drop(*(f"_g{i}" for i in range(len(by))))
 
 
 def hash_draw(seed: int, *cols: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import first_when, quantiles, ratio
+from tidegrid.functions.frames import QUARTILES, describe, first_when, ratio
 from tidegrid.operators.calendar import segment_of
 
 SEGMENTS = ("premarket", "rth", "post")
@@ -25,7 +25,7 @@ def minute_bars(trades: DataFrame, spine: DataFrame, keys: list[str]) -> DataFra
         F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("notional"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"),
     )
-    return made.withColumn("vwap", F.col("notional") / F.col("volume"))
+    return made.withColumn("vwap", ratio(F.col("notional"), F.col("volume")))
 
 
 def excluded_share(trades: DataFrame, spine: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,14 +84,14 @@ def concentration_curve(grid: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     run = w.orderBy("minute_index").rowsBetween(Window.unboundedPreceding, 0)
     before = F.lag("last_price").over(w.orderBy("minute_index"))
-    step = F.coalesce(F.abs(F.log(F.col("last_price") / before)), F.lit(0.0))
+    step = F.coalesce(F.abs(F.log(ratio(F.col("last_price"), before))), F.lit(0.0))
     rows = grid.withColumn("step", step)
     share = lambda c: ratio(F.sum(c).over(run), F.sum(c).over(w))
     return rows.select(*keys, "minute_index", (F.row_number().over(w.orderBy("minute_index")) / F.count(F.lit(1)).over(w)).alias("time_share"), share("volume").alias("volume_share"), share("step").alias("path_share"))
 
 
 def min_window_minutes(grid: DataFrame, keys: list[str], fraction: float) -> DataFrame:
-    """The shortest run of minutes that holds a share of the volume.
+    """The shortest run of minutes that holds a share of the volume; without volume all of the minutes.
 
     For each start the first end whose prefix sum reaches the target: starts and
     ends are stacked on the prefix axis and the next end is carried backward, one
@@ -99,30 +99,45 @@ def min_window_minutes(grid: DataFrame, keys: list[str], fraction: float) -> Dat
     """
     w = Window.partitionBy(*keys)
     run = w.orderBy("minute_index").rowsBetween(Window.unboundedPreceding, 0)
-    sums = grid.withColumns({"cum": F.sum("volume").over(run), "total": F.sum("volume").over(w)}).filter("total > 0")
-    ends = sums.select(*keys, F.col("cum").cast("double").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("start"), F.col("minute_index").cast("long").alias("end"))
-    starts = sums.select(*keys, (F.col("cum") - F.col("volume") + F.lit(fraction) * F.col("total")).alias("at"), F.lit(0).alias("side"), F.col("minute_index").cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    sums = grid.withColumns({"cum": F.sum("volume").over(run), "total": F.sum("volume").over(w)})
+    ends = sums.select(*keys, F.col("cum").cast("double").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("start"), F.col("minute_index").cast("long").alias("end"), "total")
+    starts = sums.select(*keys, (F.col("cum") - F.col("volume") + F.lit(fraction) * F.col("total")).alias("at"), F.lit(0).alias("side"), F.col("minute_index").cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "total")
     ahead = w.orderBy("at", "side", "end").rowsBetween(0, Window.unboundedFollowing)
     met = starts.unionByName(ends).withColumn("end", F.first("end", ignorenulls=True).over(ahead)).filter("start IS NOT NULL")
-    return met.groupBy(*keys).agg(F.min(F.col("end") - F.col("start") + 1).alias("minutes"))
+    return met.groupBy(*keys).agg(F.when(F.max("total") > 0, F.min(F.col("end") - F.col("start") + 1)).otherwise(F.count(F.lit(1))).alias("minutes"))
 
 
-def opportunity_decay(grid: DataFrame, keys: list[str], anchor: str | None = None, least_minute: int | None = None) -> DataFrame:
+def opportunity_decay(grid: DataFrame, keys: list[str], least_minute: int | None = None) -> DataFrame:
     """Absolute log move since the start over that to the last price, by minute.
 
-    The start is the first row's first price (if it has none, the first price known) or ``anchor``; before any print the
+    The form from the open: the start is the first row's first price (if it has none, the first price known); before any print the
     move is 0. A zero denominator is flagged and its fractions are null. ``least_minute`` leaves out earlier minutes.
     """
     w = Window.partitionBy(*keys).orderBy("minute_index")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = F.last("last_price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.coalesce(F.first("first_price").over(whole), F.first("last_price", ignorenulls=True).over(whole)) if anchor is None else F.col(anchor)
+    start = F.coalesce(F.first("first_price").over(whole), F.first("last_price", ignorenulls=True).over(whole))
     kept = grid if least_minute is None else grid.filter(F.col("minute_index") >= least_minute)
     rows = kept.withColumns({"now": filled, "start": start, "stop": F.last("last_price", ignorenulls=True).over(whole)})
-    move = lambda to: F.abs(F.log(to / F.col("start")))
+    move = lambda to: F.abs(F.log(ratio(to, F.col("start"))))
     return rows.select(*keys, "minute_index", ratio(F.coalesce(move(F.col("now")), F.lit(0.0)), move(F.col("stop"))).alias("realized"), (F.coalesce(F.col("stop") == F.col("start"), F.lit(True))).alias("is_undefined"))
 
 
+def anchored_decay(grid: DataFrame, keys: list[str], anchor: str, high: str) -> DataFrame:
+    """D11, primary form: signed log move from an anchor price over that from the anchor to the day's high, by minute.
+
+    Null unless the anchor is positive and the high above it; before any print the move is 0. Below the anchor
+    the fraction is negative.
+    """
+    run = Window.partitionBy(*keys).orderBy("minute_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = grid.withColumn("now", F.last("last_price", ignorenulls=True).over(run))
+    start = F.when(F.col(anchor) > 0, F.col(anchor))
+    way = F.log(ratio(F.col(high), start))
+    move = F.coalesce(F.log(ratio(F.col("now"), start)), F.lit(0.0))
+    fine = F.coalesce(way > 0, F.lit(False))
+    return rows.select(*keys, "minute_index", F.when(fine, move / way).alias("realized"), (~fine).alias("is_undefined"))
+
+
 def half_life(decay: DataFrame, keys: list[str], level: float = 0.5) -> DataFrame:
     """The first minute at which the realised fraction reaches a level."""
     return decay.groupBy(*keys).agg(first_when(F.col("realized") >= level, F.col("minute_index")).alias("minute_at_level"), F.max("is_undefined").alias("is_undefined"))
@@ -130,7 +145,7 @@ def half_life(decay: DataFrame, keys: list[str], level: float = 0.5) -> DataFram
 
 def pooled_minute_quantiles(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Quartiles of a value by minute over events, optionally split by a flag."""
-    return rows.groupBy(*(by or []), "minute_index").agg(F.count(value).alias("n"), *quantiles(value))
+    return describe(rows, [*(by or []), "minute_index"], {value: QUARTILES}, n=F.count(value))
 
 
 def pooled_crossing(pooled: DataFrame, level: float = 0.5) -> DataFrame:
@@ -139,8 +154,8 @@ def pooled_crossing(pooled: DataFrame, level: float = 0.5) -> DataFrame:
 
 
 def segment_shares(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Each segment's share of the volume; 0 where it has none."""
-    of = lambda s: F.coalesce(F.sum(F.when(F.col("segment") == s, F.col("volume"))), F.lit(0)) / F.sum("volume")
+    """Each segment's share of the volume; 0 where it has none, null where the event has none."""
+    of = lambda s: ratio(F.coalesce(F.sum(F.when(F.col("segment") == s, F.col("volume"))), F.lit(0)), F.sum("volume"))
     return bars.groupBy(*keys).agg(*(of(s).alias(f"{s}_share") for s in SEGMENTS))
 
 
@@ -181,9 +196,9 @@ def tie_audit(trades: DataFrame, by: list[str]) -> DataFrame:
 
 
 def vwap_running(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Volume-weighted price so far."""
+    """Volume-weighted price so far; null before the first size."""
     run = Window.partitionBy(*keys).orderBy("minute_index").rowsBetween(Window.unboundedPreceding, 0)
-    return bars.withColumn("vwap_running", F.sum("notional").over(run) / F.sum("volume").over(run))
+    return bars.withColumn("vwap_running", ratio(F.sum("notional").over(run), F.sum("volume").over(run)))
 
 
 def atr_bars(bars: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +19,11 @@ def collapse_ties(ticks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tie_structure(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """H2: share of tied prints, distinct stamps, longest tie, smallest gap between stamps."""
+    """H2: share of prints at the time of the one before, distinct stamps, longest tie, smallest gap between stamps."""
     one = collapse_ties(ticks, keys)
     gap = F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy(*keys).orderBy("ts_ns"))
-    tied = F.sum(F.when(F.col("n_prints") > 1, F.col("n_prints")))
-    return one.withColumn("gap", gap).groupBy(*keys).agg(ratio(F.coalesce(tied, F.lit(0)), F.sum("n_prints")).alias("tied_share"), F.count(F.lit(1)).alias("n_stamps"), F.max("n_prints").alias("longest_tie"), F.min("gap").alias("min_gap_ns"))
+    n, stamps = F.sum("n_prints"), F.count(F.lit(1))
+    return one.withColumn("gap", gap).groupBy(*keys).agg(F.coalesce(ratio(n - stamps, n - 1), F.lit(0.0)).alias("tied_share"), F.count(F.lit(1)).alias("n_stamps"), F.max("n_prints").alias("longest_tie"), F.min("gap").alias("min_gap_ns"))
 
 
 def knn_rate(ticks: DataFrame, keys: list[str], k: int, floor_s: float) -> DataFrame:
@@ -39,13 +41,22 @@ def knn_rate(ticks: DataFrame, keys: list[str], k: int, floor_s: float) -> DataF
     return met.select(*keys, "seq", "ts_ns", (k / span).alias("print_rate"), ((F.col("c_b") - F.col("c_a") + F.col("s_a")) / span).alias("volume_rate"))
 
 
-def sustained_crossing(series: DataFrame, keys: list[str], order: str, value: str, level: str) -> DataFrame:
-    """H4: the first place after the last one at or above the level: from there it stays under for good."""
+def _sustained(order: str, above: Column, start: Column) -> tuple[Column, Column]:
+    """(elapsed, never): from the start to the first row that is not above and is followed by none that is; 0 if none is above."""
+    last = F.max(F.when(above, F.struct(order, "next")))
+    return F.when(last.isNull(), F.lit(0)).otherwise(last["next"] - start), last.isNotNull() & last["next"].isNull()
+
+
+def sustained_crossing(series: DataFrame, keys: list[str], order: str, value: str, level: str, start: str | None = None) -> DataFrame:
+    """H4: how long from the start (a column, or the first row) until the value is at or under the level and stays there.
+
+    0 if it is never above; null, and flagged, if the last row still is.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    nxt = F.lead(order).over(w)
-    rows = series.withColumn("next", nxt)
-    last = F.max(F.when(F.col(value) >= F.col(level), F.struct(order, "next")))
-    return rows.groupBy(*keys).agg(last["next"].alias("under_from"), F.max((F.col(value) >= F.col(level)).cast("int")).alias("was_above"))
+    rows = series.withColumn("next", F.lead(order).over(w))
+    rows = rows if start is None else rows.filter(F.col(order) >= F.col(start))
+    elapsed, never = _sustained(order, F.col(value) > F.col(level), F.min(order))
+    return rows.groupBy(*keys).agg(elapsed.alias("elapsed"), never.alias("never_reached"))
 
 
 def peak_profile(series: DataFrame, keys: list[str], order: str, value: str, offsets: list[int]) -> DataFrame:
@@ -56,16 +67,29 @@ def peak_profile(series: DataFrame, keys: list[str], order: str, value: str, off
     return met.select(*keys, "peak_at", "top", "offset", ratio(F.col("known"), F.col("top")).alias("share_of_peak"))
 
 
-def decay_times(series: DataFrame, keys: list[str], order: str, value: str, fractions: list[float]) -> DataFrame:
-    """H5: time from the peak (the first largest value) until the value stays below each fraction of it; null where it never does.
+def decay_times(series: DataFrame, keys: list[str], order: str, value: str, fractions: list[float], multiples: list[float] = (), baseline: DataFrame | None = None, origin: DataFrame | None = None) -> DataFrame:
+    """H5: time from the peak (the first largest value) until the value stays at or under each fraction of it (``decay_``).
 
-    The time is that of the first row after the last one at or above the level.
+    And, given a ``baseline`` (keys, baseline), until it stays at or under each multiple of it (``terminal_``; null
+    without a positive baseline), and, given an ``origin`` (keys, at: a detection), the signed time from it to the peak.
+    A level that the last row is still above gives null and ``_never``.
     """
     peak = series.groupBy(*keys).agg(F.max_by(F.struct(F.col(order).alias("peak_at"), F.col(value).alias("top")), F.struct(F.col(value), -F.col(order))).alias("p")).select(*keys, "p.*")
+    peak = peak.join(baseline.select(*keys, "baseline"), keys, "left") if baseline is not None else peak.withColumn("baseline", F.lit(None).cast("double"))
+    peak = peak.join(origin.select(*keys, "at"), keys, "left") if origin is not None else peak.withColumn("at", F.lit(None).cast("long"))
     w = Window.partitionBy(*keys).orderBy(order)
     rows = series.withColumn("next", F.lead(order).over(w)).join(peak, keys).filter(F.col(order) >= F.col("peak_at"))
-    last = lambda f: F.max(F.when(F.col(value) >= F.lit(float(f)) * F.col("top"), F.struct(order, "next")))["next"]
-    return rows.groupBy(*keys).agg(F.first("peak_at").alias("peak_at"), F.first("top").alias("top"), *((last(f) - F.first("peak_at")).alias(f"decay_{i}") for i, f in enumerate(fractions)))
+    at, top, base = F.first("peak_at"), F.first("top"), F.first("baseline")
+    made = [at.alias("peak_at"), top.alias("top")]
+    for i, f in enumerate(fractions):
+        elapsed, never = _sustained(order, F.col(value) > F.lit(float(f)) * F.col("top"), at)
+        made += [elapsed.alias(f"decay_{i}"), never.alias(f"decay_{i}_never")]
+    for i, m in enumerate(multiples):
+        elapsed, never = _sustained(order, F.col(value) > F.lit(float(m)) * F.col("baseline"), at)
+        made += [F.when(base > 0, elapsed).alias(f"terminal_{i}"), F.coalesce(F.when(base > 0, never), F.lit(True)).alias(f"terminal_{i}_never")]
+    if origin is not None:
+        made.append((at - F.first("at")).alias("origin_to_peak"))
+    return rows.groupBy(*keys).agg(*made)
 
 
 def log_grid(least: float, most: float, points: int) -> list[float]:
@@ -132,6 +156,35 @@ def hysteresis_bursts(series: DataFrame, keys: list[str], order: list[str], z: C
     return series.withColumn("is_on", F.coalesce(state, F.lit(0)) == 1)
 
 
+def grid_bursts(ticks: DataFrame, sessions: DataFrame, baseline: DataFrame, keys: list[str], grid_s: int, window_s: int, on: float, off: float, floor: float, merge_s: float, dwell_s: float) -> DataFrame:
+    """H8 on a regular grid: bursts where the print rate is a multiple of the baseline of the time of day, as spans of prints.
+
+    ``sessions``: a row an event with start_ns and minutes; ``baseline`` its rate_floored by minute_index (``tod_baseline``).
+    Prints within half a window of each grid point come from one sweep over ticks and window edges. The log of
+    their rate a minute over the floored baseline turns on at ln(on), off under ln(off); runs of the grid closer than
+    ``merge_s`` are merged, then those shorter than ``dwell_s`` dropped, then each is cut to its prints, and
+    dropped if it has none.
+    """
+    least = 1e-9  # added to both rates under the logarithm
+    step, half = grid_s * NS, window_s * NS // 2
+    points = F.floor((F.col("minutes") * 60 * NS + step - 1) / step)
+    grid = sessions.select(*keys, "start_ns", "minutes", F.explode(F.sequence(F.lit(0).cast("long"), points.cast("long"))).alias("g")).withColumn("at_ns", F.col("start_ns") + F.col("g") * step)
+    grid = grid.filter(F.col("at_ns") < F.col("start_ns") + F.col("minutes") * 60 * NS + step)
+    edges = grid.select(*keys, "g", F.explode(F.array(F.struct((F.col("at_ns") - half).alias("t"), F.lit(-1).alias("sign")), F.struct((F.col("at_ns") + half).alias("t"), F.lit(1).alias("sign")))).alias("e"))
+    stacked = edges.select(*keys, "e.t", F.lit(0).alias("print"), "g", "e.sign").unionByName(ticks.select(*keys, F.col("ts_ns").alias("t"), F.lit(1).alias("print"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("int").alias("sign")))
+    run = Window.partitionBy(*keys).orderBy("t", "print").rowsBetween(Window.unboundedPreceding, 0)
+    counted = stacked.withColumn("n", F.sum("print").over(run)).filter("g IS NOT NULL").groupBy(*keys, "g").agg(F.sum(F.col("n") * F.col("sign")).alias("prints"))
+    minute = F.least(F.floor((F.col("at_ns") - F.col("start_ns")) / (60 * NS)), F.col("minutes") - 1)
+    rows = grid.withColumn("minute_index", minute.cast("long")).join(counted, [*keys, "g"]).join(baseline.select(*keys, F.col("minute_index").cast("long").alias("minute_index"), "rate_floored"), [*keys, "minute_index"], "left")
+    rate, base = F.col("prints") / (window_s / 60.0), F.greatest(F.coalesce("rate_floored", F.lit(float(floor))), F.lit(float(floor)))
+    rows = rows.withColumn("z", F.log(rate + least) - F.log(base + least))
+    flagged = hysteresis_bursts(rows, keys, ["g"], F.col("z"), math.log(on), math.log(off))
+    merged = merge_drop(runs_of(flagged, keys, "is_on", "at_ns", ("g",)), keys, int(merge_s * NS), int(dwell_s * NS))
+    numbered = ticks.select(*keys, "ts_ns", "seq", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ns", "seq")) - 1).alias("i"))
+    inside = asof_join(numbered, merged.select(*keys, "start_ns", "end_ns"), keys, "ts_ns", "start_ns", prefix="grid_").filter(F.col("ts_ns") <= F.col("grid_end_ns"))
+    return inside.groupBy(*keys, "grid_start_ns", "grid_end_ns").agg(F.min("i").alias("start_index"), F.max("i").alias("end_index"), F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"), F.count(F.lit(1)).alias("n_prints"))
+
+
 def runs_of(rows: DataFrame, keys: list[str], flag: str, start: str = "ts_ns", order: tuple[str, ...] = ("ts_ns", "seq")) -> DataFrame:
     """Runs in which a flag holds: first and last place and number of rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -216,9 +269,9 @@ def burst_runs(path: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sweep_runs(ticks: DataFrame, keys: list[str], gap_ns: int) -> DataFrame:
-    """Runs of prints closer than a gap: count, mean, size-biased mean, largest."""
+    """Runs of prints no further apart than a gap: count, mean, size-biased mean, largest."""
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
-    runs = islands(ticks, keys, ["ts_ns", "seq"], F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(w) >= gap_ns, F.lit(True)))
+    runs = islands(ticks, keys, ["ts_ns", "seq"], F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(w) > gap_ns, F.lit(True)))
     sizes = runs.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_runs"), F.avg("n").alias("mean"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("size_biased"), F.max("n").alias("largest"))
 
@@ -267,10 +320,11 @@ def burst_concentration(ticks: DataFrame, keys: list[str], burst: str, marks_s:
     return made.filter("duration > 0 AND volume > 0").select(*keys, burst, F.inline("marks"))
 
 
-def interval_jaccard(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def interval_jaccard(a: DataFrame, b: DataFrame, keys: list[str], events: DataFrame | None = None) -> DataFrame:
     """Overlap over union of two sets of disjoint intervals, by a sweep over their ends.
 
-    One union and one sort a key, no interval pairs. Both empty counts as 1.
+    One union and one sort a key, no interval pairs. Both empty counts as 1; ``events``
+    names all keys, so that those without intervals have a row.
     """
     ends = lambda df, side: df.select(*keys, F.col("start_ns").alias("t"), F.lit(1).alias("d"), F.lit(side).alias("s")).unionByName(df.select(*keys, F.col("end_ns").alias("t"), F.lit(-1).alias("d"), F.lit(side).alias("s")))
     rows = ends(a, "a").unionByName(ends(b, "b"))
@@ -280,6 +334,8 @@ def interval_jaccard(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     swept = points.withColumns({"na": F.sum("da").over(run), "nb": F.sum("db").over(run), "len": F.lead("t").over(w) - F.col("t")})
     length = lambda c: F.coalesce(F.sum(F.when(c, F.col("len"))), F.lit(0))
     made = swept.groupBy(*keys).agg(length((F.col("na") > 0) & (F.col("nb") > 0)).alias("overlap_ns"), length((F.col("na") > 0) | (F.col("nb") > 0)).alias("union_ns"))
+    if events is not None:
+        made = events.select(*keys).join(made, keys, "left").fillna(0, ["overlap_ns", "union_ns"])
     return made.withColumn("jaccard", F.coalesce(ratio(F.col("overlap_ns"), F.col("union_ns")), F.lit(1.0)))
 
 
@@ -329,10 +385,16 @@ def moved_share(rows: DataFrame, by: list[str], variant: str, at: str, decay: st
     return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("moved") > F.col("decay")).cast("double")).alias("moved_share"))
 
 
-def near_cutoff(rows: DataFrame, by: list[str], status: str, reason: str, value: str, cutoff: float, band: float) -> DataFrame:
-    """Events by status and reason, and how many of them have a value within ``band`` of the cutoff."""
-    near = F.abs(F.col(value) - cutoff) <= band
-    return rows.groupBy(*by, status, reason).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(near, 1)).alias("n_near"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("near_share"))
+def near_cutoff(rows: DataFrame, by: list[str], status: str, value: str, cutoff: float, margin: float, fine: str = "ok") -> DataFrame:
+    """Of the events whose status is fine and value defined, how many lie just above the cutoff: from it to less than ``margin`` over it."""
+    kept = rows.filter((F.col(status) == fine) & F.col(value).isNotNull())
+    near = (F.col(value) >= cutoff) & (F.col(value) < cutoff + margin)
+    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(near, 1)).alias("n_near"), F.avg(near.cast("double")).alias("near_share"))
+
+
+def status_counts(rows: DataFrame, by: list[str], status: str, reason: str) -> DataFrame:
+    """Events by status and reason."""
+    return rows.groupBy(*by, status, reason).agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_shares(rows: DataFrame, status: str, by: list[str]) -> DataFrame:

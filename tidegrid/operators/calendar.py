@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import clock
+from tidegrid.functions.frames import ratio
 
 PRE_MIN, POST_MIN, POST_LENGTH = 240, 1200, 240
 
@@ -79,23 +80,31 @@ def session_bitmap(ticks: DataFrame, spine: DataFrame, keys: list[str], ticker:
     return made.select(*keys, F.concat_ws("", F.transform("s", lambda x: x["has"].cast("string"))).alias("bitmap"), missing.alias("missing"), F.size(missing).alias("n_missing"), (F.size(missing) == 0).alias("is_full"))
 
 
-def gap_label(missing: Column, residue: Column | None = None) -> Column:
-    """Where an event's missing sessions lie; with ``residue``, that label comes first."""
-    before, after = F.exists(missing, lambda o: o < 0), F.exists(missing, lambda o: o > 0)
-    label = (
-        F.when(F.size(missing) == 0, "none").when(F.size(missing) >= 7, "archive_edge").when(before & after, "both_sides")
-        .when(after, "forward").when(before, "backward").otherwise("unclassified")
-    )
-    return label if residue is None else F.when(residue & (F.size(missing) > 0), "calendar_residue").otherwise(label)
+def archive_edge(spine: DataFrame, observed: DataFrame, keys: list[str], date: str = "session_date") -> DataFrame:
+    """Whether any session that an event expects lies outside the range of the observed ones; a row an event."""
+    span = F.broadcast(observed.agg(F.min(date).alias("first"), F.max(date).alias("last")))  # one row
+    return spine.join(span).groupBy(*keys).agg(F.coalesce(F.max((F.col(date) < F.col("first")) | (F.col(date) > F.col("last"))), F.lit(False)).alias("is_edge"))
+
 
+def gap_label(missing: Column, edge: Column, residue: Column | None = None) -> Column:
+    """Where an event's missing sessions lie; ``residue`` (a calendar's fault or its repair) comes first, the archive's edge next.
+
+    The event's own day counts to neither side, so its absence makes both_sides; nothing missing is unclassified.
+    """
+    some = F.size(missing) > 0
+    label = F.when(edge, "archive_edge").when(some & F.forall(missing, lambda o: o >= 1), "forward_missing").when(some & F.forall(missing, lambda o: o <= -1), "backward_missing").when(some, "both_sides").otherwise("unclassified")
+    return label if residue is None else F.when(F.coalesce(residue, F.lit(False)), "calendar_residue").otherwise(label)
 
-def seen_signature(ticks: DataFrame, events: DataFrame, ticker: str = "ticker", date: str = "et_date") -> DataFrame:
-    """Each event against its ticker's first and last observed session."""
-    seen = ticks.groupBy(ticker).agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen"))
-    joined = events.join(seen, ticker, "left")
-    label = F.when(F.col("first_seen").isNull(), "never_seen").when(F.col("event_date") < F.col("first_seen"), "before").when(F.col("event_date") > F.col("last_seen"), "after")
-    label = label.when(F.col("event_date") == F.col("first_seen"), "at_first").when(F.col("event_date") == F.col("last_seen"), "at_last").otherwise("inside")
-    return joined.withColumn("signature", label)
+
+def seen_signature(rows: DataFrame, observed: DataFrame, ticker: str = "ticker", date: str = "session_date") -> DataFrame:
+    """Weak signs of delisting and listing, of events with a label and ``first_expected`` (their earliest expected session).
+
+    Forward gaps where the event is the ticker's last observed session; backward gaps where its first one comes after the earliest expected.
+    """
+    seen = observed.groupBy(ticker).agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen"))
+    last = (F.col("label") == "forward_missing") & (F.col("event_date") == F.col("last_seen"))
+    listed = (F.col("label") == "backward_missing") & (F.col("first_seen") > F.col("first_expected"))
+    return rows.join(seen, ticker, "left").withColumns({"is_last_seen": F.coalesce(last, F.lit(False)), "is_listing": F.coalesce(listed, F.lit(False))})
 
 
 def merge_sides(trades: DataFrame, quotes: DataFrame, keys: list[str], labels: DataFrame | None = None, defaults: dict[str, str] | None = None) -> DataFrame:
@@ -136,13 +145,14 @@ def missing_rates(rows: DataFrame, by: list[str], offsets: tuple[int, ...] = (1,
 
 
 def coverage_stats(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Regular bars, longest run of missing minutes between bars, outside share, first and last minute."""
-    w = Window.partitionBy(*keys).orderBy("minute_index")
+    """Regular bars, longest run of missing minutes between regular bars, share of trades outside, first and last minute."""
+    w = Window.partitionBy(*keys, "segment").orderBy("minute_index")
     gaps = bars.withColumn("gap", F.col("minute_index") - F.lag("minute_index").over(w) - 1)
     rth = F.col("segment") == "rth"
+    inside = F.coalesce(F.sum(F.when(rth, F.col("n_trades"))), F.lit(0))
     return gaps.groupBy(*keys).agg(
-        F.count(F.when(rth, 1)).alias("rth_bars"), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"),
-        (F.count(F.when(~rth, 1)) / F.count(F.lit(1))).alias("outside_share"), F.min("minute_index").alias("first_minute"), F.max("minute_index").alias("last_minute"),
+        F.count(F.when(rth, 1)).alias("rth_bars"), F.coalesce(F.max(F.when(rth, F.col("gap"))), F.lit(0)).alias("longest_gap"),
+        (1 - ratio(inside, F.sum("n_trades"))).alias("outside_share"), F.min("minute_index").alias("first_minute"), F.max("minute_index").alias("last_minute"),
     )
 
 

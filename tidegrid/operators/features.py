@@ -86,7 +86,8 @@ def hawkes_intensity(ticks: DataFrame, keys: list[str], alpha: float, beta: floa
     With active time tau (frozen gaps add nothing) the state is the sum over
     earlier ticks, the first not counted, of exp(-beta (tau_i - tau_j)). Tau is cut
     into blocks of 20 / beta: sums inside a block stay in double range, and two
-    blocks back contribute e^-20, three less than a double resolves.
+    blocks back contribute e^-20, three less than a double resolves. A key with a
+    single tick has no intensity: 0.
     """
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
     before = F.lag("ts_ns").over(w)
@@ -101,10 +102,10 @@ def hawkes_intensity(ticks: DataFrame, keys: list[str], alpha: float, beta: floa
     ends = rows.groupBy(*keys, "block").agg(F.sum(counted * F.exp(F.lit(beta) * (F.col("inside") - size))).alias("left"))
     carried = ends.withColumn("back", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(*keys, (F.col("block") + F.col("back")).alias("block"), (F.col("left") * F.exp(-20.0 * (F.col("back") - 1))).alias("part"))
     carried = carried.groupBy(*keys, "block").agg(F.sum("part").alias("carry"))
-    base = rows.groupBy(*keys).agg(((F.count(F.when(F.col("active"), 1)) + 1) / F.greatest(F.coalesce(F.sum(F.when(F.col("active"), F.col("gap_s"))), F.lit(1e-6)), F.lit(1e-6))).alias("mu"))
+    base = rows.groupBy(*keys).agg(((F.count(F.when(F.col("active"), 1)) + 1) / F.greatest(F.coalesce(F.sum(F.when(F.col("active"), F.col("gap_s"))), F.lit(1e-6)), F.lit(1e-6))).alias("mu"), F.count(F.lit(1)).alias("total"))
     joined = rows.join(carried, [*keys, "block"], "left").join(base, keys)
     state = F.col("local") + F.coalesce("carry", F.lit(0.0)) * F.exp(F.lit(-beta) * F.col("inside"))
-    lam = joined.withColumn("intensity", F.col("mu") + F.when(F.col("n") > 1, alpha * state).otherwise(0.0))
+    lam = joined.withColumn("intensity", F.when(F.col("total") < 2, 0.0).otherwise(F.col("mu") + F.when(F.col("n") > 1, alpha * state).otherwise(0.0)))
     return lam.withColumn("step", F.coalesce(F.col("intensity") - F.lag("intensity").over(w), F.lit(0.0))).select(*keys, "seq", "ts_ns", "tau", "intensity", "step")
 
 
@@ -124,43 +125,84 @@ def post_halt_surge(rows: DataFrame, keys: list[str], seconds: int = 60) -> Data
     return made.groupBy(*keys).agg(F.max(F.when(F.col("ts_ns") < F.col("last_ns") + seconds * 1_000_000_000, F.col("intensity"))).alias("post_halt_surge"))
 
 
-def cvd(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Cumulative signed volume by the tick rule; an unchanged price holds the last sign."""
+def cvd(ticks: DataFrame, keys: list[str], counts_first: bool = True) -> DataFrame:
+    """Cumulative signed volume by the tick rule; an unchanged price holds the last sign, which starts at +1.
+
+    A key with a single tick has 0. Without ``counts_first`` the first tick's size is left out (the form of G18).
+    """
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
     d = F.col("price") - F.lag("price").over(w)
     rows = ticks.withColumn("s", F.when(d > 0, 1).when(d < 0, -1))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sign", F.coalesce(F.last("s", ignorenulls=True).over(run), F.lit(0)))
-    return rows.withColumn("cvd", F.sum(F.col("sign") * F.col("size")).over(run)).drop("s")
+    rows = rows.withColumn("sign", F.coalesce(F.last("s", ignorenulls=True).over(run), F.lit(1)))
+    first = F.lag("ts_ns").over(w).isNull()
+    alone = first & F.lead("ts_ns").over(w).isNull()
+    rows = rows.withColumn("s", F.when(alone if counts_first else first, 0).otherwise(F.col("sign") * F.col("size")))
+    return rows.withColumn("cvd", F.sum("s").over(run)).drop("s")
 
 
-def cvd_convexity(points: DataFrame, keys: list[str], step_s: int, half: int = 15) -> DataFrame:
-    """Curvature of cumulative volume on a regular grid: second derivative of a parabola fitted
-    over 2 * half + 1 points, edges taking the nearest full window; null on grids shorter than that.
+def convexity_grid(points: DataFrame, keys: list[str], step_s: int, window: int, most: int = 50_000) -> DataFrame:
+    """(keys, origin, cell, y, convexity, last): the cumulative volume on a regular grid from each key's first tick,
+    and the second derivative of the parabola that fits ``window`` points best (odd; fewer where the grid has fewer).
 
-    A fitted parabola's second derivative is a fixed weighted sum, so windows do it.
+    The grid's values are interpolated between ticks (the last of tied ones counts). Edge points take the
+    parabola of the nearest full window, whose second derivative is the same everywhere. A fit's second
+    derivative is a fixed weighted sum, so windows do it; grids shorter than ``window`` are gathered, as they are short.
+    Only keys of 10 ticks and 5 steps at least have a grid; it ends after ``most`` steps.
     """
+    step = step_s * 1_000_000_000
+    half = window // 2
     w = Window.partitionBy(*keys)
-    cell = F.floor(F.col("ts_ns") / (step_s * 1_000_000_000))
-    last = points.groupBy(*keys, cell.alias("cell")).agg(F.max_by("cvd", F.struct("ts_ns", "seq")).cast("double").alias("y"))
-    span = last.groupBy(*keys).agg(F.min("cell").alias("a"), F.max("cell").alias("z"))
-    grid = span.select(*keys, F.explode(F.sequence("a", "z")).alias("cell")).join(last, [*keys, "cell"], "left")
+    span = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("origin"), F.max("ts_ns").alias("end"))
+    span = span.filter((F.col("n") >= 10) & (F.floor((F.col("end") - F.col("origin")) / step) + 1 >= 5))
+    last = F.least(F.ceil((F.col("end") - F.col("origin")) / step), F.lit(most))
+    span = span.select(*keys, "origin", last.cast("long").alias("last"))
+    grid = span.select(*keys, "origin", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("cell")).withColumn("at_ns", F.col("origin") + F.col("cell") * step)
+    ticks = points.join(span.select(*keys), keys).select(*keys, F.col("ts_ns").alias("at_ns"), F.lit(0).alias("side"), "seq", F.col("cvd").cast("double").alias("cvd"))
+    both = grid.withColumn("side", F.lit(1)).unionByName(ticks, allowMissingColumns=True)
+    known = F.when(F.col("side") == 0, F.struct(F.col("at_ns").alias("x"), F.col("cvd").alias("y")))
+    past = w.orderBy("at_ns", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.orderBy("at_ns", "side", "seq").rowsBetween(0, Window.unboundedFollowing)
+    rows = both.withColumns({"a": F.last(known, ignorenulls=True).over(past), "z": F.first(known, ignorenulls=True).over(ahead)}).filter("side = 1")
+    line = F.col("a.y") + F.coalesce((F.col("z.y") - F.col("a.y")) * (F.col("at_ns") - F.col("a.x")) / (F.col("z.x") - F.col("a.x")), F.lit(0.0))
+    rows = rows.select(*keys, "origin", "last", "cell", line.alias("y"))
+
+    def weights(h: int) -> list[float]:
+        k2 = [k * k for k in range(-h, h + 1)]
+        mean = sum(k2) / len(k2)
+        norm = sum(x * (x - mean) for x in k2)
+        return [2 * (x - mean) / norm for x in k2]
+
+    dot = lambda ys, ws: F.aggregate(F.zip_with(ys, F.array(*map(F.lit, ws)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     o = w.orderBy("cell")
-    past, ahead = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("y").isNotNull(), F.col("cell"))
-    ends = grid.withColumns({"x0": F.last(known, True).over(past), "y0": F.last("y", True).over(past), "x1": F.first(known, True).over(ahead), "y1": F.first("y", True).over(ahead)})
-    line = F.when(F.col("x1") == F.col("x0"), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("cell") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    rows = ends.select(*keys, "cell", line.alias("y")).withColumns({"n": F.row_number().over(o), "m": F.count(F.lit(1)).over(w)})
-    k2 = [k * k for k in range(-half, half + 1)]
-    mean = sum(k2) / len(k2)
-    norm = sum(x * (x - mean) for x in k2)
-    window = o.rowsBetween(-half, half)
-    near = F.collect_list("y").over(window)  # 2 * half + 1 values at most
-    weights = F.array(*(F.lit(2 * (x - mean) / norm) for x in k2))
-    full = F.when(F.size(near) == 2 * half + 1, F.aggregate(F.zip_with(near, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
-    got = rows.withColumn("c", full)
-    filled = F.coalesce("c", F.first("c", True).over(ahead), F.last("c", True).over(past))
-    return got.select(*keys, "cell", "y", filled.alias("convexity"))
+    near = F.collect_list("y").over(o.rowsBetween(-half, half))  # ``window`` values at most
+    long = rows.filter(F.col("last") + 1 >= window).withColumn("c", F.when(F.size(near) == 2 * half + 1, dot(near, weights(half))))
+    filled = F.coalesce("c", F.first("c", True).over(o.rowsBetween(0, Window.unboundedFollowing)), F.last("c", True).over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    long = long.select(*keys, "origin", "last", "cell", "y", filled.alias("convexity"))
+    short = rows.filter(F.col("last") + 1 < window).groupBy(*keys, "origin", "last").agg(F.sort_array(F.collect_list(F.struct("cell", "y"))).alias("p"))  # fewer than ``window`` values
+    own = F.floor(F.col("last") / 2)  # half the greatest odd window that fits
+    first = lambda h, at: dot(F.slice(F.transform("p", lambda p: p["y"]), at, 2 * h + 1), weights(h))
+    fits = lambda at: F.coalesce(*(F.when(own == h, first(h, at)) for h in range(2, half + 1)))
+    short = short.withColumns({"left": fits(1), "right": F.when(F.col("last") % 2 == 1, fits(2))}).select("*", F.explode("p").alias("q"))
+    short = short.select(*keys, "origin", "last", "q.cell", "q.y", F.when((F.col("last") % 2 == 1) & (F.col("q.cell") > own), F.col("right")).otherwise(F.col("left")).alias("convexity"))
+    return long.unionByName(short)
+
+
+def cvd_convexity(points: DataFrame, keys: list[str], step_s: int = 1, window: int = 31, most: int = 50_000) -> DataFrame:
+    """``points`` (ticks with ``cvd``) with the curvature of their cumulative volume, ``convexity_grid`` interpolated at each tick.
+
+    0 for keys without a grid; past the grid's end its last value.
+    """
+    step = step_s * 1_000_000_000
+    made = convexity_grid(points, keys, step_s, window, most)
+    after = F.lead("convexity").over(Window.partitionBy(*keys).orderBy("cell"))
+    cells = made.select(*keys, "cell", "convexity", F.coalesce(after, F.col("convexity")).alias("after"))
+    ends = made.filter("cell = 0").select(*keys, "origin", "last")
+    placed = points.join(ends, keys, "left").withColumn("cell", F.least(F.floor((F.col("ts_ns") - F.col("origin")) / step), F.col("last")).cast("long"))
+    share = F.least(F.lit(1.0), (F.col("ts_ns") - F.col("origin")) / step - F.col("cell"))
+    met = placed.join(cells, [*keys, "cell"], "left")
+    value = F.coalesce(F.col("convexity") + share * (F.col("after") - F.col("convexity")), F.lit(0.0))
+    return met.select(*points.columns, value.alias("convexity"))
 
 
 def premarket_context(bars: DataFrame, keys: list[str], first: int = 330, minutes: int = 15) -> DataFrame:
@@ -191,19 +233,35 @@ def feature_row(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
-def forward_targets(rows: DataFrame, keys: list[str], start_min: int, mfe_min: int, end_min: int, cap_s: float) -> DataFrame:
-    """Intensity area, best and worst excursion with their ratio, and return after a start minute.
+def forward_targets(ticks: DataFrame, keys: list[str], start_s: int, mfe_s: int, hold_s: int, end_s: int, alpha: float, beta: float, cap_s: float, least: int = 10, few: int = 5) -> DataFrame:
+    """Intensity area, mean and peak, best and worst excursion with their ratio, and return from a start on.
 
-    ``rows`` has et_min, ts_ns, seq, price and intensity.
+    ``ticks`` has et_min, ts_ns, seq and price. Instants are seconds of the local day, ends included. Events with fewer than ``least``
+    ticks up to ``end_s``, or a first price not above 0, have no row. The intensity is that of the ticks up to
+    ``hold_s`` alone, frozen over gaps of more than ``cap_s``, and needs ``least`` of them; excursions (up to ``mfe_s``) and return need ``few``.
     """
-    inside = rows.filter((F.col("et_min") >= start_min) & (F.col("et_min") <= end_min))
+    ns = 1_000_000_000
+    instant = F.col("et_min").cast("long") * 60 * ns + F.pmod(F.col("ts_ns"), F.lit(60 * ns))
+    upto = lambda s: F.col("instant") <= s * ns
+    rows = ticks.withColumn("instant", instant).filter((F.col("instant") >= start_s * ns) & upto(end_s))
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
-    ref = F.first("price").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"reference": F.first("price").over(whole), "n_all": F.count(F.lit(1)).over(whole)}).filter((F.col("n_all") >= least) & (F.col("reference") > 0))
+    r = F.col("price") / F.col("reference") - 1
+    n = lambda s: F.count(F.when(upto(s), 1))
+    enough = lambda s, c: F.when(n(s) >= few, c)
+    moves = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), enough(mfe_s, F.max(F.when(upto(mfe_s), r))).alias("best"), enough(mfe_s, F.min(F.when(upto(mfe_s), r))).alias("worst"),
+        enough(hold_s, F.max_by(r, F.when(upto(hold_s), F.struct("ts_ns", "seq")))).alias("ret"),
+    )
+    held = rows.filter(upto(hold_s))
+    lam = hawkes_intensity(held.select(*keys, "ts_ns", "seq"), keys, alpha, beta, cap_s)
     gap = F.least((F.lead("ts_ns").over(w) - F.col("ts_ns")) / 1e9, F.lit(float(cap_s)))
-    moved = inside.withColumns({"area": (F.col("intensity") + F.lead("intensity").over(w)) / 2 * gap, "r": F.col("price") / ref - 1})
-    early = F.when(F.col("et_min") <= mfe_min, F.col("r"))
-    made = moved.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("intensity_area"), F.max(early).alias("best"), F.min(early).alias("worst"), F.max_by("r", F.struct("ts_ns", "seq")).alias("ret"))
-    return made.withColumn("efficiency", F.when(F.abs("worst") > 1e-6, F.abs(F.col("best") / F.col("worst"))).otherwise(F.when(F.col("best") > 0, 100.0).otherwise(0.0)))
+    lam = lam.withColumn("area", (F.col("intensity") + F.lead("intensity").over(w)) / 2 * gap)
+    many = lambda c: F.when(F.count(F.lit(1)) >= least, c)
+    areas = lam.groupBy(*keys).agg(many(F.sum("area")).alias("intensity_area"), many(F.avg("intensity")).alias("intensity_mean"), many(F.max("intensity")).alias("intensity_max"))
+    ratio_ = F.when(F.abs("worst") > 1e-6, F.abs(F.col("best") / F.col("worst"))).otherwise(F.when(F.col("best") > 0, 100.0).otherwise(0.0))
+    return moves.join(areas, keys, "left").withColumn("efficiency", F.when(F.col("best").isNotNull(), ratio_))
 
 
 def sample_weights(rows: DataFrame, rank: str, rvol: str, volume: str) -> DataFrame:
@@ -236,9 +294,9 @@ def top_quantile(rows: DataFrame, score: str, q: float = 0.75) -> DataFrame:
 
 
 def entry_signal(ticks: DataFrame, keys: list[str], first_min: int, last_min: int) -> DataFrame:
-    """The first tick in a window above the running vwap with positive cumulative delta."""
+    """The first tick in a window above the running vwap (its own price before any size) with positive cumulative delta from the second tick on."""
     run = Window.partitionBy(*keys).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = cvd(ticks, keys).withColumn("vwap", F.sum(F.col("price") * F.col("size")).over(run) / F.sum("size").over(run))
+    rows = cvd(ticks, keys, counts_first=False).withColumn("vwap", F.coalesce(ratio(F.sum(F.col("price") * F.col("size")).over(run), F.sum("size").over(run)), F.col("price")))
     go = F.col("et_min").between(first_min, last_min) & (F.col("price") > F.col("vwap")) & (F.col("cvd") > 0)
     hit = F.when(go, F.struct("ts_ns", "seq"))
     return rows.groupBy(*keys).agg(F.min(hit)["ts_ns"].alias("entry_ns"), F.min(hit)["seq"].alias("entry_seq"), F.min_by("price", hit).alias("entry_price")).withColumn("entry_price", F.when(F.col("entry_ns").isNotNull(), F.col("entry_price")))
@@ -247,12 +305,15 @@ def entry_signal(ticks: DataFrame, keys: list[str], first_min: int, last_min: in
 def barrier_exit(ticks: DataFrame, entries: DataFrame, keys: list[str], stop: float, hold_ns: int) -> DataFrame:
     """First stop hit or time exit after entry; excursions from entry up to it.
 
-    A stop fills at the stop price; a time exit at the last tick held; an entry
-    without later ticks leaves at its own price (``no_ticks``).
+    Later ticks are those after the entry by time and sequence (without ``entry_seq``: by
+    time alone). A stop fills at the stop price; a time exit at the last tick held; an
+    entry without later ticks leaves at its own price (``no_ticks``).
     """
     taken = entries.filter("entry_ns IS NOT NULL")
-    rows = taken.join(ticks.select(*keys, "ts_ns", "seq", "price"), keys).filter((F.col("ts_ns") > F.col("entry_ns")) & (F.col("ts_ns") <= F.col("entry_ns") + hold_ns))
-    rows = rows.withColumn("r", F.col("price") / F.col("entry_price") - 1)
+    rows = taken.join(ticks.select(*keys, "ts_ns", "seq", "price"), keys)
+    tied = (F.col("ts_ns") == F.col("entry_ns")) & (F.col("seq") > F.col("entry_seq")) if "entry_seq" in entries.columns else F.lit(False)
+    rows = rows.filter(((F.col("ts_ns") > F.col("entry_ns")) | tied) & (F.col("ts_ns") <= F.col("entry_ns") + hold_ns))
+    rows = rows.withColumn("r", ratio(F.col("price"), F.col("entry_price")) - 1)
     hit = F.min(F.when(F.col("price") <= F.col("entry_price") * (1 - stop), F.struct("ts_ns", "seq"))).over(Window.partitionBy(*keys))
     kept = rows.withColumn("hit", hit).filter(F.col("hit").isNull() | (F.struct("ts_ns", "seq") <= F.col("hit")))
     out = kept.groupBy(*keys).agg(F.max("hit").isNotNull().alias("stopped"), F.max("ts_ns").alias("exit_ns"), F.max_by("r", F.struct("ts_ns", "seq")).alias("last"), F.max("r").alias("up"), F.min("r").alias("down"))

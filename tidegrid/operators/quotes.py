@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import asof_join, islands, quantiles, ratio
+from tidegrid.functions.frames import QUARTILES, asof_join, describe, islands, quantiles, ratio
 
 
 def states() -> dict[str, Column]:
@@ -89,10 +89,10 @@ def book_runs(quotes: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "run").agg(F.min("ts_ns").alias("start_ns"), F.sum("duration_ns").alias("ns"), F.count(F.lit(1)).alias("n_quotes"))
 
 
-def book_age(trades: DataFrame, quotes: DataFrame, by: list[str]) -> DataFrame:
+def book_age(trades: DataFrame, quotes: DataFrame, by: list[str], span: float | None = None) -> DataFrame:
     """age of the book (time since its last change) at each trade, null before the first quote."""
     changes = quotes.filter("is_change").select(*by, F.col("ts_ns").alias("change_ns"), F.col("seq").alias("change_seq"))
-    rows = asof_join(trades, changes, by, "ts_ns", "change_ns", "change_seq", prefix="")
+    rows = asof_join(trades, changes, by, "ts_ns", "change_ns", "change_seq", prefix="", span=span)
     return rows.withColumn("age_ns", F.col("ts_ns") - F.col("change_ns"))
 
 
@@ -150,25 +150,30 @@ def quote_trade_cache(quote_metrics: DataFrame, trade_metrics: DataFrame, by: li
     return quote_metrics.join(trade_metrics, by, "full")
 
 
-def alignment_sweep(trades: DataFrame, quotes: DataFrame, by: list[str], offsets_ns: list[int]) -> DataFrame:
-    """where trades fall against the quote, for each time shift."""
+def alignment_sweep(trades: DataFrame, quotes: DataFrame, by: list[str], offsets_ns: list[int], span: float | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """how many trades have no quote, an unusable one, and where the others lie, for each time shift.
+
+    The places overlap: at or inside the quote, at either side within the tolerance, strictly inside, beyond either side.
+    """
     from tidegrid.operators.returns import asof_shifted
 
-    rows = asof_shifted(trades, quotes.select(*by, "ts_ns", "seq", "bid", "ask", "is_hard"), by, "ts_ns", offsets_ns, "seq")
+    rows = asof_shifted(trades, quotes.select(*by, "ts_ns", "seq", "bid", "ask", "is_hard"), by, "ts_ns", offsets_ns, "seq", span)
     bid, ask, price = F.col("r_bid"), F.col("r_ask"), F.col("price")
-    label = (
-        F.when(F.col("r_seq").isNull(), "no_quote").when(F.col("r_is_hard"), "unusable").when(price < bid, "below").when(price == bid, "at_bid")
-        .when(price < ask, "inside").when(price == ask, "at_ask").otherwise("above")
+    some = F.col("r_seq").isNotNull()
+    fine = some & ~F.col("r_is_hard")
+    n = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy("offset_ns").agg(
+        F.count(F.lit(1)).alias("n_trades"), n(~some).alias("n_no_quote"), n(some & F.col("r_is_hard")).alias("n_unusable"), n(fine & (price >= bid) & (price <= ask)).alias("n_at_or_inside"),
+        n(fine & (F.abs(price - bid) < tolerance)).alias("n_at_bid"), n(fine & (F.abs(price - ask) < tolerance)).alias("n_at_ask"), n(fine & (price > bid + tolerance) & (price < ask - tolerance)).alias("n_inside"),
+        n(fine & (price < bid - tolerance)).alias("n_below_bid"), n(fine & (price > ask + tolerance)).alias("n_above_ask"),
     )
-    return rows.groupBy("offset_ns", label.alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def effective_spread(signed: DataFrame, event: list[str]) -> DataFrame:
     """F14, plain form: per event the median over trades of twice the distance to the usable midpoint, in currency and basis points."""
     off = 2 * F.abs(F.col("price") - F.col("q_mid"))
     rows = signed.filter(F.col("q_mid") > 0).withColumns({"off": off, "off_bp": off / F.col("q_mid") * 10_000})
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    return rows.groupBy(*event).agg(F.count(F.lit(1)).alias("n"), med("off").alias("spread"), med("off_bp").alias("spread_bp"))
+    return describe(rows, event, {"off": ((0.5,), ("spread",)), "off_bp": ((0.5,), ("spread_bp",))}, n=F.count(F.lit(1)))
 
 
 def with_effective(cache: DataFrame) -> DataFrame:
@@ -189,7 +194,8 @@ def effective_at(detections: DataFrame, cache: DataFrame, keys: list[str], laten
 
 def effective_cells(rows: DataFrame, by: list[str]) -> DataFrame:
     """quantiles of the effective spreads that are defined, by cell."""
-    return rows.filter("bp IS NOT NULL").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *quantiles("bp", (0.25, 0.5, 0.75, 0.95), ("bp_p25", "bp_p50", "bp_p75", "bp_p95")), *quantiles("cents", names=("cents_p25", "cents_p50", "cents_p75")), F.percentile("of_price", F.lit(0.5)).alias("of_price_p50"))
+    wanted = {"bp": ((0.25, 0.5, 0.75, 0.95), ("bp_p25", "bp_p50", "bp_p75", "bp_p95")), "cents": (QUARTILES[0], ("cents_p25", "cents_p50", "cents_p75")), "of_price": ((0.5,), ("of_price_p50",))}
+    return describe(rows.filter("bp IS NOT NULL"), by, wanted, n=F.count(F.lit(1)))
 
 
 def cost_vs_capture(legs: DataFrame, cache: DataFrame, highs: DataFrame, keys: list[str], multiples: list[float]) -> DataFrame:
@@ -250,12 +256,19 @@ def exchange_identity(quotes: DataFrame, by: list[str], bid_venue: str, ask_venu
     return quotes.groupBy(*by).agg(F.countDistinct(bid_venue).alias("bid_venues"), F.countDistinct(ask_venue).alias("ask_venues"), F.avg((F.col("bid").isNotNull() & F.col("ask").isNotNull()).cast("double")).alias("two_sided_share"))
 
 
-def timestamp_quality(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """gaps, ties and inversions of sequence number against time."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    gap = F.col("ts_ns") - F.lag("ts_ns").over(w)
-    rows = ticks.withColumn("gap", gap)
-    return rows.groupBy(*keys).agg(F.min("gap").alias("gap_min"), F.percentile("gap", F.lit(0.5)).alias("gap_median"), F.max("gap").alias("gap_max"), F.count(F.when(F.col("gap") == 0, 1)).alias("n_ties"), F.count(F.when(F.col("gap") < 0, 1)).alias("n_inversions"))
+def timestamp_quality(ticks: DataFrame, keys: list[str], clock: str = "ts_ns") -> DataFrame:
+    """gaps of a clock in its own order: the least and the median of those above 0, the largest, and how many are 0."""
+    gap = F.col(clock) - F.lag(clock).over(Window.partitionBy(*keys).orderBy(clock))
+    rows = ticks.withColumn("gap", gap).filter("gap IS NOT NULL").withColumn("above", F.when(F.col("gap") > 0, F.col("gap")))
+    return describe(rows, keys, {"above": ((0.5,), ("gap_median",))}, gap_min=F.min("above"), gap_max=F.max("gap"), n_zero=F.count(F.when(F.col("gap") == 0, 1)), n_gaps=F.count(F.lit(1)))
+
+
+def order_agreement(ticks: DataFrame, keys: list[str], clock: str = "ts_ns", seq: str = "seq") -> DataFrame:
+    """neighbours in order of time and sequence: how many are tied in time, and in both."""
+    w = Window.partitionBy(*keys).orderBy(clock, seq)
+    rows = ticks.withColumns({"dt": F.col(clock) - F.lag(clock).over(w), "ds": F.col(seq) - F.lag(seq).over(w)}).filter("dt IS NOT NULL")
+    share = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), share(F.col("ds") < 0).alias("sequence_falls"), share(F.col("dt") == 0).alias("tied"), F.count(F.when((F.col("dt") == 0) & (F.col("ds") == 0), 1)).alias("n_repeated"))
 
 
 def session_mismatch(ticks: DataFrame, keys: list[str], day: str, local_day: str) -> DataFrame:
@@ -265,9 +278,12 @@ def session_mismatch(ticks: DataFrame, keys: list[str], day: str, local_day: str
 
 
 def clock_latency(ticks: DataFrame, by: list[str], one: str, two: str) -> DataFrame:
-    """time from clock ``one`` to clock ``two``: quantiles, and how often it is negative; null clocks are counted apart."""
+    """time from clock ``one`` to clock ``two``: quantiles, extremes, and the share that is negative; null clocks are counted apart."""
     rows = ticks.withColumn("latency", F.col(two) - F.col(one))
-    return rows.groupBy(*by).agg(F.count("latency").alias("n"), F.count(F.when(F.col("latency").isNull(), 1)).alias("n_missing"), *quantiles("latency", (0.5, 0.95), ("p50", "p95")), F.count(F.when(F.col("latency") < 0, 1)).alias("n_negative"))
+    found = F.col("latency")
+    negative = F.coalesce((found < 0).cast("double"), F.lit(0.0))
+    places = {"latency": ((0.01, 0.25, 0.5, 0.75, 0.99), ("p01", "p25", "p50", "p75", "p99"))}
+    return describe(rows, by, places, n_rows=F.count(F.lit(1)), n_missing=F.count(F.when(found.isNull(), 1)), min_ns=F.min(found), max_ns=F.max(found), share_negative=F.avg(negative))
 
 
 def storage_order_census(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -290,11 +306,18 @@ def code_combinations(rows: DataFrame, codes: str) -> DataFrame:
     return rows.groupBy(F.concat_ws("+", F.array_sort(F.array_distinct(codes)).cast("array<string>")).alias("combination")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ofi(quotes: DataFrame, keys: list[str]) -> DataFrame:
-    """book-imbalance increment of each quote, from price moves and sizes of both sides."""
+def ofi(quotes: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """order-flow increments of valid quotes (both prices positive, ask above bid), by event; of ``least`` valid quotes at least.
+
+    A bid that holds or rises adds its change of size, one that falls takes the old size away; the ask
+    likewise downwards, and is subtracted. The first quote's increment is 0. The positive share is of those that are not 0.
+    """
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
     old = lambda c: F.lag(c).over(w)
-    bid = F.when(F.col("bid") > old("bid"), F.col("bid_size")).when(F.col("bid") == old("bid"), F.col("bid_size") - old("bid_size")).otherwise(-old("bid_size"))
-    ask = F.when(F.col("ask") < old("ask"), F.col("ask_size")).when(F.col("ask") == old("ask"), F.col("ask_size") - old("ask_size")).otherwise(-old("ask_size"))
-    rows = quotes.withColumn("ofi", F.when(old("ts_ns").isNotNull(), bid - ask))
-    return rows.groupBy(*keys).agg(F.count("ofi").alias("n"), F.avg("ofi").alias("mean"), F.sum("ofi").alias("total"), F.max("ofi").alias("max"), F.avg((F.col("ofi") > 0).cast("double")).alias("positive_share"))
+    valid = quotes.filter((F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("ask") > F.col("bid")))
+    bid = F.when(F.col("bid") >= old("bid"), F.col("bid_size") - old("bid_size")).otherwise(-old("bid_size"))
+    ask = F.when(F.col("ask") <= old("ask"), F.col("ask_size") - old("ask_size")).otherwise(-old("ask_size"))
+    rows = valid.withColumn("ofi", F.when(old("ts_ns").isNull(), 0).otherwise(bid - ask))
+    moved = F.col("ofi") != 0
+    made = rows.groupBy(*keys).agg(F.count("ofi").alias("n"), F.avg("ofi").alias("mean"), F.sum("ofi").alias("total"), F.max("ofi").alias("max"), F.avg(F.when(moved, (F.col("ofi") > 0).cast("double"))).alias("positive_share"))
+    return made.filter(F.col("n") >= least)

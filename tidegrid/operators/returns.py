@@ -7,13 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import asof_join, first_when, quantiles, rank_buckets, ratio
+from tidegrid.functions.frames import QUARTILES, asof_join, describe, first_when, quantiles, rank_buckets, ratio
 
 
-def asof_shifted(left: DataFrame, right: DataFrame, by: list[str], on: str, offsets_ns: list[int], seq: str | None = None) -> DataFrame:
+def asof_shifted(left: DataFrame, right: DataFrame, by: list[str], on: str, offsets_ns: list[int], seq: str | None = None, span: float | None = None, tol: float | None = None) -> DataFrame:
     """The as-of match under each time shift of the left side; one job for all shifts."""
     shifted = left.withColumn("offset_ns", F.explode(F.array(*(F.lit(o).cast("long") for o in offsets_ns)))).withColumn("at", F.col(on) + F.col("offset_ns"))
-    return asof_join(shifted, right.withColumnRenamed(on, "right_ts"), by, "at", "right_ts", seq)
+    return asof_join(shifted, right.withColumnRenamed(on, "right_ts"), by, "at", "right_ts", seq, span=span, tol=tol)
 
 
 def clock_anchors(bars: DataFrame, keys: list[str], minutes: dict[str, int]) -> DataFrame:
@@ -49,12 +49,24 @@ def close_horizons(anchors: DataFrame, closes: DataFrame, keys: list[str]) -> Da
     return rows.select(*keys, "anchor", "minute", "session_offset", price.alias("price"), price.isNull().alias("is_undefined"))
 
 
-def time_bin(minute: Column) -> Column:
-    """A named interval of the local day."""
-    return (
-        F.when(minute < 240, "overnight").when(minute < 570, "premarket").when(minute < 600, "open_30").when(minute < 720, "morning")
-        .when(minute < 840, "midday").when(minute < 930, "afternoon").when(minute < 960, "close_30").when(minute < 1200, "post").otherwise("late")
-    )
+#: First minutes after the pre-market's start at which an interval of the day ends, and their names.
+DAY_BINS = (
+    (330, "premarket (04:00-09:30)"),
+    (390, "open-10:30"),
+    (480, "10:30-12:00"),
+    (600, "12:00-14:00"),
+    (720, "14:00-16:00"),
+    (None, "post (16:00-20:00)"),
+)
+
+
+def time_bin(minute: Column, bins=DAY_BINS) -> Column:
+    """A named interval of the day, of minutes counted from the pre-market's start; null for none."""
+    label = None
+    for end, name in bins:
+        inside = minute.isNotNull() if end is None else minute < end
+        label = F.when(inside, name) if label is None else label.when(inside, name)
+    return label
 
 
 def clock_text(minute: Column) -> Column:
@@ -63,21 +75,31 @@ def clock_text(minute: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), m % 60)
 
 
-def detect_crossing(bars: DataFrame, anchor: DataFrame, keys: list[str], multiple: float, pre_min: int = 240) -> DataFrame:
-    """The first minute whose high reaches a multiple of the anchor, its segment and bin of the day, and whether none does."""
+def detect_crossing(bars: DataFrame, anchor: DataFrame, keys: list[str], multiple: float, bins=DAY_BINS) -> DataFrame:
+    """The first minute whose high reaches a multiple of the anchor, its segment and interval of the day, and whether none does."""
     rows = (bars if "segment" in bars.columns else bars.withColumn("segment", F.lit(None).cast("string"))).join(anchor, keys, "left")
     made = rows.groupBy(*keys).agg(F.first("anchor_price").alias("anchor_price"), F.min(F.when(F.col("high") >= F.lit(multiple) * F.col("anchor_price"), F.struct("minute_index", "segment"))).alias("hit"))
-    made = made.select(*keys, "anchor_price", F.col("hit.minute_index").alias("detection_minute"), F.col("hit.segment").alias("segment"), time_bin(F.col("hit.minute_index") + pre_min).alias("bin"))
-    made = made.withColumn("bin", F.when(F.col("detection_minute").isNotNull(), F.col("bin")))
+    made = made.select(*keys, "anchor_price", F.col("hit.minute_index").alias("detection_minute"), F.col("hit.segment").alias("segment"), time_bin(F.col("hit.minute_index"), bins).alias("bin"))
     return made.withColumns({"is_undefined": F.col("anchor_price").isNull(), "never_reaches": F.col("anchor_price").isNotNull() & F.col("detection_minute").isNull()})
 
 
-def poll_resolve(ticks: DataFrame, anchor: DataFrame, keys: list[str], thresholds: list[float], interval_ns: list[int]) -> DataFrame:
-    """The first tick at or over each level, as seen at the next poll of each interval."""
-    rows = ticks.join(anchor, keys).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    hit = rows.groupBy(*keys, "threshold").agg(first_when(F.col("price") >= F.col("threshold") * F.col("anchor_price"), F.col("ts_ns")).alias("cross_ns"))
-    polled = hit.filter("cross_ns IS NOT NULL").withColumn("interval_ns", F.explode(F.array(*(F.lit(i).cast("long") for i in interval_ns))))
-    return polled.withColumn("seen_ns", F.col("cross_ns") + F.pmod(-F.col("cross_ns"), F.col("interval_ns")))
+def poll_resolve(ticks: DataFrame, sessions: DataFrame, keys: list[str], thresholds: list[float], interval_s: list[int]) -> DataFrame:
+    """The first tick at or over each multiple of a reference, as seen at the next poll of each interval.
+
+    ``sessions``: a row an event with anchor_price, start_ns, open_ns, close_ns and end_ns. Polls count from the
+    session's start; an interval of 0 sees at once. Events that never cross, or have no reference or no
+    ticks, stay and are flagged with the reason.
+    """
+    levels = F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))
+    hit = ticks.join(sessions.select(*keys, "anchor_price"), keys).withColumn("threshold", levels)
+    hit = hit.groupBy(*keys, "threshold").agg(first_when(F.col("price") >= F.col("threshold") * F.col("anchor_price"), F.col("ts_ns")).alias("cross_ns"), F.lit(True).alias("has_ticks"))
+    each = sessions.withColumn("threshold", levels).join(hit, [*keys, "threshold"], "left").withColumn("interval_s", F.explode(F.array(*map(F.lit, interval_s))))
+    step, late = F.nullif(F.col("interval_s").cast("long") * 1_000_000_000, F.lit(0)), F.col("cross_ns") - F.col("start_ns")
+    seen = F.col("cross_ns") + F.coalesce(F.pmod(-late, step), F.lit(0))
+    rows = each.withColumn("seen_ns", seen)
+    reason = F.when(F.col("anchor_price").isNull(), "no_reference").when(F.col("has_ticks").isNull(), "no_ticks").when(F.col("cross_ns").isNull(), "below_threshold")
+    segment = F.when(F.col("seen_ns") < F.col("open_ns"), "premarket").when(F.col("seen_ns") < F.col("close_ns"), "rth").when(F.col("seen_ns").isNotNull(), "post")
+    return rows.select(*keys, "threshold", "interval_s", "cross_ns", "seen_ns", segment.alias("segment"), (F.col("seen_ns") >= F.col("end_ns")).alias("is_after_end"), F.col("cross_ns").isNull().alias("never_crosses"), reason.alias("reason"))
 
 
 def latency_prices(detections: DataFrame, bars: DataFrame, keys: list[str], latencies: list[int]) -> DataFrame:
@@ -113,7 +135,7 @@ def markout(start: Column, stop: Column) -> Column:
 
 def cell_table(rows: DataFrame, by: list[str], value: str, thin: int = 100) -> DataFrame:
     """N, median, quartiles and a thin flag for any grouping."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *quantiles(value), (F.count(value) < thin).alias("is_thin"))
+    return describe(rows, by, {value: QUARTILES}, n=F.count(value), is_thin=F.count(value) < thin)
 
 
 def markout_grid(rows: DataFrame, axes: list[str], value: str, thin: int = 100) -> DataFrame:
@@ -215,26 +237,60 @@ def buckets(rows: DataFrame, value: str, n: int, ties: list[str]) -> DataFrame:
 
 
 def cross_session_extreme(closes: DataFrame, keys: list[str], pairs: list[tuple[str, str]], magnitude: float, k_max: int, tolerance: float) -> DataFrame:
-    """Log ratio of each pair of closes, magnitude flag, nearest k or 1/k by relative deviation."""
+    """Log ratio of each pair of closes, magnitude flag, and the nearest of k and 1/k by relative deviation from it."""
     named = [F.struct(F.lit(f"{a}->{b}").alias("pair"), F.log(F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(b) / F.col(a))).alias("log_ratio")) for a, b in pairs]
     each = closes.select(*keys, F.explode(F.array(*named)).alias("x")).select(*keys, "x.*").filter("log_ratio IS NOT NULL")
-    up = F.exp(F.abs("log_ratio"))
-    near = F.array_min(F.transform(F.sequence(F.lit(2), F.lit(k_max)), lambda k: F.struct((F.abs(up - k) / k).alias("deviation"), k.alias("k"))))
-    return each.withColumn("is_large", F.abs("log_ratio") >= magnitude).withColumn("near", near).select(*keys, "pair", "log_ratio", "is_large", F.col("near.k").alias("k"), F.col("near.deviation").alias("deviation"), (F.col("near.deviation") <= tolerance).alias("is_integer_ratio"))
+    r, whole = F.exp("log_ratio"), F.sequence(F.lit(2), F.lit(k_max))
+    up = F.transform(whole, lambda k: F.struct((F.abs(r - k) / k).alias("deviation"), k.alias("place"), k.cast("string").alias("label")))
+    down = F.transform(whole, lambda k: F.struct((F.abs(r - 1 / k) / (1 / k)).alias("deviation"), (k + k_max).alias("place"), F.concat(F.lit("1/"), k.cast("string")).alias("label")))
+    near = F.array_min(F.concat(up, down))
+    return each.withColumn("is_large", F.abs("log_ratio") >= magnitude).withColumn("near", near).select(*keys, "pair", "log_ratio", "is_large", F.col("near.label").alias("nearest"), F.col("near.deviation").alias("deviation"), (F.col("near.deviation") <= tolerance).alias("is_integer_ratio"))
+
+
+def band_width(tolerance: float) -> float:
+    """Width of every band on the log scale."""
+    return math.log((1 + tolerance) / (1 - tolerance))
+
 
+def touching(tolerance: float, k_max: int) -> int | None:
+    """The first k whose band touches the next one; from there on membership says nothing."""
+    return next((k for k in range(2, k_max + 1) if math.log(1 + 1 / k) < band_width(tolerance)), None)
 
-def band_null(flagged: DataFrame, k_max: int, tolerance: float) -> DataFrame:
-    """For each k, ratios inside its band and in the two background bands of the same width beside it."""
-    up = flagged.select(F.exp(F.abs("log_ratio")).alias("r"))
-    k = up.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(k_max))))
-    d = F.abs(F.col("r") - F.col("k")) / F.col("k")
-    made = k.groupBy("k").agg(F.count(F.when(d <= tolerance, 1)).alias("observed"), F.count(F.when((d > tolerance) & (d <= 3 * tolerance), 1)).alias("beside"))
-    return made.withColumn("background", F.col("beside") / 2)
+
+def off_band(k: int, tolerance: float, k_max: int, window: float) -> float:
+    """Log measure of what bands 2..k_max leave uncovered within ``window`` of ln k.
+
+    Bands are equally wide and in order: each covers from its start to its end or the next one's start.
+    """
+    half, lo, hi, covered = band_width(tolerance) / 2, math.log(k) - window, math.log(k) + window, 0.0
+    for j in range(2, k_max + 1):
+        upto = min(math.log(j) + half, math.log(j + 1) - half if j < k_max else math.inf, hi)
+        covered += max(0.0, upto - max(math.log(j) - half, lo))
+    return hi - lo - covered
+
+
+def band_null(flagged: DataFrame, k_max: int, tolerance: float, window: float = 0.18) -> DataFrame:
+    """Absolute log ratios in each band against the density around it that no band covers, of the k whose bands are apart.
+
+    The off-band values within ``window`` of ln k, over the log measure that the bands leave free there, scaled to a
+    band's width; null where nothing is left. Each value meets the few k near it.
+    """
+    half, last = band_width(tolerance) / 2, min(k_max, (touching(tolerance, k_max) or k_max + 1) - 1)
+    u = flagged.select(F.abs("log_ratio").alias("u")).filter("u IS NOT NULL")
+    near = lambda reach, top: F.sequence(F.greatest(F.lit(2), F.least(F.lit(top), F.ceil(F.exp(F.col("u") - reach)) - 1)), F.greatest(F.lit(2), F.least(F.lit(top), F.floor(F.exp(F.col("u") + reach)) + 1)))
+    away = lambda k: F.abs(F.col("u") - F.log(k))
+    rows = u.withColumn("off", ~F.exists(near(half, k_max), lambda k: away(k) <= half))
+    met = rows.withColumn("k", F.explode(near(window, last))).withColumn("away", away(F.col("k")))
+    counts = met.groupBy(F.col("k").cast("int").alias("k")).agg(F.count(F.when(F.col("away") <= half, 1)).alias("observed"), F.count(F.when((F.col("away") <= window) & F.col("off"), 1)).alias("n_off"))
+    free = [F.struct(F.lit(k).alias("k"), F.lit(off_band(k, tolerance, k_max, window)).alias("free")) for k in range(2, last + 1)]
+    each = flagged.sparkSession.range(1).select(F.inline(F.array(*free))).join(counts, "k", "left").fillna(0, ["observed", "n_off"])
+    expected = F.when(F.col("free") > 1e-9, F.round(F.col("n_off") / F.col("free") * (2 * half), 2))
+    return each.select("k", "observed", "n_off", expected.alias("expected"), (F.col("observed") - expected).alias("excess"), F.when(F.col("n_off") > 0, F.round(F.col("observed") / (F.col("n_off") / F.col("free") * (2 * half)), 2)).alias("ratio"))
 
 
 def band_coverage(flagged: DataFrame, least: float, k_max: int, tolerance: float) -> DataFrame:
     """The share of the flagged range of absolute log ratios, ``least`` to the largest, that the bands cover by chance."""
-    half = math.log((1 + tolerance) / (1 - tolerance)) / 2
+    half = band_width(tolerance) / 2
     top = flagged.agg(F.max(F.abs("log_ratio")).alias("top"))
     band = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(math.log(k) + half), F.col("top")) - F.greatest(F.lit(math.log(k) - half), F.lit(least)))
     covered = F.lit(0.0)

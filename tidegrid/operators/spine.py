@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import quantiles, ratio
+from tidegrid.functions.frames import describe, ratio
 
 
 def canonical_events(events: DataFrame, first: dict[str, str], second: dict[str, str]) -> DataFrame:
@@ -30,8 +30,8 @@ def union_dedup_scans(scans: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def bad_denominator(prior: Column, magnitude: Column, floor: float, cap: float) -> Column:
-    """Prior price under a floor (or missing), or magnitude at its cap."""
-    return F.coalesce(prior < floor, F.lit(True)) | F.coalesce(magnitude >= cap, F.lit(False))
+    """Prior price under a floor, or magnitude at its cap; null where the one is missing and the other doesn't decide."""
+    return (prior < floor) | (magnitude >= cap)
 
 
 def side_ingested(events: DataFrame, ticks: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -98,15 +98,36 @@ def reconcile_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return made.withColumns({"left_pct": pct("only_left"), "right_pct": pct("only_right")})
 
 
-def classify_match(rows: DataFrame, candidates: DataFrame, key: str, pattern: str) -> DataFrame:
-    """Matched, ambiguous, or why not: missing side (null key), format mismatch, absent."""
-    counts = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n_candidates"))
-    joined = rows.join(counts, key, "left")
+def classify_match(events: DataFrame, folders: DataFrame, magnitude: str = "magnitude", text: str = "magnitude_text", by: tuple[str, ...] = ("ticker", "event_date")) -> DataFrame:
+    """Why an event isn't served by a folder, from all folders of its ticker and date.
+
+    ``folders`` has the magnitude as written (``text``), has_trades and has_quotes. Any folder whose text is not the event's
+    magnitude to two places makes a format mismatch; else absent, a collision of several, or the sides that the
+    one folder lacks.
+    """
+    keys = list(by)
+    wanted = F.format_string("%.2f", F.col(magnitude))
+    met = events.select(*keys, magnitude).distinct().join(folders, keys)
+    same = F.col(text) == wanted
+    found = met.groupBy(*keys, magnitude).agg(
+        F.count(F.when(~same, 1)).alias("n_other"), F.count(F.when(same, 1)).alias("n_exact"), F.max(F.when(same, F.col("has_trades"))).alias("t"), F.max(F.when(same, F.col("has_quotes"))).alias("q"),
+    )
     label = (
-        F.when(F.col(key).isNull(), "missing_side").when(~F.col(key).rlike(pattern), "format_mismatch")
-        .when(F.col("n_candidates").isNull(), "absent").when(F.col("n_candidates") > 1, "duplicate_collision").otherwise("matched")
+        F.when(F.col("n_other") > 0, "format_mismatch").when(F.coalesce("n_exact", F.lit(0)) == 0, "folder_absent").when(F.col("n_exact") > 1, "duplicate_collision")
+        .when(F.col("t") & ~F.col("q"), "missing_quotes").when(F.col("q") & ~F.col("t"), "missing_trades").when(~F.col("t") & ~F.col("q"), "missing_both").otherwise("unexpected_both_present")
     )
-    return joined.withColumn("match", label)
+    return events.join(found, [*keys, magnitude], "left").select(*events.columns, label.alias("match"))
+
+
+def classify_folders(folders: DataFrame, events: DataFrame, magnitude: str = "magnitude", text: str = "magnitude_text", by: tuple[str, str] = ("ticker", "event_date")) -> DataFrame:
+    """Each folder's events by its parsed key: matched, orphan or ambiguous; or why it has no key."""
+    ticker, date = by
+    key = lambda c: F.round(c.cast("double"), 2).cast("decimal(18,2)")
+    counts = events.groupBy(ticker, date, key(F.col(magnitude)).alias("k")).agg(F.count(F.lit(1)).alias("n_events"))
+    parsed = folders.withColumn("k", key(F.col(text).try_cast("double")))
+    joined = parsed.join(counts, [ticker, date, "k"], "left")
+    label = F.when(F.col(date).isNull(), "none_date_unresolved").when(F.col(ticker).isNull() | F.col("k").isNull(), "unparseable").when(F.col("n_events").isNull(), "orphan").when(F.col("n_events") == 1, "matched").otherwise("ambiguous")
+    return joined.select(*folders.columns, label.alias("match"))
 
 
 def fallback_match(orphans: DataFrame, events: DataFrame, by: list[str], left_date: str, dates: list[str]) -> DataFrame:
@@ -124,31 +145,41 @@ def fallback_match(orphans: DataFrame, events: DataFrame, by: list[str], left_da
     return rows.join(counts, "row", "left").withColumn("match", F.when(F.col(left_date).isNull(), "null_date").otherwise(label)).select(*orphans.columns, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "match")
 
 
-def magnitude_recompute_check(rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Magnitude from its prices, the absolute mismatch, and a flag for junk prices."""
-    again = 100 * (ratio(F.col("high"), F.col("open")) - 1)
-    made = rows.withColumns({"recomputed": again, "mismatch": F.abs(again - F.col("magnitude"))})
-    return made.withColumns({"is_mismatch": F.coalesce(F.col("mismatch") > tolerance, F.lit(True)), "is_junk": F.coalesce((F.col("open") <= 0) | (F.col("high") < F.col("open")), F.lit(True))})
+def magnitude_recompute_check(rows: DataFrame, bound: float, floor: float, tolerance: float = 0.01) -> DataFrame:
+    """Magnitude from the high and the prior close, the absolute mismatch, and flags of junk.
+
+    A magnitude over its bound, a prior close at or under its floor, a mismatch over the tolerance; what can't be computed is no mismatch.
+    """
+    again = ratio(F.col("high") - F.col("prior_close"), F.col("prior_close")) * 100
+    made = rows.withColumn("recomputed", again).withColumn("mismatch", F.abs(F.col("recomputed") - F.col("magnitude")))
+    no = F.lit(False)
+    flags = {"over_bound": F.col("magnitude") > bound, "under_floor": F.col("prior_close") <= floor, "is_mismatch": F.col("mismatch") > tolerance}
+    made = made.withColumns({n: F.coalesce(c, no) for n, c in flags.items()})
+    return made.withColumn("is_junk", F.col("over_bound") | F.col("under_floor") | F.col("is_mismatch"))
 
 
 def describe_quantiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """N, mean, deviation, extremes and exact quantiles of each group."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), *quantiles(value, (0.05, 0.5, 0.95), ("p05", "p50", "p95")), F.max(value).alias("max"))
+    return describe(rows, by, {value: ((0.05, 0.5, 0.95), ("p05", "p50", "p95"))}, n=F.count(value), mean=F.avg(value), std=F.stddev_samp(value), min=F.min(value), max=F.max(value))
+
 
+def set_diff_window(spine: DataFrame, other: DataFrame, keys: list[str], skipped: DataFrame) -> DataFrame:
+    """Sessions of one spine that another lacks: the event's own day, one that the other calendar skipped (flanking), or another.
 
-def set_diff_window(spine: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Sessions of one spine that another lacks, labelled by distance from the event."""
+    ``skipped`` lists those sessions (session_date): a few days, broadcast.
+    """
     gone = spine.join(other.select(*keys, "session_date"), [*keys, "session_date"], "left_anti")
-    far = F.abs("session_offset")
-    return gone.withColumn("place", F.when(far == 0, "event_day").when(far == 1, "flanking").otherwise("outer"))
+    known = F.broadcast(skipped.select("session_date").distinct().withColumn("skipped", F.lit(True)))
+    place = F.when(F.col("session_offset") == 0, "event_day").when(F.col("skipped"), "flanking").otherwise("outer")
+    return gone.join(known, "session_date", "left").withColumn("place", place).drop("skipped")
 
 
-def clear_repaired_flags(flags: DataFrame, ledger: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
-    """A flag is cleared when the repair ledger covers every required side of the event."""
-    sides = ledger.groupBy(*keys).agg(F.collect_set("side").alias("sides"))  # at most the few side names
-    joined = flags.join(sides, keys, "left")
-    covered = F.size(F.array_except(F.array(*map(F.lit, required)), F.coalesce("sides", F.array().cast("array<string>")))) == 0
-    return joined.withColumn("is_flagged", F.col("is_flagged") & ~covered).drop("sides")
+def clear_repaired_flags(flags: DataFrame, manifest: DataFrame, ledger: DataFrame, keys: list[str], done: str = "ok") -> DataFrame:
+    """A flag is cleared when the repair ledger has, with status ``done``, every side that the manifest asks of the event."""
+    asked = manifest.select(*keys, "side").distinct()
+    fixed = ledger.filter(F.col("status") == done).select(*keys, "side").distinct().withColumn("fixed", F.lit(True))
+    whole = asked.join(fixed, [*keys, "side"], "left").groupBy(*keys).agg(F.bool_and(F.coalesce("fixed", F.lit(False))).alias("covered"))
+    return flags.join(whole, keys, "left").withColumn("is_flagged", F.col("is_flagged") & ~F.coalesce("covered", F.lit(False))).drop("covered")
 
 
 def volume_ratio_check(ticks: DataFrame, reported: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
@@ -158,6 +189,12 @@ def volume_ratio_check(ticks: DataFrame, reported: DataFrame, keys: list[str], l
     return made.withColumn("in_band", F.coalesce(F.col("volume_ratio").between(low, high), F.lit(False)))
 
 
+def volume_band(rows: DataFrame, low: float, high: float) -> DataFrame:
+    """The median over events of the volume ratio, and whether it lies in the band; one row."""
+    made = describe(rows, [], {"volume_ratio": ((0.5,), ("median_ratio",))}, n=F.count("volume_ratio"), n_undefined=F.count(F.when(F.col("volume_ratio").isNull(), 1)))
+    return made.withColumn("in_band", F.coalesce(F.col("median_ratio").between(low, high), F.lit(False)))
+
+
 def log_evidence(lines: DataFrame, events: DataFrame, pattern: str, failure: str, before: int = 3, after: int = 3) -> DataFrame:
     """What log lines say of each event's window: explicit failure, mention, or nothing.
 
@@ -185,19 +222,52 @@ def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).withColumn("agrees", F.col(a) == F.col(b))
 
 
-def basis_check(rows: DataFrame, ticker: str, a: str, b: str, band: float = 0.02, cohort: str | None = None) -> DataFrame:
-    """Ratio of two prices by ticker, and by cohort if named: agreement share, max/min stability, nearness to 1/k."""
-    r = rows.withColumn("r", ratio(F.col(a), F.col(b)))
-    k = F.round(1 / F.col("r"))
-    near = (F.col("r") < 0.75) & (F.abs(F.col("r") * k - 1) <= band)
-    return r.groupBy(ticker, *([cohort] if cohort else [])).agg(F.count("r").alias("n"), F.avg((F.abs(F.col("r") - 1) <= band).cast("double")).alias("agreement"), ratio(F.max("r"), F.min("r")).alias("stability"), F.avg(near.cast("double")).alias("near_inverse"))
+#: A factor near one of these is near 1 or a small integer's reciprocal.
+RECIPROCALS = (1.0, *(1.0 / k for k in (2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 50)))
 
 
-def gap_cause(rows: DataFrame, medians: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
-    """coverage_gap, band_margin or unexplained, from a ratio band and the cohort's median coverage."""
+def basis_agreement(rows: DataFrame, one: str, two: str, band: float = 0.02, share: float = 90.0) -> DataFrame:
+    """How many of the events with both price ratios have them within ``band`` of each other, relative to the second; one row."""
+    apart = ratio(F.abs(F.col(one) - F.col(two)), F.col(two))
+    both = rows.filter(F.col(one).isNotNull() & F.col(two).isNotNull()).withColumn("apart", apart)
+    made = both.agg(F.count(F.lit(1)).alias("n_both"), F.count(F.when(F.col("apart") < band, 1)).alias("n_agree"))
+    return made.withColumn("agree_pct", 100 * ratio(F.col("n_agree"), F.col("n_both"))).withColumn("passes", F.coalesce(F.col("agree_pct") >= share, F.lit(False)))
+
+
+def basis_stability(rows: DataFrame, ticker: str, one: str, two: str, most: float = 1.10) -> DataFrame:
+    """Of tickers with several events, the largest over the smallest of both ratios of all of them; null for fewer than two values."""
+    pooled = rows.select(ticker, F.explode(F.array(one, two)).alias("r"), F.lit(0.5).alias("half"))
+    made = pooled.groupBy(ticker).agg(F.sum("half").cast("long").alias("n_events"), F.count("r").alias("n_values"), F.max("r").alias("top"), F.min("r").alias("low")).filter("n_events > 1")
+    spread = F.when(F.col("n_values") >= 2, ratio(F.col("top"), F.col("low")))
+    return made.select(ticker, "n_events", "n_values", spread.alias("spread"), (spread < most).alias("is_stable"))
+
+
+def basis_factors(rows: DataFrame, flag: str, one: str, two: str, over: float = 1.05, tolerance: float = 0.05) -> DataFrame:
+    """Both ratios of flagged and other events: how many are well above 1, and near 1 or a small reciprocal."""
+    pooled = rows.select(flag, F.explode(F.array(one, two)).alias("r")).filter("r IS NOT NULL")
+    near = F.exists(F.array(*map(F.lit, RECIPROCALS)), lambda t: F.abs(F.col("r") - t) < tolerance * t)
+    return pooled.groupBy(flag).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col("r") > over).cast("double"))).alias("over_pct"), (100 * F.avg(near.cast("double"))).alias("near_pct"))
+
+
+def gap_cause(rows: DataFrame, medians: DataFrame, by: list[str], material: float = 0.2, band: tuple[float, float] = (0.02, 0.07), internal: float = 0.10) -> DataFrame:
+    """coverage_gap, band_margin or unexplained, from two price ratios and three pieces of evidence.
+
+    ``rows`` has ratio_one, ratio_two, reported_high, day_high and the coverage of C10 (rth_bars, longest_gap, outside_share);
+    ``medians`` those of the cohort as median_*. Evidence: materially fewer bars, a longer gap, a larger share outside.
+    """
     joined = rows.join(medians, by, "left")
-    label = F.when(F.col("coverage") < F.col("median_coverage") / 2, "coverage_gap").when(F.col("ratio").between(low, high), "band_margin").otherwise("unexplained")
-    return joined.withColumn("cause", label)
+    one, two = F.col("ratio_one"), F.col("ratio_two")
+    apart, inside = ratio(F.abs(one - two), two), ratio(two - one, one)
+    no = F.lit(False)
+    few = F.coalesce((F.col("median_rth_bars") > 0) & (F.col("rth_bars") < F.col("median_rth_bars") * (1 - material)), no)
+    more = lambda c: F.coalesce(F.col(c) > F.col(f"median_{c}") * (1 + material), no)
+    n = few.cast("int") + more("longest_gap").cast("int") + more("outside_share").cast("int")
+    higher = F.coalesce(F.col("reported_high") > F.col("day_high"), no)
+    label = (
+        F.when((inside > internal) & higher & (n > 0), "coverage_gap")
+        .when(apart.between(*band) & (F.abs(inside) <= internal) & ~(higher & (n > 0)), "band_margin").otherwise("unexplained")
+    )
+    return joined.withColumns({"n_evidence": n, "cause": label})
 
 
 def key_fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -94,9 +94,10 @@ def _(v):
 
 @query("d10_min_window_minutes", GRID + """
 , p AS (SELECT *, sum(volume) OVER (PARTITION BY ticker, event_date ORDER BY minute_index) AS cum, sum(volume) OVER (PARTITION BY ticker, event_date) AS total FROM grid),
-x AS (SELECT * FROM p WHERE total > 0)
-SELECT a.ticker, a.event_date, min(b.minute_index - a.minute_index + 1) AS minutes
-FROM x a JOIN x b ON a.ticker = b.ticker AND a.event_date = b.event_date AND b.minute_index >= a.minute_index AND b.cum >= a.cum - a.volume + 0.5 * a.total GROUP BY 1, 2
+x AS (SELECT * FROM p WHERE total > 0), w AS (SELECT ticker, event_date, count(*) AS whole FROM grid GROUP BY 1, 2),
+m AS (SELECT a.ticker, a.event_date, min(b.minute_index - a.minute_index + 1) AS minutes
+FROM x a JOIN x b ON a.ticker = b.ticker AND a.event_date = b.event_date AND b.minute_index >= a.minute_index AND b.cum >= a.cum - a.volume + 0.5 * a.total GROUP BY 1, 2)
+SELECT ticker, event_date, coalesce(minutes, whole) AS minutes FROM w LEFT JOIN m USING (ticker, event_date)
 """)
 def _(v):
     return d.min_window_minutes(grid(v), KEYS, 0.5)
@@ -116,6 +117,17 @@ def _(v):
     return d.half_life(d.opportunity_decay(grid(v), KEYS, least_minute=345), KEYS)
 
 
+@query("d11_anchored_decay", GRID + """
+, c AS (SELECT ticker, event_date, arg_max(last_price, minute_index) AS anchor FROM bars WHERE session_offset = -1 AND segment IN ('premarket', 'rth') GROUP BY 1, 2), t AS (SELECT ticker, event_date, max(high) AS high FROM day_bars GROUP BY 1, 2),
+a AS (SELECT f.*, anchor, high, coalesce(ln(high / anchor) > 0, false) AS fine FROM filled f LEFT JOIN c USING (ticker, event_date) LEFT JOIN t USING (ticker, event_date))
+SELECT ticker, event_date, minute_index, CASE WHEN fine THEN coalesce(ln(filled / anchor), 0) / ln(high / anchor) END AS realized, NOT fine AS is_undefined FROM a
+""")
+def _(v):
+    anchor = d.anchor_close(v.bars, KEYS).select(*KEYS, "anchor_price")
+    high = d.high_time_of_day(v.day_bars, KEYS).select(*KEYS, "day_high")
+    return d.anchored_decay(grid(v).join(anchor, KEYS, "left").join(high, KEYS, "left"), KEYS, "anchor_price", "day_high")
+
+
 POOLED = DECAY + ", pooled AS (SELECT minute_index, quantile_cont(realized, 0.5) AS median FROM decay GROUP BY 1)\n"
 
 

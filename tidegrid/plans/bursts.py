@@ -57,7 +57,7 @@ def _(v):
 
 @query("h2_tie_structure", TIES + """
 , g AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY ticker ORDER BY ts_ns) AS gap FROM lc)
-SELECT ticker, coalesce(sum(n_prints) FILTER (WHERE n_prints > 1), 0) / sum(n_prints) AS tied_share, count(*) AS n_stamps, max(n_prints) AS longest_tie, min(gap) AS min_gap_ns FROM g GROUP BY 1
+SELECT ticker, coalesce((sum(n_prints) - count(*)) / nullif(sum(n_prints) - 1, 0), 0) AS tied_share, count(*) AS n_stamps, max(n_prints) AS longest_tie, min(gap) AS min_gap_ns FROM g GROUP BY 1
 """)
 def _(v):
     return h.tie_structure(line_ticks(v), ["ticker"])
@@ -74,9 +74,9 @@ def _(v):
 
 
 @query("h4_sustained_crossing", """
-, n AS (SELECT *, lead(minute_index) OVER (PARTITION BY ticker, event_date ORDER BY minute_index) AS nxt, avg(high) OVER (PARTITION BY ticker, event_date) AS level FROM day_bars)
-SELECT ticker, event_date, arg_max(nxt, minute_index) FILTER (WHERE high >= level AND minute_index = last) AS under_from, max((high >= level)::INT) AS was_above
-FROM (SELECT *, max(minute_index) FILTER (WHERE high >= level) OVER (PARTITION BY ticker, event_date) AS last FROM n) GROUP BY 1, 2
+, n AS (SELECT *, lead(minute_index) OVER (PARTITION BY ticker, event_date ORDER BY minute_index) AS nxt, avg(high) OVER (PARTITION BY ticker, event_date) AS level FROM day_bars),
+a AS (SELECT ticker, event_date, min(minute_index) AS start, max(minute_index) FILTER (WHERE high > level) AS last FROM n GROUP BY 1, 2)
+SELECT a.ticker, a.event_date, CASE WHEN last IS NULL THEN 0 ELSE nxt - start END AS elapsed, last IS NOT NULL AND nxt IS NULL AS never_reached FROM a LEFT JOIN n ON n.ticker = a.ticker AND n.event_date = a.event_date AND n.minute_index = a.last
 """)
 def _(v):
     from pyspark.sql import Window
@@ -94,15 +94,23 @@ def _(v):
     return h.peak_profile(v.day_bars, KEYS, "minute_index", "volume", [-30, 0, 30, 120])
 
 
-@query("h5_decay_times", """
-, p AS (SELECT ticker, event_date, arg_max(minute_index, (volume, -minute_index)) AS peak_at, max(volume) AS top FROM day_bars GROUP BY 1, 2),
-r AS (SELECT b.ticker, b.event_date, minute_index, volume, peak_at, top, lead(minute_index) OVER (PARTITION BY b.ticker, b.event_date ORDER BY minute_index) AS nxt FROM day_bars b JOIN p ON p.ticker = b.ticker AND p.event_date = b.event_date)
-SELECT ticker, event_date, any_value(peak_at) AS peak_at, any_value(top) AS top, arg_max(coalesce(nxt, -1), minute_index) FILTER (WHERE volume >= 0.5 * top) AS a, arg_max(coalesce(nxt, -1), minute_index) FILTER (WHERE volume >= 0.1 * top) AS b FROM r WHERE minute_index >= peak_at GROUP BY 1, 2
-""")
+PEAKED = """
+, p AS (SELECT ticker, event_date, arg_max(minute_index, (volume, -minute_index)) AS peak_at, max(volume) AS top, avg(volume) AS baseline, min(minute_index) + 60 AS origin FROM day_bars GROUP BY 1, 2),
+r AS (SELECT b.ticker, b.event_date, minute_index, volume, peak_at, top, baseline, origin, lead(minute_index) OVER (PARTITION BY b.ticker, b.event_date ORDER BY minute_index) AS nxt FROM day_bars b JOIN p ON p.ticker = b.ticker AND p.event_date = b.event_date),
+k AS (SELECT * FROM r WHERE minute_index >= peak_at)
+"""
+
+
+def after(level, name):
+    """Elapsed minutes and the flag of one level."""
+    above = f"FILTER (WHERE volume > {level})"
+    return f"CASE WHEN count(*) {above} = 0 THEN 0 ELSE nullif(arg_max(coalesce(nxt, -1), minute_index) {above}, -1) - any_value(peak_at) END AS {name}, coalesce(arg_max(coalesce(nxt, -1), minute_index) {above} = -1, false) AS {name}_never"
+
+
+@query("h5_decay_times", PEAKED + "SELECT ticker, event_date, any_value(peak_at) AS peak_at, any_value(top) AS top, " + ", ".join([after("0.5 * top", "decay_0"), after("0.1 * top", "decay_1"), after("baseline", "terminal_0"), after("2 * baseline", "terminal_1")]) + ", any_value(peak_at - origin) AS origin_to_peak FROM k GROUP BY 1, 2")
 def _(v):
-    rows = h.decay_times(v.day_bars, KEYS, "minute_index", "volume", [0.5, 0.1])
-    back = lambda c: F.coalesce(F.col(c) + F.col("peak_at"), F.lit(-1)).cast("long")
-    return rows.select(*KEYS, "peak_at", "top", back("decay_0").alias("a"), back("decay_1").alias("b"))
+    own = v.day_bars.groupBy(*KEYS).agg(F.avg("volume").alias("baseline"), (F.min("minute_index") + 60).alias("at"))
+    return h.decay_times(v.day_bars, KEYS, "minute_index", "volume", [0.5, 0.1], [1, 2], own, own)
 
 
 @query("h5_profile_around", """
@@ -152,6 +160,40 @@ def _(v):
     return hysteresis(v)
 
 
+GRIDDED = COLLECTED + """
+, f AS (SELECT ticker, event_date, minute_index, sum(n_trades) AS n FROM flank GROUP BY 1, 2, 3),
+o AS (SELECT ticker, event_date, unnest(range(0, post_min - pre_min)) AS minute_index FROM spine WHERE session_offset = 0),
+p AS (SELECT o.ticker, o.event_date, o.minute_index, coalesce(sum(n), 0) AS prints FROM o LEFT JOIN f ON f.ticker = o.ticker AND f.event_date = o.event_date AND f.minute_index BETWEEN o.minute_index - 15 AND o.minute_index + 15 GROUP BY 1, 2, 3),
+t AS (SELECT o.ticker, o.event_date, o.minute_index, coalesce(sum(greatest(0, least(minutes - 1, o.minute_index + 15) - greatest(0, o.minute_index - 15) + 1)) FILTER (WHERE minutes IS NOT NULL), 0) AS slots FROM o LEFT JOIN got ON got.ticker = o.ticker AND got.event_date = o.event_date GROUP BY 1, 2, 3),
+base AS (SELECT ticker, event_date, minute_index, greatest(coalesce(prints / nullif(slots, 0), 0.01), 0.01) AS rate FROM p JOIN t USING (ticker, event_date, minute_index)),
+se AS (SELECT ticker, event_date, (post_min - pre_min)::BIGINT AS minutes, (epoch_us(event_date::TIMESTAMP) + (pre_min + 300)::BIGINT * 60000000) * 1000 AS start_ns FROM spine WHERE session_offset = 0),
+gp AS (SELECT *, start_ns + g * 300000000000 AS at_ns FROM (SELECT *, unnest(range(0, (minutes + 4) // 5 + 1)) AS g FROM se)),
+tn AS (SELECT s.ticker, s.event_date, t.ts_ns, t.seq, row_number() OVER (PARTITION BY s.ticker, s.event_date ORDER BY t.ts_ns, t.seq) AS i FROM trades t JOIN se s ON s.ticker = t.ticker AND s.event_date = t.et_date),
+tc AS (SELECT ticker, event_date, ts_ns, max(i) AS i FROM tn GROUP BY 1, 2, 3),
+lo AS (SELECT gp.*, coalesce(i, 0) AS a FROM gp ASOF LEFT JOIN tc ON tc.ticker = gp.ticker AND tc.event_date = gp.event_date AND gp.at_ns - 3600000000000 > tc.ts_ns),
+hi AS (SELECT lo.*, coalesce(i, 0) - a AS prints FROM lo ASOF LEFT JOIN tc ON tc.ticker = lo.ticker AND tc.event_date = lo.event_date AND lo.at_ns + 3600000000000 > tc.ts_ns),
+gz AS (SELECT hi.*, ln(prints / 120 + 1e-9) - ln(rate + 1e-9) AS z FROM hi JOIN base ON base.ticker = hi.ticker AND base.event_date = hi.event_date AND base.minute_index = least((at_ns - start_ns) // 60000000000, minutes - 1)),
+gs AS (SELECT *, coalesce(last_value(CASE WHEN z >= ln(3) THEN 1 WHEN z < ln(1.5) THEN 0 END IGNORE NULLS) OVER (PARTITION BY ticker, event_date ORDER BY g), 0) = 1 AS is_on FROM gz),
+gc AS (SELECT *, CASE WHEN is_on IS DISTINCT FROM lag(is_on) OVER (PARTITION BY ticker, event_date ORDER BY g) THEN 1 ELSE 0 END AS ch FROM gs), gr AS (SELECT *, sum(ch) OVER (PARTITION BY ticker, event_date ORDER BY g) AS run FROM gc),
+ga AS (SELECT ticker, event_date, min(at_ns) AS s, max(at_ns) AS e FROM gr WHERE is_on GROUP BY ticker, event_date, run),
+gb AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY ticker, event_date ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1200000000000 THEN 0 ELSE 1 END AS ch FROM ga),
+gm AS (SELECT ticker, event_date, min(s) AS s, max(e) AS e FROM (SELECT *, sum(ch) OVER (PARTITION BY ticker, event_date ORDER BY s) AS run FROM gb) GROUP BY ticker, event_date, run HAVING max(e) - min(s) >= 600000000000)
+SELECT gm.ticker, gm.event_date, s AS grid_start_ns, e AS grid_end_ns, min(i) - 1 AS start_index, max(i) - 1 AS end_index, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n_prints
+FROM gm JOIN tn ON tn.ticker = gm.ticker AND tn.event_date = gm.event_date AND ts_ns BETWEEN s AND e GROUP BY gm.ticker, gm.event_date, s, e
+"""
+
+
+@query("h8_grid_bursts", GRIDDED)
+def _(v):
+    from tidegrid.functions import clock
+
+    own = v.spine.filter("session_offset = 0")
+    start = clock.local_to_ns(clock.us_of(F.col("event_date"), F.col("pre_min")))
+    sessions = own.select(*KEYS, start.alias("start_ns"), (F.col("post_min") - F.col("pre_min")).cast("long").alias("minutes"))
+    ticks = v.trades.withColumnRenamed("et_date", "event_date").join(own.select(*KEYS), KEYS, "left_semi")
+    return h.grid_bursts(ticks, sessions, h.tod_baseline(v.bars, collected(v), v.spine, KEYS, 15, 0.01), KEYS, 300, 7200, 3, 1.5, 0.01, 1200, 600)
+
+
 @query("h9_merge_drop", MERGE + "SELECT * FROM merged")
 def _(v):
     return h.merge_drop(hysteresis(v), ["ticker"], 120 * MIN, 60 * MIN)
@@ -185,7 +227,7 @@ def _(v):
     return h.burst_runs(h.two_state_bursts(v.trades, DAY, 3.0, 1.0), DAY)
 
 
-@query("h12_sweep_runs", RUNS + """
+@query("h12_sweep_runs", RUNS.replace("< 1800000000000", "<= 1800000000000") + """
 , s AS (SELECT ticker, et_date, count(*) AS n FROM runs GROUP BY ticker, et_date, run)
 SELECT ticker, et_date, count(*) AS n_runs, avg(n) AS mean, sum(n * n) / sum(n) AS size_biased, max(n) AS largest FROM s GROUP BY 1, 2
 """)
@@ -298,13 +340,22 @@ def _(v):
 
 
 @query("h22_near_cutoff", """
-, s AS (SELECT ticker, count(*) AS k, CASE WHEN count(*) < 15 THEN 'too_few' ELSE 'ok' END AS status, CASE WHEN count(*) < 15 THEN 'prints' WHEN max(price) < 50 THEN 'price' ELSE 'none' END AS reason FROM trades GROUP BY ticker, et_date)
-SELECT ticker, status, reason, count(*) AS n, count(*) FILTER (WHERE abs(k - 15) <= 3) AS n_near, avg((abs(k - 15) <= 3)::INT) AS near_share FROM s GROUP BY 1, 2, 3
+, s AS (SELECT ticker, count(*) AS k, CASE WHEN count(*) < 12 THEN 'too_few' ELSE 'ok' END AS status FROM trades GROUP BY ticker, et_date)
+SELECT ticker, count(*) AS n, count(*) FILTER (WHERE k >= 15 AND k < 18) AS n_near, avg((k >= 15 AND k < 18)::INT) AS near_share FROM s WHERE status = 'ok' GROUP BY 1
+""")
+def _(v):
+    rows = v.trades.groupBy(*DAY).agg(F.count(F.lit(1)).alias("k"), F.when(F.count(F.lit(1)) < 12, "too_few").otherwise("ok").alias("status"))
+    return h.near_cutoff(rows, ["ticker"], "status", "k", 15, 3)
+
+
+@query("h22_status_counts", """
+, s AS (SELECT ticker, CASE WHEN count(*) < 15 THEN 'too_few' ELSE 'ok' END AS status, CASE WHEN count(*) < 15 THEN 'prints' WHEN max(price) < 50 THEN 'price' ELSE 'none' END AS reason FROM trades GROUP BY ticker, et_date)
+SELECT ticker, status, reason, count(*) AS n FROM s GROUP BY 1, 2, 3
 """)
 def _(v):
     few = F.count(F.lit(1)) < 15
-    rows = v.trades.groupBy(*DAY).agg(F.count(F.lit(1)).alias("k"), F.when(few, "too_few").otherwise("ok").alias("status"), F.when(few, "prints").when(F.max("price") < 50, "price").otherwise("none").alias("reason"))
-    return h.near_cutoff(rows, ["ticker"], "status", "reason", "k", 15, 3)
+    rows = v.trades.groupBy(*DAY).agg(F.when(few, "too_few").otherwise("ok").alias("status"), F.when(few, "prints").when(F.max("price") < 50, "price").otherwise("none").alias("reason"))
+    return h.status_counts(rows, ["ticker"], "status", "reason")
 
 
 SAMPLE = MARKS + """

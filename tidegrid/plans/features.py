@@ -15,19 +15,20 @@ ALPHA, BETA, FREEZE = 0.5, 0.001, 7200.0
 HAWKES = """
 , hg AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(ts_ns) OVER w IS NOT NULL THEN greatest((ts_ns - lag(ts_ns) OVER w) / 1e9, 1e-9) END AS gap FROM trades WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
 ht AS (SELECT *, sum(CASE WHEN gap <= 7200 THEN gap ELSE 0 END) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS tau FROM hg),
-hm AS (SELECT ticker, et_date, (count(*) FILTER (WHERE gap <= 7200) + 1) / greatest(coalesce(sum(gap) FILTER (WHERE gap <= 7200), 1e-6), 1e-6) AS mu FROM hg GROUP BY 1, 2),
+hm AS (SELECT ticker, et_date, (count(*) FILTER (WHERE gap <= 7200) + 1) / greatest(coalesce(sum(gap) FILTER (WHERE gap <= 7200), 1e-6), 1e-6) AS mu, count(*) AS total FROM hg GROUP BY 1, 2),
 hs AS (SELECT a.ticker, a.et_date, a.seq, sum(exp(-0.001 * (a.tau - b.tau))) AS s FROM ht a JOIN ht b ON a.ticker = b.ticker AND a.et_date = b.et_date AND b.n > 1 AND b.n <= a.n GROUP BY 1, 2, 3),
-hl AS (SELECT t.*, mu + coalesce(0.5 * s, 0) AS intensity FROM ht t JOIN hm USING (ticker, et_date) LEFT JOIN hs USING (ticker, et_date, seq)),
+hl AS (SELECT t.*, CASE WHEN total < 2 THEN 0 ELSE mu + coalesce(0.5 * s, 0) END AS intensity FROM ht t JOIN hm USING (ticker, et_date) LEFT JOIN hs USING (ticker, et_date, seq)),
 hawkes AS (SELECT *, coalesce(intensity - lag(intensity) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq), 0) AS step FROM hl)
 """
 CVD = """
 , cs AS (SELECT *, sign(price - lag(price) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)) AS s FROM trades),
-ch AS (SELECT *, coalesce(last_value(nullif(s, 0) IGNORE NULLS) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq), 0) AS sg FROM cs),
-cvd AS (SELECT *, sum(sg * size) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS cvd, sum(price * size) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) / sum(size) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS vwap FROM ch)
+ch AS (SELECT *, coalesce(last_value(nullif(s, 0) IGNORE NULLS) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq), 1) AS sg, row_number() OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS i, count(*) OVER (PARTITION BY ticker, et_date) AS n_ticks FROM cs),
+cvd AS (SELECT *, sum(CASE WHEN n_ticks = 1 THEN 0 ELSE sg * size END) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS cvd, sum(CASE WHEN i = 1 THEN 0 ELSE sg * size END) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS later_cvd,
+  sum(price * size) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) / sum(size) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS vwap FROM ch)
 """
 ENTRY = CVD + """
 , entry AS (SELECT ticker, et_date, min(ts_ns) FILTER (WHERE go) AS entry_ns, arg_min(seq, (ts_ns, seq)) FILTER (WHERE go) AS entry_seq, arg_min(price, (ts_ns, seq)) FILTER (WHERE go) AS entry_price
-  FROM (SELECT *, et_min BETWEEN 240 AND 960 AND price > vwap AND cvd > 0 AS go FROM cvd) GROUP BY 1, 2)
+  FROM (SELECT *, et_min BETWEEN 240 AND 960 AND price > vwap AND later_cvd > 0 AS go FROM cvd) GROUP BY 1, 2)
 """
 
 
@@ -153,22 +154,28 @@ def _(v):
     return g.cvd(v.trades, DAY).select("seq", "sign", "cvd")
 
 
+#: Curvature on a grid of ten minutes from each day's first tick, back on the ticks.
 CONVEXITY = CVD + """
-, c AS (SELECT ticker, et_date, ts_ns // 600000000000 AS cell, arg_max(cvd, (ts_ns, seq)) AS y FROM cvd GROUP BY 1, 2, 3),
-s AS (SELECT ticker, et_date, min(cell) AS a, max(cell) AS z FROM c GROUP BY 1, 2), gr AS (SELECT ticker, et_date, unnest(generate_series(a, z)) AS cell FROM s),
-j AS (SELECT gr.*, y, CASE WHEN y IS NOT NULL THEN cell END AS k FROM gr LEFT JOIN c USING (ticker, et_date, cell)),
-e AS (SELECT *, last_value(k IGNORE NULLS) OVER p AS x0, last_value(y IGNORE NULLS) OVER p AS y0, first_value(k IGNORE NULLS) OVER f AS x1, first_value(y IGNORE NULLS) OVER f AS y1 FROM j
-  WINDOW p AS (PARTITION BY ticker, et_date ORDER BY cell ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ticker, et_date ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-l AS (SELECT ticker, et_date, cell, CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (cell - x0) / (x1 - x0) END AS y FROM e),
-b AS (SELECT ticker, et_date, min(cell) AS a, max(cell) AS z FROM l GROUP BY 1, 2),
-mm AS (SELECT l.*, least(greatest(cell, a + 15), z - 15) AS mid, z - a >= 30 AS ok FROM l JOIN b USING (ticker, et_date)),
-convexity AS (SELECT m.ticker, m.et_date, m.cell, m.y, CASE WHEN ok THEN round(sum(2 * ((n.cell - m.mid) ** 2 - 80.0) * n.y) / 158224, 6) + 0.0::DOUBLE END AS convexity
-FROM mm m JOIN l n ON n.ticker = m.ticker AND n.et_date = m.et_date AND (n.cell BETWEEN m.mid - 15 AND m.mid + 15) GROUP BY m.ticker, m.et_date, m.cell, m.y, ok)
+, so AS (SELECT ticker, et_date, count(*) AS n, min(ts_ns) AS origin, max(ts_ns) AS stop FROM cvd GROUP BY 1, 2 HAVING count(*) >= 10 AND (max(ts_ns) - min(ts_ns)) // 600000000000 + 1 >= 5),
+sg AS (SELECT ticker, et_date, origin, least((stop - origin + 599999999999) // 600000000000, 50000)::BIGINT AS last FROM so),
+gr AS (SELECT *, origin + cell * 600000000000 AS at_ns FROM (SELECT *, unnest(range(0, last + 1)) AS cell FROM sg)),
+ta AS (SELECT ticker, et_date, ts_ns, arg_max(cvd, seq) AS y FROM cvd GROUP BY 1, 2, 3), tz AS (SELECT ticker, et_date, ts_ns, arg_min(cvd, seq) AS y FROM cvd GROUP BY 1, 2, 3),
+ga AS (SELECT gr.*, ta.ts_ns AS x0, ta.y AS y0 FROM gr ASOF LEFT JOIN ta ON ta.ticker = gr.ticker AND ta.et_date = gr.et_date AND gr.at_ns >= ta.ts_ns),
+gz AS (SELECT ga.*, tz.ts_ns AS x1, tz.y AS y1 FROM ga ASOF LEFT JOIN tz ON tz.ticker = ga.ticker AND tz.et_date = ga.et_date AND ga.at_ns < tz.ts_ns),
+l AS (SELECT ticker, et_date, origin, last, cell, y0 + coalesce((y1 - y0) * (at_ns - x0) / (x1 - x0), 0) AS y FROM gz),
+lh AS (SELECT *, ((CASE WHEN last + 1 >= 31 THEN 31 WHEN last % 2 = 0 THEN last + 1 ELSE last END) - 1) // 2 AS h FROM l),
+lm AS (SELECT *, CASE WHEN last + 1 >= 31 THEN least(greatest(cell, h), last - h) WHEN last % 2 = 1 AND cell > h THEN h + 1 ELSE h END AS mid, h * (h + 1) / 3 AS m2, h * (h + 1) * (2 * h + 1) * (3 * h * h + 3 * h - 1) / 15 - h * (h + 1) / 3 * h * (h + 1) * (2 * h + 1) / 3 AS norm FROM lh),
+conv AS (SELECT m.ticker, m.et_date, m.cell, any_value(m.origin) AS origin, any_value(m.last) AS last, sum(2 * ((n.cell - m.mid) ** 2 - m.m2) * n.y / m.norm) AS c
+  FROM lm m JOIN l n ON n.ticker = m.ticker AND n.et_date = m.et_date AND n.cell BETWEEN m.mid - m.h AND m.mid + m.h GROUP BY m.ticker, m.et_date, m.cell),
+cn AS (SELECT *, coalesce(lead(c) OVER (PARTITION BY ticker, et_date ORDER BY cell), c) AS d FROM conv),
+tk AS (SELECT t.ticker, t.et_date, t.seq, t.ts_ns, origin, least((t.ts_ns - origin) // 600000000000, last) AS cell FROM cvd t LEFT JOIN sg ON sg.ticker = t.ticker AND sg.et_date = t.et_date),
+convexity AS (SELECT tk.ticker, tk.et_date, tk.seq, round(coalesce(c + least(1, (ts_ns - tk.origin) / 6e11 - tk.cell) * (d - c), 0), 6) + 0.0::DOUBLE AS convexity FROM tk LEFT JOIN cn ON cn.ticker = tk.ticker AND cn.et_date = tk.et_date AND cn.cell = tk.cell)
 """
 
 
 def convexity(v):
-    return g.cvd_convexity(g.cvd(v.trades, DAY), DAY, 600).withColumn("convexity", F.round("convexity", 6) + F.lit(0.0))
+    made = g.cvd_convexity(g.cvd(v.trades, DAY), DAY, 600)
+    return made.select(*DAY, "seq", (F.round("convexity", 6) + F.lit(0.0)).alias("convexity"))
 
 
 @query("g11_cvd_convexity", CONVEXITY + "SELECT * FROM convexity")
@@ -194,9 +201,9 @@ def _(v):
 h AS (SELECT ticker, et_date, count(*) FILTER (WHERE resumes) AS n_halts FROM hx GROUP BY 1, 2),
 f AS (SELECT ticker, et_date, arg_max(cvd, (ts_ns, seq))::BIGINT AS cvd_final, arg_max(cvd, (ts_ns, seq)) FILTER (WHERE et_min BETWEEN 570 AND 584)::BIGINT AS cvd_flip_final FROM cvd GROUP BY 1, 2),
 cx AS (SELECT ticker, et_date, avg(convexity) AS convexity_mean, max(convexity) AS convexity_max, avg((convexity > 0)::INT) AS convexity_positive_share FROM convexity GROUP BY 1, 2),
-oi AS (SELECT *, CASE WHEN lag(ts_ns) OVER w IS NOT NULL THEN
-  CASE WHEN bid > lag(bid) OVER w THEN bid_size WHEN bid = lag(bid) OVER w THEN bid_size - lag(bid_size) OVER w ELSE -lag(bid_size) OVER w END
-  - CASE WHEN ask < lag(ask) OVER w THEN ask_size WHEN ask = lag(ask) OVER w THEN ask_size - lag(ask_size) OVER w ELSE -lag(ask_size) OVER w END END AS ofi
+oi AS (SELECT *, CASE WHEN lag(ts_ns) OVER w IS NULL THEN 0 ELSE
+  CASE WHEN bid >= lag(bid) OVER w THEN bid_size - lag(bid_size) OVER w ELSE -lag(bid_size) OVER w END
+  - CASE WHEN ask <= lag(ask) OVER w THEN ask_size - lag(ask_size) OVER w ELSE -lag(ask_size) OVER w END END AS ofi
   FROM quotes WHERE bid > 0 AND ask > bid WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
 og AS (SELECT ticker, et_date, avg(ofi) AS ofi_mean, sum(ofi)::BIGINT AS ofi_total, max(ofi) AS ofi_max FROM oi GROUP BY 1, 2)
 SELECT e.ticker, e.event_date, e.magnitude, w.* EXCLUDE (ticker, et_date), n_halts, seconds_since_halt, post_halt_surge, cvd_final, cvd_flip_final, cx.* EXCLUDE (ticker, et_date), p.* EXCLUDE (ticker, event_date), og.* EXCLUDE (ticker, et_date)
@@ -211,20 +218,32 @@ def _(v):
     halted = g.halt_ends(v.trades, DAY, 1_800_000_000_000).groupBy(*DAY).agg(F.count("resume_ns").alias("n_halts"))
     moved = g.cvd(v.trades, DAY).groupBy(*DAY).agg(last(F.lit(True)).alias("cvd_final"), F.when(F.count(F.when(flip, 1)) > 0, last(flip)).alias("cvd_flip_final"))
     bent = convexity(v).groupBy(*DAY).agg(F.avg("convexity").alias("convexity_mean"), F.max("convexity").alias("convexity_max"), F.avg((F.col("convexity") > 0).cast("double")).alias("convexity_positive_share"))
-    book = q.ofi(v.quotes.filter((F.col("bid") > 0) & (F.col("ask") > F.col("bid"))), DAY).select(*DAY, F.col("mean").alias("ofi_mean"), F.col("total").alias("ofi_total"), F.col("max").alias("ofi_max"))
+    book = q.ofi(v.quotes, DAY).select(*DAY, F.col("mean").alias("ofi_mean"), F.col("total").alias("ofi_total"), F.col("max").alias("ofi_max"))
     dated = [p.withColumnRenamed("et_date", "event_date") for p in (wide, halted, g.since_halt(v.trades, DAY, 1_800_000_000_000, 840, 900), surge(v), moved, bent, book)]
     return g.feature_row([v.event_list, *dated, g.premarket_context(v.day_bars, KEYS)], KEYS)
 
 
-@query("g14_forward_targets", HAWKES + """
-, i AS (SELECT * FROM hawkes WHERE et_min BETWEEN 585 AND 900),
-m AS (SELECT *, (intensity + lead(intensity) OVER w) / 2 * least((lead(ts_ns) OVER w - ts_ns) / 1e9, 7200) AS area, price / first_value(price) OVER w - 1 AS r FROM i WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
-t AS (SELECT ticker, et_date, count(*) AS n, sum(area) AS intensity_area, max(r) FILTER (WHERE et_min <= 720) AS best, min(r) FILTER (WHERE et_min <= 720) AS worst, arg_max(r, (ts_ns, seq)) AS ret FROM m GROUP BY 1, 2)
-SELECT *, CASE WHEN abs(worst) > 1e-6 THEN abs(best / worst) ELSE CASE WHEN best > 0 THEN 100.0 ELSE 0.0 END END::DOUBLE AS efficiency FROM t
-""")
+#: Fourteen hours from 05:00, as the fixture's prints are sparse.
+TARGETS = """
+, tt AS (SELECT *, et_min::BIGINT * 60000000000 + ts_ns % 60000000000 AS instant FROM trades),
+tp AS (SELECT * FROM (SELECT *, first_value(price) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS ref, count(*) OVER (PARTITION BY ticker, et_date) AS n_all FROM tt WHERE instant BETWEEN 18000000000000 AND 68400000000000) WHERE n_all >= 10 AND ref > 0),
+th AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(ts_ns) OVER w IS NOT NULL THEN greatest((ts_ns - lag(ts_ns) OVER w) / 1e9, 1e-9) END AS gap FROM tp WHERE instant <= 61200000000000 WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
+tu AS (SELECT *, sum(CASE WHEN gap <= 7200 THEN gap ELSE 0 END) OVER (PARTITION BY ticker, et_date ORDER BY ts_ns, seq) AS tau FROM th),
+tm AS (SELECT ticker, et_date, count(*) AS total, (count(*) FILTER (WHERE gap <= 7200) + 1) / greatest(coalesce(sum(gap) FILTER (WHERE gap <= 7200), 1e-6), 1e-6) AS mu FROM th GROUP BY 1, 2),
+ts AS (SELECT a.ticker, a.et_date, a.seq, sum(exp(-0.001 * (a.tau - b.tau))) AS s FROM tu a JOIN tu b ON a.ticker = b.ticker AND a.et_date = b.et_date AND b.n > 1 AND b.n <= a.n GROUP BY 1, 2, 3),
+tl AS (SELECT tu.*, total, CASE WHEN total < 2 THEN 0 ELSE mu + coalesce(0.5 * s, 0) END AS lam FROM tu JOIN tm USING (ticker, et_date) LEFT JOIN ts USING (ticker, et_date, seq)),
+ta AS (SELECT *, (lam + lead(lam) OVER w) / 2 * least((lead(ts_ns) OVER w - ts_ns) / 1e9, 7200) AS area FROM tl WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq)),
+tb AS (SELECT ticker, et_date, CASE WHEN count(*) >= 10 THEN sum(area) END AS intensity_area, CASE WHEN count(*) >= 10 THEN avg(lam) END AS intensity_mean, CASE WHEN count(*) >= 10 THEN max(lam) END AS intensity_max FROM ta GROUP BY 1, 2),
+tr AS (SELECT ticker, et_date, count(*) AS n, CASE WHEN count(*) FILTER (WHERE instant <= 43200000000000) >= 5 THEN max(price / ref - 1) FILTER (WHERE instant <= 43200000000000) END AS best,
+  CASE WHEN count(*) FILTER (WHERE instant <= 43200000000000) >= 5 THEN min(price / ref - 1) FILTER (WHERE instant <= 43200000000000) END AS worst,
+  CASE WHEN count(*) FILTER (WHERE instant <= 61200000000000) >= 5 THEN arg_max(price / ref - 1, (ts_ns, seq)) FILTER (WHERE instant <= 61200000000000) END AS ret FROM tp GROUP BY 1, 2)
+SELECT tr.*, intensity_area, intensity_mean, intensity_max, CASE WHEN best IS NULL THEN NULL WHEN abs(worst) > 1e-6 THEN abs(best / worst) ELSE CASE WHEN best > 0 THEN 100.0 ELSE 0.0 END END::DOUBLE AS efficiency FROM tr LEFT JOIN tb USING (ticker, et_date)
+"""
+
+
+@query("g14_forward_targets", TARGETS)
 def _(v):
-    rows = hawkes(v).select(*DAY, "seq", "intensity").join(v.trades, [*DAY, "seq"])
-    return g.forward_targets(rows, DAY, 585, 720, 900, FREEZE)
+    return g.forward_targets(v.trades, DAY, 5 * 3600, 12 * 3600, 17 * 3600, 19 * 3600, ALPHA, BETA, FREEZE)
 
 
 @query("g15_sample_weights", """
@@ -258,9 +277,9 @@ def _(v):
 
 BARRIER = ENTRY + """
 , taken AS (SELECT * FROM entry WHERE entry_ns IS NOT NULL),
-bx AS (SELECT t.*, entry_ns, entry_price, price / entry_price - 1 AS r FROM trades t JOIN taken USING (ticker, et_date) WHERE ts_ns > entry_ns AND ts_ns <= entry_ns + 7200000000000),
-bs AS (SELECT *, min(ts_ns) FILTER (WHERE price <= entry_price * (1 - 0.2::DOUBLE)) OVER (PARTITION BY ticker, et_date) AS stop_ns FROM bx),
-bo AS (SELECT ticker, et_date, max(stop_ns) IS NOT NULL AS stopped, max(ts_ns) AS exit_ns, arg_max(r, (ts_ns, seq)) AS last, max(r) AS up, min(r) AS down FROM bs WHERE stop_ns IS NULL OR ts_ns <= stop_ns GROUP BY 1, 2),
+bx AS (SELECT t.*, entry_ns, entry_price, price / entry_price - 1 AS r FROM trades t JOIN taken USING (ticker, et_date) WHERE (ts_ns, seq) > (entry_ns, entry_seq) AND ts_ns <= entry_ns + 7200000000000),
+bs AS (SELECT *, min((ts_ns, seq)) FILTER (WHERE price <= entry_price * (1 - 0.2::DOUBLE)) OVER (PARTITION BY ticker, et_date) AS stop FROM bx),
+bo AS (SELECT ticker, et_date, max(stop) IS NOT NULL AS stopped, max(ts_ns) AS exit_ns, arg_max(r, (ts_ns, seq)) AS last, max(r) AS up, min(r) AS down FROM bs WHERE stop IS NULL OR (ts_ns, seq) <= stop GROUP BY 1, 2),
 exits AS (SELECT ticker, et_date, CASE WHEN exit_ns IS NULL THEN 'no_ticks' WHEN stopped THEN 'stop' ELSE 'time' END AS reason, coalesce(exit_ns, entry_ns) AS exit_ns,
   CASE WHEN stopped THEN -0.2::DOUBLE ELSE coalesce(last, 0) END AS ret, greatest(coalesce(up, 0), 0) AS best, least(coalesce(down, 0), 0) AS worst FROM taken LEFT JOIN bo USING (ticker, et_date))
 """

