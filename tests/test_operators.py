@@ -263,6 +263,47 @@ def test_intervals_overlap(spark):
     assert [(r.k, r.start_ns, r.end_ns) for r in merged] == [("x", 0, 30), ("y", 0, 5), ("z", 1, 2)]
 
 
+@pytest.mark.parametrize("size", [4_096, 16, 7])
+def test_every_replicate_draws_as_many_units_as_there_are(spark, size):
+    units = spark.range(100).select((F.col("id") * 3).alias("unit"))
+    got = inference.resample(units, 40, 5, size).collect()
+    again = inference.resample(units.repartition(7), 40, 5, size).collect()
+    assert {(r.rep, r.unit): r.times for r in got} == {(r.rep, r.unit): r.times for r in again}
+    per = {}
+    for r in got:
+        per.setdefault(r.rep, []).append(r.times)
+    assert len(per) == 40 and all(sum(t) == 100 for t in per.values())
+    share = sum(len(t) for t in per.values()) / 4000
+    assert abs(share - (1 - math.exp(-1))) < 0.03  # of units drawn at all
+    assert abs(sum(t * t for ts in per.values() for t in ts) / 4000 - 1.99) < 0.15  # variance 1 - 1/100 and mean 1
+
+
+def test_splits_share_out_all_draws():
+    for total in (1, 10, 101, 1000):
+        leaves = -(-total // 10)
+        got = [inference._split(3, 1, leaf, total, leaves, 10, {}) for leaf in range(leaves)]
+        assert sum(got) == total
+
+
+def test_average_ranks_across_ranges(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, v, i) for i, (k, v) in enumerate((rng.choice(["a"] * 6 + ["b", None]), rng.choice([None, *map(float, range(12))])) for _ in range(600))]
+    got = {r.i: r["rank"] for r in frames.average_ranks(spark.createDataFrame(rows, "k string, v double, i int"), ["k"], "v").collect()}
+    for k in ("a", "b", None):
+        own = [(v, i) for x, v, i in rows if x == k and v is not None]
+        assert [got[i] for _, i in own] == pytest.approx([sum(w < v for w, _ in own) + (sum(w == v for w, _ in own) + 1) / 2 for v, _ in own])
+    assert all(got[i] is None for _, v, i in rows if v is None)
+
+
+def test_dependence_needs_enough_pairs(spark):
+    rows = [("a", float(i), float(i * i)) for i in range(6)] + [("b", 1.0, 2.0), ("b", 2.0, 1.0), ("b", 3.0, 0.0), ("c", 1.0, 1.0), ("c", 2.0, 2.0), ("c", None, 2.0)]
+    got = {r.k: r for r in bursts.count_dependence(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y", ["k"]).collect()}
+    assert (got["a"].n, got["a"].n_positive) == (6, 5) and (got["a"].rank_correlation, got["a"].slope) == pytest.approx((1, 2))
+    assert got["b"].rank_correlation == pytest.approx(-1) and got["b"].slope is None and got["c"].rank_correlation is None
+
+
 def test_quantile_line_beats_its_neighbours(spark):
     import random
 

@@ -30,6 +30,48 @@ def test_unreadable_files_are_named(spark, tmp_path):
     assert rows.count() == 5 and [r.file for r in bad.collect()] == ["broken.parquet"]
 
 
+def test_states_of_files(spark, tmp_path):
+    path = tmp_path / "t"
+    spark.range(5).coalesce(1).write.parquet(f"{path}/a")
+    spark.range(0).coalesce(1).write.parquet(f"{path}/b")
+    spark.range(3).select(F.col("id").cast("double").alias("id"), F.array(F.lit("x")).alias("l")).coalesce(1).write.parquet(f"{path}/c")
+    spark.range(50_000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("s")).coalesce(1).write.option("compression", "none").parquet(f"{path}/d")
+    (path / "broken.parquet").write_bytes(b"not parquet at all")
+    states = readers.file_states(spark, str(path))
+    rows = [(r.state, r.n_rows, [tuple(c) for c in r.columns]) for r in states.collect()]
+    assert sorted(rows, key=str) == sorted([("rows", 5, [("id", "bigint")]), ("empty", 0, [("id", "bigint")]), ("rows", 3, [("id", "double"), ("l", "array<string>")]), ("rows", 50_000, [("s", "string")]), ("unreadable", None, [])], key=str)
+    assert {(r.column, r.type, r.n_files) for r in readers.column_types(states).collect()} == {("id", "bigint", 2), ("id", "double", 1), ("l", "array<string>", 1), ("s", "string", 1)}
+    with pytest.raises(ValueError, match="id"):
+        readers.schema_of_files(spark, str(path))
+    assert readers.schema_of_files(spark, str(path), {"id": "double"}, ("l",)).simpleString() == "struct<id:double,s:string>"
+    got = readers.read_drifted(spark, str(path), {"id": "double"}, ("l",))
+    assert got.count() == 50_008 and got.filter("id IS NOT NULL").count() == 8
+
+
+def test_footers_that_come_through_spark(spark, tmp_path, monkeypatch):
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/t")
+    (tmp_path / "t" / "broken.parquet").write_bytes(b"short")
+    (tmp_path / "t" / "odd.parquet").write_bytes(b"x" * 40)
+    monkeypatch.setattr(readers, "OPENED", ())
+    got = {(r.state, r.n_rows, len(r.columns)) for r in readers.file_states(spark, f"{tmp_path}/t").collect()}
+    assert got == {("rows", 7, 1), ("unreadable", None, 0)}
+
+
+def test_partly_readable_files_give_no_rows(spark, tmp_path):
+    path = tmp_path / "t"
+    spark.range(200_000).select("id", F.md5(F.col("id").cast("string").cast("binary")).alias("s")).coalesce(1).write.option("compression", "none").parquet(str(path))
+    spark.range(0).select("id", F.lit("x").alias("s")).coalesce(1).write.mode("append").parquet(str(path))
+    spark.range(4).select("id", F.lit("y").alias("s")).coalesce(1).write.mode("append").parquet(str(path))
+    big = max(path.glob("*.parquet"), key=lambda p: p.stat().st_size)
+    raw = bytearray(big.read_bytes())
+    raw[len(raw) // 2 : len(raw) // 2 + 400_000] = b"\xff" * 400_000
+    big.write_bytes(bytes(raw))
+    big.with_name(f".{big.name}.crc").unlink(missing_ok=True)
+    rows, bad = readers.read_skip_unreadable(spark, str(path), spark.range(1).select("id", F.lit("x").alias("s")).schema)
+    assert [(r.file, r.state) for r in bad.collect()] == [(big.name, "partial")]
+    assert sorted(r.s for r in rows.collect()) == ["y"] * 4
+
+
 def test_json_and_csv_references(spark, tmp_path):
     (tmp_path / "list.json").write_text(json.dumps([{"a": 1, "b": {"c": "x"}}, {"a": 2, "b": {"c": None}}]))
     (tmp_path / "dict.json").write_text(json.dumps({"k1": {"a": 1}, "k2": {"a": 2}}))

@@ -146,12 +146,7 @@ def describe(rows: DataFrame, by: list[str], values: dict[str, tuple[tuple[float
     plain = rows.groupBy(*by).agg(*(a.alias(n) for n, a in aggregates.items()))
     if not by:
         return plain.join(F.broadcast(grouped_quantiles(rows, by, values)))  # a row each
-    other = grouped_quantiles(rows, by, values)
-    other = other.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), *(n for _, names in values.values() for n in names))
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return plain.join(other, same).drop(*(f"_g{i}" for i in range(len(by))))
+    return _null_safe(plain, grouped_quantiles(rows, by, values), by)
 
 
 def hash_draw(seed: int, *cols: str) -> Column:
@@ -179,6 +174,34 @@ def global_rank(rows: DataFrame, order: list[str], parts: int | None = None) ->
     return kept.join(offsets, "_range").withColumn("rank", F.col("_ahead") + F.col("_place") + 1).drop("_range", "_place", "_ahead")
 
 
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
+    """Rows with their average rank (from 1) by a value inside their group; ties share it, nulls have none.
+
+    Values are counted first and dealt by ranges of (group, value), so that a group is
+    many tasks; a range's counts start where those of the group's ranges before it end.
+    """
+    spark = rows.sparkSession
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    path = scratch(spark, "ranks")
+    counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    ahead = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = kept.groupBy(*by, "_range").agg(F.sum("_n").alias("_m")).withColumn("_start", ahead).drop("_m")
+    run = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = kept.withColumn("_upto", F.sum("_n").over(run))
+    ranks = _null_safe(placed, starts, [*by, "_range"]).select(*by, value, (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    return _null_safe(rows, ranks, [*by, value], "left")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which nulls match nulls; the left side's columns and the right side's others."""
+    right = right.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(by)), *(c for c in right.columns if c not in by))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    return left.join(right, same, how).drop(*(f"_r{i}" for i in range(len(by))))
+
+
 def rank_buckets(rows: DataFrame, order: list[str], n: int, name: str = "bucket") -> DataFrame:
     """Rows with balanced rank buckets 1..n; a single row is bucket 1."""
     r, m = F.col("rank"), F.col("total")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.functions.frames import asof_join, islands, ratio
+from tidegrid.functions.frames import asof_join, average_ranks, islands, ratio
 
 NS = 1_000_000_000
 
@@ -360,14 +360,17 @@ def allan_fano(ticks: DataFrame, keys: list[str], bounds: DataFrame, ladder_s: l
     return made.select(*keys, "T", "n_windows", mean.alias("mean_count"), (ssd / (F.col("n_windows") - 1) / (2 * mean)).alias("allan"), ((F.col("s2") / F.col("n_windows") - mean * mean) / mean).alias("fano"))
 
 
-def count_dependence(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rank correlation (average ranks) and log-log slope of y on x within groups."""
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*by).orderBy(c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
+def count_dependence(rows: DataFrame, x: str, y: str, by: list[str], least: tuple[int, int] = (3, 5)) -> DataFrame:
+    """Rank correlation (average ranks) of all pairs without nulls, and log-log slope of y on x over the positive ones, within groups.
 
-    ranked = rows.filter((F.col(x) > 0) & (F.col(y) > 0)).withColumns({"rx": rank(x), "ry": rank(y), "lx": F.log(x), "ly": F.log(y)})
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rank_correlation"), F.regr_slope("ly", "lx").alias("slope"))
+    Null with fewer pairs than ``least``, of either kind.
+    """
+    pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranked = average_ranks(average_ranks(pairs, by, "_x", "_rx"), by, "_y", "_ry")
+    fine = (F.col("_x") > 0) & (F.col("_y") > 0)
+    n_fine = F.count(F.when(fine, 1))
+    made = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), n_fine.alias("n_positive"), F.corr("_rx", "_ry").alias("c"), F.regr_slope(F.when(fine, F.log("_y")), F.when(fine, F.log("_x"))).alias("s"))
+    return made.select(*by, "n", "n_positive", F.when(F.col("n") >= least[0], F.col("c")).alias("rank_correlation"), F.when(F.col("n_positive") >= least[1], F.col("s")).alias("slope"))
 
 
 def variant_stability(rows: DataFrame, keys: list[str], variant: str, value: str, a: str, b: str, tolerance: float) -> DataFrame:

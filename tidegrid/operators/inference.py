@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import hash_draw, rank_buckets, ratio
+from tidegrid.functions.frames import global_rank, hash_draw, rank_buckets, ratio
 
 
 def decile_sample(rows: DataFrame, value: str, keys: list[str], groups: int, per: int, seed: int) -> DataFrame:
@@ -88,28 +88,60 @@ def _index(seed: int, draw: Column, n: Column) -> Column:
     return F.pmod(h, n)
 
 
-#: Cumulative probabilities of a Poisson count of mean one; a uniform draw's count is how many it exceeds.
-POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+#: Units of a range whose draws are made one by one.
+LEAF = 4_096
 
 
-def _times(seed: int, *names: str) -> Column:
-    """How often a unit is drawn in a replicate: a Poisson count from a hash of both, so units need no numbers."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.concat_ws(",", *(F.col(c).cast("string") for c in names))).cast("binary")), 1, 12), 16, 10).cast("long")
-    u = h / float(1 << 48)
-    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p < u))
+def _split(seed: int, rep: int, leaf: int, total: int, leaves: int, size: int, known: dict) -> int:
+    """Draws that fall to a range of units in a replicate of ``total`` draws, by binomial splits from the whole down to it.
+
+    Each split's generator is keyed by seed, replicate and range, so that every task makes the same splits.
+    """
+    import numpy as np
+
+    lo, hi, n = 0, leaves, total
+    while hi - lo > 1 and n:
+        mid = (lo + hi) // 2
+        key = (rep, lo, hi)
+        if key not in known:
+            of = min(hi * size, total) - lo * size
+            known[key] = int(np.random.default_rng([seed, rep, lo, hi]).binomial(n, (mid - lo) * size / of))
+        left = known[key]
+        lo, hi, n = (lo, mid, left) if leaf < mid else (mid, hi, n - left)
+    return n
+
+
+def resample(units: DataFrame, reps: int, seed: int, size: int = LEAF) -> DataFrame:
+    """(rep, unit, times): every replicate draws as many units as there are, with replacement.
+
+    Units are numbered by ranges of their order. Binomial splits over ranges of ``size`` units give each
+    range its draws - together exactly as many as there are units - and hashes place these in the range.
+    """
+    import pandas as pd
+
+    numbered = global_rank(units.select("unit"), ["unit"]).withColumns({"leaf": F.floor((F.col("rank") - 1) / size).cast("long"), "i": (F.col("rank") - 1) % size})
+    leaves = numbered.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.max("total").alias("total")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+
+    def draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for f in frames:
+            n = [_split(seed, int(r), int(x), int(t), -(-int(t) // size), size, known) for r, x, t in zip(f["rep"], f["leaf"], f["total"], strict=True)]
+            yield f[["rep", "leaf", "size"]].assign(n=n)
+
+    each = leaves.mapInPandas(draws, "rep int, leaf long, size long, n long").filter("n > 0").select("rep", "leaf", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    drawn = each.select("rep", "leaf", _index(seed, F.concat_ws(",", "rep", "leaf", "j"), F.col("size")).alias("i"))
+    return drawn.groupBy("rep", "leaf", "i").agg(F.count(F.lit(1)).alias("times")).join(numbered.select("leaf", "i", "unit"), ["leaf", "i"]).select("rep", "unit", "times")
 
 
-def block_bootstrap_median(rows: DataFrame, value: str, unit: str, reps: int, seed: int) -> DataFrame:
-    """Interval of the median under resampling of whole units; one row: point, low, high.
+def block_bootstrap_median(rows: DataFrame, value: str, unit: str, reps: int, seed: int, size: int = LEAF) -> DataFrame:
+    """Interval of the median under resampling of whole units with replacement; one row: point, low, high.
 
-    Each unit is drawn a Poisson number of times in a replicate, by a hash of
-    both: no unit is numbered, joined or copied by draw. Equal values of a unit
-    are counted first; a replicate's rows are those of the units it draws.
+    Equal values of a unit are counted first; a replicate's rows are those of the units it draws.
     """
-    data = rows.filter(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count(F.lit(1)).alias("n"))
-    each = data.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("times", _times(seed, "rep", unit) * F.col("n")).filter("times > 0")
-    per = each.groupBy("rep").agg(F.percentile(value, F.lit(0.5), F.col("times")).alias("m"))
-    point = data.agg(F.percentile(value, F.lit(0.5), F.col("n")).alias("point"))
+    data = rows.filter(F.col(value).isNotNull()).groupBy(F.col(unit).alias("unit"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    each = resample(data.select("unit").distinct(), reps, seed, size).join(data, "unit").withColumn("times", F.col("times") * F.col("n"))
+    per = each.groupBy("rep").agg(F.percentile("v", F.lit(0.5), F.col("times")).alias("m"))
+    point = data.agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("point"))
     ends = per.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return point.join(F.broadcast(ends))
 

@@ -303,7 +303,7 @@ def _(v):
 @query("h20_count_dependence", RUNS + """
 , s AS (SELECT ticker, et_date, count(DISTINCT run) AS y, count(*) AS x FROM runs GROUP BY 1, 2),
 r AS (SELECT *, rank() OVER (PARTITION BY ticker ORDER BY x) + (count(*) OVER (PARTITION BY ticker, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY ticker ORDER BY y) + (count(*) OVER (PARTITION BY ticker, y) - 1) / 2 AS ry FROM s)
-SELECT ticker, count(*) AS n, corr(rx, ry) AS rank_correlation, regr_slope(ln(y), ln(x)) AS slope FROM r GROUP BY 1
+SELECT ticker, count(*) AS n, count(*) FILTER (WHERE x > 0 AND y > 0) AS n_positive, CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rank_correlation, CASE WHEN count(*) FILTER (WHERE x > 0 AND y > 0) >= 5 THEN regr_slope(ln(y), ln(x)) END AS slope FROM r GROUP BY 1
 """)
 def _(v):
     rows = runs(v).groupBy(*DAY).agg(F.countDistinct("run").alias("y"), F.count(F.lit(1)).alias("x"))
@@ -428,11 +428,11 @@ def _(v):
 
 
 def boot(name, unit, seed):
-    """Bounds under Poisson numbers of draws by unit."""
-    times = " + ".join(f"(u > {p!r})::INT" for p in i.POISSON)
+    """Bounds under as many draws of units as there are; the fixture's units make one range."""
     return f"""
-, {name}u AS (SELECT markout, {unit} AS unit, rep, ('0x' || substr(md5('{seed}|' || rep || ',' || {unit}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM marks CROSS JOIN (SELECT unnest(range(50)) AS rep) WHERE markout IS NOT NULL),
-{name}x AS (SELECT rep, markout, unnest(range({times})) FROM {name}u), {name}p AS (SELECT rep, quantile_cont(markout, 0.5) AS m FROM {name}x GROUP BY 1),
+, {name}n AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS t FROM (SELECT DISTINCT {unit} AS unit FROM marks WHERE markout IS NOT NULL)),
+{name}d AS (SELECT rep, ('0x' || substr(md5('{seed}|' || rep || ',0,' || j), 1, 12))::BIGINT % t AS i FROM (SELECT rep, t, unnest(range(t)) AS j FROM (SELECT DISTINCT t FROM {name}n) CROSS JOIN (SELECT unnest(range(50)) AS rep))),
+{name}p AS (SELECT rep, quantile_cont(markout, 0.5) AS m FROM {name}d JOIN {name}n n USING (i) JOIN marks ON {unit} = n.unit AND markout IS NOT NULL GROUP BY 1),
 {name} AS (SELECT (SELECT quantile_cont(markout, 0.5) FROM marks) AS point, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM {name}p)
 """
 

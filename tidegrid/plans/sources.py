@@ -39,7 +39,19 @@ def _(v):
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count("l_tax").alias("n_tax"), F.sum("l_linenumber").alias("lines")).withColumn("line_type", F.lit(schema["l_linenumber"].dataType.simpleString()))
 
 
-@query("a4_read_skip_unreadable", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, 1::BIGINT AS n_unreadable FROM orders GROUP BY 1")
+@query("a3_read_drifted", """
+SELECT l_returnflag, count(*) AS n, count(CASE WHEN l_orderkey % 3 <> 1 THEN l_tax END) AS n_tax, sum(l_linenumber)::DOUBLE AS lines, 3::BIGINT AS n_schemas FROM lineitem GROUP BY 1
+""")
+def _(v):
+    path, rows = scratch(v.spark, "drift"), v.table("lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_returnflag")
+    for i, part in enumerate((rows, rows.drop("l_tax"), rows.withColumn("l_linenumber", F.col("l_linenumber").cast("double")))):
+        part.filter(F.pmod("l_orderkey", F.lit(3)) == i).write.parquet(f"{path}/{i}")
+    made = a.read_drifted(v.spark, path, {"l_linenumber": "double"}).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count("l_tax").alias("n_tax"), F.sum("l_linenumber").alias("lines"))
+    kinds = a.file_states(v.spark, path).filter("state = 'rows'").agg(F.countDistinct(F.to_json("columns")).alias("n_schemas"))
+    return made.join(F.broadcast(kinds))
+
+
+@query("a4_read_skip_unreadable", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, 1::BIGINT AS n_unreadable, 1::BIGINT AS n_empty FROM orders GROUP BY 1")
 def _(v):
     from pyarrow import fs
 
@@ -48,9 +60,11 @@ def _(v):
     store, inner = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
     with store.open_output_stream(f"{inner}/broken.parquet") as out:
         out.write(b"not parquet")
+    v.table("orders").select("o_orderkey", "o_orderstatus").filter("o_orderkey IS NULL").coalesce(1).write.mode("append").parquet(path)
     rows, bad = a.read_skip_unreadable(v.spark, path, v.spark.createDataFrame([], "o_orderkey long, o_orderstatus string").schema)
     made = rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
-    return made.join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("n_unreadable"))))
+    empty = a.file_states(v.spark, path).agg(F.count(F.when(F.col("state") == "empty", 1)).alias("n_empty"))
+    return made.join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("n_unreadable")))).join(F.broadcast(empty))
 
 
 @query("a5_read_json_reference", """

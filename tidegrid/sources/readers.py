@@ -53,12 +53,105 @@ def align_union(frames: list[DataFrame], overrides: dict[str, str] | None = None
     return out
 
 
+#: Schemes whose files tasks open themselves, for their last bytes alone; those of other stores come through Spark whole.
+OPENED = ("file", "hdfs", "s3", "gs")
+
+
+def _footer_rows(files, opened: bool):
+    """(file, n_rows, state, names, types) of files by their Parquet footers: ``files`` yields (path, footer's bytes or None)."""
+    import io
+
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    for path, length, raw in files:
+        name = path.rsplit("/", 1)[-1]
+        try:
+            if opened:
+                store, inner = pafs.FileSystem.from_uri(path)
+                with store.open_input_file(inner) as file:
+                    meta = pq.ParquetFile(file).metadata
+            else:
+                footer = b"" if raw is None else bytes(raw)
+                meta = pq.ParquetFile(io.BytesIO(b"PAR1" + footer + len(footer).to_bytes(4, "little") + b"PAR1")).metadata
+            schema = meta.schema.to_arrow_schema()
+            types = [from_arrow_type(t).simpleString() for t in schema.types]
+        except (pa.ArrowException, OSError, TypeError, ValueError, NotImplementedError):
+            yield name, length, None, "unreadable", [], []
+        else:
+            yield name, length, meta.num_rows, "rows" if meta.num_rows else "empty", schema.names, types
+
+
+def file_states(spark: SparkSession, path: str) -> DataFrame:
+    """A2, A4: (file, length, n_rows, state, columns) of every Parquet file below a path: rows, empty or unreadable, and its columns' types.
+
+    Footers are read in tasks, none on the driver. Stores that tasks can't open themselves give whole files to Spark, which cuts the footers off.
+    """
+    import pandas as pd
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    one = listed.select("path").head()
+    opened = one is None or one.path.split(":", 1)[0] in OPENED
+    if opened:
+        files = listed.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length", F.lit(None).cast("binary").alias("footer"))
+    else:
+        size = F.conv(F.hex(F.reverse(F.substring("content", -8, 4))), 16, 10).cast("long")
+        files = listed.withColumn("size", size).select("path", "length", F.expr("CASE WHEN length > 12 AND size < length - 8 THEN substring(content, CAST(length - 7 - size AS INT), CAST(size AS INT)) END").alias("footer"))
+
+    def rows(frames):
+        for f in frames:
+            made = list(_footer_rows(zip(f["path"], f["length"], f["footer"], strict=True), opened))
+            yield pd.DataFrame(made, columns=["file", "length", "n_rows", "state", "names", "types"]).astype({"n_rows": "Int64"})
+
+    found = files.repartition("path").mapInPandas(rows, "file string, length long, n_rows long, state string, names array<string>, types array<string>")
+    columns = F.zip_with("names", "types", lambda n, t: F.struct(n.alias("name"), t.alias("type")))
+    return found.select("file", "length", "n_rows", "state", columns.alias("columns"))
+
+
+def column_types(states: DataFrame) -> DataFrame:
+    """A2: (column, type, n_files) over the readable files of ``file_states``."""
+    each = states.filter("state <> 'unreadable'").select(F.explode("columns").alias("c"))
+    return each.groupBy(F.col("c.name").alias("column"), F.col("c.type").alias("type")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def schema_of_files(spark: SparkSession, path: str, overrides: dict[str, str] | None = None, exclude: tuple[str, ...] = ()) -> T.StructType:
+    """A2: one schema over the files below a path, columns by name; types that differ need an override, or this raises.
+
+    Only the distinct (column, type) pairs come to the driver.
+    """
+    found = column_types(file_states(spark, path)).orderBy("column", "type").collect()
+    return union_schema({f"{r.column}:{r.type}": T.StructType([T.StructField(r.column, T._parse_datatype_string(r.type))]) for r in found}, overrides, exclude)
+
+
+def read_drifted(spark: SparkSession, path: str, overrides: dict[str, str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """A3 from files: the rows of all readable files below a path, cast to their one schema; files of equal schemas are read together."""
+    schema = schema_of_files(spark, path, overrides, exclude)
+    kind = F.concat_ws("|", F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"])))
+    states = file_states(spark, path).filter("state = 'rows'").select(F.col("file").alias("_file"), "columns", kind.alias("kind"))
+    out = spark.createDataFrame([], schema)
+    for found in states.groupBy("kind").agg(F.first("columns").alias("columns")).orderBy("kind").collect():  # a row a schema
+        own = T.StructType([T.StructField(c.name, T._parse_datatype_string(c.type)) for c in found.columns])
+        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", True).schema(own).parquet(path).withColumn("_file", F.col("_metadata.file_name"))
+        wanted = F.broadcast(states.filter(F.col("kind") == found.kind).select("_file"))
+        out = out.unionByName(align(rows.join(wanted, "_file", "left_semi"), schema))
+    return out
+
+
 def read_skip_unreadable(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """A4: (rows of the readable files, names of files that gave none)."""
-    rows = spark.read.option("ignoreCorruptFiles", True).schema(schema).parquet(path)
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"))
-    read = rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0).alias("file")).distinct()
-    return rows, listed.join(read, "file", "left_anti")
+    """A4: (rows of the files that can be read whole, file and state of the others).
+
+    A file is unreadable without a footer, and ``partial`` if fewer rows come out of it
+    than its footer says (all columns are decoded); neither gives rows. A valid empty file is no fault, and Spark doesn't list files without bytes.
+    """
+    read = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").schema(schema).parquet(path)
+    named = read.withColumn("_file", F.col("_metadata.file_name"))
+    decoded = named.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("n_read"), F.bit_xor(F.xxhash64(*(F.col(c) for c in schema.names))).alias("digest"))
+    met = file_states(spark, path).join(decoded, "file", "left")
+    state = F.when(F.col("state") == "unreadable", "unreadable").when((F.col("n_rows") > 0) & (F.col("digest").isNull() | (F.col("n_read") < F.col("n_rows"))), "partial")
+    bad = met.select("file", state.alias("state")).filter("state IS NOT NULL")
+    return named.join(F.broadcast(bad.select(F.col("file").alias("_file"))), "_file", "left_anti").drop("_file"), bad
 
 
 def flatten(schema: T.StructType, prefix: str = "") -> list[Column]:
