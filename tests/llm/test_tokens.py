@@ -206,6 +206,34 @@ def test_lines_get_the_tokens_of_the_whole_encoding(docs, texts):
         assert {(r.section, r.n_tokens, r.n_crossing) for r in got[i]} == {(r.section, n[r.section], crossing[r.section]) for r in got[i]} and sum(r.n_tokens for r in got[i]) == sum(n.values())
 
 
+def test_texts_of_line_ends_come_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(token_spans, "ROWS_AT_ONCE", 1000)
+    monkeypatch.setattr(token_spans, "AT_ONCE", 100)
+    long = "\n" * 30_000 + "a few words\n" * 500
+    rows = spark.createDataFrame([(1, long), (None, "x\ny"), (2, long)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in token_spans.by_lines(rows.coalesce(1), BYTE).collect():
+        got[r.doc_id].append(r)
+    assert [len(got[i]) for i in (1, None, 2)] == [30_500, 2, 30_500]
+    assert [tuple(r)[1:] for r in got[1]] == [tuple(r)[1:] for r in got[2]] and [r.section for r in got[1]] == list(range(30_500))
+    assert sum(r.n_tokens for r in got[1]) == len(whole(BYTE)(long))
+
+
+def test_shares_of_many_sections():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 9, 500)
+    starts = np.concatenate([[0], np.sort(rng.choice(np.arange(1, sizes.sum()), 600, replace=False))])
+    n, crossing = token_spans.attribute(sizes, starts)
+    want, crossed, at = Counter(), Counter(), 0
+    for size in sizes.tolist():
+        shares = Counter(int(np.searchsorted(starts, b, "right")) - 1 for b in range(at, at + size))
+        owner = min(shares, key=lambda s: (-shares[s], s))
+        want[owner] += 1
+        crossed[owner] += len(shares) > 1
+        at += size
+    assert n.tolist() == [want[i] for i in range(len(starts))] and crossing.tolist() == [crossed[i] for i in range(len(starts))]
+
+
 def test_boundary_rule():
     n, crossing = token_spans.attribute(np.array([2, 4, 3, 2]), np.array([0, 3, 7]))
     # bytes 2-5 cross into the second section with 3 of 4 bytes; bytes 6-8 into the third with 2 of 3

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.chunks import batches_of, json_bpe
 
+#: Tokens that cross boundaries, and rows of sections, in hand at a time.
+AT_ONCE, ROWS_AT_ONCE = 100_000, 200_000
 ROWS = "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long"
 
 
@@ -47,9 +49,16 @@ def attribute(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     last = np.searchsorted(starts, ends - 1, "right") - 1
     owner = first.copy()
     crossing = np.flatnonzero(first != last)
-    for t in crossing.tolist():
-        edges = np.clip(np.append(starts[first[t] : last[t] + 1], ends[t]), begins[t], ends[t])
-        owner[t] = first[t] + int(np.argmax(np.diff(edges)))  # the first of the largest shares
+    upto = np.append(starts[1:], np.iinfo(np.int64).max)
+    for lo in range(0, len(crossing), AT_ONCE):
+        t = crossing[lo : lo + AT_ONCE]
+        n = last[t] - first[t] + 1
+        edge = np.cumsum(n) - n
+        section = np.repeat(first[t] - edge, n) + np.arange(n.sum())
+        share = np.minimum(upto[section], np.repeat(ends[t], n)) - np.maximum(starts[section], np.repeat(begins[t], n))
+        best = np.flatnonzero(share == np.repeat(np.maximum.reduceat(share, edge), n))
+        of = np.repeat(np.arange(len(t)), n)[best]
+        owner[t] = section[best[np.concatenate([[True], of[1:] != of[:-1]])]]  # the first of the largest shares
     return np.bincount(owner, minlength=len(starts)), np.bincount(owner[crossing], minlength=len(starts))
 
 
@@ -70,20 +79,35 @@ def char_places(raw: bytes, places: np.ndarray) -> np.ndarray:
 def _count(docs: DataFrame, vocabulary: str, starts_of) -> DataFrame:
     """``docs`` has doc_id, text and lengths (of its fields, or null)."""
 
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def packed(held: list[list[np.ndarray]], ids: list[tuple[int | None, int]]) -> Iterator[pa.RecordBatch]:
+        """Held rows in batches of bounded size; ``ids``: a document's id and number of rows."""
+        owner = np.repeat(np.arange(len(ids)), [n for _, n in ids])
+        known, columns = pa.array([i for i, _ in ids], pa.int64()), [np.concatenate(c) for c in zip(*held, strict=True)]
+        for lo in range(0, len(owner), ROWS_AT_ONCE):
+            part = slice(lo, lo + ROWS_AT_ONCE)
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(owner[part])), *(pa.array(c[part], pa.int64()) for c in columns)], names)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, size_of = json_bpe(vocabulary), _sizes(vocabulary)
         for batch in batches:
             ids, texts, fields = (batch.column(i).to_pylist() for i in range(3))
             for lo, hi in batches_of(texts, [len(t or "") for t in texts]):
-                out: list[list] = [[] for _ in range(6)]
+                held, counts, size = [], [], 0
                 for doc_id, text, parts, tokens in zip(ids[lo:hi], texts[lo:hi], fields[lo:hi], bpe.texts(texts[lo:hi]), strict=True):
                     raw = (text or "").encode()
                     starts = starts_of(raw, parts)
                     n, crossing = attribute(size_of[np.frombuffer(tokens, bpe.dtype)], starts)
                     places = char_places(raw, np.append(starts, len(raw)))
-                    for column, values in zip(out, ([doc_id] * len(n), range(len(n)), places[:-1], places[1:], n, crossing), strict=True):
-                        column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [c.split()[0] for c in ROWS.split(", ")])
+                    held.append([np.arange(len(n)), places[:-1], places[1:], n, crossing])
+                    counts.append((doc_id, len(n)))
+                    size += len(n)
+                    if size >= ROWS_AT_ONCE:
+                        yield from packed(held, counts)
+                        held, counts, size = [], [], 0
+                if held:
+                    yield from packed(held, counts)
 
     return docs.select("doc_id", "text", "parts").mapInArrow(rows, ROWS)
 
