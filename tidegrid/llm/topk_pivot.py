@@ -108,7 +108,7 @@ class PivotTable:
             step = order[at : at + STEP]
             places = np.concatenate([places, step])
             scores = np.concatenate([scores, self._scores(step, query)])
-            best = np.lexsort((places, -scores))[:k]
+            best = np.lexsort((places, ~scores))[:k]  # -scores would overflow at the least score
             places, scores = places[best], scores[best]
             if len(places) == k:
                 kth = max(kth, float(scores[-1]))
