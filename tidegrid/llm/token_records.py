@@ -11,9 +11,8 @@ Shards hold ascending ranges of doc_id. Each task writes its shard under an
 attempt's name and renames it, so retries and lost executors leave whole files.
 
 Defined results: a null text is empty (its record holds the end id alone);
-null ids sort first; rows with equal ids are each kept, ordered by the first BEGIN
-characters of their texts and within a shard by whole texts; an
-empty table gives no shards and no rows; other columns are ignored.
+null ids sort first; rows with equal ids are each kept, ordered by the hashes
+of their texts, whatever the number of shards; an empty table gives no shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +35,6 @@ from tidegrid.llm.shared import AtomicFile, open_filesystem, shared_dir, written
 HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
 FRAME = 8 + 4 + 4
-BEGIN = 32
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -124,9 +122,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
         )
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # many rows of one id, or without ids, are cut by how their texts begin, and equal ones by number
-    ordered = ordered.withColumn("begin", F.substring("text", 1, BEGIN)).withColumn("number", F.monotonically_increasing_id())
-    ordered = ordered.repartitionByRange("doc_id", "begin", "number").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    # rows of one id, or without ids, go by their texts' hashes, inside shards and across, and are cut there; equal ones by number
+    ordered = ordered.withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange("doc_id", "hash", "number").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(shards, MANIFEST), "token-manifest")
 
 
