@@ -120,6 +120,15 @@ def test_order_flow_of_valid_quotes(spark):
     assert quotes.ofi(book, ["k"], least=5).count() == 0
 
 
+def test_spells_by_state(spark):
+    rows = [("a", t, t, *r) for t, r in enumerate([(1.0, 2.0, 1, 1), (2.0, 2.0, 1, 0), (2.0, 2.0, 1, None), (3.0, 2.0, 1, 1), (None, 2.0, 1, 1), (None, None, 0, 1), (1.0, 2.0, 0, 1)])]
+    book = quotes.quote_states(spark.createDataFrame(rows, "k string, ts_ns long, seq long, bid double, ask double, bid_size long, ask_size long")).withColumn("duration_ns", F.lit(10))
+    got = {r.state: (r.n, r.longest, r.total, r.p50) for r in quotes.state_runs(book, ["k"]).collect()}
+    assert got == {"crossed": (1, 10, 10, 10.0), "locked": (1, 20, 20, 20.0), "null_price": (1, 20, 20, 20.0), "one_sided": (1, 10, 10, 10.0), "zero_bid": (1, 20, 20, 20.0), "zero_ask": (1, 20, 20, 20.0), "hard": (1, 30, 30, 30.0), "degraded": (2, 20, 30, 15.0)}
+    r = quotes.state_census(book, ["k"]).first()
+    assert (r.hard_time, r.degraded_time, r.clean_time) == pytest.approx((3 / 7, 3 / 7, 1 / 7)) and r.zero_bid_rows == pytest.approx(2 / 7)
+
+
 def test_places_against_the_quote_overlap(spark):
     book = quotes.quote_states(spark.createDataFrame([("a", 10, 1, 1.0, 2.0, 1, 1), ("a", 20, 2, 3.0, 2.0, 1, 1)], "k string, ts_ns long, seq long, bid double, ask double, bid_size long, ask_size long"))
     trades = spark.createDataFrame([("a", t, i, p) for i, (t, p) in enumerate([(5, 1.0), (10, 1.0), (11, 2.0 + 1e-12), (12, 1.5), (13, 0.5), (14, 2.5), (25, 2.0)])], "k string, ts_ns long, seq long, price double")

@@ -11,30 +11,44 @@ from tidegrid.operators.calendar import segment_of
 SEGMENTS = ("premarket", "rth", "post")
 
 
-def _placed(trades: DataFrame, spine: DataFrame) -> DataFrame:
-    """Trades on the sessions of every event that expects them, with their segment."""
-    rows = trades.join(spine, (trades["ticker"] == spine["ticker"]) & (trades["et_date"] == spine["session_date"])).drop(trades["ticker"])
-    return rows.withColumn("segment", segment_of(F.col("et_min"), F.col("pre_min"), F.col("open_min"), F.col("close_min"), F.col("post_min")))
+def built_bars(trades: DataFrame, spine: DataFrame, keys: list[str], distinct: dict[str, list[str]] | None = None) -> DataFrame:
+    """D1, D2 and D4 in one pass: bars of every minute with a print of the sessions that events expect, inside their segments or not.
 
-
-def minute_bars(trades: DataFrame, spine: DataFrame, keys: list[str]) -> DataFrame:
-    """One pass: bars by event, offset, segment and minute, of minutes with a print."""
+    Trades become rows a (ticker, date, minute) before they meet the sessions of up to seven
+    events, so that minutes are multiplied, not ticks. ``distinct`` maps names to columns whose
+    distinct values each bar keeps a mergeable sketch of.
+    """
     order = F.struct("ts_ns", "seq")
-    inside = _placed(trades, spine).filter(F.col("segment").isin(*SEGMENTS))
-    made = inside.groupBy(*keys, "session_offset", "segment", (F.col("et_min") - F.col("pre_min")).alias("minute_index")).agg(
+    made = trades.groupBy(F.col("ticker").alias("_ticker"), F.col("et_date").alias("_date"), "et_min").agg(
         F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("notional"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("last_price"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"),
+        *(F.hll_sketch_agg(F.xxhash64(*cols)).alias(n) for n, cols in (distinct or {}).items()),
     )
-    return made.withColumn("vwap", ratio(F.col("notional"), F.col("volume")))
+    rows = made.join(spine, (F.col("_ticker") == spine["ticker"]) & (F.col("_date") == spine["session_date"]))
+    rows = rows.withColumn("segment", segment_of(F.col("et_min"), F.col("pre_min"), F.col("open_min"), F.col("close_min"), F.col("post_min")))
+    own = ["n_trades", "volume", "notional", "high", "low", "first_price", "last_price", "first_ts", "last_ts"]
+    return rows.select(*keys, "session_offset", "segment", (F.col("et_min") - F.col("pre_min")).alias("minute_index"), *own, ratio(F.col("notional"), F.col("volume")).alias("vwap"), *(distinct or {}))
+
+
+def minute_bars(trades: DataFrame, spine: DataFrame, keys: list[str]) -> DataFrame:
+    """Bars by event, offset, segment and minute, of minutes with a print."""
+    return built_bars(trades, spine, keys).filter(F.col("segment").isin(*SEGMENTS))
 
 
-def excluded_share(trades: DataFrame, spine: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows inside and outside the segments, and the outside share."""
+def excluded_share(built: DataFrame, keys: list[str]) -> DataFrame:
+    """From ``built_bars``, rows inside and outside the segments, and the outside share."""
     inside = F.col("segment").isin(*SEGMENTS)
-    made = _placed(trades, spine).groupBy(*keys).agg(F.count(F.when(inside, 1)).alias("n_inside"), F.count(F.when(~inside, 1)).alias("n_outside"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_trades"))), F.lit(0))
+    made = built.groupBy(*keys).agg(n(inside).alias("n_inside"), n(~inside).alias("n_outside"))
     return made.withColumn("outside_share", F.col("n_outside") / (F.col("n_inside") + F.col("n_outside")))
 
 
+def dup_prints_of_bars(built: DataFrame, by: list[str], strict: str = "strict", loose: str = "loose") -> DataFrame:
+    """D4 from the sketches of ``built_bars``, however many builds they come from: rows less approximate distinct keys, not under 0."""
+    beyond = lambda c: F.greatest(F.lit(0), F.sum("n_trades") - F.hll_sketch_estimate(F.hll_union_agg(c)))
+    return built.groupBy(*by).agg(F.sum("n_trades").alias("n"), beyond(strict).alias("dup_strict"), beyond(loose).alias("dup_loose"))
+
+
 def verify_bars(bars: DataFrame, keys: list[str], last_minute: int = 960) -> DataFrame:
     """D3: one row: duplicate keys, minutes out of range, unknown labels (all 0 for sound bars)."""
     one = bars.groupBy(*keys, "session_offset", "minute_index").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("segment"))

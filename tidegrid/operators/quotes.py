@@ -16,6 +16,7 @@ def states() -> dict[str, Column]:
     return {
         "is_crossed": bid > ask, "is_locked": bid == ask, "is_null_price": bid.isNull() | ask.isNull(), "is_nonpositive": (bid <= 0) | (ask <= 0),
         "is_one_sided": bid.isNull() != ask.isNull(), "is_zero_size": (F.col("bid_size") == 0) | (F.col("ask_size") == 0),
+        "is_zero_bid": F.col("bid_size").isNull() | (F.col("bid_size") == 0), "is_zero_ask": F.col("ask_size").isNull() | (F.col("ask_size") == 0),
     }
 
 
@@ -23,7 +24,7 @@ def quote_states(quotes: DataFrame) -> DataFrame:
     """every state, hard (unusable) and degraded (usable with care)."""
     rows = quotes.withColumns(states())
     some = lambda *cs: F.coalesce(*(F.when(F.col(c), True) for c in cs), F.lit(False))
-    return rows.withColumns({"is_hard": some("is_crossed", "is_null_price", "is_nonpositive"), "is_degraded": some("is_locked", "is_zero_size", "is_one_sided")})
+    return rows.withColumns({"is_hard": some("is_crossed", "is_null_price", "is_nonpositive"), "is_degraded": some("is_locked", "is_zero_bid", "is_zero_ask", "is_one_sided")})
 
 
 def quote_durations(quotes: DataFrame, keys: list[str], end: str = "segment_end_ns") -> DataFrame:
@@ -62,25 +63,35 @@ def quote_minute_metrics(quotes: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-STATES = ("is_crossed", "is_locked", "is_nonpositive", "is_zero_size")
+STATES = ("is_crossed", "is_locked", "is_null_price", "is_nonpositive", "is_one_sided", "is_zero_bid", "is_zero_ask")
 
 
-def state_census(quotes: DataFrame, by: list[str]) -> DataFrame:
-    """share of rows and of time in each state, and the time in each two states at once."""
-    time = F.sum("duration_ns")
-    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("duration_ns"))), F.lit(0))
-    shares = [x for s in STATES for x in ((F.count(F.when(F.col(s), 1)) / F.count(F.lit(1))).alias(f"{s}_rows"), ratio(of(F.col(s)), time).alias(f"{s}_time"))]
-    pairs = [ratio(of(F.col(s) & F.col(t)), time).alias(f"{s[3:]}_and_{t[3:]}_time") for s, t in itertools.combinations(STATES, 2)]
-    return quotes.groupBy(*by).agg(*shares, *pairs)
+def unions() -> dict[str, Column]:
+    """every quote is hard (unusable), degraded or clean."""
+    return {"hard": F.col("is_hard"), "degraded": ~F.col("is_hard") & F.col("is_degraded"), "clean": ~F.col("is_hard") & ~F.col("is_degraded")}
 
 
-def state_runs(quotes: DataFrame, keys: list[str], state: str) -> DataFrame:
-    """spells in a state: count, longest, median, 95th percentile and total time."""
-    w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
-    flag = F.coalesce(F.col(state), F.lit(False))
-    runs = islands(quotes.withColumn("flag", flag), keys, ["ts_ns", "seq"], F.coalesce(flag != F.lag(flag).over(w), F.lit(True)))
-    spells = runs.filter("flag").groupBy(*keys, "run").agg(F.sum("duration_ns").alias("ns"))
-    return spells.agg(F.count(F.lit(1)).alias("n"), F.max("ns").alias("longest"), *quantiles("ns", (0.5, 0.95), ("p50", "p95")), F.sum("ns").alias("total"))
+def state_census(quotes: DataFrame, by: list[str]) -> DataFrame:
+    """share of rows and of time in each state and each union of them, and the time in each two states at once."""
+    time = F.sum("duration_ns")
+    of = lambda c: ratio(F.coalesce(F.sum(F.when(c, F.col("duration_ns"))), F.lit(0)), time)
+    rows = lambda c: F.count(F.when(c, 1)) / F.count(F.lit(1))
+    flags = {**unions(), **{s[3:]: F.col(s) for s in STATES}}
+    shares = [x for n, c in flags.items() for x in (rows(c).alias(f"{n}_rows"), of(c).alias(f"{n}_time"))]
+    pairs = [of(F.col(s) & F.col(t)).alias(f"{s[3:]}_and_{t[3:]}_time") for s, t in itertools.combinations(STATES, 2)]
+    return quotes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_quotes"), time.alias("duration_ns"), *shares, *pairs)
+
+
+def state_runs(quotes: DataFrame, keys: list[str]) -> DataFrame:
+    """spells of neighbouring quotes in each state, and in the hard and the degraded union, by event and segment: number, longest, median, 95th percentile and total time."""
+    flags = {**{s[3:]: F.col(s) for s in STATES}, **{n: c for n, c in unions().items() if n != "clean"}}
+    listed = F.array(*(F.struct(F.lit(n).alias("state"), F.coalesce(c, F.lit(False)).alias("flag")) for n, c in flags.items()))
+    rows = quotes.select(*keys, "ts_ns", "seq", "duration_ns", F.inline(listed))
+    own = [*keys, "state"]
+    before = F.lag("flag").over(Window.partitionBy(*own).orderBy("ts_ns", "seq"))
+    runs = islands(rows, own, ["ts_ns", "seq"], F.coalesce(F.col("flag") != before, F.lit(True)))
+    spells = runs.filter("flag").groupBy(*own, "run").agg(F.sum("duration_ns").alias("ns"))
+    return describe(spells, own, {"ns": ((0.5, 0.95), ("p50", "p95"))}, n=F.count(F.lit(1)), longest=F.max("ns"), total=F.sum("ns"))
 
 
 def book_runs(quotes: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def _(v):
 SELECT ticker, event_date, n_inside, n - n_inside AS n_outside, (n - n_inside) / n AS outside_share FROM n
 """)
 def _(v):
-    return d.excluded_share(v.trades, v.spine, KEYS)
+    return d.excluded_share(d.built_bars(v.trades, v.spine, KEYS), KEYS)
 
 
 @query("d3_verify_bars", """
@@ -57,6 +57,12 @@ def _(v):
     return d.dup_prints_approx(v.trades, ["ticker"], STRICT, ["ticker", "day", "et_min"])
 
 
+@query("d4_dup_prints_of_bars")
+def _(v):
+    built = d.built_bars(v.trades, v.spine.filter("session_offset = 0"), KEYS, {"strict": STRICT, "loose": ["ticker", "day", "et_min"]})
+    return d.dup_prints_of_bars(built, ["ticker"])
+
+
 @query("d5_dup_prints_exact", """
 SELECT ticker, count(*) AS n, count(*) - count(DISTINCT (day, size, et_min)) AS dup_strict, count(*) - count(DISTINCT (day, et_min)) AS dup_loose FROM trades GROUP BY 1
 """)

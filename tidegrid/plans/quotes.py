@@ -24,7 +24,8 @@ qe AS (SELECT *, (epoch_us(et_date::TIMESTAMP) + (CASE segment WHEN 'premarket'
 qd AS (SELECT *, greatest(0, least(coalesce(lead(ts_ns) OVER w, segment_end_ns), segment_end_ns) - ts_ns) AS duration_ns, (bid + ask) / 2 AS mid, ask - bid AS spread,
   NOT (bid IS NOT DISTINCT FROM lag(bid) OVER w AND ask IS NOT DISTINCT FROM lag(ask) OVER w) AS is_change,
   bid > ask AS is_crossed, bid = ask AS is_locked, bid <= 0 OR ask <= 0 AS is_nonpositive, bid_size = 0 OR ask_size = 0 AS is_zero_size,
-  coalesce(bid > ask OR bid IS NULL OR ask IS NULL OR bid <= 0 OR ask <= 0, false) AS is_hard
+  bid IS NULL OR ask IS NULL AS is_null_price, (bid IS NULL) <> (ask IS NULL) AS is_one_sided, coalesce(bid_size = 0, true) AS is_zero_bid, coalesce(ask_size = 0, true) AS is_zero_ask,
+  coalesce(bid > ask OR bid IS NULL OR ask IS NULL OR bid <= 0 OR ask <= 0, false) AS is_hard, coalesce(bid = ask OR coalesce(bid_size = 0, true) OR coalesce(ask_size = 0, true), false) AS is_degraded
   FROM qe WINDOW w AS (PARTITION BY ticker, et_date, segment ORDER BY ts_ns, seq))
 """
 def metrics_sql(name, grain):
@@ -117,19 +118,24 @@ def _(v):
     return q.quote_minute_metrics(minutes(book(v)), MINUTE)
 
 
-@query("f5_state_census", LABEL + "SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE {s}) / count(*) AS {s}_rows, coalesce(sum(duration_ns) FILTER (WHERE {s}), 0) / nullif(sum(duration_ns), 0) AS {s}_time" for s in q.STATES) + "".join(f", coalesce(sum(duration_ns) FILTER (WHERE {s} AND {t}), 0) / nullif(sum(duration_ns), 0) AS {s[3:]}_and_{t[3:]}_time" for s, t in itertools.combinations(q.STATES, 2)) + " FROM qd GROUP BY 1")
+#: States and unions as conditions on qd.
+FLAGS = {"hard": "is_hard", "degraded": "(NOT is_hard AND is_degraded)", "clean": "(NOT is_hard AND NOT is_degraded)"} | {s[3:]: s for s in q.STATES}
+
+
+@query("f5_state_census", LABEL + "SELECT ticker, count(*) AS n_quotes, sum(duration_ns)::BIGINT AS duration_ns, " + ", ".join(f"count(*) FILTER (WHERE {c}) / count(*) AS {s}_rows, coalesce(sum(duration_ns) FILTER (WHERE {c}), 0) / nullif(sum(duration_ns), 0) AS {s}_time" for s, c in FLAGS.items()) + "".join(f", coalesce(sum(duration_ns) FILTER (WHERE {s} AND {t}), 0) / nullif(sum(duration_ns), 0) AS {s[3:]}_and_{t[3:]}_time" for s, t in itertools.combinations(q.STATES, 2)) + " FROM qd GROUP BY 1")
 def _(v):
     return q.state_census(book(v), ["ticker"])
 
 
 @query("f6_state_runs", LABEL + """
-, c AS (SELECT *, CASE WHEN is_zero_size IS DISTINCT FROM lag(is_zero_size) OVER w THEN 1 ELSE 0 END AS ch FROM qd WINDOW w AS (PARTITION BY ticker, et_date, segment ORDER BY ts_ns, seq)),
-r AS (SELECT *, sum(ch) OVER (PARTITION BY ticker, et_date, segment ORDER BY ts_ns, seq) AS run FROM c),
-s AS (SELECT sum(duration_ns)::BIGINT AS ns FROM r WHERE is_zero_size GROUP BY ticker, et_date, segment, run)
-SELECT count(*) AS n, max(ns) AS longest, quantile_cont(ns::DOUBLE, 0.5) AS p50, quantile_cont(ns::DOUBLE, 0.95) AS p95, sum(ns)::BIGINT AS total FROM s
+, fl AS (""" + " UNION ALL ".join(f"SELECT ticker, et_date, segment, ts_ns, seq, duration_ns, '{s}' AS state, coalesce({c}, false) AS flag FROM qd" for s, c in FLAGS.items() if s != "clean") + """),
+c AS (SELECT *, CASE WHEN flag IS DISTINCT FROM lag(flag) OVER w THEN 1 ELSE 0 END AS ch FROM fl WINDOW w AS (PARTITION BY ticker, et_date, segment, state ORDER BY ts_ns, seq)),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY ticker, et_date, segment, state ORDER BY ts_ns, seq) AS run FROM c),
+s AS (SELECT ticker, et_date, segment, state, sum(duration_ns)::BIGINT AS ns FROM r WHERE flag GROUP BY ticker, et_date, segment, state, run)
+SELECT ticker, et_date, segment, state, count(*) AS n, max(ns) AS longest, floor(quantile_cont(ns::DOUBLE, 0.5) / 1e6)::BIGINT AS p50, floor(quantile_cont(ns::DOUBLE, 0.95) / 1e6)::BIGINT AS p95, sum(ns)::BIGINT AS total FROM s GROUP BY 1, 2, 3, 4
 """)
 def _(v):
-    return q.state_runs(book(v), SEG, "is_zero_size")
+    return millis(q.state_runs(book(v), SEG), "p50", "p95")
 
 
 @query("f7_book_runs", LABEL + """
