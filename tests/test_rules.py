@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.operators import bars, bursts, calendar, features, quotes, returns, spine
+from tidegrid.operators import bars, bursts, calendar, features, inference, quotes, rates, returns, spine
 
 D = dt.date
 NS = 10**9
@@ -337,6 +337,21 @@ def test_bursts_on_a_grid_equal_a_loop(spark, grid_s):
     assert len(want["dense"]) == 1 and want["two"]
 
 
+def test_rates_at_grid_points(spark):
+    rng = np.random.default_rng(12)
+    h, dx, span = 2.0, 0.7, 30.0
+    times = np.sort(rng.integers(0, int(span * 1000), 60)) / 1000
+    grid = np.arange(0, span + dx, dx)
+    n = np.histogram(times, np.append(grid - dx / 2, grid[-1] + dx / 2))[0]
+    half = math.ceil(4 * h / dx)
+    k = np.exp(-0.5 * (np.arange(-half, half + 1) * dx / h) ** 2)
+    want = np.convolve(n, k)[half : half + len(grid)] / (np.convolve(np.ones(len(grid)), k)[half : half + len(grid)] * dx)
+    ticks = spark.createDataFrame([("a", int(round(t * 1000)) * 10**6) for t in times], "k string, ts_ns long")
+    bounds = spark.createDataFrame([("a", 0, int(span * NS))], "k string, start_ns long, end_ns long")
+    got = [r.rate for r in rates.kernel_intensity(ticks, bounds, ["k"], h, dx).orderBy("cell").collect()]
+    assert got == pytest.approx(want.tolist())
+
+
 # ------------------------------------------------- spine and calendar
 
 
@@ -358,6 +373,21 @@ def test_match_labels_of_folder_candidates(spark):
     assert {r.match for r in spine.classify_folders(folders.filter("ticker = 'b'"), twice).collect()} == {"ambiguous"}
 
 
+def test_matches_without_a_date(spark):
+    events = spark.createDataFrame([("a", D(2024, 1, 2), 5.004), ("b", None, 7.0), ("c", D(2024, 1, 2), 1.0), ("c", None, 1.0)], "ticker string, event_date date, magnitude double")
+    folders = spark.createDataFrame([("a", 5.0), ("b", 7.0), ("c", 1.0), ("a", 7.0)], "ticker string, magnitude double")
+    got = {(r.ticker, r.magnitude): (r.match, r.n_hits, r.found_date) for r in spine.match_by_magnitude(folders, events).collect()}
+    assert got == {("a", 5.0): ("matched_valid_date", 1, D(2024, 1, 2)), ("b", 7.0): ("matched_null_date", 1, None), ("c", 1.0): ("multiple_matches", 2, None), ("a", 7.0): ("no_match_found", 0, None)}
+
+
+def test_groups_of_equal_size(spark):
+    for n, groups in ((23, 10), (7, 10), (20, 10)):
+        rows = spark.range(n).select("id", (F.col("id") * 1.0).alias("v"))
+        got = {r.id: r.group for r in inference.decile_sample(rows, "v", ["id"], groups, 1000, 1).collect()}
+        want = [g for g, part in enumerate(np.array_split(np.arange(n), groups), 1) for _ in part]
+        assert [got[i] for i in range(n)] == want
+
+
 def test_recomputed_magnitudes(spark):
     rows = spark.createDataFrame([(10.0, 15.0, 50.0), (10.0, 15.0, 49.0), (None, 15.0, 50.0), (0.0, 15.0, 50.0), (10.0, 90.0, 800.0)], "prior_close double, high double, magnitude double")
     got = [(r.mismatch, r.is_mismatch, r.is_junk) for r in spine.magnitude_recompute_check(rows, 500, 0.01).collect()]

@@ -7,12 +7,16 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import global_rank, hash_draw, rank_buckets, ratio
+from tidegrid.functions.frames import global_rank, hash_draw, ratio
 
 
 def decile_sample(rows: DataFrame, value: str, keys: list[str], groups: int, per: int, seed: int) -> DataFrame:
-    """A fixed-seed draw of ``per`` rows from each balanced quantile group of a value."""
-    ranked = rank_buckets(rows.filter(F.col(value).isNotNull()), [value, *keys], groups, "group")
+    """A fixed-seed draw of ``per`` rows from each of the groups, equal in size, that a value's order is cut into; the first ones hold one row more."""
+    ranked = global_rank(rows.filter(F.col(value).isNotNull()), [value, *keys])
+    size, more = F.floor(F.col("total") / groups), F.col("total") % groups
+    long = more * (size + 1)  # rows of the groups with one row more
+    group = F.when(F.col("rank") <= long, F.ceil(F.col("rank") / (size + 1))).otherwise(more + F.ceil((F.col("rank") - long) / F.nullif(size, F.lit(0))))
+    ranked = ranked.withColumn("group", group.cast("int")).drop("rank", "total")
     w = Window.partitionBy("group").orderBy(hash_draw(seed, *keys), *keys)
     return ranked.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per).drop("n")
 

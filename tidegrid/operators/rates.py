@@ -71,9 +71,14 @@ def _cells(ticks: DataFrame, bounds: DataFrame, keys: list[str], dx_s: float) ->
 
 
 def kernel_intensity(ticks: DataFrame, bounds: DataFrame, keys: list[str], h_s: float, dx_s: float, truncate: float = 4.0) -> DataFrame:
-    """Gaussian rate on a uniform grid of cells, corrected for the kernel's mass outside the bounds."""
-    rows, cells = _cells(ticks, bounds, keys, dx_s)
-    counts = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("c"))
+    """Gaussian rate at the points of a uniform grid from the start on, corrected for the kernel's mass outside the grid.
+
+    A tick counts at the point nearest to it: cells are centred at the points.
+    """
+    rows = ticks.join(bounds, keys).filter((F.col("ts_ns") >= F.col("start_ns")) & (F.col("ts_ns") <= F.col("end_ns")))
+    last = F.ceil((F.col("end_ns") - F.col("start_ns")) / NS / dx_s)
+    cells = bounds.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("cell"))
+    counts = rows.groupBy(*keys, F.floor((F.col("ts_ns") - F.col("start_ns")) / NS / dx_s + 0.5).alias("cell")).agg(F.count(F.lit(1)).alias("c"))
     return _kernel(counts, cells.withColumn("support", F.lit(1)), keys, h_s, dx_s, truncate, 0.0).drop("support")
 
 

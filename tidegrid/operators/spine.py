@@ -145,6 +145,15 @@ def fallback_match(orphans: DataFrame, events: DataFrame, by: list[str], left_da
     return rows.join(counts, "row", "left").withColumn("match", F.when(F.col(left_date).isNull(), "null_date").otherwise(label)).select(*orphans.columns, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "match")
 
 
+def match_by_magnitude(folders: DataFrame, events: DataFrame, magnitude: str = "magnitude", date: str = "event_date", ticker: str = "ticker") -> DataFrame:
+    """Folders without a usable date, matched on ticker and magnitude to two places alone: one event with or without a date, several, or none."""
+    key = F.round(F.col(magnitude).cast("double"), 2).cast("decimal(18,2)")
+    counts = events.groupBy(ticker, key.alias("k")).agg(F.count(F.lit(1)).alias("n_hits"), F.max(date).alias("found_date"))
+    joined = folders.withColumn("k", key).join(counts, [ticker, "k"], "left")
+    label = F.when(F.col("n_hits").isNull(), "no_match_found").when(F.col("n_hits") > 1, "multiple_matches").when(F.col("found_date").isNull(), "matched_null_date").otherwise("matched_valid_date")
+    return joined.select(*folders.columns, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), label.alias("match"), F.when(F.col("n_hits") == 1, F.col("found_date")).alias("found_date"))
+
+
 def magnitude_recompute_check(rows: DataFrame, bound: float, floor: float, tolerance: float = 0.01) -> DataFrame:
     """Magnitude from the high and the prior close, the absolute mismatch, and flags of junk.
 

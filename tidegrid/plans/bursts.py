@@ -360,7 +360,7 @@ def _(v):
 
 SAMPLE = MARKS + """
 , q AS (SELECT *, row_number() OVER (ORDER BY markout, ticker, event_date) AS r, count(*) OVER () AS n FROM marks WHERE markout IS NOT NULL),
-g AS (SELECT *, CASE WHEN n = 1 THEN 1 ELSE greatest(1, ceil(10 * (r - 1) / (n - 1)))::INTEGER END AS grp, md5('7|' || ticker || '|' || event_date) AS h FROM q),
+g AS (SELECT *, (CASE WHEN r <= (n % 10) * (n // 10 + 1) THEN ceil(r / (n // 10 + 1)) ELSE n % 10 + ceil((r - (n % 10) * (n // 10 + 1)) / (n // 10)) END)::INTEGER AS grp, md5('7|' || ticker || '|' || event_date) AS h FROM q),
 deciles AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY h, ticker, event_date) <= 5)
 """
 

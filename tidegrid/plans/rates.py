@@ -39,8 +39,8 @@ def _(v):
 
 @query("h18_kernel_intensity", """
 , b AS (SELECT ticker, min(ts_ns) AS s, max(ts_ns) AS e FROM trades GROUP BY 1),
-cells AS (SELECT ticker, unnest(range(ceil((e - s) / 1e9 / 7200)::BIGINT)) AS cell FROM b),
-c AS (SELECT ticker, floor((ts_ns - s) / 1e9 / 7200)::BIGINT AS cell, count(*) AS c FROM trades JOIN b USING (ticker) WHERE ts_ns < e GROUP BY 1, 2),
+cells AS (SELECT ticker, unnest(range(ceil((e - s) / 1e9 / 7200)::BIGINT + 1)) AS cell FROM b),
+c AS (SELECT ticker, floor((ts_ns - s) / 1e9 / 7200 + 0.5)::BIGINT AS cell, count(*) AS c FROM trades JOIN b USING (ticker) GROUP BY 1, 2),
 n AS (SELECT x.ticker, x.cell, sum(c * exp(-0.5 * ((x.cell - c.cell) * 7200 / 21600.0) ** 2)) AS num FROM cells x JOIN c ON c.ticker = x.ticker AND abs(c.cell - x.cell) <= 12 GROUP BY 1, 2),
 d AS (SELECT x.ticker, x.cell, sum(exp(-0.5 * ((x.cell - y.cell) * 7200 / 21600.0) ** 2)) AS den FROM cells x JOIN cells y ON y.ticker = x.ticker AND abs(y.cell - x.cell) <= 12 GROUP BY 1, 2)
 SELECT ticker, cell, coalesce(num, 0) / (den * 7200) AS rate FROM cells LEFT JOIN n USING (ticker, cell) LEFT JOIN d USING (ticker, cell)
