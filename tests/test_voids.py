@@ -18,7 +18,7 @@ def series(n=400, seed=1):
     return times
 
 
-@pytest.mark.parametrize("fraction", [0.1, 2.0])
+@pytest.mark.parametrize("fraction", [0.02, 0.1, 0.33, 2.0])
 def test_moving_median(spark, fraction):
     import math
 

@@ -12,11 +12,42 @@ from tidegrid.functions.frames import islands
 NS = 1_000_000_000
 
 
+def moving_medians(rows: DataFrame, keys: list[str], value: str, buckets: int = 32) -> DataFrame:
+    """(keys, a, m): the median of the window of ``half`` rows on either side of each anchor ``a``.
+
+    ``rows`` has i, n, half, stride and whole (a single window). Anchors lie every ``stride`` rows and at the end. Rows
+    are not copied to the windows that hold them: windows are unions of blocks of ``stride`` positions and of fixed parts of
+    the blocks at their ends, so counts by (block, part, bucket of values) are what is laid to the windows. Running
+    counts name the bucket with the median, and only rows of such buckets meet their windows, to be ranked there.
+    """
+    i, n, s = F.col("i"), F.col("n"), F.col("stride")
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [x / buckets for x in range(1, buckets)], 1000).alias("cuts"))
+    placed = rows.join(cuts, keys).withColumns({
+        "bucket": F.size(F.filter("cuts", lambda c: c < F.col(value))), "b": F.floor(i / s), "q": F.floor(F.col("half") / s), "last": F.floor((n - 1) / s),
+        "right": (i % s) <= F.col("half") % s, "left": (i % s) >= s - F.col("half") % s, "tail": (n - 1 - i <= F.col("half")) & ((n - 1) % s != 0),
+    })
+    shape = [*keys, "n", "stride", "whole", "q", "last", "b", "right", "left", "tail"]
+    first = F.greatest(F.lit(0), F.col("b") - F.col("q") + 1 - F.col("right").cast("int"))
+    upto = F.least(F.col("last"), F.col("b") + F.col("q") + F.col("left").cast("int"))
+    none = F.array().cast("array<bigint>")
+    steps = F.when(first <= upto, F.transform(F.sequence(first, upto), lambda k: k * s)).otherwise(none)
+    near = F.explode(F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.concat(steps, F.when(F.col("tail"), F.array(n - 1)).otherwise(none)))).alias("a")
+    counts = placed.groupBy(*shape, "bucket").agg(F.count(F.lit(1)).alias("c")).select(*keys, near, "bucket", "c").groupBy(*keys, "a", "bucket").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy(*keys, "a")  # a row a bucket
+    run = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumns({"upto": F.sum("c").over(run), "all": F.sum("c").over(w)}).withColumn("ahead", F.col("upto") - F.col("c"))
+    low, high = F.floor((F.col("all") - 1) / 2), F.ceil((F.col("all") - 1) / 2)
+    wanted = summed.filter((F.col("ahead") <= high) & (F.col("upto") > low)).select(*keys, "a", "bucket", "ahead", low.alias("low"), high.alias("high"))
+    some = placed.join(wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").select(*keys, near, "bucket", F.col(value).alias("v"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy(*keys, "a", "bucket").orderBy("v")) - 1
+    met = some.join(wanted, [*keys, "a", "bucket"]).withColumn("place", place)
+    return met.filter((F.col("place") == F.col("low")) | (F.col("place") == F.col("high"))).groupBy(*keys, "a").agg(F.avg("v").alias("m"))
+
+
 def centred_log_gaps(ticks: DataFrame, keys: list[str], fraction: float, per_window: int = 10, floor_s: float = 1e-9) -> DataFrame:
     """log10 of each gap less its centred moving median.
 
-    Medians are taken at anchors, ``per_window`` to a window, and interpolated: a
-    row is copied to the anchors whose window holds it, about ``per_window`` times.
+    Medians are taken at anchors, ``per_window`` to a window, and interpolated.
     """
     w = Window.partitionBy(*keys)
     order = w.orderBy("ts_ns", "seq")
@@ -25,12 +56,7 @@ def centred_log_gaps(ticks: DataFrame, keys: list[str], fraction: float, per_win
     rows = rows.withColumns({"y": F.log10(F.greatest("gap", F.lit(floor_s))), "i": (F.row_number().over(order) - 1).cast("long"), "n": F.count(F.lit(1)).over(w)})
     width = F.greatest(F.lit(11), F.round(F.lit(fraction) * F.col("n")).cast("long").bitwiseOR(F.lit(1).cast("long")))
     rows = rows.withColumn("w", width).withColumns({"half": F.floor(F.col("w") / 2), "stride": F.greatest(F.lit(1), F.floor(F.col("w") / per_window)), "whole": F.col("w") >= F.col("n")})
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("half")) / F.col("stride")))
-    last = F.least(F.floor((F.col("n") - 1) / F.col("stride")), F.floor((F.col("i") + F.col("half")) / F.col("stride")))
-    steps = F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * F.col("stride"))).otherwise(F.array().cast("array<bigint>"))
-    end = F.when(F.col("n") - 1 - F.col("i") <= F.col("half"), F.array(F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))
-    near = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(steps, end)))
-    med = rows.select(*keys, "y", F.explode(near).alias("a")).groupBy(*keys, "a").agg(F.percentile("y", F.lit(0.5)).alias("m"))
+    med = moving_medians(rows, keys, "y")
     a0 = F.when(F.col("whole"), F.lit(0)).otherwise(F.floor(F.col("i") / F.col("stride")) * F.col("stride"))
     a1 = F.when(F.col("whole"), F.lit(0)).otherwise(F.least(F.col("a0") + F.col("stride"), F.col("n") - 1))
     placed = rows.withColumn("a0", a0).withColumn("a1", a1)
