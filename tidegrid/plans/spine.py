@@ -149,15 +149,15 @@ def _(v):
 
 
 @query("b13_match_by_magnitude", """
-, e AS (SELECT o_custkey AS ticker, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE END AS event_date, round(o_totalprice / 1000, 2) AS magnitude FROM orders),
-f AS (SELECT o_orderkey, o_custkey + (o_orderkey % 5 = 0)::INT AS ticker, round(o_totalprice / 1000, 2) AS magnitude FROM orders WHERE o_orderkey % 2 = 0),
+, e AS (SELECT o_custkey AS ticker, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE END AS event_date, floor(o_totalprice / 10) / 100 AS magnitude FROM orders),
+f AS (SELECT o_orderkey, o_custkey + (o_orderkey % 5 = 0)::INT AS ticker, floor(o_totalprice / 10) / 100 AS magnitude FROM orders WHERE o_orderkey % 2 = 0),
 c AS (SELECT ticker, magnitude::DECIMAL(18, 2) AS k, count(*) AS n, max(event_date) AS d FROM e GROUP BY 1, 2)
 SELECT f.*, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN 'no_match_found' WHEN n > 1 THEN 'multiple_matches' WHEN d IS NULL THEN 'matched_null_date' ELSE 'matched_valid_date' END AS match, CASE WHEN n = 1 THEN d END AS found_date
 FROM f LEFT JOIN c ON c.ticker = f.ticker AND c.k = f.magnitude::DECIMAL(18, 2)
 """)
 def _(v):
     o = day(v, "orders", "o_orderdate")
-    size = F.round(F.col("o_totalprice") / 1000, 2).alias("magnitude")
+    size = (F.floor(F.col("o_totalprice") / 10) / 100).alias("magnitude")
     events = o.select(F.col("o_custkey").alias("ticker"), F.when(F.col("o_orderkey") % 3 > 0, F.col("d")).alias("event_date"), size)
     folders_ = o.filter("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_custkey") + (F.col("o_orderkey") % 5 == 0).cast("int")).alias("ticker"), size)
     return b.match_by_magnitude(folders_, events)
