@@ -427,6 +427,15 @@ def test_causes_of_gaps(spark):
     assert got == {"bars": "coverage_gap", "gap": "coverage_gap", "no evidence": "unexplained", "margin": "band_margin", "margin but higher": "unexplained", "far": "unexplained", "unknown": "unexplained"}
 
 
+def test_classes_of_the_reference(spark):
+    reference = spark.createDataFrame([("a", "CS", True, None, 2), ("a", "OLD", False, D(2020, 1, 1), 1), ("b", "CS", False, D(2023, 1, 1), 1), ("b", "CS", False, D(2023, 1, 2), 1), ("c", "XX", False, D(2023, 1, 1), 1)], "ticker string, code string, active boolean, delisted date, as_of int")
+    events = spark.createDataFrame([("a", D(2024, 1, 1)), ("b", D(2023, 1, 2)), ("c", D(2022, 1, 1)), ("c", D(2023, 1, 2)), ("d", D(2023, 1, 2))], "ticker string, event_date date")
+    tickers = spark.createDataFrame([("a", "common"), ("b", "warrant"), ("c", "common"), ("d", "common")], "ticker string, rule_class string")
+    rows = spine.class_from_reference(tickers, reference, {"CS": ("common_stock", True)}, events, {"common": ("common_stock",)}).collect()
+    got = {r.ticker: (r["class"], r.in_scope, r.agrees, r.ticker_reuse) for r in rows}
+    assert got == {"a": ("common_stock", True, True, False), "b": ("common_stock", True, None, False), "c": ("other", False, False, True), "d": ("unresolved", False, None, False)}
+
+
 def test_gap_labels(spark):
     rows = [([1, 2], False, False, "forward_missing"), ([-3], False, None, "backward_missing"), ([0], False, False, "both_sides"), ([0, 1], False, False, "both_sides"), ([-1, 1], False, False, "both_sides"), ([], False, False, "unclassified"), ([1], True, False, "archive_edge"), ([], True, True, "calendar_residue"), ([-3, -2, -1, 0, 1, 2, 3], False, False, "both_sides")]
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, missing array<int>, edge boolean, residue boolean")

@@ -218,12 +218,25 @@ def log_evidence(lines: DataFrame, events: DataFrame, pattern: str, failure: str
     return found.withColumn("evidence", F.when(F.col("rank") == 2, "explicit_failure").when(F.col("rank") == 1, "mentioned_no_failure").otherwise("not_mentioned")).drop("rank")
 
 
-def class_from_reference(events: DataFrame, reference: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Class of the latest reference row of each ticker, and events after its delisting."""
-    latest = reference.groupBy("ticker").agg(F.max_by(F.struct("code", "delisted"), F.struct("as_of", "code")).alias("r"))
-    table = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))
-    joined = events.join(latest, "ticker", "left")
-    return joined.select(*events.columns, F.coalesce(table[F.col("r.code")], F.lit("unknown")).alias("reference_class"), F.coalesce(F.col("event_date") > F.col("r.delisted"), F.lit(False)).alias("ticker_reuse"))
+def class_from_reference(tickers: DataFrame, reference: DataFrame, mapping: dict[str, tuple[str, bool]], events: DataFrame, agree: dict[str, tuple[str, ...]], rule: str = "rule_class") -> DataFrame:
+    """Each ticker's class by its latest reference row, whether that is in scope, and whether the rules' class agrees.
+
+    ``mapping``: code -> (class, in scope); a code that it lacks is ``other``, a ticker without a row ``unresolved``.
+    ``agree``: class by rules -> the classes that agree with it; null for others and the unresolved. A ticker is
+    reused where it is no longer active and any of its events lies after its last delisting.
+    """
+    latest = reference.groupBy("ticker").agg(F.max_by(F.struct("code", "active"), F.struct("as_of", "code")).alias("r"), F.max("delisted").alias("delisted"))
+    last = events.groupBy("ticker").agg(F.max("event_date").alias("last_event"))
+    code = F.col("r.code")
+    table = lambda i: F.create_map(*(F.lit(x) for k, v in mapping.items() for x in (k, v[i])))
+    kind = F.when(code.isNull(), "unresolved").otherwise(F.coalesce(table(0)[code], F.lit("other")))
+    joined = tickers.join(latest, "ticker", "left").join(last, "ticker", "left").withColumn("class", kind)
+    agrees = None
+    for own, classes in agree.items():
+        hit = F.when((F.col(rule) == own) & code.isNotNull(), F.col("class").isin(*classes))
+        agrees = hit if agrees is None else F.coalesce(agrees, hit)
+    reuse = ~F.col("r.active") & (F.col("last_event") > F.col("delisted"))
+    return joined.select(*tickers.columns, code.alias("code"), "class", F.coalesce(table(1)[code], F.lit(False)).alias("in_scope"), agrees.alias("agrees"), F.coalesce(reuse, F.lit(False)).alias("ticker_reuse"))
 
 
 def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:

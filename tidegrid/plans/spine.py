@@ -239,16 +239,23 @@ def _(v):
     return b.log_evidence(lines, v.event_list.select(*KEYS), r"ticker=(\d+) day=(\S+) (.*)", "FAILED", 1, 1)
 
 
-@query("b20_class_from_reference", """
-, e AS (SELECT l_partkey AS ticker, l_shipdate::DATE AS event_date FROM lineitem),
-m AS (SELECT p_partkey AS ticker, p_type AS code, DATE '1998-01-01' + p_size * 30 AS delisted FROM part)
-SELECT e.*, CASE WHEN code LIKE 'PROMO%' THEN 'promo' ELSE 'unknown' END AS reference_class, coalesce(event_date > delisted, false) AS ticker_reuse FROM e LEFT JOIN m USING (ticker)
+@query("b20_class_from_reference", RULE_SQL + """
+, m AS (SELECT p_partkey AS ticker, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE split_part(p_type, ' ', 1) END AS code, p_size > 10 AS active, CASE WHEN p_size <= 10 THEN DATE '1998-01-01' + p_size * 100 END AS delisted FROM part WHERE p_partkey % 5 > 0),
+l AS (SELECT l_partkey AS ticker, max(l_shipdate::DATE) AS last_event FROM lineitem GROUP BY 1),
+k AS (SELECT r.p_partkey AS ticker, kind AS rule_class, code, active, delisted, last_event, CASE WHEN code IS NULL THEN 'unresolved' WHEN code = 'PROMO' THEN 'promo' WHEN code = 'STANDARD' THEN 'common' WHEN code = 'SMALL' THEN 'small' ELSE 'other' END AS class
+  FROM r LEFT JOIN m ON m.ticker = r.p_partkey LEFT JOIN l ON l.ticker = r.p_partkey)
+SELECT ticker, rule_class, code, class, coalesce(code IN ('PROMO', 'STANDARD'), false) AS in_scope, CASE WHEN code IS NULL THEN NULL WHEN rule_class = 'promo' THEN class IN ('promo') WHEN rule_class = 'common' THEN class IN ('common', 'other') END AS agrees,
+  coalesce(NOT active AND last_event > delisted, false) AS ticker_reuse FROM k
 """)
 def _(v):
     p = v.table("part")
-    reference = p.select(F.col("p_partkey").alias("ticker"), F.when(F.col("p_type").startswith("PROMO"), "P").otherwise("X").alias("code"), F.date_add(F.lit("1998-01-01").cast("date"), F.col("p_size") * 30).alias("delisted"), F.lit(1).alias("as_of"))
+    kind, _rule = b.classify_by_rules(F.col("p_type"), RULES)
+    old = F.when(F.col("p_size") <= 10, F.date_add(F.lit("1998-01-01").cast("date"), F.col("p_size") * 100))
+    rows = p.filter("p_partkey % 5 > 0").select(F.col("p_partkey").alias("ticker"), F.when(F.col("p_partkey") % 3 != 0, F.split("p_type", " ")[0]).alias("code"), (F.col("p_size") > 10).alias("active"), old.alias("delisted"), F.lit(2).alias("as_of"))
+    stale = rows.select("ticker", F.lit("STALE").alias("code"), F.lit(True).alias("active"), F.date_sub("delisted", 1).alias("delisted"), F.lit(1).alias("as_of"))
     events = v.table("lineitem").select(F.col("l_partkey").alias("ticker"), F.to_date("l_shipdate").alias("event_date"))
-    return b.class_from_reference(events, reference, {"P": "promo"})
+    mapping = {"PROMO": ("promo", True), "STANDARD": ("common", True), "SMALL": ("small", False)}
+    return b.class_from_reference(p.select(F.col("p_partkey").alias("ticker"), kind.alias("rule_class")), rows.unionByName(stale), mapping, events, {"promo": ("promo",), "common": ("common", "other")})
 
 
 @query("b20_confusion", RULE_SQL + ", k AS (SELECT kind, CASE WHEN p_size > 25 THEN 'brass' ELSE 'common' END AS other FROM r) SELECT kind, other, count(*) AS n, kind = other AS agrees FROM k GROUP BY 1, 2")
