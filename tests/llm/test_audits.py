@@ -22,7 +22,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001").rstrip("/")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_filter_audit", "op13_jaccard_join"])
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_filter_audit", "op13_jaccard_join", "quality_ablation"])
 def test_query_equals_its_twin(spark, checkpoint, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):

@@ -66,6 +66,11 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, rejects alone, and what the policy would keep without it."""
+    return quality_ledger.ablation(quality_ledger.ledger(_table(spark, sf_dir, "documents")), "v1")
+
+
 def op9_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under the model and under add-one word counts."""
     docs = _table(spark, sf_dir, "documents")
@@ -110,6 +115,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_token_spans": op7_token_spans,
     "op8_quality_ledger": op8_quality_ledger,
+    "quality_ablation": quality_ablation,
     "op9_hpylm": op9_hpylm,
     "op10_sentencepiece_bpe": op10_sentencepiece_bpe,
     "op11_conversation_repair": op11_conversation_repair,
@@ -178,3 +184,11 @@ FROM f
     "op12_filter_audit": twins.FILTER_AUDIT,
     "op13_jaccard_join": twins.JACCARD_JOIN,
 }
+
+_FAILS = [f"f{bit}" for bit in quality_ledger.RULE_BITS.values()]
+#: The flags of op8's twin, counted by rule.
+ORACLES["quality_ablation"] = ORACLES["op8_quality_ledger"].rsplit("SELECT doc_id, n_words", 1)[0] + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE f{bit}) AS n_failed, count(*) FILTER (WHERE f{bit} AND NOT ({others})) AS n_failed_alone, count(*) FILTER (WHERE NOT ({' OR '.join(_FAILS)})) AS n_kept, count(*) FILTER (WHERE NOT ({others})) AS n_kept_without FROM f"
+    for rule, bit in quality_ledger.RULE_BITS.items()
+    for others in [" OR ".join(f for f in _FAILS if f != f"f{bit}")]
+)
