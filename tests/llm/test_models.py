@@ -397,6 +397,103 @@ def test_hot_pairs_and_head_words_change_no_count(docs, monkeypatch):
     assert [s for _, s in score(1000)] == pytest.approx([s for _, s in many], rel=0.05)
 
 
+def test_hot_pairs_change_no_score(docs, monkeypatch):
+    """Draws come from pairs and passes, so that dealing a pair elsewhere changes nothing but rounding."""
+    rows = docs.select("doc_id", "text", langid.held_out("doc_id", 7, 2).alias("held_out"))
+    score = lambda r: sorted((x.doc_id or -1, x.n_tokens, x.score) for x in hpylm.train_and_score(r).collect())
+    some = score(rows)
+    monkeypatch.setattr(hpylm, "HOT_SHARE", 2.0)
+    none = score(rows.repartition(3))
+    assert [x[:2] for x in none] == [x[:2] for x in some]
+    assert [x[2] for x in none] == pytest.approx([x[2] for x in some], rel=1e-5)
+
+
+def seated_one_by_one(pairs, n_codes, s, d, sweeps, lead, seed):
+    """(mean tables of all contexts, mean predictive probability of each pair) of a sampler that moves one customer at a time."""
+    rng = np.random.default_rng(seed)
+    inside, above = defaultdict(list), defaultdict(list)  # tables of each pair, of each word at the parent
+    tables, top, all_above = Counter(), 0, 0  # of each context, of the parent, its customers
+    base = 1 / n_codes
+
+    def parent(w):
+        own = sum(above[w]) - d * len(above[w])
+        return (own + (s + d * top) * base) / (s + all_above)
+
+    def sit(at, join, new):
+        """The place of a table drawn by weight; a new one is the last."""
+        weights = np.array([*(n - d for n in at), new]) if join else np.array(at, float)
+        return int(rng.choice(len(weights), p=weights / weights.sum()))
+
+    def enter(u, w):
+        nonlocal top, all_above
+        k = sit(inside[u, w], True, (s + d * tables[u]) * parent(w))
+        if k < len(inside[u, w]):
+            inside[u, w][k] += 1
+            return
+        inside[u, w].append(1)
+        tables[u] += 1
+        k = sit(above[w], True, (s + d * top) * base)
+        all_above += 1
+        if k < len(above[w]):
+            above[w][k] += 1
+        else:
+            above[w].append(1)
+            top += 1
+
+    def leave(u, w):
+        nonlocal top, all_above
+        k = sit(inside[u, w], False, None)
+        inside[u, w][k] -= 1
+        if inside[u, w][k]:
+            return
+        del inside[u, w][k]
+        tables[u] -= 1
+        k = sit(above[w], False, None)
+        above[w][k] -= 1
+        all_above -= 1
+        if not above[w][k]:
+            del above[w][k]
+            top -= 1
+
+    customers = Counter(u for u, _ in pairs)
+    for u, w in pairs:
+        enter(u, w)
+    mean_tables, mean = 0.0, Counter()
+    for sweep in range(sweeps):
+        for i in rng.permutation(len(pairs)):
+            leave(*pairs[i])
+            enter(*pairs[i])
+        if sweep >= lead:
+            mean_tables += sum(tables.values()) / (sweeps - lead)
+            for u, w in set(pairs):
+                own = sum(inside[u, w]) - d * len(inside[u, w]) + (s + d * tables[u]) * parent(w)
+                mean[u, w] += own / (s + customers[u]) / (sweeps - lead)
+    return mean_tables, mean
+
+
+def test_learnt_against_a_sequential_sampler(spark, checkpoint, monkeypatch):
+    """Tables and predictive probabilities of the blocks drawn in parallel beside those of a plain Gibbs sampler, hyperparameters held."""
+    d, s = 0.5, 1.0
+    monkeypatch.setattr(hpylm, "DISCOUNTS", np.array([d]))
+    monkeypatch.setattr(hpylm, "STRENGTHS", np.array([s]))
+    texts = [f"the {a} {b} saw the {c} near the {b} house and the {a} tree" for a in ("old", "new", "red") for b in ("cat", "dog", "cow") for c in ("man", "sun")] * 2
+    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    kept = []
+    learnt = hpylm.learnt
+    monkeypatch.setattr(hpylm, "learnt", lambda *a: kept.append(learnt(*a)) or kept[-1])
+    got = {r.doc_id: r.score for r in hpylm.train_and_score(rows, passes=6).collect()}
+    model = kept[0][0]
+    code = {int(h): i for i, h in enumerate(model.vocabulary.words)}
+    end = model.vocabulary.end
+    each = [list(itertools.pairwise([end, *(code[xxhash.xxh64_intdigest(w.encode())] for w in t.split()), end])) for t in texts]
+    tables, mean = seated_one_by_one([p for x in each for p in x], end + 1, s, d, 60, 20, 3)
+    states = [*model.earlier, model]
+    assert len(states) == hpylm.SWEEPS and len({m.turn for m in states}) == hpylm.SWEEPS
+    assert np.mean([m.contexts.tables.sum() for m in states]) == pytest.approx(tables, rel=0.1)
+    for i, x in enumerate(each):
+        assert got[i] == pytest.approx(sum(math.log10(mean[p]) for p in x), rel=0.02)
+
+
 def test_language_model_of_nothing(empty):
     assert hpylm.train_and_score(empty.select("doc_id", "text", "held_out")).collect() == []
 
