@@ -84,7 +84,7 @@ def exact_quantile(rows: DataFrame, value: str, q: float, accuracy: int = 10_000
     return found.v if found else None
 
 
-def grouped_quantiles(rows: DataFrame, by: list[str], values: dict[str, tuple[tuple[float, ...], tuple[str, ...]]], accuracy: int = 10_000, whole: int = WHOLE, counts: bool = False) -> DataFrame:
+def grouped_quantiles(rows: DataFrame, by: list[str], values: dict[str, tuple[tuple[float, ...], tuple[str, ...]]], accuracy: int = 10_000, whole: int = WHOLE, counts: bool = False, on_disk: bool = False) -> DataFrame:
     """Exact interpolated quantiles of values by group: ``values`` maps a column to places and names.
 
     No buffer holds a group's values. A mergeable sketch gives each group of more than
@@ -93,15 +93,13 @@ def grouped_quantiles(rows: DataFrame, by: list[str], values: dict[str, tuple[tu
     counts over the sorted values of the bands find the two neighbours of each
     place. A smaller group is its own band, as is one in which the sketch's error may be under two rows. The values are written to the shared folder
     once, so that what they are made of is not computed twice. Nulls take no part;
-    a group of nulls alone has null quantiles. ``counts`` adds n_<value>.
+    a group of nulls alone has null quantiles. ``counts`` adds n_<value>;
+    ``on_disk``: the rows are stored already.
     """
-    spark = rows.sparkSession
     cells_by = [*by, "_c"]
     stacked = F.explode(F.array(*(F.struct(F.lit(i).alias("_c"), F.col(v).cast("double").alias("_x")) for i, v in enumerate(values))))
-    path = scratch(spark, "values")
     kept = rows.select(*by, stacked.alias("_s")).select(*by, "_s._c", "_s._x")
-    kept.write.parquet(path)
-    kept = spark.read.schema(kept.schema).parquet(path)
+    kept = kept if on_disk else stored(kept, "values")
     slack = 2 / accuracy
     places = sorted({q for qs, _ in values.values() for q in qs})
     edges = [min(max(q + side * slack, 0.0), 1.0) for q in places for side in (-1, 1)]
@@ -141,12 +139,19 @@ def grouped_quantiles(rows: DataFrame, by: list[str], values: dict[str, tuple[tu
 QUARTILES = ((0.25, 0.5, 0.75), ("q25", "median", "q75"))
 
 
-def describe(rows: DataFrame, by: list[str], values: dict[str, tuple[tuple[float, ...], tuple[str, ...]]], **aggregates: Column) -> DataFrame:
+def describe(rows: DataFrame, by: list[str], values: dict[str, tuple[tuple[float, ...], tuple[str, ...]]], on_disk: bool = False, **aggregates: Column) -> DataFrame:
     """Groups with plain aggregates beside ``grouped_quantiles`` of some values."""
     plain = rows.groupBy(*by).agg(*(a.alias(n) for n, a in aggregates.items()))
     if not by:
-        return plain.join(F.broadcast(grouped_quantiles(rows, by, values)))  # a row each
-    return _null_safe(plain, grouped_quantiles(rows, by, values), by)
+        return plain.join(F.broadcast(grouped_quantiles(rows, by, values, on_disk=on_disk)))  # a row each
+    return _null_safe(plain, grouped_quantiles(rows, by, values, on_disk=on_disk), by)
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder once, for plans that read them several times."""
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def hash_draw(seed: int, *cols: str) -> Column:

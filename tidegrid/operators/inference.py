@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import global_rank, hash_draw, ratio
+from tidegrid.functions.frames import describe, global_rank, hash_draw, ratio, stored
 
 
 def decile_sample(rows: DataFrame, value: str, keys: list[str], groups: int, per: int, seed: int) -> DataFrame:
@@ -163,8 +163,9 @@ def width_ratio(block: DataFrame, naive: DataFrame) -> DataFrame:
 
 def cluster_medians(rows: DataFrame, value: str, unit: str) -> DataFrame:
     """I8: median of units' medians, share of negative units, and rows a unit."""
-    each = rows.groupBy(unit).agg(F.percentile(value, F.lit(0.5)).alias("m"), F.count(value).alias("n")).filter("n > 0")
-    return each.agg(F.count(F.lit(1)).alias("n_units"), F.percentile("m", F.lit(0.5)).alias("median_of_medians"), F.avg((F.col("m") < 0).cast("double")).alias("negative_share"), F.percentile("n", F.lit(0.5)).alias("rows_a_unit"), F.max("n").alias("most_rows"))
+    half = (0.5,)
+    each = stored(describe(rows, [unit], {value: (half, ("m",))}, n=F.count(value)).filter("n > 0"), "units")
+    return describe(each, [], {"m": (half, ("median_of_medians",)), "n": (half, ("rows_a_unit",))}, True, n_units=F.count(F.lit(1)), negative_share=F.avg((F.col("m") < 0).cast("double")), most_rows=F.max("n"))
 
 
 def sign_flip_test(rows: DataFrame, value: str, keys: list[str], reps: int, seed: int) -> DataFrame:

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import QUARTILES, asof_join, describe, islands, quantiles, ratio
+from tidegrid.functions.frames import QUARTILES, asof_join, describe, islands, quantiles, ratio, stored
 
 
 def states() -> dict[str, Column]:
@@ -232,11 +232,12 @@ def cost_vs_capture(legs: DataFrame, cache: DataFrame, highs: DataFrame, keys: l
 
 def cost_verdict(rows: DataFrame, by: list[str], thin: int = 100, kill: float = 0.5) -> DataFrame:
     """per cell and multiple the medians and shares, and a verdict by fixed rules, the first that holds."""
-    made = rows.groupBy(*by, "multiple").agg(
-        F.count(F.lit(1)).alias("n"), F.count("of_realized").alias("n_defined"), *quantiles("of_realized", (0.25, 0.5), ("p25", "median")), F.percentile("of_best", F.lit(0.5)).alias("median_of_best"),
-        F.avg(F.col("exceeds").cast("double")).alias("exceeds_share"), F.avg(F.col("is_nonpositive").cast("double")).alias("nonpositive_share"),
-        (10_000 * F.percentile("cost", F.lit(0.5))).alias("median_cost_bp"), (100 * F.percentile("cost_currency", F.lit(0.5))).alias("median_cost_cents"),
-    )
+    cell = [*by, "multiple"]
+    each = stored(rows.select(*cell, "of_realized", "of_best", "cost", "cost_currency", "exceeds", "is_nonpositive"), "costs")
+    places = {"of_realized": ((0.25, 0.5), ("p25", "median")), "of_best": ((0.5,), ("median_of_best",)), "cost": ((0.5,), ("median_cost_bp",)), "cost_currency": ((0.5,), ("median_cost_cents",))}
+    shares = {n: F.avg(F.col(c).cast("double")) for c, n in (("exceeds", "exceeds_share"), ("is_nonpositive", "nonpositive_share"))}
+    made = describe(each, cell, places, True, n=F.count(F.lit(1)), n_defined=F.count("of_realized"), **shares)
+    made = made.withColumns({"median_cost_bp": 10_000 * F.col("median_cost_bp"), "median_cost_cents": 100 * F.col("median_cost_cents")})
     verdict = (
         F.when(F.col("n_defined") < thin, "too_thin").when(F.col("nonpositive_share") > 0.5, "mostly_nonpositive").when(F.col("median") >= 1, "cost_exceeds")
         .when(F.col("p25") >= kill, "lower_quartile_high").otherwise("lower_quartile_low")

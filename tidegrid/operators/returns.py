@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import QUARTILES, asof_join, describe, first_when, quantiles, rank_buckets, ratio
+from tidegrid.functions.frames import QUARTILES, asof_join, describe, first_when, rank_buckets, ratio, stored
 
 
 def asof_shifted(left: DataFrame, right: DataFrame, by: list[str], on: str, offsets_ns: list[int], seq: str | None = None, span: float | None = None, tol: float | None = None) -> DataFrame:
@@ -155,7 +155,8 @@ def markout_grid(rows: DataFrame, axes: list[str], value: str, thin: int = 100)
 def excluded_populations(rows: DataFrame, reasons: dict[str, Column], value: str) -> DataFrame:
     """Rows left out by the first of the reasons that holds, and their values apart from the grid's."""
     which = F.coalesce(*(F.when(c, F.lit(n)) for n, c in reasons.items()), F.lit("included"))
-    return rows.groupBy(which.alias("population")).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("n_defined"), F.percentile(value, F.lit(0.5)).alias("median"))
+    each = stored(rows.select(which.alias("population"), value), "populations")
+    return describe(each, ["population"], {value: ((0.5,), ("median",))}, True, n=F.count(F.lit(1)), n_defined=F.count(value))
 
 
 def axis_rows(detections: DataFrame, bars: DataFrame, keys: list[str], latencies: list[int], holds: list[int]) -> DataFrame:
@@ -181,8 +182,9 @@ def axis_rows(detections: DataFrame, bars: DataFrame, keys: list[str], latencies
 
 def axis_grid(detections: DataFrame, bars: DataFrame, keys: list[str], latencies: list[int], holds: list[int]) -> DataFrame:
     """Statistics of the log returns of each latency and hold, and of each latency up to the last price."""
-    rows = axis_rows(detections, bars, keys, latencies, holds)
-    return rows.groupBy("grid", "latency", "hold").agg(F.count(F.lit(1)).alias("n"), F.count("markout").alias("n_defined"), *quantiles("markout"))
+    cell = ["grid", "latency", "hold"]
+    rows = stored(axis_rows(detections, bars, keys, latencies, holds).select(*cell, "markout"), "axes")
+    return describe(rows, cell, {"markout": QUARTILES}, True, n=F.count(F.lit(1)), n_defined=F.count("markout"))
 
 
 def log_decomposition(bars: DataFrame, keys: list[str], open_minute: int = 330) -> DataFrame:
@@ -317,8 +319,8 @@ def sensitivity_variants(rows: DataFrame, value: str, flag: str, by: list[str],
     """The same median over all, flagged, unflagged and trimmed rows, and whether its sign flips."""
     f = F.coalesce(F.col(flag), F.lit(False))
     member = F.array_compact(F.array(F.lit("all"), F.when(f, "flagged"), F.when(~f, "unflagged"), F.when(F.abs(value) <= trim, "trimmed")))
-    each = rows.filter(F.col(value).isNotNull()).select(*by, value, F.explode(member).alias("variant"))
-    made = each.groupBy(*by, "variant").agg(F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"))
+    each = stored(rows.filter(F.col(value).isNotNull()).select(*by, value, F.explode(member).alias("variant")), "variants")
+    made = describe(each, [*by, "variant"], {value: ((0.5,), ("median",))}, True, n=F.count(F.lit(1)))
     base = F.max(F.when(F.col("variant") == "all", F.signum("median"))).over(Window.partitionBy(*by))
     return made.withColumn("sign_flips", F.signum("median") != base)
 
