@@ -2,7 +2,8 @@
 
 Each archive starts with a skippable frame that holds a dictionary trained on
 records of that archive (its first ``SAMPLE_BYTES``, which stay buffered until
-then); every record follows as a frame of its own, so any record can be
+then; the frame is empty where fewer than 16 records or only equal ones are
+sampled); every record follows as a frame of its own, so any record can be
 decompressed alone. Of records with equal payloads, that with the smallest id is
 the response and the others are revisits that name it and carry no payload.
 
