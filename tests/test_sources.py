@@ -112,3 +112,16 @@ def test_table_diff_is_null_safe(spark):
     a = spark.createDataFrame([(1, None), (2, 5), (3, 6)], "k int, v int")
     b = spark.createDataFrame([(1, None), (2, None), (4, 7)], "k int, v int")
     assert {(r.k, r.kind, r.columns) for r in readers.table_diff(a, b, ["k"], ["v"]).collect()} == {(2, "changed", "v"), (3, "removed", None), (4, "added", None)}
+
+
+def test_a_first_split_without_rows_leaves_no_empty_file(spark, tmp_path):
+    from tidegrid.plans import catalog
+
+    orders = spark.range(20_000).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("o_orderstatus"))
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")  # one row group, read in splits of which the first holds none
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = catalog.QUERIES["a4_read_skip_unreadable"](spark, str(tmp_path)).orderBy("o_orderstatus").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.o_orderstatus, r.n, r["keys"], r.n_unreadable, r.n_empty) for r in got] == [("F", 10_000, 99_990_000, 1, 1), ("O", 10_000, 100_000_000, 1, 1)]
