@@ -277,6 +277,14 @@ def test_events_without_intervals_agree(spark):
     assert {r.k: r.jaccard for r in bursts.interval_jaccard(one, none, ["k"], events).collect()} == {"x": 0.0, "y": 1.0}
 
 
+def test_a_side_that_never_changes_has_no_correlation(spark):
+    flat = [("y", i, 1) for i in range(1, 8)] + [("x", 1, i) for i in range(1, 8)] + [("few", 1, 1)] + [("up", i, 2 * i) for i in range(1, 8)]
+    got = {r.k: r for r in bursts.count_dependence(spark.createDataFrame(flat, "k string, x long, y long"), "x", "y", ["k"]).collect()}
+    assert math.isnan(got["y"].rank_correlation) and got["y"].slope == 0 and math.isnan(got["x"].rank_correlation) and math.isnan(got["x"].slope)
+    assert (got["few"].rank_correlation, got["few"].slope) == (None, None)
+    assert math.isclose(got["up"].rank_correlation, 1) and math.isclose(got["up"].slope, 1)
+
+
 def test_just_above_the_cutoff(spark):
     rows = spark.createDataFrame([("g", "ok", 1.0), ("g", "ok", 1.05), ("g", "ok", 0.99), ("g", "ok", 1.1), ("g", "ok", None), ("g", "bad", 1.01)], "k string, status string, v double")
     r = bursts.near_cutoff(rows, ["k"], "status", "v", 1.0, 0.1).first()

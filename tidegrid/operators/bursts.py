@@ -363,13 +363,15 @@ def allan_fano(ticks: DataFrame, keys: list[str], bounds: DataFrame, ladder_s: l
 def count_dependence(rows: DataFrame, x: str, y: str, by: list[str], least: tuple[int, int] = (3, 5)) -> DataFrame:
     """Rank correlation (average ranks) of all pairs without nulls, and log-log slope of y on x over the positive ones, within groups.
 
-    Null with fewer pairs than ``least``, of either kind.
+    Null with fewer pairs than ``least``, of either kind; not a number where one side (the slope: x) never changes.
     """
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     ranked = average_ranks(average_ranks(pairs, by, "_x", "_rx"), by, "_y", "_ry")
     fine = (F.col("_x") > 0) & (F.col("_y") > 0)
     n_fine = F.count(F.when(fine, 1))
-    made = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), n_fine.alias("n_positive"), F.corr("_rx", "_ry").alias("c"), F.regr_slope(F.when(fine, F.log("_y")), F.when(fine, F.log("_x"))).alias("s"))
+    nan = F.lit(float("nan"))
+    c = ratio(F.covar_pop("_rx", "_ry"), F.sqrt(F.var_pop("_rx") * F.var_pop("_ry")))  # ``corr`` raises where a side never changes
+    made = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), n_fine.alias("n_positive"), F.coalesce(c, nan).alias("c"), F.coalesce(F.regr_slope(F.when(fine, F.log("_y")), F.when(fine, F.log("_x"))), nan).alias("s"))
     return made.select(*by, "n", "n_positive", F.when(F.col("n") >= least[0], F.col("c")).alias("rank_correlation"), F.when(F.col("n_positive") >= least[1], F.col("s")).alias("slope"))
 
 
