@@ -90,3 +90,20 @@ def test_described_groups(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), ("b", None)], "k string, x double")
     got = {r.k: (r.n, r.m) for r in frames.describe(rows, ["k"], {"x": ((0.5,), ("m",))}, n=F.count("x")).collect()}
     assert got == {"a": (2, 2.0), None: (1, 5.0), "b": (0, None)}
+
+
+def test_the_next_known_value_equals_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i, rng.choice([None, None, None, i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    got = {r.i: r.z for r in df.withColumn("z", frames.next_known(F.col("v"), ["k"], ["i"])).collect()}
+    assert got == {i: next((v for kk, j, v in rows if kk == k and j >= i and v is not None), None) for k, i, _ in rows}
+
+
+def test_no_frame_reaches_to_the_end_of_its_key_alone(spark):
+    """Such a frame is gone through anew for each row; over a whole key it is not."""
+    from tidegrid.plans import catalog
+
+    for name in ("g11_cvd_convexity", "g13_feature_row"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "rowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan, name

@@ -59,6 +59,15 @@ def islands(df: DataFrame, by: list[str], order: list[str], change: Column, name
     return df.withColumn(name, F.sum(F.when(change, 1).otherwise(0)).over(w))
 
 
+def next_known(value: Column, by: list[str], order: list[str]) -> Column:
+    """The first value that is not null from each row on, carried from a key's end to its start.
+
+    A frame that reaches to the end is gone through anew for each row: the square of a key's rows.
+    """
+    back = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(back)
+
+
 def first_when(condition: Column, value: Column) -> Column:
     """Aggregate: the smallest value at which the condition holds."""
     return F.min(F.when(condition, value))

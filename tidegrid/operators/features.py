@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import exact_quantile, ratio
+from tidegrid.functions.frames import exact_quantile, next_known, ratio
 
 
 def gap_scanner(daily: DataFrame, min_gap: float) -> DataFrame:
@@ -161,9 +161,9 @@ def convexity_grid(points: DataFrame, keys: list[str], step_s: int, window: int,
     ticks = points.join(span.select(*keys), keys).select(*keys, F.col("ts_ns").alias("at_ns"), F.lit(0).alias("side"), "seq", F.col("cvd").cast("double").alias("cvd"))
     both = grid.withColumn("side", F.lit(1)).unionByName(ticks, allowMissingColumns=True)
     known = F.when(F.col("side") == 0, F.struct(F.col("at_ns").alias("x"), F.col("cvd").alias("y")))
-    past = w.orderBy("at_ns", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.orderBy("at_ns", "side", "seq").rowsBetween(0, Window.unboundedFollowing)
-    rows = both.withColumns({"a": F.last(known, ignorenulls=True).over(past), "z": F.first(known, ignorenulls=True).over(ahead)}).filter("side = 1")
+    order = ["at_ns", "side", "seq"]
+    past = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumns({"a": F.last(known, ignorenulls=True).over(past), "z": next_known(known, keys, order)}).filter("side = 1")
     line = F.col("a.y") + F.coalesce((F.col("z.y") - F.col("a.y")) * (F.col("at_ns") - F.col("a.x")) / (F.col("z.x") - F.col("a.x")), F.lit(0.0))
     rows = rows.select(*keys, "origin", "last", "cell", line.alias("y"))
 
@@ -177,7 +177,7 @@ def convexity_grid(points: DataFrame, keys: list[str], step_s: int, window: int,
     o = w.orderBy("cell")
     near = F.collect_list("y").over(o.rowsBetween(-half, half))  # ``window`` values at most
     long = rows.filter(F.col("last") + 1 >= window).withColumn("c", F.when(F.size(near) == 2 * half + 1, dot(near, weights(half))))
-    filled = F.coalesce("c", F.first("c", True).over(o.rowsBetween(0, Window.unboundedFollowing)), F.last("c", True).over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    filled = F.coalesce("c", next_known(F.col("c"), keys, ["cell"]), F.last("c", True).over(o.rowsBetween(Window.unboundedPreceding, 0)))
     long = long.select(*keys, "origin", "last", "cell", "y", filled.alias("convexity"))
     short = rows.filter(F.col("last") + 1 < window).groupBy(*keys, "origin", "last").agg(F.sort_array(F.collect_list(F.struct("cell", "y"))).alias("p"))  # fewer than ``window`` values
     own = F.floor(F.col("last") / 2)  # half the greatest odd window that fits
