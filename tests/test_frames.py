@@ -104,6 +104,6 @@ def test_no_frame_reaches_to_the_end_of_its_key_alone(spark):
     """Such a frame is gone through anew for each row; over a whole key it is not."""
     from tidegrid.plans import catalog
 
-    for name in ("g11_cvd_convexity", "g13_feature_row"):
+    for name in ("h10_burst_runs", "g11_cvd_convexity", "g13_feature_row", "d10_min_window_minutes"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "rowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan, name

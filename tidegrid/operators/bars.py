@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.frames import QUARTILES, describe, first_when, ratio
+from tidegrid.functions.frames import QUARTILES, describe, first_when, next_known, ratio
 from tidegrid.operators.calendar import segment_of
 
 SEGMENTS = ("premarket", "rth", "post")
@@ -116,8 +116,7 @@ def min_window_minutes(grid: DataFrame, keys: list[str], fraction: float) -> Dat
     sums = grid.withColumns({"cum": F.sum("volume").over(run), "total": F.sum("volume").over(w)})
     ends = sums.select(*keys, F.col("cum").cast("double").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("start"), F.col("minute_index").cast("long").alias("end"), "total")
     starts = sums.select(*keys, (F.col("cum") - F.col("volume") + F.lit(fraction) * F.col("total")).alias("at"), F.lit(0).alias("side"), F.col("minute_index").cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "total")
-    ahead = w.orderBy("at", "side", "end").rowsBetween(0, Window.unboundedFollowing)
-    met = starts.unionByName(ends).withColumn("end", F.first("end", ignorenulls=True).over(ahead)).filter("start IS NOT NULL")
+    met = starts.unionByName(ends).withColumn("end", next_known(F.col("end"), keys, ["at", "side", "end"])).filter("start IS NOT NULL")
     return met.groupBy(*keys).agg(F.when(F.max("total") > 0, F.min(F.col("end") - F.col("start") + 1)).otherwise(F.count(F.lit(1))).alias("minutes"))
 
 

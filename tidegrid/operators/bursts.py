@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.functions.frames import asof_join, average_ranks, islands, ratio
+from tidegrid.functions.frames import asof_join, average_ranks, islands, next_known, ratio
 
 NS = 1_000_000_000
 
@@ -248,7 +248,7 @@ def two_state_bursts(ticks: DataFrame, keys: list[str], s: float, gamma: float,
     tau) + c1 - c0``, a clamp that no window function expresses without a running
     list; it is a scan of arrays, carried over Arrow batches of rows sorted by event
     and time, in constant memory. The path backwards is 0 where d >= tau, 1 where d < 0, else as
-    its successor: a window.
+    its successor: carried backward.
     """
     w = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
     whole = Window.partitionBy(*keys)
@@ -259,8 +259,7 @@ def two_state_bursts(ticks: DataFrame, keys: list[str], s: float, gamma: float,
     schema = T.StructType([*chosen.schema.fields, T.StructField("d", T.DoubleType())])
     folded = chosen.mapInArrow(lambda batches: _steps(batches, len(keys), s, gamma), schema)
     fixed = F.when(F.col("d") >= F.lit(gamma) * F.log("n"), 0).when(F.col("d") < 0, 1)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    return folded.withColumn("state", F.coalesce(F.first(fixed, ignorenulls=True).over(ahead), F.lit(0))).select(*keys, "ts_ns", "seq", "d", "state")
+    return folded.withColumn("state", F.coalesce(next_known(fixed, keys, ["ts_ns", "seq"]), F.lit(0))).select(*keys, "ts_ns", "seq", "d", "state")
 
 
 def burst_runs(path: DataFrame, keys: list[str]) -> DataFrame:
