@@ -7,11 +7,13 @@ import itertools
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -501,6 +503,23 @@ def test_language_model_of_nothing(empty):
 # pipeline --------------------------------------------------------------------
 
 
+def test_languages_told_in_bounded_memory():
+    """Ten million characters in one batch: a worker holds the grams of a small part of them."""
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+    texts = [None, "12", *("some words here " * 6_000 for _ in range(100)), "the end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    made = [(r["doc_id"], r["l"], r["s"]) for b in langid.predicted(iter([batch]), 1, model, ("l", "s", "r")) for r in b.select(["doc_id", "l", "s"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, *_ in made] == list(range(len(texts)))
+    assert made[0][1:] == made[1][1:] == ("und", 0.0)
+    assert made[-1][2] == pytest.approx(model.probabilities([texts[-1]]).max())
+    assert len({s for _, _, s in made[2:-1]}) == 1
+    assert peak < 60e6
+
+
 def test_pipeline_against_brute_force(spark, docs, texts):
     stages = dict(corpus_pipeline.STAGES)
     one = stages["quality rules"](spark, docs, "")

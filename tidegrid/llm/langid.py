@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.chunks import batches_of
+from tidegrid.llm.chunks import column_slices
 
 #: Bounds of the labelled sample: rows a language, characters a row; every language is learnt.
 PER_LANG, CHARS = 400, 20_000
@@ -49,6 +49,8 @@ CEILING, FEW = 0.7, 25
 #: Groups of languages that are left out in turn, epochs of these models, and words of a stretch that counts for the threshold.
 LEFT_OUT, FEW_EPOCHS, WORDS = 4, 2, 8
 UNKNOWN = "und"
+#: Bytes of text predicted at a time: a worker takes about 100 times as much.
+SLICE = 250_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -59,14 +61,14 @@ def letters() -> np.ndarray:
 
 def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every n-gram, text of every n-gram), texts in order."""
-    joined = "\n".join([t.lower().replace("\n", " ") for t in texts])
+    joined = "\n\n".join([t.lower().replace("\n", " ") for t in texts])  # a boundary at the end of each text, one at the start of the next
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     line = points == 10
     points = np.where(letters()[points], points, 32)
     space = points == 32
     keep = ~space | line
     keep[1:] |= ~space[:-1]  # one boundary after each word
-    text = np.cumsum(line)[keep] - line[keep]
+    text = np.cumsum(line)[keep] // 2
     c = points[keep].astype(np.uint32)
     c, text = np.concatenate([[32], c, [32]]).astype(np.uint32), np.concatenate([text[:1], text, text[-1:]])
     found, whose = [], []
@@ -239,6 +241,21 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
+def predicted(batches: Iterator[pa.RecordBatch], place: int, model: Model | None, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut by SLICE, with language, score and rejection of the texts in column ``place``."""
+    for batch in batches:
+        for lo, hi in column_slices(batch.column(place), SLICE):
+            some = batch.column(place).slice(lo, hi - lo).to_pylist()
+            lettered = [i for i, t in enumerate(some) if model is not None and has_letters(t)]
+            langs, scores, rejected = [UNKNOWN] * len(some), [0.0] * len(some), [True] * len(some)
+            if lettered:
+                p = model.probabilities([some[i] for i in lettered])
+                for i, k, s in zip(lettered, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
+                    langs[i], scores[i], rejected[i] = model.langs[k], s, s < model.threshold
+            own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], [*batch.schema.names, *names])
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """``docs`` with the columns ``names``, which replace any of these names; others pass unchanged."""
     spark = docs.sparkSession
@@ -247,19 +264,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names:
     place = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for lo, hi in batches_of(texts, [len(t or "") for t in texts], 2_000_000):
-                some = texts[lo:hi]
-                lettered = [i for i, t in enumerate(some) if model is not None and has_letters(t)]
-                langs, scores, rejected = [UNKNOWN] * len(some), [0.0] * len(some), [True] * len(some)
-                if lettered:
-                    p = model.probabilities([some[i] for i in lettered])
-                    for i, k, s in zip(lettered, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
-                        langs[i], scores[i], rejected[i] = model.langs[k], s, s < model.threshold
-                own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], [*batch.schema.names, *names])
+        return predicted(batches, place, shipped.value, names)
 
     kinds = zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)
     return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in kinds)]))
