@@ -496,6 +496,36 @@ def test_learnt_against_a_sequential_sampler(spark, checkpoint, monkeypatch):
         assert got[i] == pytest.approx(sum(math.log10(mean[p]) for p in x), rel=0.02)
 
 
+@pytest.mark.parametrize("head", [0, 3])
+def test_words_beyond_the_head_have_their_own_contexts(spark, checkpoint, monkeypatch, head):
+    """Words without a code, rare and unknown ones too, are scored as a sampler of single customers has it."""
+    d, s = 0.5, 2.0
+    monkeypatch.setattr(hpylm, "DISCOUNTS", np.array([d]))
+    monkeypatch.setattr(hpylm, "STRENGTHS", np.array([s]))
+    texts = [f"the {a} {b} saw the {c} near the {b} house and the {a} tree" for a in ("old", "new", "red") for b in ("cat", "dog", "cow") for c in ("man", "sun")] * 2
+    texts += ["lonely words stand here once", "the lonely cat"]
+    held = ["the lonely cat", "the zebra saw the yak", "here once", "cat lonely"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(held)]
+    kept = []
+    learnt = hpylm.learnt
+    monkeypatch.setattr(hpylm, "learnt", lambda *a: kept.append(learnt(*a)) or kept[-1])
+    made = hpylm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), passes=6, head=head).collect()
+    got = {r.doc_id: r.score for r in made}
+    assert len(got) == len(made) == len(rows)
+    words = sorted({w for t in texts for w in t.split()})
+    code, unknown, end = {w: i for i, w in enumerate(words)}, len(words), len(words) + 1
+    pairs_of = lambda t: list(itertools.pairwise([end, *(code.get(w, unknown) for w in t.split()), end]))
+    model = kept[0][0]
+    assert len(model.vocabulary.words) <= head and model.vocabulary.tail_words == len(words) - len(model.vocabulary.words)
+    each = [pairs_of(t) for t in texts]
+    _, mean = seated_one_by_one([p for x in each for p in x], end + 1, s, d, 60, 20, 3)
+    for i, x in enumerate(each):
+        assert got[i] == pytest.approx(sum(math.log10(mean[p]) for p in x), rel=0.03)
+    # contexts with no training pair leave all to the parent, the others their part: "here" "once" was seen, "cat" "lonely" was not
+    assert got[1002] > got[1003]
+    assert all(math.isfinite(got[1000 + i]) and got[1000 + i] < 0 for i in range(len(held)))
+
+
 def test_language_model_of_nothing(empty):
     assert hpylm.train_and_score(empty.select("doc_id", "text", "held_out")).collect() == []
 

@@ -3,10 +3,13 @@
 A text is its words and one end token. The context of a token is the word before
 it (the end token at a text's start); each context is a restaurant, all share one
 parent, the restaurant of single words. Words are told apart by 64-bit hashes.
-Words of less than ``least`` training occurrences - the smallest power of two
-that at most HEAD words reach - are one rare word in both restaurants, as
-contexts and as dishes; which rare word it is comes from a restaurant of its own
-over all rare words and one unknown word. Pairs are never pruned.
+Every word of the training documents is a context and a dish of its own, and all
+others are one unknown word. Words of at least ``least`` training occurrences - the
+smallest power of two that at most HEAD words reach - have a code and are
+broadcast; the weights of the rest (the tail) are a table that is joined to their
+pairs. Pairs are never pruned. Asked for at most so many words (``most``), the rest
+are one rare word instead, as contexts and as dishes; which rare word it is comes
+from a restaurant of its own over all rare words and one unknown word.
 
 Seating is sampled by Gibbs: in every pass all customers of every pair leave
 their tables and are seated anew as one block, whose number of tables is drawn
@@ -25,7 +28,10 @@ very large weights of a new table).
 Plan. Word counts by one partially aggregated shuffle. Then each distinct pair
 of each document travels once, as packed sorted arrays by a hash of the pair
 (rare words by their own), and is written as one sorted row a bucket, beside its
-distinct pairs with their counts: every pass is a scan of the latter alone.
+distinct pairs with their counts: every pass is a scan of the latter alone. Pairs
+with a word of the tail are written beside them; those that occur once have one
+table whatever the weights, the others meet the tables and customers of their words
+by two joins a pass, and all meet them once for the scores.
 Scoring sums log probabilities by document, again packed, in one more exchange.
 Pairs of over a hundredth of the documents, or of over HOT_ROWS, by a sample that
 grows with the documents, are dealt over all buckets, summed before they travel,
@@ -77,7 +83,7 @@ SPREAD = 0x9E3779B97F4A7C15 % (1 << 2 * BITS)
 KEYS = np.uint64((1 << 2 * BITS) - 1)
 BACK = np.uint64(pow(SPREAD, -1, 1 << 2 * BITS))
 DOC_BITS = np.uint64(64 - 2 * BITS)
-PAIR, RARE_WORD, HOT_PAIR = 0, 1, 2
+PAIR, RARE_WORD, HOT_PAIR, TAIL_PAIR = 0, 1, 2, 3
 
 
 # --------------------------------------------------------------------- seating
@@ -208,10 +214,16 @@ class Level:
         """What a restaurant leaves to its base."""
         return self.pull() / (self.strength + self.customers)
 
-    def redrawn(self, tables: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> Level:
-        """With new tables; the discount, then the strength, drawn from their conditionals on a grid."""
+    def redrawn(self, tables: np.ndarray, seen: np.ndarray, rng: np.random.Generator, tail: tuple[np.ndarray, ...] | None = None) -> Level:
+        """With new tables; the discount, then the strength, drawn from their conditionals on a grid.
+
+        ``tail``: customers and tables of more restaurants, and how many have these.
+        """
         has = self.customers >= 1
         c, t = self.customers[has], np.clip(tables[has], 1, self.customers[has])
+        times = np.ones(len(c))
+        if tail is not None:
+            c, t, times = (np.concatenate(x) for x in zip((c, t, times), tail, strict=True))
         if not len(c):
             return replace(self, tables=tables)
         cells = (EXACT + 1) + np.flatnonzero(seen[EXACT + 1 :])
@@ -224,14 +236,14 @@ class Level:
 
         def opened(d: float, s: float) -> float:
             """log of the product of s + d i over each restaurant's tables but the first."""
-            return float((np.log(d) * (t - 1) + log_gamma(s / d + t) - log_gamma(np.full(1, s / d + 1))).sum())
+            return float(times @ (np.log(d) * (t - 1) + log_gamma(s / d + t) - log_gamma(np.full(1, s / d + 1))))
 
         def drawn(grid: np.ndarray, logs: list[float]) -> float:
             w = np.exp(np.array(logs) - max(logs))
             return float(rng.choice(grid, p=w / w.sum()))
 
         d = drawn(DISCOUNTS, [opened(d, self.strength) + seated(float(d)) for d in DISCOUNTS])
-        s = drawn(STRENGTHS, [opened(d, s) - float((log_gamma(s + c) - log_gamma(np.full(1, s + 1))).sum()) - s for s in STRENGTHS])
+        s = drawn(STRENGTHS, [opened(d, s) - float(times @ (log_gamma(s + c) - log_gamma(np.full(1, s + 1)))) - s for s in STRENGTHS])
         return Level(d, s, self.customers, tables)
 
 
@@ -287,6 +299,10 @@ class Vocabulary:
     distinct: int  # distinct training tokens
     rare_tokens: int
     rare_words: int
+    whole: bool = False  # words without a code are the tail's, each its own, and none is the rare word
+    tail_tokens: int = 0
+    tail_words: int = 0
+    least: int = 2  # occurrences of a word with a code
 
     @property
     def rare(self) -> int:
@@ -307,7 +323,7 @@ class Vocabulary:
         return np.concatenate([self.counts, [self.rare_tokens, self.ends]]).astype(np.float64)
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame, most: int = HEAD) -> Vocabulary:
+def vocabulary(docs: DataFrame, counts: DataFrame, most: int = HEAD, whole: bool = False) -> Vocabulary:
     marks = [1 << k for k in range(1, 62)]
     row = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0)), *(F.count(F.when(F.col("c") >= m, 1)) for m in marks)).first()
     ends = docs.filter("NOT held_out").count()
@@ -315,7 +331,9 @@ def vocabulary(docs: DataFrame, counts: DataFrame, most: int = HEAD) -> Vocabula
     head = counts.filter(F.col("c") >= least).toArrow()
     words, c = np.asarray(head.column(0).combine_chunks()).view(np.uint64), np.asarray(head.column(1).combine_chunks())
     order = np.argsort(words)
-    return Vocabulary(words[order], c[order], ends, int(row[1]) + ends, int(row[0]) + (ends > 0), int(row[1] - c.sum()), int(row[0]) - len(c))
+    rest = int(row[1] - c.sum()), int(row[0]) - len(c)
+    rare, tail = ((0, 0), rest) if whole else (rest, (0, 0))
+    return Vocabulary(words[order], c[order], ends, int(row[1]) + ends, int(row[0]) + (ends > 0), *rare, whole, *tail, least)
 
 
 # --------------------------------------------------------------------- packing
@@ -323,11 +341,13 @@ def vocabulary(docs: DataFrame, counts: DataFrame, most: int = HEAD) -> Vocabula
 
 def pack(*columns: np.ndarray) -> bytes:
     """Arrays of one length as compressed byte planes."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns]
     return pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
 def unpack(raw: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    if not n:
+        return [np.zeros(0, k) for k in kinds]
     width = [np.dtype(k).itemsize for k in kinds]
     data = np.frombuffer(pa.decompress(raw, n * sum(width), "zstd", asbytes=True), np.uint8)
     out, at = [], 0
@@ -339,6 +359,9 @@ def unpack(raw: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
 
 ENTRY = ["<u8", "<u4", "<u4"]  # difference to the key before, twice the document's place + held out, occurrences
 MET = ["<u8", "<u8", "<u4"]  # difference, the row's number, occurrences
+TAIL_ENTRY = ["<i8", "<i8", "<u4", "<u4"]  # ids of both words, mark, occurrences
+TAIL_MET = ["<i8", "<i8", "<i8", "<u4"]  # the same with the row's number
+TAIL_COUNT = ["<i8", "<i8", "<i8"]  # ids of both words, training occurrences from two
 COUNT = ["<u8", "<u8"]  # difference, training occurrences
 MOVED = "kind int, bucket int, n long, base long, raw binary, doc_id long, n_tokens long, known long, logs double"
 MET_ROW = f"{MOVED}, m long, counts binary"
@@ -348,12 +371,13 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def pairs_of(codes: np.ndarray, edges: np.ndarray, end: int, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key of the pair, mark of the document, occurrences) of each distinct pair of each document, in this order."""
+def pairs_of(codes: np.ndarray, edges: np.ndarray, end: int, mark: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the pair, mark of the document, occurrences) of each distinct pair of each document, in this order; none with the code ``skip``."""
     now = np.insert(codes, edges[1:], end).astype(np.uint64)
     before = np.concatenate([np.array([end], np.uint64), now[:-1]])
     key = ((before << np.uint64(BITS) | now) * np.uint64(SPREAD)) & KEYS
-    both = np.sort(key << DOC_BITS | np.repeat(mark.astype(np.uint64), np.diff(edges) + 1))
+    both = key << DOC_BITS | np.repeat(mark.astype(np.uint64), np.diff(edges) + 1)
+    both = np.sort(both if skip < 0 else both[(now != skip) & (before != skip)])
     start = _runs(both)
     both, n = both[start], np.diff(np.append(start, len(both)))
     return both >> DOC_BITS, both & ((np.uint64(1) << DOC_BITS) - np.uint64(1)), n
@@ -365,6 +389,33 @@ def _both(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
+def tail_ids(hashed: np.ndarray) -> np.ndarray:
+    """Negative ids of words without a code: 63 bits of their hashes."""
+    return (hashed >> np.uint64(1) | np.uint64(1 << 63)).view(np.int64)
+
+
+def _pair_runs(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
+
+
+def tail_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of each pair of ids."""
+    x = (u.view(np.uint64) * MIX ^ w.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+
+
+def tail_pairs_of(ids: np.ndarray, edges: np.ndarray, end: int, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ids of both words, mark, occurrences) of each distinct pair of each document with a word of the tail."""
+    now = np.insert(ids, edges[1:], end)
+    before = np.concatenate([[end], now[:-1]])
+    tail = np.flatnonzero((now < 0) | (before < 0))
+    u, w, m = before[tail], now[tail], np.repeat(mark, np.diff(edges) + 1)[tail]
+    order = np.lexsort((w, u, m))
+    u, w, m = u[order], w[order], m[order]
+    start = np.union1d(_pair_runs(u, w), _runs(m))
+    return u[start], w[start], m[start], np.diff(np.append(start, len(u)))
+
+
 def words_of(hashed: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, mark, occurrences) of each distinct word of each document, in this order."""
     order = np.lexsort((mark, hashed))
@@ -378,7 +429,7 @@ def hot_pairs(docs: DataFrame, shipped, n_docs: int) -> np.ndarray:
         v = shipped.value
         for batch in _slices(batches):
             words, place, edges = split(batch.column("text"))
-            key = pairs_of(v.codes(hashes(words))[place], edges, v.end, np.arange(batch.num_rows))[0]
+            key = pairs_of(v.codes(hashes(words))[place], edges, v.end, np.arange(batch.num_rows), v.rare if v.whole else -1)[0]
             start = _runs(key)
             yield pa.RecordBatch.from_arrays([pa.array(key[start].view(np.int64)), pa.array(np.diff(np.append(start, len(key))))], ["key", "n"])
 
@@ -427,11 +478,18 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
             rare = codes == v.rare
             logs = np.bincount(own, logs_of[codes], n_docs)
             known = np.bincount(own[~rare], minlength=n_docs)
-            key, marks, n = pairs_of(codes, edges, v.end, mark)
+            key, marks, n = pairs_of(codes, edges, v.end, mark, v.rare if v.whole else -1)
             is_hot = among(hot, key)
             spread = ((key >> np.uint64(4)).astype(np.int64) * buckets) >> 2 * BITS - 4
             out = list(deal(PAIR, key[~is_hot], marks[~is_hot], n[~is_hot], base, spread[~is_hot]))
             out += deal(HOT_PAIR, key[is_hot], marks[is_hot], n[is_hot], base, np.full(is_hot.sum(), base // 2 % buckets))
+            if v.whole:
+                tail = tail_pairs_of(np.where(rare, tail_ids(hashed)[place], codes), edges, v.end, mark)
+                bucket = ((tail_keys(*tail[:2]) >> np.uint64(33)).astype(np.int64) * buckets) >> 31
+                order = np.argsort(bucket, kind="stable")
+                bucket, tail = bucket[order], [c[order].astype(k) for c, k in zip(tail, TAIL_ENTRY, strict=True)]
+                for lo, hi in itertools.pairwise(np.append(_runs(bucket), len(bucket)).tolist()):
+                    out.append((TAIL_PAIR, int(bucket[lo]), hi - lo, base, pack(*(c[lo:hi] for c in tail)), None, None, None, None))
             key, marks, n = words_of(hashed[place[rare]], mark[own[rare]])
             out += deal(RARE_WORD, key, marks, n, base, ((key >> np.uint64(33)).astype(np.int64) * buckets) >> 31)
             ids = batch.column("doc_id").to_pylist()
@@ -444,6 +502,15 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
         now = None
 
         def out() -> pa.RecordBatch:
+            if now[1] == TAIL_PAIR:
+                u, w, row, n = (np.concatenate(c) for c in zip(*held, strict=True))
+                order = np.lexsort((w, u))
+                u, w, row, n = u[order], w[order], row[order], n[order]
+                start = _pair_runs(u, w)
+                count = np.add.reduceat(np.where(row & 1, 0, n).astype(np.int64), start)
+                again = count > 1
+                counts = pack(u[start][again], w[start][again], count[again])
+                return pa.RecordBatch.from_pylist([{"kind": TAIL_PAIR, "bucket": now[0], "n": len(row), "raw": pack(u, w, row, n), "m": int(again.sum()), "counts": counts}], schema=MET_SCHEMA)
             key, row, n = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(key, kind="stable")
             key, row, n = key[order], row[order], n[order]
@@ -465,6 +532,10 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
                     if held:
                         yield out()
                     held, now = [], (r["bucket"], r["kind"])
+                if r["kind"] == TAIL_PAIR:
+                    u, w, row, n = unpack(r["raw"], r["n"], TAIL_ENTRY)
+                    held.append((u, w, row.astype(np.int64) + r["base"], n))
+                    continue
                 diff, row, n = unpack(r["raw"], r["n"], ENTRY)
                 held.append((np.cumsum(diff), row.astype(np.int64) + r["base"], n))
         if held:
@@ -514,6 +585,33 @@ class Model:
     vocabulary: Vocabulary
     turn: int = 0  # its pass
     earlier: tuple[Model, ...] = ()
+    #: How its parent was seated: pull and discount before, base, and what probabilities are divided by; none at the start.
+    above: tuple[float, float, float, float] | None = None
+
+    def dish(self, word: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """The parent's probability of words of the tail, from their customers there."""
+        if self.above is None:
+            return (customers + 1) / ((self.vocabulary.totals() + 1).sum() + self.vocabulary.tail_tokens + self.vocabulary.tail_words)
+        pull, discount, base, total = self.above
+        tables, _ = sampled(customers, np.full(len(word), pull), np.full(len(word), base), discount, self.turn, key=word.view(np.uint64))
+        return ((customers - self.parent.discount * tables) / (self.parent.strength + self.parent.customers[0]) + self.parent.back()[0] * base) / total
+
+    def tail_pairs(self, u: np.ndarray, w: np.ndarray, count: np.ndarray, seated: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tables, cells, the parent's probability) of pairs of ids; tail words' tables as contexts and customers at the parent are given."""
+        pull = np.where(u < 0, self.contexts.strength + self.contexts.discount * seated, self.contexts.pull()[np.maximum(u, 0)])
+        p, tail = self.p[np.maximum(w, 0)], np.flatnonzero(w < 0)
+        p[tail] = self.dish(w[tail], k[tail])
+        return *sampled(count, pull, p, self.contexts.discount, self.turn, 1, tail_keys(u, w)), p
+
+    def tail_scores(self, u: np.ndarray, w: np.ndarray, count: np.ndarray, customers: np.ndarray, seated: list[np.ndarray], k: list[np.ndarray]) -> np.ndarray:
+        """log10 of the predictive probability of pairs of ids, averaged over the kept states, each with its tables and customers."""
+        each = np.zeros(len(u))
+        for m, t, dishes in zip([*self.earlier, self], seated, k, strict=True):
+            tables, _, p = m.tail_pairs(u, w, count, t, dishes)
+            s, d, uc = m.contexts.strength, m.contexts.discount, np.where(u < 0, customers, m.contexts.customers[np.maximum(u, 0)])
+            back = np.where(u < 0, (s + d * t) / (s + customers), m.contexts.back()[np.maximum(u, 0)])
+            each += (count - d * tables) / (s + uc) + back * p
+        return np.log10(each / SWEEPS)
 
     def pair_tables(self, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u, w = _both(pair)
@@ -544,27 +642,210 @@ class Model:
         return np.log10(sum(map(predictive, states)) / len(states))
 
 
-def parent_of(dishes: np.ndarray, level: Level, seed: int) -> tuple[Level, np.ndarray]:
-    """The parent's new state and probabilities, from its customers by code."""
+def parent_of(dishes: np.ndarray, level: Level, seed: int, tail: tuple[float, float, np.ndarray] | None = None, tail_words: int = 0) -> tuple[Level, np.ndarray, tuple[float, float, float, float]]:
+    """The parent's new state and probabilities, from its customers by code, and how it was seated.
+
+    ``tail``: customers and mean tables of the tail's words in all, and the statistics of these.
+    """
     customers = np.maximum(np.rint(dishes), 0).astype(np.int64)
-    base = np.full(len(customers), 1 / len(customers))
-    tables, seen = sampled(customers, np.full(len(customers), level.pull()[0]), base, level.discount, seed)
-    level = Level(level.discount, level.strength, np.array([float(customers.sum())]), np.array([tables.sum()]))
-    level = level.redrawn(level.tables, seen, np.random.default_rng(seed))
+    base = 1 / (len(customers) + tail_words)
+    pull, discount = float(level.pull()[0]), level.discount
+    tables, seen = sampled(customers, np.full(len(customers), pull), np.full(len(customers), base), discount, seed)
+    more, more_tables, cells = tail or (0.0, 0.0, np.zeros(CELL))
+    level = Level(discount, level.strength, np.array([float(customers.sum()) + more]), np.array([tables.sum() + more_tables]))
+    level = level.redrawn(level.tables, seen + cells, np.random.default_rng(seed))
     p = (customers - level.discount * tables) / (level.strength + level.customers[0]) + level.back()[0] * base
-    return level, p / p.sum()
+    total = float(p.sum() + (more - level.discount * more_tables) / (level.strength + level.customers[0]) + level.back()[0] * base * tail_words)
+    return level, p / total, (pull, discount, base, total)
 
 
 def start(v: Vocabulary) -> Model:
     """Half of all customers at tables of their own."""
     totals = v.totals()
     contexts = Level(0.5, 1.0, totals.copy(), totals / 2)
-    p = (totals + 1) / (totals + 1).sum()
+    p = (totals + 1) / ((totals + 1).sum() + v.tail_tokens + v.tail_words)
     one = lambda n: Level(0.5, 1.0, np.array([float(n)]), np.array([n / 2]))
-    return Model(contexts, one(totals.sum() / 2), one(v.rare_tokens), p, v)
+    return Model(contexts, one((totals.sum() + v.tail_tokens) / 2), one(v.rare_tokens), p, v)
+
+
+# ------------------------------------------------------------------------ tail
+
+
+ID = "shiftrightunsigned(word, 1) | -9223372036854775808"
+TAIL_SUMS = "which int, word long, x double, y double"
+
+
+def tail_counts(rows: DataFrame) -> DataFrame:
+    """(u, w, c): pairs with a word of the tail that occur twice or more in training."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, raw in zip(*(batch.column(c).to_pylist() for c in ("m", "counts")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack(raw, m, TAIL_COUNT)], ["u", "w", "c"])
+
+    return rows.filter(F.col("kind") == TAIL_PAIR).select("m", "counts").mapInArrow(unpacked, "u long, w long, c long")
 
 
-def learnt(rows: DataFrame, v: Vocabulary, hot: np.ndarray, passes: int = PASSES) -> tuple[Model, np.ndarray]:
+def with_states(pairs: DataFrame, states: DataFrame, contexts: list[str], dishes: list[str]) -> DataFrame:
+    """``pairs`` with columns of ``states`` for each first and each second word of the tail; null for words with a code and unknown ones."""
+    for side, names in (("u", contexts), ("w", dishes)):
+        kinds = {f.name: f.dataType for f in states.schema}
+        tail = pairs.filter(F.col(side) < 0).join(states.select(F.col("word").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)), side, "left")
+        pairs = tail.unionByName(pairs.filter(F.col(side) >= 0).select("*", *(F.lit(None).cast(kinds[n]).alias(f"{side}_{n}") for n in names)))
+    return pairs
+
+
+def _numbers(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    return np.asarray(pc.fill_null(column, 0)).astype(kind)
+
+
+class Tail:
+    """The words without a code: too many to be sent to each task, their weights travel to their pairs.
+
+    A pair that occurs once in training has one table whatever its weights, so that
+    only words of pairs that occur again (``active``) change from pass to pass.
+    ``su`` and ``sw`` are a word's pairs that occur once, as context and as dish.
+    """
+
+    def __init__(self, rows: DataFrame, counts: DataFrame, v: Vocabulary) -> None:
+        self.pairs = written(tail_counts(rows), "tail-pairs")
+        none = F.lit(0).cast("long")
+        ends = self.pairs.select(F.col("u").alias("word"), F.col("c").alias("du"), none.alias("dw")).unionAll(self.pairs.select("w", none, "c"))
+        again = ends.filter("word < 0").groupBy("word").agg(F.sum("du").alias("du"), F.sum("dw").alias("dw"))
+        words = counts.filter(F.col("c") < v.least).groupBy(F.expr(ID).alias("word")).agg(F.sum("c").alias("c"))
+        listed = written(words.join(again, "word", "left"), "tail-words")
+        states = F.array().cast("array<long>")
+        self.quiet = listed.filter("du IS NULL").select("word", "c")
+        self.active = listed.filter("du IS NOT NULL").select(
+            "word", "c", (F.col("c") - F.col("du")).alias("su"), (F.col("c") - F.col("dw")).alias("sw"), (F.col("c") / 2).alias("t"), F.col("c").alias("k"), states.alias("ts"), states.alias("ks")
+        )
+
+        def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for n, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "raw")), strict=True):
+                    u, w, row, times = unpack(raw, n, TAIL_MET)
+                    start = _pair_runs(u, w)
+                    one = start[np.add.reduceat(np.where(row & 1, 0, times).astype(np.int64), start) == 1]
+                    word, place = np.unique(np.concatenate([u[one], w[one]]), return_inverse=True)
+                    side = np.repeat([1.0, 0.0], len(one))
+                    x, y = np.bincount(place, side, len(word)), np.bincount(place, 1 - side, len(word))
+                    yield _sums(0, word[word >= 0], x[word >= 0], y[word >= 0])
+
+        made = rows.filter(F.col("kind") == TAIL_PAIR).select("n", "raw").mapInArrow(lone, TAIL_SUMS).groupBy("word").agg(F.sum("x"), F.sum("y")).toArrow()
+        code, x, y = (np.asarray(made.column(i).combine_chunks()) for i in range(3))
+        #: Tables of pairs with a word of the tail that occur once, by the code of the other word, as context and as dish.
+        self.once = [np.bincount(code, n, v.end + 1) for n in (x, y)]
+
+    def seated(self, shipped) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Seats all pairs anew: (codes, their tables as contexts, as dishes; statistics). The active words have their new states afterwards."""
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, seen = shipped.value, np.zeros(CELL)
+            for batch in batches:
+                u, w, c = (np.asarray(batch.column(n)) for n in ("u", "w", "c"))
+                if not len(u):
+                    continue
+                t, cells, _ = model.tail_pairs(u, w, c, _numbers(batch.column("u_t")), _numbers(batch.column("w_k"), np.int64))
+                seen += cells
+                word, place = np.unique(np.concatenate([u, w]), return_inverse=True)
+                none = np.zeros(len(t))
+                yield _sums(0, word, np.bincount(place, np.concatenate([t, none]), len(word)), np.bincount(place, np.concatenate([none, t]), len(word)))
+            found = np.flatnonzero(seen)
+            yield _sums(1, found, seen[found], np.zeros(len(found)))
+
+        pairs = with_states(self.pairs, self.active, ["t"], ["k"])
+        made = written(pairs.mapInArrow(drawn, TAIL_SUMS).groupBy("which", "word").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "tail-tables")
+        heads = made.filter("which = 1 OR word >= 0").toArrow()
+        which, code, x, y = (np.asarray(heads.column(i).combine_chunks()) for i in range(4))
+        tables = made.filter("which = 0 AND word < 0").select("word", "x", "y")
+        self.active = written(
+            self.active.join(tables, "word", "left").select("word", "c", "su", "sw", (F.col("su") + F.coalesce("x", F.lit(0.0))).alias("t"), (F.col("sw") + F.coalesce("y", F.lit(0.0))).cast("long").alias("k"), "ts", "ks"), "tail-states"
+        )
+        seen = np.bincount(code[which == 1], x[which == 1], CELL)
+        return code[which == 0], x[which == 0], y[which == 0], seen
+
+    def keep(self) -> None:
+        self.active = self.active.withColumn("ts", F.concat("ts", F.array(F.col("t").cast("long")))).withColumn("ks", F.concat("ks", F.array("k")))
+
+    def totals(self, level: Level, seed: int, base: float) -> tuple[tuple[np.ndarray, ...], tuple[float, float, np.ndarray]]:
+        """(customers, tables and number of contexts; what ``parent_of`` takes)."""
+        pull, discount = float(level.pull()[0]), level.discount
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, c, t, k = (np.asarray(batch.column(i)) for i in range(4))
+                if not len(word):
+                    continue
+                tables, cells = sampled(k, np.full(len(k), pull), np.full(len(k), base), discount, seed, key=word.view(np.uint64))
+                both, n = np.unique(c << 31 | t, return_counts=True)
+                yield _sums(0, both, n.astype(float), np.zeros(len(n)))
+                found = np.flatnonzero(cells)
+                yield _sums(1, found, cells[found], np.zeros(len(found)))
+                yield _sums(2, np.zeros(1, np.int64), np.array([float(k.sum())]), np.array([tables.sum()]))
+
+        every = self.active.select("word", "c", F.col("t").cast("long").alias("t"), "k").unionByName(self.quiet.select("word", "c", F.col("c").alias("t"), F.col("c").alias("k")))
+        made = every.mapInArrow(summed, TAIL_SUMS).groupBy("which", "word").agg(F.sum("x"), F.sum("y")).toArrow()
+        which, code, x, y = (np.asarray(made.column(i).combine_chunks()) for i in range(4))
+        own = which == 0
+        contexts = (code[own] >> 31).astype(float), (code[own] & (1 << 31) - 1).astype(float), x[own]
+        return contexts, (float(x[which == 2].sum()), float(y[which == 2].sum()), np.bincount(code[which == 1], x[which == 1], CELL))
+
+    def sent(self, rows: DataFrame, shipped, places: int, schema: pa.Schema) -> DataFrame:
+        """Sums by document of the tail's pairs, as ``scores`` sends them."""
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for n, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "raw")), strict=True):
+                    u, w, row, times = unpack(raw, n, TAIL_MET)
+                    start = _pair_runs(u, w)
+                    edges = np.append(start, n).astype(np.int32)
+                    count = np.add.reduceat(np.where(row & 1, 0, times).astype(np.int64), start)
+                    lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (row, times.astype(np.int64))]
+                    made = pa.RecordBatch.from_arrays([pa.array(u[start]), pa.array(w[start]), pa.array(count), *lists], ["u", "w", "c", "rows", "times"])
+                    for at in range(0, made.num_rows, 20_000):
+                        yield made.slice(at, 20_000)
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shipped.value[0]
+            held: list[tuple] = []
+            size = 0
+
+            def out() -> pa.RecordBatch:
+                every, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                row, place = np.unique(every, return_inverse=True)
+                held.clear()
+                return pa.RecordBatch.from_pylist(list(_sent(PAIR, places, row, np.bincount(place, x, len(row)).astype("<f4"))), schema=schema)
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                u, w, c = (np.asarray(batch.column(n)) for n in ("u", "w", "c"))
+                states = [[_numbers(pc.list_element(batch.column(x), i), np.int64) for i in range(SWEEPS)] for x in ("u_ts", "w_ks")]
+                each = model.tail_scores(u, w, c, _numbers(batch.column("u_c")), *states)
+                lists = batch.column("rows")
+                own = np.repeat(each, np.asarray(pc.list_value_length(lists)))
+                held.append((np.asarray(lists.flatten()), own * np.asarray(batch.column("times").flatten())))
+                size += len(own)
+                if size >= HELD:
+                    yield out()
+                    size = 0
+            if size:
+                yield out()
+
+        kept = lambda c: F.array_repeat(F.col(c), SWEEPS)
+        states = self.active.select("word", "c", "ts", "ks").unionByName(self.quiet.select("word", "c", kept("c").alias("ts"), kept("c").alias("ks")))
+        pairs = rows.filter(F.col("kind") == TAIL_PAIR).select("n", "raw").mapInArrow(unpacked, "u long, w long, c long, rows array<long>, times array<long>")
+        return with_states(pairs, states, ["c", "ts"], ["ks"]).mapInArrow(scored, SENT)
+
+
+def _sums(which: int, word: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), which, np.int32)), pa.array(word.astype(np.int64)), pa.array(x.astype(float)), pa.array(y.astype(float))], ["which", "word", "x", "y"])
+
+
+# -------------------------------------------------------------------- learning
+
+
+def learnt(rows: DataFrame, v: Vocabulary, hot: np.ndarray, passes: int = PASSES, tail: Tail | None = None) -> tuple[Model, np.ndarray]:
     """The last of SWEEPS states, the first of which comes after ``passes`` over all pairs, and the training counts of the hot pairs."""
     spark = rows.sparkSession
     entries = rows.filter("kind >= 0").select("kind", "m", "counts")
@@ -596,19 +877,27 @@ def learnt(rows: DataFrame, v: Vocabulary, hot: np.ndarray, passes: int = PASSES
                     seen += cells
             yield _totals(below, dishes, rare, seen, rare_seen)
 
-        made = entries.filter(F.col("kind") != HOT_PAIR).mapInArrow(tables, TOTALS).groupBy("which", "code").agg(F.sum("x").alias("x")).toArrow()
+        made = entries.filter(F.col("kind").isin(PAIR, *([] if v.whole else [RARE_WORD]))).mapInArrow(tables, TOTALS).groupBy("which", "code").agg(F.sum("x").alias("x")).toArrow()
         which, code, x = (np.asarray(made.column(i).combine_chunks()) for i in range(3))
         below, dishes, rare, seen, rare_seen = (np.bincount(code[which == k], x[which == k], n) for k, n in enumerate((size, size, 1, CELL, CELL)))
         t, cells = model.pair_tables(hot, n_hot)
         u, w = _both(hot)
         below, dishes = below + np.bincount(u, t, size), dishes + np.bincount(w, t, size)
+        more, above = None, None
+        if tail is not None:
+            code, x, y, more_cells = tail.seated(shipped)
+            below, dishes, cells = below + np.bincount(code, x, size), dishes + np.bincount(code, y, size), cells + more_cells
+            below, dishes = below + tail.once[0], dishes + tail.once[1]
+            more, above = tail.totals(model.parent, turn, 1 / (size + v.tail_words))
         rng = np.random.default_rng(turn)
-        contexts = model.contexts.redrawn(below, seen + cells, rng)
+        contexts = model.contexts.redrawn(below, seen + cells, rng, more)
         rare = model.rare.redrawn(rare, rare_seen, rng)
-        parent, p = parent_of(dishes, model.parent, turn)
-        model = Model(contexts, parent, rare, p, v, turn)
+        parent, p, how = parent_of(dishes, model.parent, turn, above, v.tail_words)
+        model = Model(contexts, parent, rare, p, v, turn, above=how)
         if turn >= passes:
             states.append(model)
+            if tail is not None:
+                tail.keep()
         shipped.unpersist()
     return replace(model, earlier=tuple(states[:-1])), n_hot
 
@@ -644,7 +933,7 @@ def _sent(kind: int, places: int, row: np.ndarray, *columns: np.ndarray) -> Iter
         yield {"to": int(to[lo]), "kind": kind, "n": hi - lo, "raw": pack(np.diff(row[lo:hi].astype(np.uint64), prepend=np.uint64(0)), *(c[lo:hi] for c in columns))}
 
 
-def scores(rows: DataFrame, model: Model, hot: np.ndarray, n_hot: np.ndarray) -> DataFrame:
+def scores(rows: DataFrame, model: Model, hot: np.ndarray, n_hot: np.ndarray, tail: Tail | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, logs, score) of every document of ``met``.
 
     Sums by document travel packed, each task's documents combined, to the place that gathers them.
@@ -679,7 +968,7 @@ def scores(rows: DataFrame, model: Model, hot: np.ndarray, n_hot: np.ndarray) ->
                 yield pa.RecordBatch.from_pylist(list(_sent(-1, places, np.asarray(plain.column("base")), *columns)), schema=schema)
             for kind, key, count, place, row, times in _buckets([batch.filter(pc.greater_equal(batch.column("kind"), 0))]):
                 if kind == RARE_WORD:
-                    each = model.rare_scores(key, count)
+                    each = np.zeros(len(key)) if model.vocabulary.whole else model.rare_scores(key, count)
                     held[RARE_WORD].append((row, each[place] * times, np.log10(count + 1.0)[place] * times, (count > 0)[place] * times.astype(np.int64)))
                 else:
                     each = hot_scores[np.searchsorted(hot, key)] if kind == HOT_PAIR else model.pair_scores(key, count)
@@ -720,20 +1009,27 @@ def scores(rows: DataFrame, model: Model, hot: np.ndarray, n_hot: np.ndarray) ->
         if own:
             yield out()
 
-    sent = rows.select("kind", "bucket", "n", "raw", "base", "doc_id", "n_tokens", "known", "logs").mapInArrow(found, SENT)
+    sent = rows.filter(F.col("kind") != TAIL_PAIR).select("kind", "bucket", "n", "raw", "base", "doc_id", "n_tokens", "known", "logs").mapInArrow(found, SENT)
+    if tail is not None:
+        sent = sent.unionByName(tail.sent(rows, shipped, places, schema))
     return sent.repartition(parts, "to").sortWithinPartitions("to", "kind").mapInArrow(gather, SCORED)
 
 
-def train_and_score(docs: DataFrame, passes: int = PASSES, most: int = HEAD) -> DataFrame:
-    """Scores of all rows of (doc_id, held_out, text); rows not held out train the model."""
+def train_and_score(docs: DataFrame, passes: int = PASSES, most: int | None = None, head: int = HEAD) -> DataFrame:
+    """Scores of all rows of (doc_id, held_out, text); rows not held out train the model.
+
+    All words have contexts of their own, ``head`` of them at most from a broadcast; with
+    ``most``, only so many have, and the rest are one rare word.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
     counts = written(word_counts(docs), "words")
-    v = vocabulary(docs, counts, most)
+    v = vocabulary(docs, counts, head if most is None else most, most is None)
     shipped = docs.sparkSession.sparkContext.broadcast(v)
     hot = hot_pairs(docs, shipped, docs.count())
     rows = met(docs, v, shipped, hot, v.tokens)
-    model, n_hot = learnt(rows, v, hot, passes)
-    scored = scores(rows, model, hot, n_hot)
+    tail = Tail(rows, counts, v) if v.whole else None
+    model, n_hot = learnt(rows, v, hot, passes, tail)
+    scored = scores(rows, model, hot, n_hot, tail)
     logs = F.col("logs") + F.lit(float(np.log10(v.ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(v.tokens + v.distinct + 1)))
     return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(v.ends > 0)).cast("long")).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
