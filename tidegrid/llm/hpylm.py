@@ -29,9 +29,11 @@ Plan. Word counts by one partially aggregated shuffle. Then each distinct pair
 of each document travels once, as packed sorted arrays by a hash of the pair
 (rare words by their own), and is written as one sorted row a bucket, beside its
 distinct pairs with their counts: every pass is a scan of the latter alone. Pairs
-with a word of the tail are written beside them; those that occur once have one
-table whatever the weights, the others meet the tables and customers of their words
-by two joins a pass, and all meet them once for the scores.
+with a word of the tail travel to that word's bucket, which keeps its tables and
+customers from pass to pass; those that occur once have one table whatever the
+weights. Only a pair of two words of the tail needs more than its bucket has: its
+first word's bucket sends tables there, and gets customers, in each pass if the
+pair occurs again, and once for the scores.
 Scoring sums log probabilities by document, again packed, in one more exchange.
 Pairs of over a hundredth of the documents, or of over HOT_ROWS, by a sample that
 grows with the documents, are dealt over all buckets, summed before they travel,
@@ -76,14 +78,16 @@ CELLS = 2_000_000
 #: documents of the sample that tell so, and hot pairs at most.
 SAMPLE_DOCS, HOT_SHARE, HOT_ROWS, TELLING, HOT = 4000, 0.01, 2_000_000, 40, 1_000_000
 #: Tokens a bucket holds on average, characters read at a time, sums held by a task.
-BUCKET, SLICE, HELD = 500_000, 6_000_000, 2_000_000
+BUCKET, SLICE, HELD = 500_000, 3_000_000, 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: An odd factor that spreads pairs over the range of their keys, and its inverse there.
 SPREAD = 0x9E3779B97F4A7C15 % (1 << 2 * BITS)
 KEYS = np.uint64((1 << 2 * BITS) - 1)
 BACK = np.uint64(pow(SPREAD, -1, 1 << 2 * BITS))
 DOC_BITS = np.uint64(64 - 2 * BITS)
-PAIR, RARE_WORD, HOT_PAIR, TAIL_PAIR = 0, 1, 2, 3
+PAIR, RARE_WORD, HOT_PAIR, TAIL_PAIR, TAIL_AGAIN, ASKED = 0, 1, 2, 3, 4, 5
+#: What marks the other word of a tail's entry as the one that comes after it.
+AFTER = 1 << 32
 
 
 # --------------------------------------------------------------------- seating
@@ -359,9 +363,10 @@ def unpack(raw: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
 
 ENTRY = ["<u8", "<u4", "<u4"]  # difference to the key before, twice the document's place + held out, occurrences
 MET = ["<u8", "<u8", "<u4"]  # difference, the row's number, occurrences
-TAIL_ENTRY = ["<i8", "<i8", "<u4", "<u4"]  # ids of both words, mark, occurrences
-TAIL_MET = ["<i8", "<i8", "<i8", "<u4"]  # the same with the row's number
-TAIL_COUNT = ["<i8", "<i8", "<i8"]  # ids of both words, training occurrences from two
+TAIL_ENTRY = ["<u8", "<i8", "<u4", "<u4"]  # difference to the tail's word before, the other word (and AFTER), mark, occurrences
+TAIL_MET = ["<u8", "<i8", "<i8", "<u4"]  # the same with the row's number
+TAIL_WORD = ["<u8", "<u4"]  # difference, training occurrences
+TAIL_COUNT = ["<u4", "<i8", "<u4"]  # place of the tail's word, the other word (and AFTER), training occurrences from two
 COUNT = ["<u8", "<u8"]  # difference, training occurrences
 MOVED = "kind int, bucket int, n long, base long, raw binary, doc_id long, n_tokens long, known long, logs double"
 MET_ROW = f"{MOVED}, m long, counts binary"
@@ -404,16 +409,25 @@ def tail_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
 
-def tail_pairs_of(ids: np.ndarray, edges: np.ndarray, end: int, mark: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(ids of both words, mark, occurrences) of each distinct pair of each document with a word of the tail."""
+def tail_buckets(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each word of the tail, in the order of the words."""
+    return (((ids.view(np.uint64) >> np.uint64(32)) & np.uint64((1 << 31) - 1)).astype(np.int64) * buckets) >> 31
+
+
+def tail_entries_of(ids: np.ndarray, edges: np.ndarray, end: int, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(word of the tail, the other word, mark, occurrences) of each document's distinct pairs with a word of the tail, by that word.
+
+    The other word comes before it, or after it if AFTER is added; a pair of two words of the tail is the second's.
+    """
     now = np.insert(ids, edges[1:], end)
     before = np.concatenate([[end], now[:-1]])
-    tail = np.flatnonzero((now < 0) | (before < 0))
-    u, w, m = before[tail], now[tail], np.repeat(mark, np.diff(edges) + 1)[tail]
-    order = np.lexsort((w, u, m))
-    u, w, m = u[order], w[order], m[order]
-    start = np.union1d(_pair_runs(u, w), _runs(m))
-    return u[start], w[start], m[start], np.diff(np.append(start, len(u)))
+    mark = np.repeat(mark, np.diff(edges) + 1)
+    second, first = np.flatnonzero(now < 0), np.flatnonzero((before < 0) & (now >= 0))
+    word, other, m = np.concatenate([now[second], before[first]]), np.concatenate([before[second], now[first] + AFTER]), np.concatenate([mark[second], mark[first]])
+    order = np.lexsort((m, other, word))
+    word, other, m = word[order], other[order], m[order]
+    start = np.union1d(_pair_runs(word, other), _runs(m))
+    return word[start], other[start], m[start], np.diff(np.append(start, len(word)))
 
 
 def words_of(hashed: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -449,11 +463,15 @@ def among(listed: np.ndarray, x: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x
 
 
+def buckets_of(spark, n_tokens: int) -> int:
+    return max(4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), n_tokens // BUCKET)
+
+
 def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int) -> DataFrame:
     """Each bucket's pairs, rare words and hot pairs with their documents, and one row a document."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = max(4 * parts, n_tokens // BUCKET)
+    buckets = buckets_of(spark, n_tokens)
     listed = spark.sparkContext.broadcast(hot)
 
     def deal(kind: int, key: np.ndarray, mark: np.ndarray, n: np.ndarray, base: int, bucket: np.ndarray) -> Iterator[tuple]:
@@ -484,14 +502,14 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
             out = list(deal(PAIR, key[~is_hot], marks[~is_hot], n[~is_hot], base, spread[~is_hot]))
             out += deal(HOT_PAIR, key[is_hot], marks[is_hot], n[is_hot], base, np.full(is_hot.sum(), base // 2 % buckets))
             if v.whole:
-                tail = tail_pairs_of(np.where(rare, tail_ids(hashed)[place], codes), edges, v.end, mark)
-                bucket = ((tail_keys(*tail[:2]) >> np.uint64(33)).astype(np.int64) * buckets) >> 31
-                order = np.argsort(bucket, kind="stable")
-                bucket, tail = bucket[order], [c[order].astype(k) for c, k in zip(tail, TAIL_ENTRY, strict=True)]
+                word, other, marks, n = tail_entries_of(np.where(rare, tail_ids(hashed)[place], codes), edges, v.end, mark)
+                bucket, word = tail_buckets(word, buckets), word.view(np.uint64)
                 for lo, hi in itertools.pairwise(np.append(_runs(bucket), len(bucket)).tolist()):
-                    out.append((TAIL_PAIR, int(bucket[lo]), hi - lo, base, pack(*(c[lo:hi] for c in tail)), None, None, None, None))
-            key, marks, n = words_of(hashed[place[rare]], mark[own[rare]])
-            out += deal(RARE_WORD, key, marks, n, base, ((key >> np.uint64(33)).astype(np.int64) * buckets) >> 31)
+                    raw = pack(np.diff(word[lo:hi], prepend=np.uint64(0)), other[lo:hi], marks[lo:hi].astype("<u4"), n[lo:hi].astype("<u4"))
+                    out.append((TAIL_PAIR, int(bucket[lo]), hi - lo, base, raw, None, None, None, None))
+            else:
+                key, marks, n = words_of(hashed[place[rare]], mark[own[rare]])
+                out += deal(RARE_WORD, key, marks, n, base, ((key >> np.uint64(33)).astype(np.int64) * buckets) >> 31)
             ids = batch.column("doc_id").to_pylist()
             out += [(-1, i % buckets, 1, base + m, None, d, t, k, g) for i, (m, d, t, k, g) in enumerate(zip(mark.tolist(), ids, (np.diff(edges) + 1).tolist(), known.tolist(), logs.tolist(), strict=True))]
             base += 2 * n_docs
@@ -501,16 +519,23 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
         held: list[tuple] = []
         now = None
 
-        def out() -> pa.RecordBatch:
+        def tail() -> Iterator[pa.RecordBatch]:
+            word, other, row, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((other, word))
+            word, other, row, n = word[order], other[order], row[order], n[order]
+            start, count, first, place, c = _tail_pairs(word, other, row, n)
+            pair, again = other[start], np.flatnonzero(count > 1)
+            made = [{"kind": TAIL_PAIR, "n": len(row), "raw": pack(np.diff(word, prepend=np.uint64(0)), other, row, n), "m": len(c), "counts": pack(np.diff(word[first], prepend=np.uint64(0)), c.astype("<u4"))}]
+            made.append({"kind": TAIL_AGAIN, "m": len(again), "counts": pack(place[again].astype("<u4"), pair[again], count[again].astype("<u4"))})
+            yield pa.RecordBatch.from_pylist([{**r, "bucket": now[0]} for r in made], schema=MET_SCHEMA)
+            both = np.flatnonzero(pair < 0)
+            columns = {"kind": np.full(len(both), ASKED, np.int32), "bucket": tail_buckets(pair[both], buckets).astype(np.int32), "n": count[both], "base": pair[both], "doc_id": word[start][both].view(np.int64)}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name]) if f.name in columns else pa.nulls(len(both), f.type) for f in MET_SCHEMA], schema=MET_SCHEMA)
+
+        def out() -> Iterator[pa.RecordBatch]:
             if now[1] == TAIL_PAIR:
-                u, w, row, n = (np.concatenate(c) for c in zip(*held, strict=True))
-                order = np.lexsort((w, u))
-                u, w, row, n = u[order], w[order], row[order], n[order]
-                start = _pair_runs(u, w)
-                count = np.add.reduceat(np.where(row & 1, 0, n).astype(np.int64), start)
-                again = count > 1
-                counts = pack(u[start][again], w[start][again], count[again])
-                return pa.RecordBatch.from_pylist([{"kind": TAIL_PAIR, "bucket": now[0], "n": len(row), "raw": pack(u, w, row, n), "m": int(again.sum()), "counts": counts}], schema=MET_SCHEMA)
+                yield from tail()
+                return
             key, row, n = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(key, kind="stable")
             key, row, n = key[order], row[order], n[order]
@@ -519,7 +544,7 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
             count = np.add.reduceat(np.where(row & 1, 0, n).astype(np.int64), start)
             key, count = key[start][count > 0], count[count > 0]
             counts = pack(np.diff(key, prepend=np.uint64(0)), count.astype("<u8"))
-            return pa.RecordBatch.from_pylist([{"kind": now[1], "bucket": now[0], "n": len(row), "raw": raw, "m": len(key), "counts": counts}], schema=MET_SCHEMA)
+            yield pa.RecordBatch.from_pylist([{"kind": now[1], "bucket": now[0], "n": len(row), "raw": raw, "m": len(key), "counts": counts}], schema=MET_SCHEMA)
 
         for batch in batches:
             kinds = np.asarray(batch.column(0))
@@ -530,16 +555,16 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
             for r in batch.filter(pa.array(kinds >= 0)).to_pylist():
                 if (r["bucket"], r["kind"]) != now:
                     if held:
-                        yield out()
+                        yield from out()
                     held, now = [], (r["bucket"], r["kind"])
                 if r["kind"] == TAIL_PAIR:
-                    u, w, row, n = unpack(r["raw"], r["n"], TAIL_ENTRY)
-                    held.append((u, w, row.astype(np.int64) + r["base"], n))
+                    diff, other, row, n = unpack(r["raw"], r["n"], TAIL_ENTRY)
+                    held.append((np.cumsum(diff), other, row.astype(np.int64) + r["base"], n))
                     continue
                 diff, row, n = unpack(r["raw"], r["n"], ENTRY)
                 held.append((np.cumsum(diff), row.astype(np.int64) + r["base"], n))
         if held:
-            yield out()
+            yield from out()
 
     moved = docs.select("doc_id", "held_out", "text").mapInArrow(rows, MOVED).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
     return written(moved.mapInArrow(merge, MET_ROW), "met", "zstd")
@@ -551,6 +576,15 @@ SCHEMA = pa.schema(
 MET_SCHEMA = pa.schema([*SCHEMA, ("m", pa.int64()), ("counts", pa.binary())])
 
 
+def _tail_pairs(word: np.ndarray, other: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(where each pair starts, its training occurrences; where each word starts, the place of each pair's word, each word's training occurrences)."""
+    start = _pair_runs(word, other)
+    count = np.add.reduceat(np.where(row & 1, 0, n).astype(np.int64), start)
+    head = _runs(word[start])
+    place = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(start))))
+    return start, count, start[head], place, np.bincount(place, np.where(other[start] < AFTER, count, 0), len(head)).astype(np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, distinct keys with training occurrences, these) of each bucket."""
     for batch in batches:
@@ -671,175 +705,278 @@ def start(v: Vocabulary) -> Model:
 # ------------------------------------------------------------------------ tail
 
 
-ID = "shiftrightunsigned(word, 1) | -9223372036854775808"
-TAIL_SUMS = "which int, word long, x double, y double"
+TAIL_ROW = "kind int, bucket int, n long, m long, a long, key long, x double, y double, words binary, pairs binary, asked binary"
+TAIL_SCHEMA = pa.schema(
+    [("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.int64()) for c in ("n", "m", "a", "key")), ("x", pa.float64()), ("y", pa.float64()), *((c, pa.binary()) for c in ("words", "pairs", "asked"))]
+)
+#: Kinds of rows: a bucket's words that change and those that don't, a state for another bucket's pair, a context's customers
+#: and tables for another bucket's scores; sums: by code, statistics of pairs, contexts by customers and tables,
+#: statistics of the parent, its customers and tables.
+STATE, QUIET, TOLD, ANSWER, CODES, SEEN, CONTEXTS, ABOVE, ALL = range(9)
+#: A word that changes: difference, training occurrences, its pairs that occur once as context and as dish, tables, customers; then
+#: both of each kept state. Its pairs: place, the other word, whether that comes after it, training occurrences.
+#: Who asks for its tables: place, bucket.
+CHANGING = ["<u8", "<u4", "<u4", "<u4", "<f8", "<u4"]
+PAIRED = ["<u4", "<i8", "<u1", "<u4"]
+ASKING = ["<u4", "<u4"]
 
 
-def tail_counts(rows: DataFrame) -> DataFrame:
-    """(u, w, c): pairs with a word of the tail that occur twice or more in training."""
+def _tail_rows(kind: int, size: int, /, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    columns["kind"] = np.full(size, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in TAIL_SCHEMA], schema=TAIL_SCHEMA)
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m, raw in zip(*(batch.column(c).to_pylist() for c in ("m", "counts")), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack(raw, m, TAIL_COUNT)], ["u", "w", "c"])
 
-    return rows.filter(F.col("kind") == TAIL_PAIR).select("m", "counts").mapInArrow(unpacked, "u long, w long, c long")
+def _sums(kind: int, key: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> pa.RecordBatch:
+    return _tail_rows(kind, len(key), key=key.astype(np.int64), x=x.astype(float), y=np.zeros(len(key)) if y is None else y.astype(float))
 
 
-def with_states(pairs: DataFrame, states: DataFrame, contexts: list[str], dishes: list[str]) -> DataFrame:
-    """``pairs`` with columns of ``states`` for each first and each second word of the tail; null for words with a code and unknown ones."""
-    for side, names in (("u", contexts), ("w", dishes)):
-        kinds = {f.name: f.dataType for f in states.schema}
-        tail = pairs.filter(F.col(side) < 0).join(states.select(F.col("word").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)), side, "left")
-        pairs = tail.unionByName(pairs.filter(F.col(side) >= 0).select("*", *(F.lit(None).cast(kinds[n]).alias(f"{side}_{n}") for n in names)))
-    return pairs
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, pa.Table]]]:
+    """(bucket, its rows by kind) of rows that come sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    now = None
+
+    def out() -> tuple[int, dict[int, pa.Table]]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        kinds = np.asarray(rows.column("kind"))
+        return now, {int(k): rows.filter(pa.array(kinds == k)) for k in np.unique(kinds)}
+
+    for batch in batches:
+        bucket = np.asarray(batch.column("bucket"))
+        for lo, hi in itertools.pairwise(np.append(_runs(bucket), len(bucket)).tolist()):
+            if bucket[lo] != now:
+                if held:
+                    yield out()
+                held, now = [], int(bucket[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield out()
 
 
-def _numbers(column: pa.Array, kind: type = np.float64) -> np.ndarray:
-    return np.asarray(pc.fill_null(column, 0)).astype(kind)
+def _told(u: np.ndarray, w: np.ndarray, value: np.ndarray, after: int, buckets: int) -> pa.RecordBatch:
+    """Tables of contexts for the buckets of the second words (0), or customers of dishes for those of the first (1)."""
+    return _tail_rows(TOLD, len(u), bucket=tail_buckets((w, u)[after], buckets), key=tail_keys(u, w).view(np.int64), x=value.astype(float), y=np.full(len(u), float(after)))
 
 
 class Tail:
-    """The words without a code: too many to be sent to each task, their weights travel to their pairs.
+    """The words without a code: too many to be sent to each task, each has a bucket that keeps its tables and customers.
 
     A pair that occurs once in training has one table whatever its weights, so that
-    only words of pairs that occur again (``active``) change from pass to pass.
-    ``su`` and ``sw`` are a word's pairs that occur once, as context and as dish.
+    only words of pairs that occur again change from pass to pass.
     """
 
-    def __init__(self, rows: DataFrame, counts: DataFrame, v: Vocabulary) -> None:
-        self.pairs = written(tail_counts(rows), "tail-pairs")
-        none = F.lit(0).cast("long")
-        ends = self.pairs.select(F.col("u").alias("word"), F.col("c").alias("du"), none.alias("dw")).unionAll(self.pairs.select("w", none, "c"))
-        again = ends.filter("word < 0").groupBy("word").agg(F.sum("du").alias("du"), F.sum("dw").alias("dw"))
-        words = counts.filter(F.col("c") < v.least).groupBy(F.expr(ID).alias("word")).agg(F.sum("c").alias("c"))
-        listed = written(words.join(again, "word", "left"), "tail-words")
-        states = F.array().cast("array<long>")
-        self.quiet = listed.filter("du IS NULL").select("word", "c")
-        self.active = listed.filter("du IS NOT NULL").select(
-            "word", "c", (F.col("c") - F.col("du")).alias("su"), (F.col("c") - F.col("dw")).alias("sw"), (F.col("c") / 2).alias("t"), F.col("c").alias("k"), states.alias("ts"), states.alias("ks")
-        )
-
-        def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for n, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "raw")), strict=True):
-                    u, w, row, times = unpack(raw, n, TAIL_MET)
-                    start = _pair_runs(u, w)
-                    one = start[np.add.reduceat(np.where(row & 1, 0, times).astype(np.int64), start) == 1]
-                    word, place = np.unique(np.concatenate([u[one], w[one]]), return_inverse=True)
-                    side = np.repeat([1.0, 0.0], len(one))
-                    x, y = np.bincount(place, side, len(word)), np.bincount(place, 1 - side, len(word))
-                    yield _sums(0, word[word >= 0], x[word >= 0], y[word >= 0])
-
-        made = rows.filter(F.col("kind") == TAIL_PAIR).select("n", "raw").mapInArrow(lone, TAIL_SUMS).groupBy("word").agg(F.sum("x"), F.sum("y")).toArrow()
-        code, x, y = (np.asarray(made.column(i).combine_chunks()) for i in range(3))
-        #: Tables of pairs with a word of the tail that occur once, by the code of the other word, as context and as dish.
-        self.once = [np.bincount(code, n, v.end + 1) for n in (x, y)]
-
-    def seated(self, shipped) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Seats all pairs anew: (codes, their tables as contexts, as dishes; statistics). The active words have their new states afterwards."""
+    def __init__(self, rows: DataFrame, v: Vocabulary) -> None:
+        spark, size = rows.sparkSession, v.end + 1
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        self.met, self.parts, self.tail_words = rows, max(parts // 4, min(parts, 12)), v.tail_words
+        self.buckets = buckets = buckets_of(spark, v.tokens)
+
+        def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            below, dishes = np.zeros(size), np.zeros(size)
+            for bucket, kinds in _by_bucket(batches):
+                (r,), (again,) = kinds[TAIL_PAIR].to_pylist(), kinds[TAIL_AGAIN].to_pylist()
+                diff, c = unpack(r["counts"], r["m"], TAIL_WORD)
+                word, c = np.cumsum(diff), c.astype(np.int64)
+                place, other, count = unpack(again["counts"], again["m"], TAIL_COUNT)
+                after = other >= AFTER
+                other = np.where(after, other - AFTER, other)
+                u = w = n = np.zeros(0, np.int64)
+                if ASKED in kinds:
+                    u, w, n = (np.asarray(kinds[ASKED].column(k).combine_chunks()) for k in ("base", "doc_id", "n"))
+                at, both = np.searchsorted(word, u.view(np.uint64)), n > 1
+                head = other >= 0
+                below += np.bincount(other[head & ~after], count[head & ~after], size)
+                dishes += np.bincount(other[head & after], count[head & after], size)
+                place, other, after, count = (np.concatenate(x) for x in ((place, at[both]), (other, w[both]), (after, np.ones(both.sum(), bool)), (count, n[both])))
+                changing = np.zeros(len(word), bool)
+                changing[place] = True
+                listed = np.cumsum(changing) - 1
+                once = [c - np.bincount(place, np.where(after == side, count, 0), len(word)).astype(np.int64) for side in (True, False)]
+                quiet = ~changing & (c > 0)
+                if quiet.any():
+                    yield _tail_rows(QUIET, 1, bucket=[bucket], n=[int(quiet.sum())], words=[pack(np.diff(word[quiet], prepend=np.uint64(0)), c[quiet].astype("<u4"))])
+                to = np.unique(at << 32 | tail_buckets(w, buckets))
+                at_to, to = to >> 32, to & (1 << 32) - 1
+                mine = changing[at_to]
+                yield _tail_rows(ANSWER, int((~mine).sum()), bucket=to[~mine], key=word[at_to[~mine]].view(np.int64), x=c[at_to[~mine]].astype(float))
+                if not changing.any():
+                    continue
+                state = [np.diff(word[changing], prepend=np.uint64(0)), *(x[changing] for x in (c, *once, c / 2, c))]
+                yield _tail_rows(
+                    STATE, 1, bucket=[bucket], n=[int(changing.sum())], m=[len(place)], a=[int(mine.sum())],
+                    words=[_packed(CHANGING, *state)], pairs=[_packed(PAIRED, listed[place], other, after, count)], asked=[_packed(ASKING, listed[at_to[mine]], to[mine])],
+                )
+                yield from told(word[place].view(np.int64), other, after, c[place] / 2, c[place], buckets)
+            found = np.flatnonzero(below + dishes)
+            yield _sums(CODES, found, below[found], dishes[found])
+
+        listed = rows.filter(F.col("kind") >= TAIL_PAIR).select("kind", "bucket", "n", "base", "doc_id", "m", "counts")
+        self.first = self.rows = written(self._dealt(listed).mapInArrow(begun, TAIL_ROW), "tail")
+        #: Training occurrences in pairs with a word of the tail that occur again, by the code of the other word, as context and as dish.
+        self.again = self._sums(size)[CODES]
+        self.kept = 0
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket")
+
+    def _sums(self, size: int) -> dict[int, list[np.ndarray]]:
+        made = self.rows.filter(F.col("kind") >= CODES).groupBy("kind", "key").agg(F.sum("x"), F.sum("y")).toArrow()
+        kind, key, x, y = (np.asarray(made.column(i).combine_chunks()) for i in range(4))
+        out = {k: [key[kind == k], x[kind == k], y[kind == k]] for k in range(CODES, ALL + 1)}
+        out[CODES] = [np.bincount(out[CODES][0], z, size) for z in out[CODES][1:]]
+        return out
+
+    def seated(self, shipped, size: int, turn: int, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...], tuple[float, float, np.ndarray]]:
+        """Seats all pairs anew: (their tables by code as contexts, as dishes; statistics; what ``redrawn`` and ``parent_of`` take)."""
+        base, kept, buckets = 1 / (size + self.tail_words), self.kept, self.buckets
 
         def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, seen = shipped.value, np.zeros(CELL)
-            for batch in batches:
-                u, w, c = (np.asarray(batch.column(n)) for n in ("u", "w", "c"))
-                if not len(u):
-                    continue
-                t, cells, _ = model.tail_pairs(u, w, c, _numbers(batch.column("u_t")), _numbers(batch.column("w_k"), np.int64))
-                seen += cells
-                word, place = np.unique(np.concatenate([u, w]), return_inverse=True)
-                none = np.zeros(len(t))
-                yield _sums(0, word, np.bincount(place, np.concatenate([t, none]), len(word)), np.bincount(place, np.concatenate([none, t]), len(word)))
-            found = np.flatnonzero(seen)
-            yield _sums(1, found, seen[found], np.zeros(len(found)))
-
-        pairs = with_states(self.pairs, self.active, ["t"], ["k"])
-        made = written(pairs.mapInArrow(drawn, TAIL_SUMS).groupBy("which", "word").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "tail-tables")
-        heads = made.filter("which = 1 OR word >= 0").toArrow()
-        which, code, x, y = (np.asarray(heads.column(i).combine_chunks()) for i in range(4))
-        tables = made.filter("which = 0 AND word < 0").select("word", "x", "y")
-        self.active = written(
-            self.active.join(tables, "word", "left").select("word", "c", "su", "sw", (F.col("su") + F.coalesce("x", F.lit(0.0))).alias("t"), (F.col("sw") + F.coalesce("y", F.lit(0.0))).cast("long").alias("k"), "ts", "ks"), "tail-states"
-        )
-        seen = np.bincount(code[which == 1], x[which == 1], CELL)
-        return code[which == 0], x[which == 0], y[which == 0], seen
-
-    def keep(self) -> None:
-        self.active = self.active.withColumn("ts", F.concat("ts", F.array(F.col("t").cast("long")))).withColumn("ks", F.concat("ks", F.array("k")))
-
-    def totals(self, level: Level, seed: int, base: float) -> tuple[tuple[np.ndarray, ...], tuple[float, float, np.ndarray]]:
-        """(customers, tables and number of contexts; what ``parent_of`` takes)."""
-        pull, discount = float(level.pull()[0]), level.discount
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                word, c, t, k = (np.asarray(batch.column(i)) for i in range(4))
-                if not len(word):
-                    continue
-                tables, cells = sampled(k, np.full(len(k), pull), np.full(len(k), base), discount, seed, key=word.view(np.uint64))
-                both, n = np.unique(c << 31 | t, return_counts=True)
-                yield _sums(0, both, n.astype(float), np.zeros(len(n)))
+            model = shipped.value
+            pull, discount = float(model.parent.pull()[0]), model.parent.discount
+            below, dishes, seen, above = np.zeros(size), np.zeros(size), np.zeros(CELL), np.zeros(CELL)
+            for bucket, kinds in _by_bucket(batches):
+                for r in kinds[QUIET].to_pylist() if QUIET in kinds else []:
+                    diff, c = unpack(r["words"], r["n"], TAIL_WORD)
+                    word, c = np.cumsum(diff), c.astype(np.int64)
+                    yield from totals(word, c, c, c, pull, discount, base, turn, above)
+                for r in kinds[STATE].to_pylist() if STATE in kinds else []:
+                    diff, c, su, sw, t, k, *earlier = unpack(r["words"], r["n"], CHANGING + ["<u4"] * 2 * kept)
+                    word, c, k = np.cumsum(diff), c.astype(np.int64), k.astype(np.int64)
+                    place, other, after, count = unpack(r["pairs"], r["m"], PAIRED)
+                    after, count, own = after > 0, count.astype(np.int64), word[place].view(np.int64)
+                    u, w = np.where(after, own, other), np.where(after, other, own)
+                    value = np.zeros(len(u))
+                    if TOLD in kinds:
+                        key, x, side = (np.asarray(kinds[TOLD].column(n).combine_chunks()) for n in ("key", "x", "y"))
+                        for s in (False, True):
+                            mine = np.flatnonzero((other < 0) & (after == s))
+                            order = np.argsort(key[side == s])
+                            value[mine] = x[side == s][order][np.searchsorted(key[side == s][order], tail_keys(u[mine], w[mine]).view(np.int64))]
+                    seat, dish = np.where(after, t[place], value), np.where(after, value, k[place]).astype(np.int64)
+                    tables = np.zeros(len(u))
+                    twice = after & (other < 0)  # the other word's bucket counts these
+                    for some in (np.flatnonzero(~twice), np.flatnonzero(twice)):
+                        tables[some], cells, _ = model.tail_pairs(u[some], w[some], count[some], seat[some], dish[some])
+                        seen += cells if len(some) and not twice[some[0]] else 0
+                    head = other >= 0
+                    below += np.bincount(other[head & ~after], tables[head & ~after], size)
+                    dishes += np.bincount(other[head & after], tables[head & after], size)
+                    t = su + np.bincount(place, np.where(after, tables, 0), len(word))
+                    k = sw + np.bincount(place, np.where(after, 0, tables), len(word)).astype(np.int64)
+                    state = [diff, c, su, sw, t, k, *earlier, *((t, k) if keep else ())]
+                    r |= {"words": _packed(CHANGING + ["<u4"] * (len(state) - len(CHANGING)), *state)}
+                    yield pa.RecordBatch.from_pylist([r], schema=TAIL_SCHEMA)
+                    yield from told(own, other, after, t[place], k[place], buckets)
+                    yield from totals(word, c, t.astype(np.int64), k, pull, discount, base, turn, above)
+            for kind, cells in ((CODES, below + dishes), (SEEN, seen), (ABOVE, above)):
                 found = np.flatnonzero(cells)
-                yield _sums(1, found, cells[found], np.zeros(len(found)))
-                yield _sums(2, np.zeros(1, np.int64), np.array([float(k.sum())]), np.array([tables.sum()]))
+                yield _sums(kind, found, below[found], dishes[found]) if kind == CODES else _sums(kind, found, cells[found])
 
-        every = self.active.select("word", "c", F.col("t").cast("long").alias("t"), "k").unionByName(self.quiet.select("word", "c", F.col("c").alias("t"), F.col("c").alias("k")))
-        made = every.mapInArrow(summed, TAIL_SUMS).groupBy("which", "word").agg(F.sum("x"), F.sum("y")).toArrow()
-        which, code, x, y = (np.asarray(made.column(i).combine_chunks()) for i in range(4))
-        own = which == 0
-        contexts = (code[own] >> 31).astype(float), (code[own] & (1 << 31) - 1).astype(float), x[own]
-        return contexts, (float(x[which == 2].sum()), float(y[which == 2].sum()), np.bincount(code[which == 1], x[which == 1], CELL))
+        changing = self._dealt(self.rows.filter(F.col("kind").isin(STATE, TOLD)))
+        self.rows = written(changing.unionByName(self.first.filter(F.col("kind") == QUIET)).mapInArrow(drawn, TAIL_ROW), "tail-states")
+        self.kept += keep
+        made = self._sums(size)
+        seen, above = (np.bincount(made[k][0], made[k][1], CELL) for k in (SEEN, ABOVE))
+        both, n, _ = made[CONTEXTS]
+        return *made[CODES], seen, ((both >> 31).astype(float), (both & (1 << 31) - 1).astype(float), n), (float(made[ALL][1].sum()), float(made[ALL][2].sum()), above)
 
-    def sent(self, rows: DataFrame, shipped, places: int, schema: pa.Schema) -> DataFrame:
+    def sent(self, shipped, places: int, schema: pa.Schema) -> DataFrame:
         """Sums by document of the tail's pairs, as ``scores`` sends them."""
 
-        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for n, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "raw")), strict=True):
-                    u, w, row, times = unpack(raw, n, TAIL_MET)
-                    start = _pair_runs(u, w)
-                    edges = np.append(start, n).astype(np.int32)
-                    count = np.add.reduceat(np.where(row & 1, 0, times).astype(np.int64), start)
-                    lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (row, times.astype(np.int64))]
-                    made = pa.RecordBatch.from_arrays([pa.array(u[start]), pa.array(w[start]), pa.array(count), *lists], ["u", "w", "c", "rows", "times"])
-                    for at in range(0, made.num_rows, 20_000):
-                        yield made.slice(at, 20_000)
+                for r in batch.to_pylist():
+                    diff, c, *_ = columns = unpack(r["words"], r["n"], CHANGING + ["<u4"] * 2 * SWEEPS)
+                    place, to = unpack(r["asked"], r["a"], ASKING)
+                    seats = np.stack(columns[len(CHANGING) :: 2], axis=1).astype("<i8")[place]
+                    offsets = np.arange(len(place) + 1, dtype=np.int32) * (8 * SWEEPS)
+                    raw = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(seats.tobytes())])
+                    yield _tail_rows(ANSWER, len(place), bucket=to, key=np.cumsum(diff)[place].view(np.int64), x=c[place].astype(float), words=raw)
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shipped.value[0]
-            held: list[tuple] = []
+            held: dict[int, list] = {PAIR: [], RARE_WORD: []}
             size = 0
 
             def out() -> pa.RecordBatch:
-                every, x = (np.concatenate(c) for c in zip(*held, strict=True))
-                row, place = np.unique(every, return_inverse=True)
-                held.clear()
-                return pa.RecordBatch.from_pylist(list(_sent(PAIR, places, row, np.bincount(place, x, len(row)).astype("<f4"))), schema=schema)
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                u, w, c = (np.asarray(batch.column(n)) for n in ("u", "w", "c"))
-                states = [[_numbers(pc.list_element(batch.column(x), i), np.int64) for i in range(SWEEPS)] for x in ("u_ts", "w_ks")]
-                each = model.tail_scores(u, w, c, _numbers(batch.column("u_c")), *states)
-                lists = batch.column("rows")
-                own = np.repeat(each, np.asarray(pc.list_value_length(lists)))
-                held.append((np.asarray(lists.flatten()), own * np.asarray(batch.column("times").flatten())))
-                size += len(own)
+                made: list[dict] = []
+                for kind, listed in held.items():
+                    if listed:
+                        every = [np.concatenate(c) for c in zip(*listed, strict=True)]
+                        row, place = np.unique(every[0], return_inverse=True)
+                        made += _sent(kind, places, row, *(np.bincount(place, c, len(row)).astype(k) for c, k in zip(every[1:], (PAIR_SUMS if kind == PAIR else RARE_SUMS)[1:], strict=True)))
+                        listed.clear()
+                return pa.RecordBatch.from_pylist(made, schema=schema)
+
+            for _, kinds in _by_bucket(batches):
+                (r,) = kinds[ENTRIES].to_pylist()
+                diff, other, row, n = unpack(r["words"], r["n"], TAIL_MET)
+                word = np.cumsum(diff)
+                start, count, first, place, c = _tail_pairs(word, other, row, n)
+                seats, dishes = [c.copy() for _ in range(SWEEPS)], [c.copy() for _ in range(SWEEPS)]
+                listed = word[first]
+                for s in kinds[STATE].to_pylist() if STATE in kinds else []:
+                    columns = unpack(s["words"], s["n"], CHANGING + ["<u4"] * 2 * SWEEPS)
+                    at = np.searchsorted(listed, np.cumsum(columns[0]))
+                    for i in range(SWEEPS):
+                        seats[i][at], dishes[i][at] = columns[len(CHANGING) + 2 * i : len(CHANGING) + 2 * i + 2]
+                pair, own = other[start], word[start].view(np.int64)
+                after = pair >= AFTER
+                u, w = np.where(after, own, pair), np.where(after, pair - AFTER, own)
+                customers, k = np.where(after, c[place], 0), [np.where(after, 0, x[place]) for x in dishes]
+                t = [np.where(after, x[place], 0) for x in seats]
+                if len(both := np.flatnonzero(pair < 0)):
+                    told = kinds[ANSWER].sort_by("key")
+                    key, x = (np.asarray(told.column(n).combine_chunks()) for n in ("key", "x"))
+                    at = np.searchsorted(key, pair[both])
+                    customers[both] = x[at]
+                    raw = told.column("words").combine_chunks()
+                    has = np.asarray(raw.is_valid())
+                    every = np.repeat(x.astype(np.int64)[:, None], SWEEPS, axis=1)
+                    every[has] = np.frombuffer(b"".join(raw.drop_null().to_pylist()), "<i8").reshape(-1, SWEEPS)
+                    for i in range(SWEEPS):
+                        t[i][both] = every[at, i]
+                each = np.repeat(model.tail_scores(u, w, count, customers, t, k), np.diff(np.append(start, len(row)))) * n
+                known, second = np.repeat(c[place], np.diff(np.append(start, len(row)))), other < AFTER
+                held[PAIR].append((row[~second], each[~second]))
+                held[RARE_WORD].append((row[second], each[second], (np.log10(known + 1.0) * n)[second], ((known > 0) * n)[second]))
+                size += len(row)
                 if size >= HELD:
                     yield out()
                     size = 0
             if size:
                 yield out()
 
-        kept = lambda c: F.array_repeat(F.col(c), SWEEPS)
-        states = self.active.select("word", "c", "ts", "ks").unionByName(self.quiet.select("word", "c", kept("c").alias("ts"), kept("c").alias("ks")))
-        pairs = rows.filter(F.col("kind") == TAIL_PAIR).select("n", "raw").mapInArrow(unpacked, "u long, w long, c long, rows array<long>, times array<long>")
-        return with_states(pairs, states, ["c", "ts"], ["ks"]).mapInArrow(scored, SENT)
+        states = self.rows.filter(F.col("kind") == STATE)
+        answers = self.first.filter(F.col("kind") == ANSWER).unionByName(states.filter("a > 0").mapInArrow(answered, TAIL_ROW))
+        pairs = self.met.filter(F.col("kind") == TAIL_PAIR).select(F.lit(ENTRIES).alias("kind"), "bucket", "n", F.col("raw").alias("words"))
+        given = states.unionByName(answers).select("kind", "bucket", "n", "key", "x", "words")
+        return self._dealt(given.unionByName(pairs, allowMissingColumns=True)).mapInArrow(scored, SENT)
+
+
+#: The kind of a bucket's entries where they meet its states.
+ENTRIES = 9
+
 
+def _packed(kinds: list[str], *columns: np.ndarray) -> bytes:
+    return pack(*(c.astype(k) for c, k in zip(columns, kinds, strict=True)))
 
-def _sums(which: int, word: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), which, np.int32)), pa.array(word.astype(np.int64)), pa.array(x.astype(float)), pa.array(y.astype(float))], ["which", "word", "x", "y"])
+
+def told(own: np.ndarray, other: np.ndarray, after: np.ndarray, t: np.ndarray, k: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What the buckets of both words of pairs within the tail tell each other."""
+    for side, value in ((True, t), (False, k)):
+        some = np.flatnonzero((other < 0) & (after == side))
+        if len(some):
+            u, w = (own[some], other[some]) if side else (other[some], own[some])
+            yield _told(u, w, value[some], 0 if side else 1, buckets)
+
+
+def totals(word: np.ndarray, c: np.ndarray, t: np.ndarray, k: np.ndarray, pull: float, discount: float, base: float, seed: int, above: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Contexts by customers and tables, and customers and tables at the parent; its statistics are added to ``above``."""
+    both, n = np.unique(c << 31 | t, return_counts=True)
+    yield _sums(CONTEXTS, both, n)
+    tables, cells = sampled(k, np.full(len(k), pull), np.full(len(k), base), discount, seed, key=word)
+    above += cells
+    yield _sums(ALL, np.zeros(1), np.array([k.sum()]), np.array([tables.sum()]))
 
 
 # -------------------------------------------------------------------- learning
@@ -862,8 +999,11 @@ def learnt(rows: DataFrame, v: Vocabulary, hot: np.ndarray, passes: int = PASSES
     for turn in range(1, passes + SWEEPS):
         shipped = spark.sparkContext.broadcast(model)
 
-        def tables(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        counted = tail is not None and turn == 1
+
+        def tables(batches: Iterator[pa.RecordBatch], shipped=shipped, counted=counted) -> Iterator[pa.RecordBatch]:
             model, below, dishes, rare, seen, rare_seen = shipped.value, np.zeros(size), np.zeros(size), np.zeros(1), np.zeros(CELL), np.zeros(CELL)
+            singles = [np.zeros(size), np.zeros(size)] if counted else []
             for kind, key, count in _counts(batches):
                 if kind == RARE_WORD:
                     t, cells = model.rare_tables(key, count)
@@ -875,7 +1015,9 @@ def learnt(rows: DataFrame, v: Vocabulary, hot: np.ndarray, passes: int = PASSES
                     below += np.bincount(u, t, size)
                     dishes += np.bincount(w, t, size)
                     seen += cells
-            yield _totals(below, dishes, rare, seen, rare_seen)
+                    for codes, total in zip((u, w), singles, strict=False):
+                        total += np.bincount(codes, count, size)
+            yield _totals(below, dishes, rare, seen, rare_seen, *singles)
 
         made = entries.filter(F.col("kind").isin(PAIR, *([] if v.whole else [RARE_WORD]))).mapInArrow(tables, TOTALS).groupBy("which", "code").agg(F.sum("x").alias("x")).toArrow()
         which, code, x = (np.asarray(made.column(i).combine_chunks()) for i in range(3))
@@ -885,10 +1027,11 @@ def learnt(rows: DataFrame, v: Vocabulary, hot: np.ndarray, passes: int = PASSES
         below, dishes = below + np.bincount(u, t, size), dishes + np.bincount(w, t, size)
         more, above = None, None
         if tail is not None:
-            code, x, y, more_cells = tail.seated(shipped)
-            below, dishes, cells = below + np.bincount(code, x, size), dishes + np.bincount(code, y, size), cells + more_cells
-            below, dishes = below + tail.once[0], dishes + tail.once[1]
-            more, above = tail.totals(model.parent, turn, 1 / (size + v.tail_words))
+            if counted:
+                # of a word's occurrences those in pairs with the head's words, and in pairs that occur again, are known
+                once = [v.totals() - np.bincount(code[which == k], x[which == k], size) - np.bincount(hot_codes, n_hot, size) - known for k, hot_codes, known in zip((5, 6), (u, w), tail.again, strict=True)]
+            more_below, more_dishes, more_cells, more, above = tail.seated(shipped, size, turn, turn >= passes)
+            below, dishes, cells = below + more_below + once[0], dishes + more_dishes + once[1], cells + more_cells
         rng = np.random.default_rng(turn)
         contexts = model.contexts.redrawn(below, seen + cells, rng, more)
         rare = model.rare.redrawn(rare, rare_seen, rng)
@@ -896,8 +1039,6 @@ def learnt(rows: DataFrame, v: Vocabulary, hot: np.ndarray, passes: int = PASSES
         model = Model(contexts, parent, rare, p, v, turn, above=how)
         if turn >= passes:
             states.append(model)
-            if tail is not None:
-                tail.keep()
         shipped.unpersist()
     return replace(model, earlier=tuple(states[:-1])), n_hot
 
@@ -968,7 +1109,7 @@ def scores(rows: DataFrame, model: Model, hot: np.ndarray, n_hot: np.ndarray, ta
                 yield pa.RecordBatch.from_pylist(list(_sent(-1, places, np.asarray(plain.column("base")), *columns)), schema=schema)
             for kind, key, count, place, row, times in _buckets([batch.filter(pc.greater_equal(batch.column("kind"), 0))]):
                 if kind == RARE_WORD:
-                    each = np.zeros(len(key)) if model.vocabulary.whole else model.rare_scores(key, count)
+                    each = model.rare_scores(key, count)
                     held[RARE_WORD].append((row, each[place] * times, np.log10(count + 1.0)[place] * times, (count > 0)[place] * times.astype(np.int64)))
                 else:
                     each = hot_scores[np.searchsorted(hot, key)] if kind == HOT_PAIR else model.pair_scores(key, count)
@@ -1009,9 +1150,9 @@ def scores(rows: DataFrame, model: Model, hot: np.ndarray, n_hot: np.ndarray, ta
         if own:
             yield out()
 
-    sent = rows.filter(F.col("kind") != TAIL_PAIR).select("kind", "bucket", "n", "raw", "base", "doc_id", "n_tokens", "known", "logs").mapInArrow(found, SENT)
+    sent = rows.filter(F.col("kind") < TAIL_PAIR).select("kind", "bucket", "n", "raw", "base", "doc_id", "n_tokens", "known", "logs").mapInArrow(found, SENT)
     if tail is not None:
-        sent = sent.unionByName(tail.sent(rows, shipped, places, schema))
+        sent = sent.unionByName(tail.sent(shipped, places, schema))
     return sent.repartition(parts, "to").sortWithinPartitions("to", "kind").mapInArrow(gather, SCORED)
 
 
@@ -1027,7 +1168,7 @@ def train_and_score(docs: DataFrame, passes: int = PASSES, most: int | None = No
     shipped = docs.sparkSession.sparkContext.broadcast(v)
     hot = hot_pairs(docs, shipped, docs.count())
     rows = met(docs, v, shipped, hot, v.tokens)
-    tail = Tail(rows, counts, v) if v.whole else None
+    tail = Tail(rows, v) if v.whole else None
     model, n_hot = learnt(rows, v, hot, passes, tail)
     scored = scores(rows, model, hot, n_hot, tail)
     logs = F.col("logs") + F.lit(float(np.log10(v.ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(v.tokens + v.distinct + 1)))
