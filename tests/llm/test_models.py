@@ -526,6 +526,26 @@ def test_words_beyond_the_head_have_their_own_contexts(spark, checkpoint, monkey
     assert all(math.isfinite(got[1000 + i]) and got[1000 + i] < 0 for i in range(len(held)))
 
 
+def test_tail_is_not_joined_to_its_pairs(docs):
+    """Pairs with a word of the tail meet its state in its bucket."""
+    rows = docs.select("doc_id", "text", langid.held_out("doc_id", 7, 2).alias("held_out"))
+    scored = hpylm.train_and_score(rows, passes=1, head=3)
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == docs.count()
+
+
+def test_one_customer_is_not_drawn(monkeypatch):
+    """Most pairs occur once: they have one table, and only the others are drawn."""
+    drawn = []
+    tables_of = hpylm.tables_of
+    monkeypatch.setattr(hpylm, "tables_of", lambda customers, *a: drawn.append(customers.min()) or tables_of(customers, *a))
+    customers = np.array([0, 1, 1, 2, 9, 300])
+    mean, seen = hpylm.sampled(customers, np.full(6, 5.0), np.full(6, 0.1), 0.5, 3)
+    assert drawn == [2] * hpylm.SAMPLES
+    assert mean[:3].tolist() == [0, 1, 1] and (mean[3:] >= 1).all()
+    assert seen[hpylm.EXACT + 2] == 2 and seen.reshape(hpylm.EXACT + 1, -1)[[1, 2, 9]].sum() == 4
+
+
 def test_language_model_of_nothing(empty):
     assert hpylm.train_and_score(empty.select("doc_id", "text", "held_out")).collect() == []
 

@@ -182,14 +182,19 @@ def sampled(
     ``key`` tells rows apart wherever they are drawn; their places if None.
     """
     key = np.arange(len(customers)) if key is None else key
-    mean, seen = np.zeros(len(customers)), np.zeros(CELL)
-    large = customers > EXACT
+    mean, seen = np.minimum(customers, 1).astype(np.float64), np.zeros(CELL)
+    # one customer has one table; the others are drawn
+    many = np.flatnonzero(customers > 1)
+    customers, new, key = customers[many], pull[many] * p[many], key[many]
+    seen[EXACT + 2] = mean.sum() - len(many)
+    drawn, large = np.zeros(len(many)), customers > EXACT
     for i in range(samples):
-        t, _ = tables_of(customers, pull * p, discount, key, seed * samples + i)
-        mean += t / samples
+        t, _ = tables_of(customers, new, discount, key, seed * samples + i)
+        drawn += t / samples
         seen += np.bincount((customers * (EXACT + 1) + t)[~large], minlength=CELL) / samples
         seen[LARGE] += np.array([large.sum(), (t[large] - 1).sum(), np.log(customers[large]).sum()]) / samples
     seen[0] = 0
+    mean[many] = drawn
     return mean, seen
 
 
@@ -424,9 +429,9 @@ def tail_entries_of(ids: np.ndarray, edges: np.ndarray, end: int, mark: np.ndarr
     mark = np.repeat(mark, np.diff(edges) + 1)
     second, first = np.flatnonzero(now < 0), np.flatnonzero((before < 0) & (now >= 0))
     word, other, m = np.concatenate([now[second], before[first]]), np.concatenate([before[second], now[first] + AFTER]), np.concatenate([mark[second], mark[first]])
-    order = np.lexsort((m, other, word))
+    order = np.lexsort((other, word))  # a pair's documents stay in order
     word, other, m = word[order], other[order], m[order]
-    start = np.union1d(_pair_runs(word, other), _runs(m))
+    start = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (other[1:] != other[:-1]) | (m[1:] != m[:-1])])) if len(m) else np.zeros(0, np.int64)
     return word[start], other[start], m[start], np.diff(np.append(start, len(word)))
 
 
@@ -815,8 +820,8 @@ class Tail:
         self.again = self._sums(size)[CODES]
         self.kept = 0
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket")
+    def _dealt(self, rows: DataFrame, parts: int = 0) -> DataFrame:
+        return rows.repartition(parts or self.parts, "bucket").sortWithinPartitions("bucket")
 
     def _sums(self, size: int) -> dict[int, list[np.ndarray]]:
         made = self.rows.filter(F.col("kind") >= CODES).groupBy("kind", "key").agg(F.sum("x"), F.sum("y")).toArrow()
@@ -950,7 +955,7 @@ class Tail:
         answers = self.first.filter(F.col("kind") == ANSWER).unionByName(states.filter("a > 0").mapInArrow(answered, TAIL_ROW))
         pairs = self.met.filter(F.col("kind") == TAIL_PAIR).select(F.lit(ENTRIES).alias("kind"), "bucket", "n", F.col("raw").alias("words"))
         given = states.unionByName(answers).select("kind", "bucket", "n", "key", "x", "words")
-        return self._dealt(given.unionByName(pairs, allowMissingColumns=True)).mapInArrow(scored, SENT)
+        return self._dealt(given.unionByName(pairs, allowMissingColumns=True), places // 4).mapInArrow(scored, SENT)
 
 
 #: The kind of a bucket's entries where they meet its states.
