@@ -268,3 +268,20 @@ def test_empty_tables(empty, run):
 
 def test_wide_vocabularies_take_four_bytes():
     assert JsonBpe(BYTE).dtype.itemsize == 2
+
+
+def test_ascii_words_are_not_translated():
+    """An ASCII word is its own letters; new chunks without punctuation at their end are not looked at for it."""
+
+    class Letters(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Letters.asked += 1
+            return super().__getitem__(key)
+
+    bpe = JsonBpe(BYTE)
+    bpe.letters = Letters(bpe.letters)
+    text = "some plain words, and naïve ones. Plain words again\nwords"
+    assert np.frombuffer(bpe.texts([text])[0], bpe.dtype).tolist() == whole(BYTE)(text)
+    assert 0 < Letters.asked <= 16  # the spaces of eight words, and the bytes of one word

@@ -60,17 +60,15 @@ class ChunkCache:
         """A dict that holds at least all of ``chunks``."""
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
-        young, old, longest = self.young, self.old.get, self.longest
-        pieces, cut, cores, tails, lasting = [], [], [], [], True
-        for c in chunks:
-            if c in young:
-                continue
-            if (value := old(c)) is not None:
-                young[c] = value
-                continue
-            lasting &= len(c) <= longest
-            core = c.rstrip(TAIL)
-            if core == c or not closes(core[-1:]):
+        young, old, longest = self.young, self.old, self.longest
+        pieces, cut, cores, tails = [], [], [], []
+        new = [c for c in chunks if c not in young]
+        young.update([(c, old[c]) for c in new if c in old])
+        if old:
+            new = [c for c in new if c not in old]
+        lasting = max(map(len, new), default=0) <= longest
+        for c in new:
+            if c[-1:] not in TAIL or not closes((core := c.rstrip(TAIL))[-1:]):
                 pieces.append(c)
             else:
                 cut.append(c)
@@ -122,6 +120,8 @@ class JsonBpe:
         word = piece[1:] if not self.drops_space and piece[:1] == " " else piece
         if not word.isalpha():
             return None
+        if not self.drops_space and word.isascii():
+            return word if word == piece else self.letters[32] + word
         if self.drops_space:
             piece = word.lower()
             if word.isascii():
