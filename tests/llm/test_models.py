@@ -7,6 +7,7 @@ import itertools
 import math
 import os
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -546,6 +547,75 @@ def test_one_customer_is_not_drawn(monkeypatch):
     assert seen[hpylm.EXACT + 2] == 2 and seen.reshape(hpylm.EXACT + 1, -1)[[1, 2, 9]].sum() == 4
 
 
+def least_cpu(f):
+    """CPU seconds of the fastest of five calls."""
+    took = []
+    for _ in range(5):
+        began = time.thread_time()
+        f()
+        took.append(time.thread_time() - began)
+    return min(took)
+
+
+def test_packing_and_hashing_cost_little_beside_their_work():
+    """Byte planes take no longer than some compressions of them, words no longer than some hashes of strings that are at hand."""
+    rng = np.random.default_rng(0)
+    columns = [np.sort(rng.integers(0, 1 << 36, 200_000).astype(np.uint64)), rng.integers(0, 1 << 34, 200_000), rng.integers(1, 4, 200_000).astype("<u4")]
+    packed = hpylm.pack(*columns)
+    for got, want in zip(hpylm.unpack(packed, 200_000, ["<u8", "<i8", "<u4"]), columns, strict=True):
+        assert (got == want).all()
+    planes = pa.decompress(packed, 200_000 * 20, "zstd", asbytes=True)
+    assert least_cpu(lambda: hpylm.pack(*columns)) < 4 * least_cpu(lambda: pa.compress(planes, "zstd"))
+    listed = [f"word{i}é" for i in range(50_000)]
+    words = pa.array(listed)
+    plain = lambda: [xxhash.xxh64_intdigest(w) for w in listed]
+    assert hpylm.hashes(words).tolist() == plain()
+    assert least_cpu(lambda: hpylm.hashes(words)) < 4 * least_cpu(plain)
+
+
+@pytest.mark.parametrize("d", [0.025, 0.5, 0.975])
+def test_tables_by_bands_are_those_of_their_conditional(d):
+    """Each draw against the sums of its own row's weights, for all counts up to EXACT and weights of a new table far apart."""
+    c, new = (x.ravel() for x in np.meshgrid(np.arange(hpylm.EXACT + 1), [1e-30, 1e-6, 0.3, 40.0, hpylm.MILD, 2 * hpylm.MILD, 1e9]))
+    key = np.arange(len(c)) * 7919
+    got, _ = hpylm.tables_of(c, new, d, key, 5)
+    one, logs = hpylm.uniforms(key, 10), hpylm.log_seatings(d)
+    for i, n in enumerate(c.tolist()):
+        w = logs[n, 1 : n + 1] + np.log(new[i]) * np.arange(1, n + 1)
+        w = np.cumsum(np.exp(w - w.max(initial=-np.inf)))
+        assert got[i] == (1 + (w < one[i] * w[-1]).sum() if n else 0)
+
+
+def test_samples_share_their_weights(monkeypatch):
+    """Weights don't depend on the draw: they are made once for all samples, unless there are too many to be kept."""
+    made = []
+    seating_sums = hpylm.seating_sums
+    monkeypatch.setattr(hpylm, "seating_sums", lambda *a: made.append(len(a[0])) or seating_sums(*a))
+    few = np.array([2, 3, 3, 9, 40, 300])
+    mean, seen = hpylm.sampled(few, np.full(6, 5.0), np.full(6, 0.1), 0.5, 3)
+    assert sum(made) == 6
+    monkeypatch.setattr(hpylm, "KEPT", 0)
+    again, other = hpylm.sampled(few, np.full(6, 5.0), np.full(6, 0.1), 0.5, 3)
+    assert sum(made) == 6 + 6 * hpylm.SAMPLES
+    assert (mean == again).all() and (seen == other).all()
+
+
+def test_alike_contexts_are_redrawn_as_one(monkeypatch):
+    """Discount and strength come from the distinct (customers, tables), with how many contexts have them."""
+    sizes = []
+    log_gamma = hpylm.log_gamma
+    monkeypatch.setattr(hpylm, "log_gamma", lambda x: sizes.append(len(x)) or log_gamma(x))
+    seen = np.zeros(hpylm.CELL)
+    seen[[2 * (hpylm.EXACT + 1) + 1, 9 * (hpylm.EXACT + 1) + 4]] = 3000, 2000
+    c, t = np.repeat([2.0, 9.0, 0.0], [3000, 2000, 5]), np.repeat([1.0, 4.0, 0.0], [3000, 2000, 5])
+    level = hpylm.Level(0.5, 1.0, c, t)
+    some = level.redrawn(t, seen, np.random.default_rng(3))
+    assert max(sizes) == 2
+    told = (np.array([2.0, 9.0]), np.array([1.0, 4.0]), np.array([3000.0, 2000.0]))
+    one = hpylm.Level(0.5, 1.0, np.zeros(1), np.zeros(1)).redrawn(np.zeros(1), seen, np.random.default_rng(3), told)
+    assert (some.discount, some.strength) == (one.discount, one.strength)
+
+
 def test_language_model_of_nothing(empty):
     assert hpylm.train_and_score(empty.select("doc_id", "text", "held_out")).collect() == []
 

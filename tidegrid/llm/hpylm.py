@@ -72,8 +72,10 @@ PASSES, SWEEPS, SAMPLES = 3, 5, 4
 EXACT = 128
 CELL = (EXACT + 1) ** 2
 DISCOUNTS, STRENGTHS = np.arange(1, 40) / 40, np.geomspace(0.01, 1000, 41)
-#: Weights in memory at a time.
-CELLS = 2_000_000
+#: First counts of the bands of customers that are drawn together; the last is that of all over EXACT.
+BANDS = np.array([2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 17, 25, 33, 49, 65, 97, EXACT + 1, EXACT + 2])
+#: Weights made at a time, those kept for more samples, and the weight of a new table up to which those of EXACT customers are far from overflow.
+CELLS, KEPT, MILD = 250_000, 2_000_000, 5000.0
 #: Documents sampled at least in order to find hot pairs, the share and the number of all documents that make a pair hot,
 #: documents of the sample that tell so, and hot pairs at most.
 SAMPLE_DOCS, HOT_SHARE, HOT_ROWS, TELLING, HOT = 4000, 0.01, 2_000_000, 40, 1_000_000
@@ -106,6 +108,32 @@ def log_seatings(d: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=64)
+def seating_ratios(d: float) -> np.ndarray:
+    """What weighs t + 2 tables over t + 1, [t, c], but for the weight of a new table; zero from c tables on."""
+    logs = log_seatings(d)[:, 1:]
+    out = np.zeros((EXACT - 1, EXACT + 1))
+    c, t = np.nonzero(np.isfinite(logs[:, 1:]))
+    out[t, c] = np.exp(logs[c, t + 1] - logs[c, t])
+    return out
+
+
+def seating_sums(customers: np.ndarray, most: int, new: np.ndarray, d: float) -> np.ndarray:
+    """Sums of the weights of t + 1 tables and fewer, [t, row], for rows of ascending customers, ``most`` at most; each row's scale is its own."""
+    out = np.empty((most, len(customers)))
+    ratios, weight, mild = seating_ratios(d), np.ones(len(customers)), np.minimum(new, MILD)
+    same = len(customers) and customers[0] == customers[-1]
+    out[0] = 1
+    for t in range(most - 1):
+        weight *= mild
+        weight *= ratios[t, customers[0]] if same else ratios[t][customers]
+        np.add(out[t], weight, out=out[t + 1])
+    if len(far := np.flatnonzero(new > MILD)):
+        w = log_seatings(d)[customers[far], 1 : most + 1] + np.log(new[far])[:, None] * np.arange(1, most + 1)
+        out[:, far] = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1).T
+    return out
+
+
 def uniforms(key: np.ndarray, seed: int) -> np.ndarray:
     """A number between 0 and 1 for each key, by mixing its bits with the seed's."""
     with np.errstate(over="ignore"):
@@ -134,27 +162,34 @@ def binomials(n: np.ndarray, q: np.ndarray, one: np.ndarray, two: np.ndarray) ->
     return out.astype(np.int64)
 
 
-def tables_of(customers: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def seatings(customers: np.ndarray, new: np.ndarray, d: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of rows of two customers and more, their ``seating_sums``), by bands of customers; those over EXACT as of EXACT."""
+    clipped = np.minimum(customers, EXACT + 1).astype(np.uint8)
+    order = np.argsort(clipped, kind="stable")
+    edges = np.searchsorted(clipped[order], BANDS)
+    for (lo, hi), beyond in zip(itertools.pairwise(edges.tolist()), BANDS[1:].tolist(), strict=True):
+        most = min(beyond - 1, EXACT)
+        for at in range(lo, hi, max(1, CELLS // most)):
+            rows = order[at : min(hi, at + max(1, CELLS // most))]
+            yield rows, seating_sums(np.minimum(clipped[rows], EXACT), most, new[rows], d)
+
+
+def tables_of(customers: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, seed: int, listed: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(each row's tables, drawn given its customers; mean tables of rows over EXACT): all leave and are seated anew.
 
     ``new``: the weight of a new table, the restaurant's pull times the dish's probability at the parent.
-    ``key`` and ``seed`` decide what is drawn.
+    ``key`` and ``seed`` decide what is drawn. ``listed``: their ``seatings``, if they are at hand.
     """
     one = uniforms(key, 2 * seed)
     out = np.minimum(customers, 1)
     mean = np.zeros(len(customers))
-    log_new, weights = np.log(new), log_seatings(d)
-    clipped = np.minimum(customers, EXACT + 1)
-    order = np.argsort(clipped, kind="stable")
-    edges = np.searchsorted(clipped[order], np.arange(2, EXACT + 3))
-    for c, (lo, hi) in enumerate(itertools.pairwise(edges.tolist()), 2):
-        c = min(c, EXACT)
-        for at in range(lo, hi, max(1, CELLS // c)):
-            rows = order[at : min(hi, at + max(1, CELLS // c))]
-            w = weights[c, 1 : c + 1] + log_new[rows, None] * np.arange(1, c + 1)
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            out[rows] = 1 + (w < one[rows, None] * w[:, -1:]).sum(axis=1)
-            mean[rows] = c - w[:, :-1].sum(axis=1) / w[:, -1]
+    for rows, w in seatings(customers, new, d) if listed is None else listed:
+        drawn, tables = one[rows] * w[-1], np.ones(len(rows), np.uint8)
+        for below in w[:-1]:
+            tables += below < drawn
+        out[rows] = tables
+        if customers[rows[0]] > EXACT:
+            mean[rows] = EXACT - w[:-1].sum(axis=0) / w[-1]
     rows = np.flatnonzero(customers > EXACT)
     if len(rows):
         # a customer more: the mean grows by (new - d variance) / (new + c - d mean); the
@@ -188,8 +223,10 @@ def sampled(
     customers, new, key = customers[many], pull[many] * p[many], key[many]
     seen[EXACT + 2] = mean.sum() - len(many)
     drawn, large = np.zeros(len(many)), customers > EXACT
+    # the samples differ by what is drawn alone; many weights are made anew rather than kept
+    listed = list(seatings(customers, new, discount)) if samples > 1 and np.minimum(customers, EXACT).sum() < KEPT else None
     for i in range(samples):
-        t, _ = tables_of(customers, new, discount, key, seed * samples + i)
+        t, _ = tables_of(customers, new, discount, key, seed * samples + i, listed)
         drawn += t / samples
         seen += np.bincount((customers * (EXACT + 1) + t)[~large], minlength=CELL) / samples
         seen[LARGE] += np.array([large.sum(), (t[large] - 1).sum(), np.log(customers[large]).sum()]) / samples
@@ -215,13 +252,13 @@ class Level:
     customers: np.ndarray
     tables: np.ndarray
 
-    def pull(self) -> np.ndarray:
-        """What its strength and tables add to a new table."""
-        return self.strength + self.discount * self.tables
+    def pull(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """What its strength and tables add to a new table, of the restaurants ``at`` these places."""
+        return self.strength + self.discount * self.tables[at]
 
-    def back(self) -> np.ndarray:
+    def back(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         """What a restaurant leaves to its base."""
-        return self.pull() / (self.strength + self.customers)
+        return self.pull(at) / (self.strength + self.customers[at])
 
     def redrawn(self, tables: np.ndarray, seen: np.ndarray, rng: np.random.Generator, tail: tuple[np.ndarray, ...] | None = None) -> Level:
         """With new tables; the discount, then the strength, drawn from their conditionals on a grid.
@@ -230,7 +267,9 @@ class Level:
         """
         has = self.customers >= 1
         c, t = self.customers[has], np.clip(tables[has], 1, self.customers[has])
-        times = np.ones(len(c))
+        # many contexts are alike
+        both, times = np.unique(c + 1j * t, return_counts=True)
+        c, t = both.real, both.imag
         if tail is not None:
             c, t, times = (np.concatenate(x) for x in zip((c, t, times), tail, strict=True))
         if not len(c):
@@ -275,7 +314,7 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def hashes(words: pa.Array) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.fromiter(map(xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+    return np.fromiter(map(xxh64_intdigest, words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,8 +389,9 @@ def vocabulary(docs: DataFrame, counts: DataFrame, most: int = HEAD, whole: bool
 
 def pack(*columns: np.ndarray) -> bytes:
     """Arrays of one length as compressed byte planes."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns]
-    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+    # a copy for each plane: transposing rows of a few bytes takes twenty times as long
+    planes = [c.view(np.uint8).reshape(len(c), c.dtype.itemsize)[:, i] for c in map(np.ascontiguousarray, columns) for i in range(c.dtype.itemsize)]
+    return pa.compress(np.concatenate(planes), "zstd", asbytes=True)
 
 
 def unpack(raw: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
@@ -361,8 +401,11 @@ def unpack(raw: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
     data = np.frombuffer(pa.decompress(raw, n * sum(width), "zstd", asbytes=True), np.uint8)
     out, at = [], 0
     for k, w in zip(kinds, width, strict=True):
-        out.append(np.ascontiguousarray(data[at : at + n * w].reshape(w, n).T).view(k).ravel())
-        at += n * w
+        rows = np.empty((n, w), np.uint8)
+        for i in range(w):
+            rows[:, i] = data[at : at + n]
+            at += n
+        out.append(rows.view(k).ravel())
     return out
 
 
@@ -518,7 +561,7 @@ def met(docs: DataFrame, v: Vocabulary, shipped, hot: np.ndarray, n_tokens: int)
             ids = batch.column("doc_id").to_pylist()
             out += [(-1, i % buckets, 1, base + m, None, d, t, k, g) for i, (m, d, t, k, g) in enumerate(zip(mark.tolist(), ids, (np.diff(edges) + 1).tolist(), known.tolist(), logs.tolist(), strict=True))]
             base += 2 * n_docs
-            yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in MOVED.split(", ")], x, strict=True)) for x in out], schema=SCHEMA)
+            yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in out], schema=SCHEMA)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -637,7 +680,7 @@ class Model:
 
     def tail_pairs(self, u: np.ndarray, w: np.ndarray, count: np.ndarray, seated: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tables, cells, the parent's probability) of pairs of ids; tail words' tables as contexts and customers at the parent are given."""
-        pull = np.where(u < 0, self.contexts.strength + self.contexts.discount * seated, self.contexts.pull()[np.maximum(u, 0)])
+        pull = np.where(u < 0, self.contexts.strength + self.contexts.discount * seated, self.contexts.pull(np.maximum(u, 0)))
         p, tail = self.p[np.maximum(w, 0)], np.flatnonzero(w < 0)
         p[tail] = self.dish(w[tail], k[tail])
         return *sampled(count, pull, p, self.contexts.discount, self.turn, 1, tail_keys(u, w)), p
@@ -648,13 +691,13 @@ class Model:
         for m, t, dishes in zip([*self.earlier, self], seated, k, strict=True):
             tables, _, p = m.tail_pairs(u, w, count, t, dishes)
             s, d, uc = m.contexts.strength, m.contexts.discount, np.where(u < 0, customers, m.contexts.customers[np.maximum(u, 0)])
-            back = np.where(u < 0, (s + d * t) / (s + customers), m.contexts.back()[np.maximum(u, 0)])
+            back = np.where(u < 0, (s + d * t) / (s + customers), m.contexts.back(np.maximum(u, 0)))
             each += (count - d * tables) / (s + uc) + back * p
         return np.log10(each / SWEEPS)
 
     def pair_tables(self, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u, w = _both(pair)
-        return sampled(count, self.contexts.pull()[u], self.p[w], self.contexts.discount, self.turn, 1, pair)
+        return sampled(count, self.contexts.pull(u), self.p[w], self.contexts.discount, self.turn, 1, pair)
 
     def rare_tables(self, hashed: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return sampled(count, np.full(len(count), self.rare.pull()[0]), np.full(len(count), 1 / (self.vocabulary.rare_words + 1)), self.rare.discount, self.turn, 1, hashed)
@@ -665,7 +708,7 @@ class Model:
 
         def predictive(m: Model) -> np.ndarray:
             own = (count - m.contexts.discount * m.pair_tables(pair, count)[0]) / (m.contexts.strength + m.contexts.customers[u])
-            return own + m.contexts.back()[u] * m.p[w]
+            return own + m.contexts.back(u) * m.p[w]
 
         return self._averaged(predictive)
 
