@@ -291,6 +291,24 @@ def test_just_above_the_cutoff(spark):
     assert (r.n, r.n_near, r.near_share) == (4, 2, 0.5)
 
 
+def test_a_group_without_fine_events_stays_at_the_cutoff(spark):
+    rows = spark.createDataFrame([("g", "bad", 1.0), ("h", "ok", 1.0), (None, "ok", 0.0)], "k string, status string, v double")
+    got = {r.k: r[1:] for r in bursts.near_cutoff(rows, ["k"], "status", "v", 1.0, 0.1).collect()}
+    assert got == {"g": (0, 0, None), "h": (1, 1, 1.0), None: (1, 0, 0.0)}
+
+
+def test_every_event_counts_at_the_cutoff(spark):
+    """Events of any status, reason and side, and those without a value; the share above is that of the fine ones."""
+    known = [("ok", "none", 1.0), ("ok", "none", 0.95), ("ok", "price", 1.05), ("ok", "price", 1.5), ("ok", "price", None)]
+    rows = [("g", *r) for r in known] + [("g", "few", "prints", 0.95), ("g", "few", "prints", None), ("h", "few", "prints", 1.05), (None, "ok", "none", 1.0)]
+    got = bursts.near_cutoff_parts(spark.createDataFrame(rows, "k string, status string, reason string, v double"), ["k"], "status", "reason", "v", 1.0, 0.1)
+    names = ("k", "status", "reason", "n", "n_within", "within_share", "n_ok", "n_near", "near_share")
+    assert {tuple(r[c] for c in names) for r in got.collect()} == {
+        ("g", "ok", "none", 2, 2, 1.0, 4, 2, 0.5), ("g", "ok", "price", 3, 1, 1 / 3, 4, 2, 0.5), ("g", "few", "prints", 2, 1, 0.5, 4, 2, 0.5),
+        ("h", "few", "prints", 1, 1, 1.0, 0, 0, None), (None, "ok", "none", 1, 1, 1.0, 1, 1, 1.0),
+    }
+
+
 def gridded(ts, start, minutes, rate, grid_s, window_s, on, off, floor, merge_s, dwell_s):
     if not len(ts):
         return []

@@ -389,11 +389,28 @@ def moved_share(rows: DataFrame, by: list[str], variant: str, at: str, decay: st
     return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("moved") > F.col("decay")).cast("double")).alias("moved_share"))
 
 
+def _cutoff_counts(rows: DataFrame, by: list[str], status: str, value: str, cutoff: float, margin: float, fine: str) -> DataFrame:
+    known = (F.col(status) == fine) & F.col(value).isNotNull()
+    above = known & (F.col(value) >= cutoff) & (F.col(value) < cutoff + margin)
+    count = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), count(F.abs(F.col(value) - cutoff) <= margin).alias("n_within"), count(known).alias("n_ok"), count(above).alias("n_near"))
+
+
 def near_cutoff(rows: DataFrame, by: list[str], status: str, value: str, cutoff: float, margin: float, fine: str = "ok") -> DataFrame:
-    """Of the events whose status is fine and value defined, how many lie just above the cutoff: from it to less than ``margin`` over it."""
-    kept = rows.filter((F.col(status) == fine) & F.col(value).isNotNull())
-    near = (F.col(value) >= cutoff) & (F.col(value) < cutoff + margin)
-    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(near, 1)).alias("n_near"), F.avg(near.cast("double")).alias("near_share"))
+    """Of the events whose status is fine and value defined, how many lie just above the cutoff: from it to less than ``margin`` over it.
+
+    A group without such events stays; its share is null.
+    """
+    made = _cutoff_counts(rows, by, status, value, cutoff, margin, fine)
+    return made.select(*by, F.col("n_ok").alias("n"), "n_near", ratio(F.col("n_near"), F.col("n_ok")).alias("near_share"))
+
+
+def near_cutoff_parts(rows: DataFrame, by: list[str], status: str, reason: str, value: str, cutoff: float, margin: float, fine: str = "ok") -> DataFrame:
+    """All events by status and reason, and how many lie within ``margin`` of the cutoff on either side; beside them the group's ``near_cutoff``."""
+    made = _cutoff_counts(rows, [*by, status, reason], status, value, cutoff, margin, fine)
+    whole = lambda c: F.sum(c).over(Window.partitionBy(*by))
+    made = made.withColumns({"within_share": ratio(F.col("n_within"), F.col("n")), "n_ok": whole("n_ok"), "n_near": whole("n_near")})
+    return made.withColumn("near_share", ratio(F.col("n_near"), F.col("n_ok")))
 
 
 def status_counts(rows: DataFrame, by: list[str], status: str, reason: str) -> DataFrame:

@@ -340,12 +340,15 @@ def _(v):
 
 
 @query("h22_near_cutoff", """
-, s AS (SELECT ticker, count(*) AS k, CASE WHEN count(*) < 12 THEN 'too_few' ELSE 'ok' END AS status FROM trades GROUP BY ticker, et_date)
-SELECT ticker, count(*) AS n, count(*) FILTER (WHERE k >= 15 AND k < 18) AS n_near, avg((k >= 15 AND k < 18)::INT) AS near_share FROM s WHERE status = 'ok' GROUP BY 1
+, s AS (SELECT ticker, count(*) AS k, CASE WHEN count(*) < 12 THEN 'too_few' ELSE 'ok' END AS status, CASE WHEN count(*) < 12 THEN 'prints' WHEN max(price) < 50 THEN 'price' ELSE 'none' END AS reason FROM trades GROUP BY ticker, et_date),
+o AS (SELECT ticker, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'ok' AND k >= 15 AND k < 18) AS n_near, avg((k >= 15 AND k < 18)::INT) FILTER (WHERE status = 'ok') AS near_share FROM s GROUP BY 1),
+p AS (SELECT ticker, status, reason, count(*) AS n, count(*) FILTER (WHERE abs(k - 15) <= 3) AS n_within, avg((abs(k - 15) <= 3)::INT) AS within_share FROM s GROUP BY 1, 2, 3)
+SELECT p.*, n_ok, n_near, near_share FROM p JOIN o ON p.ticker IS NOT DISTINCT FROM o.ticker
 """)
 def _(v):
-    rows = v.trades.groupBy(*DAY).agg(F.count(F.lit(1)).alias("k"), F.when(F.count(F.lit(1)) < 12, "too_few").otherwise("ok").alias("status"))
-    return h.near_cutoff(rows, ["ticker"], "status", "k", 15, 3)
+    few = F.count(F.lit(1)) < 12
+    rows = v.trades.groupBy(*DAY).agg(F.count(F.lit(1)).alias("k"), F.when(few, "too_few").otherwise("ok").alias("status"), F.when(few, "prints").when(F.max("price") < 50, "price").otherwise("none").alias("reason"))
+    return h.near_cutoff_parts(rows, ["ticker"], "status", "reason", "k", 15, 3)
 
 
 @query("h22_status_counts", """
